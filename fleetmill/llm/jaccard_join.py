@@ -12,7 +12,9 @@ shingles, linked sets share one of the first n - ceil(n * num / den) + 1 shingle
 4. Buckets that still hold more than one component: their groups are expanded, and all pairs of members in
    different components compared. Pairs in one component need no link: they are reachable already.
 5. Every comparison is by exact sets. Before it, sizes and sketches rule out what can't reach the threshold: bits in
-   which two parity sketches differ are at most the shingles in which the sets differ.
+   which two parity sketches differ are at most the shingles in which the sets differ. A short sketch of fixed length
+   goes with the bucket rows, a long one (a bit or more for each shingle) is looked at pair by pair; a sketch of twice
+   the length folds to the other's by the exclusive or of its halves.
 
 Defined cases: a null, empty or blank text has no shingles and links with nothing; a text with fewer words than k has
 one shingle, the whole sequence; a repeated doc_id with unlike texts gets a row for each; a row without doc_id gets no
@@ -75,7 +77,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def features(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, d1, d2, prefix, p, sketch): size, digest of the set, prefix shingles and their digest, parity sketch."""
+    """(doc_id, n, d1, d2, prefix, p, sketch, long): size, digest of the set, prefix shingles and their digest, parity sketches."""
     frequent = frequent_shingles(docs, k)
     by_value = np.argsort(frequent)
     held = docs.sparkSession.sparkContext.broadcast((frequent[by_value], by_value))  # ALL_KEEP entries at most
@@ -83,7 +85,7 @@ def features(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, rank = held.value
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for raw in _raw(batch):
                 s = shingles(raw, k)
                 n = len(s)
@@ -96,7 +98,9 @@ def features(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                         prefix = np.concatenate([prefix, s[hot][np.argsort(rank[at[hot]])][: size - len(prefix)]])
                 else:
                     prefix = s[:size]
-                bits = np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+                width = max(64 * SKETCH, 1 << n.bit_length())
+                bits = (np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)
+                long = np.packbits(bits).view(np.int64)
                 whole = s.tobytes()
                 d = xxhash.xxh3_128_intdigest(whole)
                 out[0].append(n)
@@ -104,11 +108,12 @@ def features(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 out[2].append((d & (1 << 64) - 1) - (1 << 63))
                 out[3].append(prefix.view(np.int64))
                 out[4].append(xxhash.xxh3_64_intdigest(prefix.tobytes()) - (1 << 63))
-                out[5].append(np.packbits(bits.astype(np.uint8)).view(np.int64))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in zip(out, kinds, strict=True)]], ["doc_id", "n", "d1", "d2", "prefix", "p", "sketch"])
+                out[5].append(np.bitwise_xor.reduce(long.reshape(-1, SKETCH), axis=0))
+                out[6].append(long)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in zip(out, kinds, strict=True)]], ["doc_id", "n", "d1", "d2", "prefix", "p", "sketch", "long"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, n long, d1 long, d2 long, prefix array<long>, p long, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, n long, d1 long, d2 long, prefix array<long>, p long, sketch array<long>, long array<long>")
 
 
 def _may_link(x: str, y: str, num: int, den: int) -> Column:
@@ -120,9 +125,18 @@ def _may_link(x: str, y: str, num: int, den: int) -> Column:
     return (a("n") * den >= b("n") * num) & (b("n") * den >= a("n") * num) & (differ * (den + num) <= (a("n") + b("n")) * (den - num))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b), distinct, whose sets reach the threshold, by whole sets."""
-    pairs = written(pairs)
+def _long_differ(x: Column, y: Column) -> Column:
+    """Bits in which two long sketches differ; of near sizes, one is at most twice as long."""
+    fold = lambda v, n: F.when(F.size(v) <= n, v).otherwise(F.zip_with(F.slice(v, 1, n), F.slice(v, n + 1, n), lambda a, b: a.bitwiseXOR(b)))
+    n = F.least(F.size(x), F.size(y))
+    return F.aggregate(F.zip_with(fold(x, n), fold(y, n), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, v: t + v)
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b), distinct and of near sizes, whose sets reach the threshold: first by long sketches, then by whole sets."""
+    side = lambda name, key: rows.select(F.col("doc_id").alias(key), F.struct("n", "long").alias(name))
+    pairs = pairs.join(side("x", "a"), "a").join(side("y", "b"), "b")
+    pairs = written(pairs.where(_long_differ(F.col("x.long"), F.col("y.long")) * (den + num) <= (F.col("x.n") + F.col("y.n")) * (den - num)).select("a", "b").distinct())
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +155,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
 
     class_id: the least doc_id with the same set; component_id: the least doc_id that links reach.
     """
+    if 2 * num < den:
+        raise ValueError("the threshold must be 1/2 or more")
     every = written(features(docs, k, num, den))
     classes = written(every.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")))
     heads = classes.where("class_id is not null").select(F.col("class_id").alias("doc_id"), "n", "d1", "d2")
@@ -149,7 +165,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     groups = rows.groupBy("n", "p").agg(F.min_by(F.struct("doc_id", "prefix", "sketch"), "doc_id").alias("g"), F.count("*").alias("members"))
     groups = written(groups.select("n", "p", F.col("g.doc_id").alias("doc_id"), F.col("g.sketch").alias("sketch"), F.col("g.prefix").alias("prefix"), "members"))
     tokens = groups.select("doc_id", "n", "p", F.explode("prefix").alias("t"))
-    shared = written(tokens.groupBy("t").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"), F.sum(F.lit(1)).alias("groups")).where("groups > 1"))
+    shared = written(tokens.groupBy("t").agg(F.min("doc_id").alias("hub"), F.count("*").alias("groups")).where("groups > 1"))
     bucketed = written(tokens.join(shared.select("t", "hub"), "t"))
 
     sketches = rows.select("doc_id", "n", "sketch")
@@ -158,7 +174,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     star = star.union(own).distinct()
     side = lambda name, key: sketches.select(F.col("doc_id").alias(key), F.struct("n", "sketch").alias(name))
     star = star.join(side("x", "a"), "a").join(side("y", "b"), "b").where(_may_link("x", "y", num, den)).select("a", "b").distinct()
-    links = _verified(star, docs, k, num, den)
+    links = _verified(star, rows, docs, k, num, den)
     label = components(links)
 
     # Buckets, and groups as buckets of their own, with members in more than one component.
@@ -174,7 +190,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     x, y = wide.alias("x"), wide.alias("y")
     cross = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.c") < F.col("y.c")) & _may_link("x", "y", num, den)).select(
         F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-    rest = _verified(cross, docs, k, num, den)
+    rest = _verified(cross, rows, docs, k, num, den)
     more = rest.join(label.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(
         label.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     over = components(more).select(F.col("node").alias("c"), F.col("component").alias("oc"))
