@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, quality_rules, url_filters, warc_audit
+from . import byte_bpe, decontaminate, html_extract, jaccard_join, quality_rules, substring_dedup, url_filters, warc_audit
 from .common import table, written
 
 #: Rules of the URL query: (verdict, host, start of the path).
@@ -46,4 +46,30 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(docs, k=3, num=9, den=10).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_warc_audit, op5_url_filter, op6_jaccard_join)}
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
+    return byte_bpe.decode(encoded, vocabulary()).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op3_warc_audit, op5_url_filter, op6_jaccard_join, op7_decontaminate, op8_byte_bpe, op9_html_extract, op10_substring_dedup)}
