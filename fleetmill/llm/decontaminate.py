@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmap
-from .common import written
+from .common import anti_by_id, written
 from .shingles import window_hashes, word_hashes
 
 #: Fixed masks: 1 counts, 0 is ignored. All span ten words and count seven.
@@ -136,3 +136,8 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = laid.select("doc_id", "low", "item_id", "diagonal", "words", "tokens").mapInArrow(verify, "doc_id long, item_id long, doc_word long, item_word long, n_words long, n_agree long")
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_agree", "n_words", -F.col("doc_word"), -F.col("item_word"))).alias("o"))
     return best.select("doc_id", "item_id", (-F.col("o.col3")).alias("doc_word"), (-F.col("o.col4")).alias("item_word"), F.col("o.n_words").alias("n_words"), F.col("o.n_agree").alias("n_agree"))
+
+
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs without those that have a verified overlap with an item."""
+    return anti_by_id(docs, written(overlaps(docs.select("doc_id", "text"), items).select("doc_id").distinct()))

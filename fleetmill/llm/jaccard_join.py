@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, semi_by_id, written
+from .common import anti_by_id, checked_broadcast, semi_by_id, written
 from .graph import components
 from .shingles import shingles
 
@@ -201,3 +201,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     none = every.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     # Where one id has several texts, the id's links are shared: the least component of its rows holds for all.
     return known.union(none)
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """docs with one document (the least doc_id) of each component of near duplicates.
+
+    Of rows that repeat a doc_id one stays; rows without doc_id all stay.
+    """
+    found = written(near_duplicates(docs.select("doc_id", "text"), k, num, den).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")).where("doc_id is not null"))
+    left = anti_by_id(docs, written(found.where("c <> doc_id").select("doc_id")))
+    again = written(found.where("n > 1 and c = doc_id").select("doc_id"))
+    if again.isEmpty():
+        return left
+    return anti_by_id(left, again).unionByName(semi_by_id(left, again).dropDuplicates(["doc_id"]))
