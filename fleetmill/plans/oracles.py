@@ -1,3 +1,4 @@
 """DuckDB SQL of the registered queries."""
 
-ORACLES = {}
+from . import queries  # noqa: F401  it registers
+from .registry import ORACLES  # noqa: F401

@@ -1,3 +1,4 @@
-"""Registered queries."""
+"""All registered queries."""
 
-QUERIES = {}
+from . import data_queries, evaluation_queries, feature_queries, model_queries, resampling_queries, signal_queries  # noqa: F401  they register
+from .registry import QUERIES  # noqa: F401
