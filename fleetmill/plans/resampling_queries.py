@@ -1 +1,347 @@
-"""Registered queries."""
+"""Draws, intervals, comparisons, decision curves, tests and selection rules."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fleetmill.functions.columns import r6
+from fleetmill.functions.rng import uniform
+from fleetmill.operators import evaluation as e
+from fleetmill.operators import resampling as rs
+from fleetmill.operators import selection as sel
+from fleetmill.sources import bindings as b
+from fleetmill.sources.shared import written
+
+from .registry import query, u
+
+R, T = 40, [5.0, 10.0, 20.0, 30.0]
+UNITS = "units AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS place FROM (SELECT DISTINCT unit FROM cycles))"
+DRAWS = f"""{UNITS}, draws AS (SELECT replicate, x.unit, count(*) AS w FROM (SELECT replicate, floor({u('boot', 'replicate', 'place')} * (SELECT count(*) FROM units))::INT AS spot FROM units, (SELECT unnest(range(1, {R + 1})) AS replicate)) d JOIN units x ON x.place = d.spot GROUP BY ALL)"""
+SUMS = """sums AS (SELECT unit, count(*) AS n, sum((pred_a - rul_true) ** 2) AS se2, sum((pred_b - rul_true) ** 2) AS se2b, sum(pred_a - rul_true) AS se, sum((rul_true < 10)::INT) AS nc, sum(CASE WHEN rul_true < 10 THEN (pred_a - rul_true) ** 2 ELSE 0 END) AS se2c FROM points2 GROUP BY unit)"""
+LIFE = "life AS (SELECT unit, max(cycle)::DOUBLE AS life FROM cycles GROUP BY unit)"
+CI = "round(quantile_cont({0}, 0.025), 6) AS ci_lo, round(quantile_cont({0}, 0.975), 6) AS ci_hi"
+
+
+def units(spark, d):
+    return b.cycles(spark, d).select("unit").distinct()
+
+
+def drawn(spark, d, stream="boot", where="true"):
+    return written(rs.draws(units(spark, d).where(where), R, stream), "draws")
+
+
+def sums(spark, d, which="A"):
+    return written(e.unit_sums(e.with_truth(b.points(spark, d, which), None), ["unit"], b.BUCKETS), "sums")
+
+
+def life(spark, d):
+    return b.cycles(spark, d).groupBy("unit").agg(F.max("cycle").cast("double").alias("life"))
+
+
+@query(f"WITH {DRAWS} SELECT replicate, unit, w FROM draws")
+def bootstrap_draws(spark, d):
+    return rs.draws(units(spark, d), R)
+
+
+@query(f"""WITH {DRAWS}, {LIFE}, s AS (SELECT replicate, sum(life * w) / sum(w) AS mean, sum((life > 0)::INT * w) / sum(w) AS share, sqrt((sum(life * life * w) - sum(w) * (sum(life * w) / sum(w)) ** 2) / (sum(w) - 1)) / (sum(life * w) / sum(w)) AS cv FROM draws JOIN life USING (unit) GROUP BY replicate),
+  m AS (SELECT replicate, quantile_cont(life, 0.5) AS median FROM (SELECT replicate, unit, unnest(range(w)) FROM draws) JOIN life USING (unit) GROUP BY replicate)
+  SELECT 'mean' AS stat, (SELECT round(avg(life), 6) FROM life) AS estimate, {CI.format('mean')} FROM s UNION ALL SELECT 'median', (SELECT quantile_cont(life, 0.5) FROM life), {CI.format('median')} FROM m
+  UNION ALL SELECT 'share', 1.0, 1.0, 1.0 UNION ALL SELECT 'cv', (SELECT round(stddev_samp(life) / avg(life), 6) FROM life), {CI.format('cv')} FROM s""")
+def bootstrap_ci(spark, d):
+    out = rs.bootstrap_ci(life(spark, d), "life", R, ["mean", "median", "share", "cv"])
+    return out.select("stat", r6("estimate").alias("estimate"), r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"))
+
+
+@query(f"""WITH {DRAWS}, {SUMS} SELECT replicate, round(sqrt(sum(w * se2) / sum(w * n)), 6) AS rmse, round(sum(w * se) / sum(w * n), 6) AS bias FROM draws JOIN sums USING (unit) GROUP BY replicate""")
+def replicate_cross_join(spark, d):
+    m = e.metrics(F.col("w"), b.BUCKETS)
+    return rs.replicate_metrics(sums(spark, d), drawn(spark, d), {k: r6(m[k]) for k in ("rmse", "bias")})
+
+
+@query(f"""WITH {DRAWS}, {SUMS} SELECT replicate, round(sqrt(sum(w * se2c) / nullif(sum(w * nc), 0)), 6) AS rmse_critical FROM draws JOIN sums USING (unit) GROUP BY replicate""")
+def metrics_from_weights(spark, d):
+    m = e.metrics(F.col("w"), b.BUCKETS)
+    return rs.replicate_metrics(sums(spark, d), drawn(spark, d), {"rmse_critical": r6(m["rmse_critical"])})
+
+
+@query(f"""WITH {DRAWS}, {SUMS}, r AS (SELECT replicate, sqrt(sum(w * se2) / sum(w * n)) AS rmse, sum(w * se) / sum(w * n) AS bias, sqrt(sum(w * se2c) / nullif(sum(w * nc), 0)) AS c FROM draws JOIN sums USING (unit) GROUP BY replicate)
+  SELECT 'rmse' AS metric, {CI.format('rmse')}, 1.0::DOUBLE AS defined FROM r UNION ALL SELECT 'bias', {CI.format('bias')}, 1.0 FROM r UNION ALL SELECT 'rmse_critical', {CI.format('c')}, avg((c IS NOT NULL)::INT) FROM r""")
+def bootstrap_metric_ci(spark, d):
+    m, names = e.metrics(F.col("w"), b.BUCKETS), ["rmse", "bias", "rmse_critical"]
+    reps = e.long_metrics(rs.replicate_metrics(sums(spark, d), drawn(spark, d), {k: m[k] for k in names}), ["replicate"], names)
+    return rs.interval(reps, ["metric"], "estimate").select("metric", r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"), "defined")
+
+
+@query(f"""WITH {DRAWS}, {SUMS}, r AS (SELECT sqrt(sum(w * se2) / sum(w * n)) - sqrt(sum(w * se2b) / sum(w * n)) AS diff FROM draws JOIN sums USING (unit) GROUP BY replicate)
+  SELECT (SELECT round(sqrt(sum(se2) / sum(n)) - sqrt(sum(se2b) / sum(n)), 6) FROM sums) AS diff, {CI.format('diff')}, (SELECT round(quantile_cont(sqrt(se2 / n) - sqrt(se2b / n), 0.5), 6) FROM sums) AS median_diff,
+  (SELECT round(avg((se2 < se2b)::INT), 6) FROM sums) AS share_better FROM r""")
+def paired_compare(spark, d):
+    a, q = sums(spark, d, "A"), sums(spark, d, "B")
+    both = a.select("unit", "n", "se2").join(q.select("unit", F.col("se2").alias("se2b")), "unit")
+    diff = lambda w: F.sqrt(F.sum(w * F.col("se2")) / F.sum(w * F.col("n"))) - F.sqrt(F.sum(w * F.col("se2b")) / F.sum(w * F.col("n")))
+    reps = both.join(drawn(spark, d), "unit").groupBy("replicate").agg(diff(F.col("w")).alias("v"))
+    ci = rs.interval(reps, [], "v").select(r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"))
+    own = F.sqrt(F.col("se2") / F.col("n")) - F.sqrt(F.col("se2b") / F.col("n"))
+    return both.agg(r6(diff(F.lit(1))).alias("diff"), r6(F.percentile(own, F.lit(0.5))).alias("median_diff"), r6(F.avg((F.col("se2") < F.col("se2b")).cast("double"))).alias("share_better")).join(ci, F.lit(True))  # single rows
+
+
+SPLITS = "d AS (SELECT repeat, fold, sqrt(avg((pred_a - rul_true) ** 2)) - sqrt(avg((pred_b - rul_true) ** 2)) AS d FROM points2 GROUP BY ALL)"
+
+
+@query(f"""WITH {SPLITS}, r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r FROM d WHERE d <> 0), w AS (SELECT count(*) AS n, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS w FROM r)
+  SELECT n, w, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24), 6) AS z FROM w""")
+def wilcoxon_signed_rank(spark, d):
+    v = lambda w: e.with_truth(b.points(spark, d, w), None).groupBy("repeat", "fold").agg(F.sqrt(F.avg(F.pow(e.E, 2))).alias(w))
+    diffs = v("A").join(v("B"), ["repeat", "fold"]).select(F.lit(1).alias("all"), (F.col("A") - F.col("B")).alias("d"))
+    return rs.signed_rank(diffs, "d", ["all"]).select("n", "w", r6("z").alias("z"))
+
+
+@query("""WITH v AS (SELECT s2 AS x, sum((unit % 2 = 0)::INT) AS a, sum((unit % 2 = 1)::INT) AS b FROM cycles GROUP BY s2), c AS (SELECT sum(a) OVER (ORDER BY x) / sum(a) OVER () AS fa, sum(b) OVER (ORDER BY x) / sum(b) OVER () AS fb FROM v)
+  SELECT round(max(abs(fa - fb)), 9) AS ks FROM c""")
+def ks_two_sample(spark, d):
+    return rs.ks(b.cycles(spark, d).withColumn("side", (F.col("unit") % 2).cast("int")), "s2", "side").select(F.round("ks", 9).alias("ks"))
+
+
+def _side(name: str, parity: int) -> str:
+    return f"""{name}u AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS place FROM (SELECT DISTINCT unit FROM cycles WHERE unit % 2 = {parity})), {name} AS (SELECT replicate, x.unit, count(*) AS w FROM (SELECT replicate,
+      floor({u(f'side{parity}', 'replicate', 'place')} * (SELECT count(*) FROM {name}u))::INT AS spot FROM {name}u, (SELECT unnest(range(1, {R + 1})) AS replicate)) d JOIN {name}u x ON x.place = d.spot GROUP BY ALL)"""
+
+
+SIDES = f"{_side('ev', 0)}, {_side('od', 1)}"
+
+
+def two_sides(spark, d):
+    return drawn(spark, d, "side0", "unit % 2 = 0").unionByName(drawn(spark, d, "side1", "unit % 2 = 1"))
+
+
+@query(f"""WITH {SIDES}, w AS (SELECT * FROM ev UNION ALL SELECT * FROM od), v AS (SELECT replicate, s4 AS x, sum(CASE WHEN unit % 2 = 0 THEN w ELSE 0 END) AS a, sum(CASE WHEN unit % 2 = 1 THEN w ELSE 0 END) AS b FROM cycles JOIN w USING (unit) GROUP BY ALL),
+  c AS (SELECT replicate, sum(a) OVER p / sum(a) OVER (PARTITION BY replicate) AS fa, sum(b) OVER p / sum(b) OVER (PARTITION BY replicate) AS fb FROM v WINDOW p AS (PARTITION BY replicate ORDER BY x)), k AS (SELECT replicate, max(abs(fa - fb)) AS ks FROM c GROUP BY replicate)
+  SELECT {CI.format('ks')} FROM k""")
+def ks_bootstrap_ci(spark, d):
+    # Values are counted per unit first, so a replicate reads a unit's counts, not its rows.
+    per = b.cycles(spark, d).groupBy("unit", "s4").agg(F.count("*").alias("m")).withColumn("side", (F.col("unit") % 2).cast("int"))
+    k = rs.ks(per.join(two_sides(spark, d), "unit"), "s4", "side", F.col("m") * F.col("w"), ["replicate"])
+    return rs.interval(k, [], "ks").select(r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"))
+
+
+@query(f"""WITH {SIDES}, {LIFE}, a AS (SELECT replicate, quantile_cont(life, 0.5) AS m FROM (SELECT replicate, unit, unnest(range(w)) FROM ev) JOIN life USING (unit) GROUP BY replicate), b AS (SELECT replicate, quantile_cont(life, 0.5) AS m FROM (SELECT replicate, unit, unnest(range(w)) FROM od) JOIN life USING (unit) GROUP BY replicate),
+  j AS (SELECT a.m - b.m AS d FROM a JOIN b USING (replicate)) SELECT {CI.format('d')} FROM j""")
+def boot_diff_median(spark, d):
+    rows = two_sides(spark, d).join(life(spark, d), "unit")
+    med = lambda p: F.percentile(F.col("life"), F.lit(0.5), F.when(F.col("unit") % 2 == p, F.col("w")).otherwise(0))
+    g = rows.groupBy("replicate").agg((med(0) - med(1)).alias("v"))
+    return rs.interval(g, [], "v").select(r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"))
+
+
+@query("SELECT op1 AS metric, count(DISTINCT subpop) AS caps, count(DISTINCT subpop) > 1 AND op1 < 20 AS refused FROM cycles JOIN labels_ USING (unit) GROUP BY op1")
+def cap_guard(spark, d):
+    c = b.cycles(spark, d)
+    g = c.join(b.labels(c), "unit").groupBy(F.col("op1").alias("metric")).agg(F.countDistinct("subpop").alias("caps"))
+    return g.withColumn("refused", (F.col("caps") > 1) & (F.col("metric") < 20))
+
+
+@query("SELECT dataset, count(*) AS n FROM points GROUP BY dataset")
+def dataset_guard(spark, d):
+    p, q = b.points(spark, d, "A"), b.points(spark, d, "B").select("dataset", "unit", "cycle", "repeat")
+    return p.join(q, ["dataset", "unit", "cycle", "repeat"]).groupBy("dataset").agg(F.count("*").alias("n"))
+
+
+def _leads(pred: str) -> str:
+    return f"(SELECT unit, repeat, threshold, arg_min(CASE WHEN {pred} <= threshold THEN rul_true END, cycle) FILTER ({pred} <= threshold) AS lead FROM points2, (SELECT unnest({T}::DOUBLE[]) AS threshold) GROUP BY ALL)"
+
+
+def _sums(pred: str) -> str:
+    return f"""(SELECT unit, threshold, count(*) AS n, sum((coalesce(lead <= 0, true))::INT) AS failed, sum((coalesce(lead > 0, false))::INT) AS removed, sum(CASE WHEN lead > 0 THEN lead ELSE 0 END) AS wasted, sum(coalesce(lead >= 5, false)::INT) AS caught FROM {_leads(pred)} GROUP BY ALL)"""
+
+
+def leads(spark, d, which="A"):
+    return rs.triggers(b.points(spark, d, which), T, ["unit", "repeat"])
+
+
+def dsums(spark, d, which="A"):
+    return written(rs.decision_sums(leads(spark, d, which), 5), "decision")
+
+
+@query(f"SELECT unit, repeat, threshold, lead FROM {_leads('pred_a')}")
+def removal_lead_times(spark, d):
+    return leads(spark, d)
+
+
+@query(f"SELECT threshold, count(*) AS n, count(lead) AS triggered, round(avg(lead), 6) AS lead FROM {_leads('pred_b')} GROUP BY threshold")
+def trigger_theta_join(spark, d):
+    return leads(spark, d, "B").groupBy("threshold").agg(F.count("*").alias("n"), F.count("lead").alias("triggered"), r6(F.avg("lead")).alias("lead"))
+
+
+@query(f"SELECT unit, threshold, n::DOUBLE AS n, failed::DOUBLE AS failed, removed::DOUBLE AS removed, wasted::DOUBLE AS wasted, caught::DOUBLE AS caught FROM {_sums('pred_a')}")
+def decision_engine_sums(spark, d):
+    return rs.decision_sums(leads(spark, d), 5)
+
+
+CURVE = f"""cur AS (SELECT replicate, threshold, 100 * sum(w * caught) / sum(w * n) AS caught, 100 * sum(w * failed) / sum(w * n) AS failed, sum(w * wasted) / nullif(sum(w * removed), 0) AS wasted FROM draws JOIN {_sums('pred_a')} USING (unit) GROUP BY ALL)"""
+
+
+@query(f"""WITH {DRAWS}, {CURVE}, l AS (UNPIVOT cur ON caught, failed, wasted INTO NAME quantity VALUE v) SELECT threshold, quantity, {CI.format('v')} FROM l GROUP BY ALL""")
+def decision_curve(spark, d):
+    reps = rs.replicate_metrics(dsums(spark, d), drawn(spark, d), rs.decision_metrics(F.col("w")), ["threshold"])
+    long = e.long_metrics(reps, ["replicate", "threshold"], ["caught", "failed", "wasted"])
+    return rs.interval(long, ["threshold", "metric"], "estimate").select("threshold", F.col("metric").alias("quantity"), r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"))
+
+
+@query(f"SELECT round(100 * sum(caught) / sum(n), 6) AS caught, round(100 * sum(failed) / sum(n), 6) AS failed, round(sum(wasted) / nullif(sum(removed), 0), 6) AS wasted FROM {_sums('pred_a')} WHERE threshold = 20")
+def decision_at_threshold(spark, d):
+    return dsums(spark, d).where("threshold = 20").agg(*[r6(c).alias(k) for k, c in rs.decision_metrics(F.lit(1.0)).items()])
+
+
+@query(f"""SELECT threshold, 'A' AS model, round(100 * sum(caught) / sum(n), 6) AS caught, round(sum(wasted) / nullif(sum(removed), 0), 6) AS wasted FROM {_sums('pred_a')} GROUP BY threshold
+  UNION ALL SELECT threshold, 'B', round(100 * sum(caught) / sum(n), 6), round(sum(wasted) / nullif(sum(removed), 0), 6) FROM {_sums('pred_b')} GROUP BY threshold""")
+def tradeoff_curve(spark, d):
+    m = rs.decision_metrics(F.lit(1.0))
+    one = lambda w: dsums(spark, d, w).groupBy("threshold").agg(r6(m["caught"]).alias("caught"), r6(m["wasted"]).alias("wasted")).withColumn("model", F.lit(w))
+    return one("A").unionByName(one("B"))
+
+
+RUN = """run AS (SELECT replicate, threshold, caught, r AS run, lead(r) OVER o AS nr, lead(caught) OVER o AS nc FROM (SELECT *, max(wasted) OVER (PARTITION BY replicate ORDER BY threshold) AS r FROM cur WHERE wasted IS NOT NULL) WINDOW o AS (PARTITION BY replicate ORDER BY threshold)),
+  hit AS (SELECT replicate, budget, arg_max(struct_pack(c := caught, r := run, nc := nc, nr := nr), threshold) AS p FROM run, (SELECT unnest([8.0, 15.0, 20.0]::DOUBLE[]) AS budget) WHERE run <= budget GROUP BY ALL),
+  found AS (SELECT g.replicate, g.budget, CASE WHEN p.r = g.budget THEN p.c ELSE p.c + (p.nc - p.c) * (g.budget - p.r) / nullif(p.nr - p.r, 0) END AS caught FROM (SELECT DISTINCT replicate, budget FROM run, (SELECT unnest([8.0, 15.0, 20.0]::DOUBLE[]) AS budget)) g LEFT JOIN hit USING (replicate, budget))"""
+BUDGETS = [8.0, 15.0, 20.0]
+ONE = CURVE.replace("draws JOIN", "(SELECT unit, 1 AS replicate, 1 AS w FROM cycles GROUP BY unit) JOIN")
+
+
+def curve(spark, d, which="A"):
+    return rs.replicate_metrics(dsums(spark, d, which), drawn(spark, d), rs.decision_metrics(F.col("w")), ["threshold"])
+
+
+@query(f"WITH {ONE}, {RUN} SELECT budget, round(caught, 6) AS caught FROM found")
+def caught_at_budget(spark, d):
+    one = dsums(spark, d).groupBy(F.lit(1).alias("all"), "threshold").agg(*[c.alias(k) for k, c in rs.decision_metrics(F.lit(1.0)).items()])
+    return rs.caught_at_budget(one, BUDGETS, ["all"]).select("budget", r6("caught").alias("caught"))
+
+
+@query(f"WITH {DRAWS}, {CURVE}, {RUN} SELECT budget, {CI.format('caught')}, round(avg((caught IS NOT NULL)::INT), 6) AS defined FROM found GROUP BY budget")
+def matched_budget(spark, d):
+    at = rs.caught_at_budget(curve(spark, d), BUDGETS, ["replicate"])
+    return rs.interval(at, ["budget"], "caught").select("budget", r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"), r6("defined").alias("defined"))
+
+
+@query(f"""WITH {DRAWS}, {CURVE}, {RUN}, {CURVE.replace('cur AS', 'cur2 AS').replace('pred_a', 'pred_b')}, {RUN.replace('run AS (', 'run2 AS (').replace('FROM run', 'FROM run2').replace('FROM cur ', 'FROM cur2 ').replace('hit AS', 'hit2 AS').replace('JOIN hit ', 'JOIN hit2 ').replace('found AS', 'found2 AS')}
+  SELECT budget, {CI.format('v')} FROM (SELECT budget, a.caught - b.caught AS v FROM found a JOIN found2 b USING (replicate, budget)) GROUP BY budget""")
+def matched_budget_compare(spark, d):
+    at = lambda w: rs.caught_at_budget(curve(spark, d, w), BUDGETS, ["replicate"]).withColumnRenamed("caught", w)
+    j = at("A").join(at("B"), ["replicate", "budget"]).withColumn("v", F.col("A") - F.col("B"))
+    return rs.interval(j, ["budget"], "v").select("budget", r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"))
+
+
+TARGET = "target AS (SELECT floor(rul_true / 10) * 10 AS bin, count(*) / sum(count(*)) OVER () AS share FROM ruled WHERE unit % 4 = 1 GROUP BY 1)"
+WANT = f"""{TARGET}, x AS (SELECT bin, share * 500 AS exact, floor(share * 500) AS low FROM target), want AS (SELECT bin, (low + (row_number() OVER (ORDER BY exact - low DESC, bin) <= 500 - sum(low) OVER ())::INT)::BIGINT AS want FROM x)"""
+
+
+def target(spark, d):
+    return written(e.label_histogram(b.with_rul(b.cycles(spark, d)).where("unit % 4 = 1"), 10), "target")
+
+
+@query(f"WITH {WANT} SELECT bin, want FROM want")
+def largest_remainder_alloc(spark, d):
+    return rs.largest_remainder(target(spark, d), 500).select(F.col("bin").cast("double").alias("bin"), "want")
+
+
+@query(f"""WITH {WANT}, r AS (SELECT unit, cycle, floor(rul_true / 10) * 10 AS bin, row_number() OVER (PARTITION BY floor(rul_true / 10) * 10 ORDER BY {u('bench', 'unit', 'cycle')}, unit, cycle) AS p FROM ruled)
+  SELECT unit, cycle, bin FROM r JOIN want USING (bin) WHERE p <= want""")
+def benchmark_view(spark, d):
+    chosen, _ = rs.benchmark_view(b.with_rul(b.cycles(spark, d)), target(spark, d), 500, 10)
+    return chosen.select("unit", "cycle", F.col("bin").cast("double").alias("bin"))
+
+
+AUC = "SELECT {k} round((sum(CASE WHEN y = 1 THEN r ELSE 0 END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 9) AS auc FROM (SELECT *, rank() OVER ({p} ORDER BY s) + (count(*) OVER (PARTITION BY {q} s) - 1) / 2 AS r FROM {t}) {g}"
+
+
+@query("WITH t AS (SELECT unit, (unit % 3 = 0)::INT AS y, round(avg(s8), 1) AS s FROM cycles GROUP BY unit) " + AUC.format(k="", p="", q="", t="t", g=""))
+def roc_auc(spark, d):
+    t = b.cycles(spark, d).groupBy("unit").agg(F.round(F.avg("s8"), 1).alias("s")).withColumn("y", (F.col("unit") % 3 == 0).cast("int"))
+    return rs.roc_auc(t, "s", "y").select(F.round("auc", 9).alias("auc"))
+
+
+@query("""WITH t AS (SELECT op1 AS a, (s4 < 50)::INT AS b FROM cycles), n AS (SELECT a, b, count(*)::DOUBLE AS n FROM t GROUP BY ALL), s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM n) AS ij, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM n GROUP BY a)) AS i,
+  (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM n GROUP BY b)) AS j, (SELECT sum(n) FROM n) AS t) SELECT round((ij - i * j / (t * (t - 1) / 2)) / ((i + j) / 2 - i * j / (t * (t - 1) / 2)), 9) AS ari FROM s""")
+def adjusted_rand_index(spark, d):
+    c = b.cycles(spark, d).select(F.col("op1").alias("a"), (F.col("s4") < 50).cast("int").alias("b"))
+    return rs.rand_index(c, "a", "b").select(F.round("ari", 9).alias("ari"))
+
+
+# Selection rules: comparisons of regimes' challengers with the incumbent A, from the points.
+CMP = """cmp AS (SELECT op1 AS step, 'c' || fold AS challenger, 'A' AS incumbent, 'rmse' AS metric, avg(abs(pred_b - rul_true)) AS estimate, avg(pred_b - pred_a) - 1.5 AS diff_ci_lo, avg(pred_b - pred_a) + 0.7 AS diff_ci_hi FROM points2 JOIN (SELECT unit, cycle, op1 FROM cycles) USING (unit, cycle) GROUP BY ALL
+  UNION ALL SELECT op1, 'c' || fold, 'A', 'caught_' || repeat, 0, avg(pred_a - pred_b) - 0.4, avg(pred_a - pred_b) + 0.9 FROM points2 JOIN (SELECT unit, cycle, op1 FROM cycles) USING (unit, cycle) GROUP BY op1, fold, repeat)"""
+
+
+def comparisons(spark, d):
+    ops = b.cycles(spark, d).select("unit", "cycle", F.col("op1").alias("step"))
+    q = b.points(spark, d, "B").select("unit", "cycle", "repeat", F.col("pred").alias("pb"))
+    p = b.points(spark, d, "A").join(q, ["unit", "cycle", "repeat"]).join(ops, ["unit", "cycle"]).withColumns({"challenger": F.concat(F.lit("c"), F.col("fold").cast("string")), "incumbent": F.lit("A")})
+    gap = F.avg(F.col("pb") - F.col("pred"))
+    one = p.groupBy("step", "challenger", "incumbent").agg(F.lit("rmse").alias("metric"), F.avg(F.abs(F.col("pb") - F.col("rul_true"))).alias("estimate"), (gap - 1.5).alias("diff_ci_lo"), (gap + 0.7).alias("diff_ci_hi"))
+    two = p.groupBy("step", "challenger", "incumbent", F.concat(F.lit("caught_"), F.col("repeat").cast("string")).alias("metric")).agg(F.lit(0.0).alias("estimate"), (-gap - 0.4).alias("diff_ci_lo"), (-gap + 0.9).alias("diff_ci_hi"))
+    return one.unionByName(two)
+
+
+@query(f"WITH {CMP} SELECT step, challenger, metric, CASE WHEN diff_ci_hi < 0 THEN 'better' WHEN diff_ci_lo > 0 THEN 'worse' ELSE 'not different' END AS verdict FROM cmp")
+def verdict(spark, d):
+    return comparisons(spark, d).select("step", "challenger", "metric", sel.verdict().alias("verdict"))
+
+
+@query(f"WITH {CMP} SELECT step, coalesce(arg_min(challenger, estimate) FILTER (diff_ci_hi < 0), 'A') AS winner FROM cmp WHERE metric = 'rmse' GROUP BY step")
+def pick_winner(spark, d):
+    return sel.pick_winner(comparisons(spark, d).where("metric = 'rmse'"), ["step"])
+
+
+@query(f"WITH {CMP} SELECT step, challenger, NOT bool_or(CASE WHEN metric LIKE 'caught%' THEN diff_ci_hi < 0 ELSE diff_ci_lo > 0 END) AS passes FROM cmp GROUP BY ALL")
+def cap_criteria(spark, d):
+    return sel.none_worse(comparisons(spark, d), ["step", "challenger"], ["rmse"])
+
+
+@query(f"""WITH {CMP}, ok AS (SELECT challenger, estimate FROM cmp WHERE metric = 'rmse' AND diff_ci_hi < 0.4 AND step = 10), one AS (SELECT arg_min(challenger, estimate) AS challenger FROM ok WHERE challenger IN ('c1', 'c2'))
+  SELECT coalesce(string_agg(challenger, '+' ORDER BY challenger), '') AS adopted FROM (SELECT challenger FROM ok WHERE challenger NOT IN ('c1', 'c2') UNION ALL SELECT challenger FROM one WHERE challenger IS NOT NULL)""")
+def block_screen(spark, d):
+    rows = comparisons(spark, d).where("metric = 'rmse' and step = 10").withColumn("diff_ci_hi", F.col("diff_ci_hi") - 0.4)
+    return sel.block_screen(rows, ["c1", "c2"])
+
+
+@query(f"WITH {CMP} SELECT step, challenger, bool_or(diff_ci_lo > 0) AND NOT bool_or(diff_ci_hi < 0) AS better FROM cmp WHERE metric LIKE 'caught%' GROUP BY ALL")
+def decision_better(spark, d):
+    return sel.decision_better(comparisons(spark, d), ["step", "challenger"])
+
+
+@query(f"WITH {CMP} SELECT step, challenger FROM cmp WHERE metric = 'rmse' AND NOT (diff_ci_lo > 0 OR diff_ci_hi < 0)")
+def loo_dropped(spark, d):
+    return comparisons(spark, d).where("metric = 'rmse'").where(sel.verdict() == "not different").select("step", "challenger")
+
+
+@query(f"""WITH {CMP}, r AS (SELECT step, challenger, max(CASE WHEN metric = 'rmse' THEN CASE WHEN diff_ci_hi < 0 THEN 'better' WHEN diff_ci_lo > 0 THEN 'worse' ELSE 'not different' END END) AS r,
+  max(CASE WHEN metric = 'caught_1' THEN CASE WHEN diff_ci_hi < 0 THEN 'worse' WHEN diff_ci_lo > 0 THEN 'better' ELSE 'not different' END END) AS k FROM cmp GROUP BY ALL)
+  SELECT step, challenger, CASE WHEN r IS NULL OR k IS NULL THEN 'pending' WHEN r = 'better' AND k <> 'worse' THEN 'winner' ELSE 'locked' END AS outcome FROM r""")
+def final_outcome(spark, d):
+    flip = F.when(F.col("diff_ci_hi") < 0, "worse").when(F.col("diff_ci_lo") > 0, "better").otherwise("not different")
+    g = comparisons(spark, d).groupBy("step", "challenger").agg(F.max(F.when(F.col("metric") == "rmse", sel.verdict())).alias("r"), F.max(F.when(F.col("metric") == "caught_1", flip)).alias("k"))
+    return g.select("step", "challenger", sel.final_outcome(F.col("r"), F.col("k")).alias("outcome"))
+
+
+@query("""SELECT op1 AS "group", avg((s2 > 40)::INT) >= 0.55 AND avg((s2 > 40)::INT) - 0.03 >= 0.53 AND avg((s4 > 50)::INT) - 0.05 <= 0.5 AND avg((s4 > 50)::INT) + 0.05 >= 0.5 AS opens FROM cycles GROUP BY op1""")
+def identifiability_gate(spark, d):
+    a, c = F.avg((F.col("s2") > 40).cast("double")), F.avg((F.col("s4") > 50).cast("double"))
+    g = b.cycles(spark, d).groupBy(F.col("op1").alias("group")).agg(a.alias("auc"), (a - 0.03).alias("ci_lo"), (c - 0.05).alias("control_lo"), (c + 0.05).alias("control_hi"))
+    return sel.identifiability_gate(g, 0.55, 0.53)
+
+
+def shuffled_labels(df):
+    """Labels dealt anew among units by hashed order."""
+    from pyspark.sql import Window
+
+    everyone = Window.partitionBy(F.lit(0))  # a row for each unit
+    a = df.withColumn("i", F.row_number().over(everyone.orderBy("unit"))).drop("subpop")
+    return a.join(df.select("subpop", F.row_number().over(everyone.orderBy(uniform("shuffle", F.col("unit")), "unit")).alias("i")), "i").drop("i")
+
+
+@query(f"""WITH a AS (SELECT unit, row_number() OVER (ORDER BY unit) AS i FROM labels_), s AS (SELECT subpop, row_number() OVER (ORDER BY {u('shuffle', 'unit')}, unit) AS i FROM labels_),
+  t AS (SELECT c.unit, subpop AS y, round(avg(s8), 1) AS s FROM cycles c JOIN a USING (unit) JOIN s USING (i) GROUP BY ALL) """ + AUC.format(k="", p="", q="", t="t", g=""))
+def label_shuffle_control(spark, d):
+    c = b.cycles(spark, d)
+    t = c.groupBy("unit").agg(F.round(F.avg("s8"), 1).alias("s")).join(shuffled_labels(b.labels(c)), "unit")
+    return rs.roc_auc(t, "s", "subpop").select(F.round("auc", 9).alias("auc"))
