@@ -13,14 +13,14 @@ ORACLES: dict[str, str] = {}
 #: Views that oracles start from; each may use those above it.
 VIEWS = {
     "cycles": """SELECT dataset, unit, cycle, op1, op1 / 50 AS op2, CASE WHEN op1 = 25 THEN 60.0 ELSE 100.0 END::DOUBLE AS op3, value AS s2, ln(1 + value) AS s3, s4,
-      value + 0.5 * cycle AS s7, s4 - 0.3 * cycle * (CASE WHEN unit % 2 = 1 THEN 1 ELSE -1 END) AS s8, value % 7 AS s9
+      value + 0.5 * cycle AS s7, s4 - 0.3::DOUBLE * cycle * (CASE WHEN unit % 2 = 1 THEN 1 ELSE -1 END) AS s8, value % 7 AS s9
       FROM (SELECT 'events' AS dataset, user_id AS unit, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cycle, value, (props->>'$.k')::DOUBLE AS s4,
             (CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 10 WHEN 'purchase' THEN 20 WHEN 'signup' THEN 25 ELSE 35 END)::DOUBLE AS op1 FROM events)""",
     "long_cycles": """SELECT *, s2 + 0.05 * cycle AS s7 FROM (SELECT 'lineitem' AS dataset, l_suppkey::BIGINT AS unit, row_number() OVER (PARTITION BY l_suppkey ORDER BY
       l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_discount, l_tax) AS cycle, l_quantity::DOUBLE AS s2 FROM lineitem)""",
     "ruled": "SELECT *, (max(cycle) OVER (PARTITION BY unit) - cycle)::DOUBLE AS rul_true FROM cycles",
     "points2": """SELECT dataset, unit, cycle, repeat, floor(('0x' || substr(md5('42|fold|' || repeat || '|' || unit), 1, 8))::BIGINT / 4294967296.0 * 5)::INT AS fold, 42 AS seed, rul_true,
-      least(greatest(66 - cycle + (s2 - 50) / 10, 0), 125) AS pred_a, least(greatest(70 - 1.05 * cycle, 0), 125)::DOUBLE AS pred_b, (unit % 3 = 0)::INT AS subpop
+      least(greatest(66 - cycle + (s2 - 50) / 10, 0), 125) AS pred_a, least(greatest(70 - 1.05::DOUBLE * cycle, 0), 125)::DOUBLE AS pred_b, (unit % 3 = 0)::INT AS subpop
       FROM ruled, (SELECT unnest([1, 2])::INT AS repeat)""",
     "points": "SELECT * EXCLUDE (pred_a, pred_b), pred_a AS pred FROM points2",
     "broken": """SELECT * REPLACE (CASE WHEN (unit * 131 + cycle) % 389 = 0 THEN NULL ELSE s2 END AS s2) FROM cycles WHERE (unit * 131 + cycle) % 401 <> 0
