@@ -156,10 +156,10 @@ def roc_auc(df: DataFrame, score: str, label: str, keys: list[str] | None = None
     """(keys, auc) by ranks over distinct scores, so that weighted units and ties count as they should; null if one class lacks."""
     keys = keys or []
     w = F.col(weight) if weight else F.lit(1)
-    g = df.groupBy(*keys, score).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 0, w).otherwise(0)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    g = g.withColumn("wins", F.col("p") * (below + F.col("q") / 2))
-    return g.groupBy(*keys).agg((F.sum("wins") / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))).alias("auc"))
+    g = df.groupBy(*keys, score).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0)).alias("__p"), F.sum(F.when(F.col(label) == 0, w).otherwise(0)).alias("__q"))
+    below = F.coalesce(F.sum("__q").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    g = g.withColumn("__wins", F.col("__p") * (below + F.col("__q") / 2))
+    return g.groupBy(*keys).agg((F.sum("__wins") / F.nullif(F.sum("__p") * F.sum("__q"), F.lit(0))).alias("auc"))
 
 
 def rand_index(df: DataFrame, a: str, b: str) -> DataFrame:

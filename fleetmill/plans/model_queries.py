@@ -1 +1,318 @@
-"""Registered queries."""
+"""Models, scoring and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from fleetmill.functions.columns import bucket, clip, r6, unpivot
+from fleetmill.functions.rng import uniform
+from fleetmill.operators import features as f
+from fleetmill.operators import labels, models
+from fleetmill.operators import resampling as rs
+from fleetmill.operators import signal as s
+from fleetmill.plans.flagship import fleet_status as _fleet_status
+from fleetmill.sources import bindings as b
+from fleetmill.sources.shared import new_folder, written
+from fleetmill.streaming import scoring
+
+from .registry import query, u
+
+X = ["s2", "s4", "s7"]
+START = [[1.0, 0.0, 100.0], [9.0, 0.2, 100.0], [19.0, 0.4, 100.0], [26.0, 0.5, 61.0], [34.0, 0.7, 100.0]]
+
+
+def rows(spark, d):
+    """Cycles with their life left and the unit's hashed fold."""
+    c = labels.capped_rul(b.with_rul(b.cycles(spark, d)), [b.CAP])
+    return c.withColumn("fold", F.floor(uniform("oof", F.col("unit")) * 3).cast("int"))
+
+
+@query("""WITH z AS (SELECT *, (s2 - avg(s2) FILTER (unit % 5 <> 0) OVER w) / (stddev_samp(s2) FILTER (unit % 5 <> 0) OVER w) AS z2, (s7 - avg(s7) FILTER (unit % 5 <> 0) OVER w) / (stddev_samp(s7) FILTER (unit % 5 <> 0) OVER w) AS z7 FROM cycles WINDOW w AS (PARTITION BY op1)),
+  m AS (SELECT unit, cycle, avg(z2) OVER r AS m2, avg(z7) OVER r AS m7, coalesce(regr_slope(z7, cycle) OVER r, 0) AS b7, max(cycle) OVER (PARTITION BY unit) AS l FROM z WINDOW r AS (PARTITION BY unit ORDER BY cycle ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+  p AS (SELECT *, least(greatest(66 - cycle + 5 * m2 - 20 * b7, 0), 40) AS p FROM m WHERE cycle = l)
+  SELECT CASE WHEN p < 10 THEN 'critical' WHEN p < 20 THEN 'urgent' WHEN p < 40 THEN 'monitor' ELSE 'healthy' END AS bucket, count(*) AS n, round(avg(m7), 6) AS level FROM p GROUP BY 1""")
+def fleet_status(spark, d):
+    return _fleet_status(spark, d)
+
+
+@query("SELECT CASE op1 WHEN 0 THEN 0 WHEN 10 THEN 1 WHEN 20 THEN 2 WHEN 25 THEN 3 ELSE 4 END AS cluster, count(*) AS n FROM cycles GROUP BY op1")
+def kmeans_regimes(spark, d):
+    c, _ = models.kmeans(b.cycles(spark, d), b.OPS, 5, tuple(range(1, 11)))
+    return c.groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query("SELECT row_number() OVER (ORDER BY n DESC, op1) - 1 AS label, n FROM (SELECT op1, count(*) AS n FROM cycles GROUP BY op1)")
+def cluster_relabel_by_size(spark, d):
+    c = b.cycles(spark, d).select(F.col("op1").alias("label"))
+    return models.relabel_by_size(c, "label").groupBy(F.col("label").cast("long").alias("label")).agg(F.count("*").alias("n"))
+
+
+def sign_rows(spark, d):
+    rho = s.spearman(s.with_ttf(unpivot(b.cycles(spark, d), ["unit", "cycle"], ["s2", "s4", "s8"])))
+    return s.signs(rho.where("rho is null or rho <> 0")).groupBy("unit").pivot("sensor", ["s2", "s4", "s8"]).agg(F.first("sign")).na.fill(0.0)
+
+
+@query()
+def subpopulation_labels(spark, d):
+    c, _ = models.kmeans(sign_rows(spark, d), ["s2", "s4", "s8"], 2)
+    return models.relabel_by_size(c.select("unit", "cluster"), "cluster")
+
+
+COV = ", ".join(f"round(covar_pop({p}, {q}), 6) AS {p}_{q}" for i, p in enumerate(X) for q in X[i:])
+
+
+@query(f"SELECT {COV} FROM cycles")
+def health_index_covariance(spark, d):
+    return b.cycles(spark, d).agg(*[r6(F.covar_pop(p, q)).alias(f"{p}_{q}") for i, p in enumerate(X) for q in X[i:]])
+
+
+@query()
+def health_index_fit(spark, d):
+    z = f.zscore_masked(b.cycles(spark, d).withColumnRenamed("op1", "regime"), X)
+    names = [f"{c}_n" for c in X]
+    v, share = models.first_component(models.moments(z, names).first().asDict(), names)
+    hi = b.with_rul(z).withColumn("hi", models.linear(names, v, 0.0))
+    # Oriented to rise towards failure.
+    turn = F.when(F.corr("hi", "rul_true") > 0, -1.0).otherwise(1.0)
+    one = hi.agg(turn.alias("turn"))
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("sensor"), (F.lit(float(x)) * F.col("turn")).alias("loading"), F.lit(share).alias("explained")) for n, x in zip(names, v, strict=True)])).alias("x")).select("x.*")
+
+
+@query()
+def pca_loading_ci(spark, d):
+    c = b.cycles(spark, d)
+    drawn = written(rs.draws(c.select("unit").distinct(), 40))
+    reps = written(models.component_draws(models.moments(c, X, ["unit"]), drawn, X))
+    return rs.interval(reps, ["sensor"], "loading")
+
+
+def _hig(x: str) -> str:
+    return f"""(SELECT unit, covar_pop(a, t) / nullif(stddev_pop(a) * stddev_pop(t), 0) AS rho FROM (SELECT unit, rank() OVER (PARTITION BY unit ORDER BY {x}) + (count(*) OVER (PARTITION BY unit, {x}) - 1) / 2 AS a, rank() OVER (PARTITION BY unit ORDER BY rul_true) AS t FROM h) GROUP BY unit)"""
+
+
+@query(f"""WITH h AS (SELECT unit, rul_true, round(CASE WHEN unit % 3 = 0 THEN 0.8 * s7 + 0.2 * s2 ELSE 0.3 * s7 + 0.9 * s2 END, 9)::DOUBLE AS own, round(0.5 * s7 + 0.5 * s2, 9)::DOUBLE AS pooled FROM ruled)
+  SELECT unit, round(abs(o.rho) - abs(p.rho), 6) AS gain FROM {_hig('own')} o JOIN {_hig('pooled')} p USING (unit)""")
+def hi_group_gain(spark, d):
+    own = F.when(F.col("unit") % 3 == 0, 0.8 * F.col("s7") + 0.2 * F.col("s2")).otherwise(0.3 * F.col("s7") + 0.9 * F.col("s2"))
+    h = b.with_rul(b.cycles(spark, d)).select("unit", "rul_true", F.round(own, 9).alias("own"), F.round(0.5 * F.col("s7") + 0.5 * F.col("s2"), 9).alias("pooled"))
+    a, p = s.spearman(h, "own", "rul_true", ["unit"]), s.spearman(h, "pooled", "rul_true", ["unit"]).withColumnRenamed("rho", "pooled")
+    return a.join(p, "unit").select("unit", r6(F.abs("rho") - F.abs("pooled")).alias("gain"))
+
+
+@query("SELECT unit, cycle, round((SELECT avg(least(rul_true, 40)) FROM ruled WHERE unit % 5 <> 0), 6) AS pred FROM cycles WHERE unit % 5 = 0")
+def model_mean(spark, d):
+    r = rows(spark, d)
+    one = F.broadcast(r.where("unit % 5 <> 0").agg(F.avg("rul").alias("m")))  # a single row
+    return r.where("unit % 5 = 0").join(one, F.lit(True)).select("unit", "cycle", r6(clip("m", b.CAP)).alias("pred"))
+
+
+@query("""SELECT count(*) AS n, round(sum(s2), 3) AS s_s2, round(sum(s2 * s4), 2) AS q_s2_s4, round(sum(s7 * rul), 2) AS q_s7_rul FROM (SELECT *, least(rul_true, 40) AS rul FROM ruled WHERE unit % 5 <> 0)""")
+def ridge_gram(spark, d):
+    m = models.moments(rows(spark, d).where("unit % 5 <> 0"), [*X, "rul"])
+    return m.select(F.col("n").cast("long").alias("n"), F.round("s_s2", 3).alias("s_s2"), F.round("q_s2_s4", 2).alias("q_s2_s4"), F.round("q_s7_rul", 2).alias("q_s7_rul"))
+
+
+@query()
+def model_ridge(spark, d):
+    r = rows(spark, d)
+    w, i = models.ridge(r.where("unit % 5 <> 0"), X, "rul", 1.0)
+    return r.where("unit % 5 = 0").select("unit", "cycle", "rul", clip(models.linear(X, w, i), b.CAP).alias("pred"))
+
+
+@query()
+def model_forest(spark, d):
+    r = rows(spark, d)
+    return models.forest(r.where("unit % 5 <> 0"), X, "rul").transform(models.vectors(r.where("unit % 5 = 0"), X)).select("unit", "cycle", "rul", F.col("prediction").alias("pred"))
+
+
+@query()
+def model_gbt(spark, d):
+    r = rows(spark, d)
+    fit = models.boosted(r.where("unit % 5 <> 0").withColumn("val", F.col("unit") % 5 == 1), X, "rul", 15, "val")
+    return fit.transform(models.vectors(r.where("unit % 5 = 0"), X)).select("unit", "cycle", "rul", F.col("prediction").alias("pred"), F.lit(fit.getNumTrees).alias("rounds"))
+
+
+def early(spark, d):
+    e = f.early_summary(b.cycles(spark, d), ["s2", "s8"], b.FIRST_N)
+    return e.withColumns({"y": (F.col("unit") % 2 == 1).cast("int"), "fold": F.floor(uniform("cv", F.col("unit")) * 3).cast("int")})
+
+
+EARLY = ["s2_mean", "s2_slope", "s8_slope"]
+
+
+@query()
+def model_logistic(spark, d):
+    e = early(spark, d)
+    return models.logistic_probability(e.where("unit % 5 <> 0"), e.where("unit % 5 = 0"), EARLY, "y").select("unit", "y", "p")
+
+
+@query()
+def cross_fit_probability(spark, d):
+    e = written(early(spark, d))
+    train = e.where("unit % 5 <> 0")
+    inner = models.out_of_fold(train, 3, lambda a, o: models.logistic_probability(a, o, EARLY, "y"))
+    return inner.unionByName(models.logistic_probability(train, e.where("unit % 5 = 0"), EARLY, "y")).select("unit", "fold", "p")
+
+
+@query()
+def identifiability(spark, d):
+    e = written(early(spark, d))
+    p = models.out_of_fold(e, 3, lambda a, o: models.logistic_probability(a, o, EARLY, "y"))
+    return rs.roc_auc(p, "p", "y")
+
+
+@query()
+def oof_predict(spark, d):
+    """Held-out predictions of ridge and mean for every cycle."""
+    r = written(rows(spark, d).select("unit", "cycle", "fold", "rul_true", "rul", *X))
+
+    def one(train, test):
+        w, i = models.ridge(train, X, "rul", 1.0)
+        mean = F.broadcast(train.agg(F.avg("rul").alias("m")))  # a single row
+        both = test.join(mean, F.lit(True)).withColumn("pred", F.explode(F.array(F.struct(F.lit("ridge").alias("model"), clip(models.linear(X, w, i), b.CAP).alias("p")), F.struct(F.lit("mean").alias("model"), F.col("m").alias("p")))))
+        return both.select("unit", "cycle", "fold", "rul_true", F.col("pred.model").alias("model"), F.col("pred.p").alias("pred"))
+
+    return models.out_of_fold(r, 3, one)
+
+
+@query("""SELECT model, dataset, round(sqrt(avg((p - rul) ** 2)), 6) AS rmse, round(avg(abs(p - rul)), 6) AS mae FROM (SELECT dataset, rul, x.m AS model, x.p AS p FROM (SELECT op1 AS dataset, rul, unnest([{'m': 'mean', 'p': (SELECT avg(least(rul_true, 40)) FROM ruled WHERE unit % 5 <> 0)}, {'m': 'line', 'p': least(greatest(66 - cycle, 0), 40)::DOUBLE}]) AS x
+  FROM (SELECT *, least(rul_true, 40) AS rul FROM ruled WHERE unit % 5 = 0))) GROUP BY ALL""")
+def candidate_scoreboard(spark, d):
+    r = rows(spark, d)
+    one = F.broadcast(r.where("unit % 5 <> 0").agg(F.avg("rul").alias("m")))  # a single row
+    t = r.where("unit % 5 = 0").join(one, F.lit(True)).select(F.col("op1").alias("dataset"), "rul", F.explode(F.array(F.struct(F.lit("mean").alias("model"), F.col("m").alias("p")), F.struct(F.lit("line").alias("model"), clip(F.lit(66.0) - F.col("cycle"), b.CAP).alias("p")))).alias("x"))
+    e = F.col("x.p") - F.col("rul")
+    return t.groupBy(F.col("x.model").alias("model"), "dataset").agg(r6(F.sqrt(F.avg(e * e))).alias("rmse"), r6(F.avg(F.abs(e))).alias("mae"))
+
+
+@query()
+def hyperparameter_search(spark, d):
+    """The ridge penalty of least held-out error, by folds of units; the best's error on them."""
+    r = written(rows(spark, d).select("unit", "cycle", "fold", "rul", *X))
+
+    def trial(alpha):
+        def one(train, test):
+            w, i = models.ridge(train, X, "rul", alpha)
+            return test.select("rul", clip(models.linear(X, w, i), b.CAP).alias("pred"))
+
+        return models.out_of_fold(r, 3, one).agg(F.lit(alpha).alias("alpha"), F.sqrt(F.avg(F.pow(F.col("pred") - F.col("rul"), 2))).alias("rmse"))
+
+    a, z, y = (trial(x) for x in (0.1, 10.0, 1000.0))
+    return a.unionByName(z).unionByName(y).agg(F.min_by("alpha", F.struct("rmse", "alpha")).alias("alpha"), F.min("rmse").alias("rmse"))
+
+
+@query()
+def refit_all_units(spark, d):
+    """Boosted trees on all units with the budget of rounds that validation gave."""
+    r = written(rows(spark, d).select("unit", "cycle", "rul", *X))
+    rounds = models.boosted(r.withColumn("val", F.col("unit") % 5 == 1), X, "rul", 12, "val").getNumTrees
+    fit = models.boosted(r, X, "rul", max(1, rounds))
+    return fit.transform(models.vectors(r, X)).groupBy("unit").agg(F.max_by("prediction", "cycle").alias("pred"), F.max(F.lit(rounds)).alias("rounds"))
+
+
+@query("SELECT unit, max(cycle) AS cycle, round((SELECT avg(least(rul_true, 40)) FROM ruled WHERE unit % 5 <> 0), 6) AS pred FROM cycles WHERE unit % 5 = 0 GROUP BY unit")
+def predict_last_cycle(spark, d):
+    r = rows(spark, d)
+    one = F.broadcast(r.where("unit % 5 <> 0").agg(F.avg("rul").alias("m")))  # a single row
+    return labels.last_row(r.where("unit % 5 = 0").select("dataset", "unit", "cycle")).join(one, F.lit(True)).select("unit", "cycle", r6("m").alias("pred"))
+
+
+def patterns(df):
+    """Distinct sign vectors with their counts: eight at most for three sensors."""
+    return [([r.s2, r.s4, r.s8], float(r.n)) for r in df.groupBy("s2", "s4", "s8").agg(F.count("*").alias("n")).orderBy("s2", "s4", "s8").collect()]
+
+
+@query()
+def split_gain(spark, d):
+    signs = written(sign_rows(spark, d))
+    return signs.agg(F.count("*").alias("units")).withColumn("gain", F.lit(models.split_gain(patterns(signs))))
+
+
+@query()
+def permutation_test(spark, d):
+    """Gain of the split against gains with every sensor's signs dealt anew, in 20 replicates."""
+    signs = written(sign_rows(spark, d))
+    long = unpivot(signs, ["unit"], ["s2", "s4", "s8"]).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(20))))
+    by = Window.partitionBy("replicate", "sensor")
+    a = long.select("replicate", "sensor", "unit", F.row_number().over(by.orderBy("unit")).alias("i"))
+    h = uniform("perm", F.col("replicate"), F.col("sensor"), F.col("unit"))
+    z = long.select("replicate", "sensor", "x", F.row_number().over(by.orderBy(h, "unit")).alias("i"))
+    dealt = a.join(z, ["replicate", "sensor", "i"]).groupBy("replicate", "unit").pivot("sensor", ["s2", "s4", "s8"]).agg(F.first("x"))
+    counts = dealt.groupBy("replicate", "s2", "s4", "s8").agg(F.count("*").cast("double").alias("n"))
+
+    def of(pdf):
+        return pdf.iloc[:1][["replicate"]].assign(gain=models.split_gain([(list(r), n) for r, n in zip(pdf[["s2", "s4", "s8"]].to_numpy(), pdf["n"], strict=True)]))
+
+    null = counts.groupBy("replicate").applyInPandas(of, "replicate int, gain double")  # patterns of one replicate: eight rows at most
+    seen = float(models.split_gain(patterns(signs)))
+    return null.agg(F.max(F.lit(seen)).alias("gain"), ((1 + F.count_if(F.col("gain") >= seen)) / (1 + F.count("*"))).alias("p"))
+
+
+@query("""WITH p AS (SELECT unit, avg(s2) AS x, avg(s8) AS y, unit % 2 AS g FROM cycles GROUP BY unit), d AS (SELECT a.unit AS u, a.g AS own, q.g AS other, avg(sqrt((a.x - q.x) ** 2 + (a.y - q.y) ** 2)) AS m FROM p a JOIN p q ON a.unit <> q.unit WHERE a.unit % 10 = 0 GROUP BY ALL),
+  s AS (SELECT u, min(m) FILTER (own = other) AS a, min(m) FILTER (own <> other) AS b FROM d GROUP BY u) SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM s""")
+def silhouette(spark, d):
+    p = b.cycles(spark, d).groupBy("unit").agg(F.avg("s2").alias("x"), F.avg("s8").alias("y")).withColumn("g", F.col("unit") % 2)
+    return models.silhouette(p, ["x", "y"], "g", 10).select(r6("silhouette").alias("silhouette"))
+
+
+@query("SELECT op1 AS c1, op1 / 50 AS c2, CASE WHEN op1 = 25 THEN 60.0 ELSE 100.0 END::DOUBLE AS c3, count(*) AS n FROM cycles GROUP BY op1")
+def regime_profile(spark, d):
+    c = b.cycles(spark, d)
+    k = f.nearest_centroid([F.col(o) for o in b.OPS], START)
+    return c.groupBy(k.alias("k")).agg(r6(F.avg("op1")).alias("c1"), r6(F.avg("op2")).alias("c2"), r6(F.avg("op3")).alias("c3"), F.count("*").alias("n")).drop("k")
+
+
+@query()
+def elbow_inertia(spark, d):
+    c = b.cycles(spark, d).select("unit", *b.OPS)
+    dist = lambda cs: F.least(*[sum(((F.col(o) - x) * (F.col(o) - x) for o, x in zip(b.OPS, p, strict=True)), F.lit(0.0)) for p in [*cs, cs[0]]])
+    cols = {k: models.kmeans(c, b.OPS, k)[1] for k in (1, 2, 3, 5)}
+    return c.agg(*[F.sum(dist(cs)).alias(f"k{k}") for k, cs in cols.items()])
+
+
+WEIGHTS = (55.0, -0.4, -2.0)
+FEATS = "ft AS (SELECT unit, cycle, avg(s7) OVER r AS level, coalesce(regr_slope(s7, cycle) OVER r, 0) AS slope, row_number() OVER (PARTITION BY unit ORDER BY cycle) AS n_cycles_used FROM cycles WINDOW r AS (PARTITION BY unit ORDER BY cycle ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)), sc AS (SELECT *, CASE WHEN n_cycles_used >= 10 THEN least(greatest(55 - 0.4 * level - 2 * CASE WHEN cycle = 1 THEN 0 ELSE slope END, 0), 40) END AS p FROM ft)"
+BUCKET = "CASE WHEN p < 10 THEN 'critical' WHEN p < 20 THEN 'urgent' WHEN p < 40 THEN 'monitor' WHEN p >= 40 THEN 'healthy' END"
+
+
+@query(f"WITH {FEATS} SELECT unit, cycle, n_cycles_used, round(p, 6) AS predicted_rul, p >= 40 AS rul_at_cap, {BUCKET} AS bucket, CASE WHEN p IS NULL THEN 'short history' END AS reject FROM sc")
+def batch_score(spark, d):
+    out = scoring.scored(scoring.batch_features(b.cycles(spark, d), "s7", b.WINDOW), WEIGHTS, b.CAP, b.MIN_HISTORY, b.BUCKETS)
+    return out.select("unit", "cycle", "n_cycles_used", r6("predicted_rul").alias("predicted_rul"), "rul_at_cap", "bucket", "reject")
+
+
+@query(f"WITH {FEATS} SELECT unit, cycle, n_cycles_used, round(p, 6) AS predicted_rul, {BUCKET} AS bucket FROM sc")
+def stream_score(spark, d):
+    folder = new_folder(spark, "stream")
+    b.cycles(spark, d).select("unit", "cycle", "s7").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("unit long, cycle long, s7 double").parquet(f"{folder}/in")
+    feats = scoring.drained(scoring.stream_features(stream, "s7", b.WINDOW), folder)
+    out = scoring.scored(feats, WEIGHTS, b.CAP, b.MIN_HISTORY, b.BUCKETS)
+    return out.select("unit", "cycle", "n_cycles_used", r6("predicted_rul").alias("predicted_rul"), "bucket")
+
+
+@query("SELECT unit, count(*) AS n, max(cycle) AS last FROM (SELECT DISTINCT unit, cycle FROM cycles) GROUP BY unit")
+def stream_dedup_late(spark, d):
+    folder = new_folder(spark, "dedup")
+    e = b.read(spark, d, "events").select("event_id", "ts", "user_id")
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    c = e.select(F.col("user_id").alias("unit"), F.row_number().over(order).cast("long").alias("cycle"), "ts")
+    c.union(c.where("cycle % 3 = 0")).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("unit long, cycle long, ts timestamp").parquet(f"{folder}/in")
+    out = scoring.drained(scoring.deduplicated(stream, "ts", ["unit", "cycle"], "3650 days"), folder)
+    return out.groupBy("unit").agg(F.count("*").alias("n"), F.max("cycle").alias("last"))
+
+
+@query("""SELECT time_bucket(INTERVAL '1 day', ts) AS start, CASE WHEN value < 10 THEN 'critical' WHEN value < 20 THEN 'urgent' WHEN value < 40 THEN 'monitor' ELSE 'healthy' END AS bucket, count(*) AS n FROM events GROUP BY ALL""")
+def stream_bucket_alert(spark, d):
+    e = b.read(spark, d, "events").select("ts", bucket("value", b.BUCKETS).alias("bucket"))
+    return scoring.bucket_alerts(e, "ts", "1 day")
+
+
+@query(f"""SELECT trial, round(exp(ln(0.01) + {u('rate', 'trial')} * (ln(0.3) - ln(0.01))), 9) AS rate, (floor({u('depth', 'trial')} * 6) + 3)::INT AS depth, ['mean', 'ridge', 'gbt'][(floor({u('kind', 'trial')} * 3) + 1)::INT] AS kind, n
+  FROM (SELECT unit + 1 AS trial, count(*) AS n FROM cycles WHERE unit < 15 GROUP BY unit)""")
+def random_candidates(spark, d):
+    """A drawn candidate for each of the first units, with the cycles that it would be fitted on."""
+    n = b.cycles(spark, d).where("unit < 15").groupBy((F.col("unit") + 1).alias("trial")).agg(F.count("*").alias("n"))
+    return labels.random_candidates(spark, 15).join(n, "trial").select("trial", F.round("rate", 9).alias("rate"), "depth", "kind", "n")

@@ -37,10 +37,10 @@ def unit_spearman(spark, d):
 
 
 @query(f"""WITH {LT}, rk AS (SELECT unit, sensor, op1, rank() OVER (PARTITION BY unit, sensor, op1 ORDER BY x) + (count(*) OVER (PARTITION BY unit, sensor, op1, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY unit, sensor, op1 ORDER BY ttf) AS ry FROM lt)
-  SELECT unit, op1, sensor, round(covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0), 6) AS rho FROM rk GROUP BY ALL""")
+  SELECT unit, op1, sensor, round(covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0), 6) + 0 AS rho FROM rk GROUP BY ALL""")
 def regime_unit_spearman(spark, d):
     rows = long(spark, d, keys=("unit", "cycle", "op1"))
-    return s.spearman(rows, keys=["unit", "op1", "sensor"]).withColumn("rho", r6("rho"))
+    return s.spearman(rows, keys=["unit", "op1", "sensor"]).withColumn("rho", r6("rho") + 0.0)  # no negative zero
 
 
 NULLS = f"""{LT}, a AS (SELECT unit, sensor, x, row_number() OVER (PARTITION BY unit, sensor ORDER BY cycle) AS i FROM lt), bb AS (SELECT unit, sensor, ttf, row_number() OVER (PARTITION BY unit, sensor ORDER BY {u('null', 'unit', 'cycle')}, cycle) AS i FROM lt),
