@@ -31,12 +31,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import anti_by_id, checked_broadcast, semi_by_id, written
+from .common import anti_by_id, checked_broadcast, semi_by_id, sliced, written
 from .graph import components
 from .shingles import shingles
 
-#: Longs in a parity sketch; frequent shingles kept by a task and in all.
-SKETCH, TASK_KEEPS, ALL_KEEP = 8, 20_000, 50_000
+#: Longs in a parity sketch; frequent shingles kept by a task and in all; rows of four longs that may be broadcast (16 MB).
+SKETCH, TASK_KEEPS, ALL_KEEP, HEADS = 8, 20_000, 50_000, 500_000
 
 
 def _raw(batch: pa.RecordBatch, name: str = "text") -> list:
@@ -60,7 +60,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
                     seen = dict(sorted(seen.items(), key=lambda x: -x[1])[: 2 * TASK_KEEPS])
             parts, held = [], 0
 
-        for batch in batches:
+        for batch in sliced(batches):
             for raw in _raw(batch):
                 s = shingles(raw, k)
                 n += 1
@@ -84,7 +84,7 @@ def features(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, rank = held.value
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list] = [[], [], [], [], [], [], []]
             for raw in _raw(batch):
                 s = shingles(raw, k)
@@ -140,7 +140,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, k: int, num: i
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(raw, k).view(np.int64) for raw in _raw(batch)], pa.list_(pa.int64()))], ["doc_id", "s"])
 
     sets = semi_by_id(docs.select(F.col("doc_id").cast("long"), "text"), ids).mapInArrow(of, "doc_id long, s array<long>")
@@ -159,20 +159,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
         raise ValueError("the threshold must be 1/2 or more")
     every = written(features(docs, k, num, den))
     classes = written(every.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")))
-    heads = classes.where("class_id is not null").select(F.col("class_id").alias("doc_id"), "n", "d1", "d2")
+    heads = written(classes.where("class_id is not null").select(F.col("class_id").alias("doc_id"), "n", "d1", "d2"))
     # A doc_id with unlike texts stands for several sets: its rows are told apart by their digests, its links are the id's.
-    rows = written(every.join(heads, ["doc_id", "n", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "n", "d1", "d2"]))
-    groups = rows.groupBy("n", "p").agg(F.min_by(F.struct("doc_id", "prefix", "sketch"), "doc_id").alias("g"), F.count("*").alias("members"))
-    groups = written(groups.select("n", "p", F.col("g.doc_id").alias("doc_id"), F.col("g.sketch").alias("sketch"), F.col("g.prefix").alias("prefix"), "members"))
-    tokens = groups.select("doc_id", "n", "p", F.explode("prefix").alias("t"))
-    shared = written(tokens.groupBy("t").agg(F.min("doc_id").alias("hub"), F.count("*").alias("groups")).where("groups > 1"))
-    bucketed = written(tokens.join(shared.select("t", "hub"), "t"))
-
-    sketches = rows.select("doc_id", "n", "sketch")
-    star = bucketed.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
-    own = rows.join(groups.where("members > 1").select("n", "p", F.col("doc_id").alias("a")), ["n", "p"]).select("a", F.col("doc_id").alias("b")).where("a <> b")
+    # Rows that repeat pass as often as they come; pairs are made distinct before they are verified.
+    rows = every.join(checked_broadcast(heads, heads.count(), HEADS), ["doc_id", "n", "d1", "d2"], "left_semi")
+    groups = written(rows.groupBy("n", "p").agg(F.min("doc_id").alias("g"), F.count("*").alias("members")))
+    n_groups = groups.count()
+    first = groups.select(F.col("g").alias("doc_id"), "n", "p")
+    tokens = rows.join(checked_broadcast(first, n_groups, HEADS), ["doc_id", "n", "p"], "left_semi").select(F.col("doc_id").alias("g"), F.explode("prefix").alias("t"))
+    shared = tokens.groupBy("t").agg(F.min("g").alias("hub"), F.count("*").alias("groups")).where("groups > 1").select("t", "hub")
+    bucketed = written(tokens.join(shared, "t"))
+
+    star = bucketed.select(F.col("hub").alias("a"), F.col("g").alias("b")).where("a <> b").distinct()
+    larger = written(groups.where("members > 1").select("n", "p", "g"))
+    own = rows.select("doc_id", "n", "p").join(checked_broadcast(larger, larger.count()), ["n", "p"]).select(F.col("g").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     star = star.union(own).distinct()
-    side = lambda name, key: sketches.select(F.col("doc_id").alias(key), F.struct("n", "sketch").alias(name))
+    side = lambda name, key: rows.select(F.col("doc_id").alias(key), F.struct("n", "sketch").alias(name))
     star = star.join(side("x", "a"), "a").join(side("y", "b"), "b").where(_may_link("x", "y", num, den)).select("a", "b").distinct()
     links = _verified(star, rows, docs, k, num, den)
     label = components(links)
@@ -180,13 +182,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     # Buckets, and groups as buckets of their own, with members in more than one component.
     member = rows.join(label.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").select(
         "doc_id", "n", "p", "sketch", F.coalesce("c", "doc_id").alias("c"))
-    member = written(member)
-    spread = member.groupBy("n", "p").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    by_token = bucketed.select("t", "n", "p").join(spread, ["n", "p"])
+    member = written(member.join(checked_broadcast(groups, n_groups, HEADS), ["n", "p"]).select("doc_id", "n", "g", "sketch", "c"))
+    spread = written(member.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")))
+    by_token = bucketed.select("t", "g").join(checked_broadcast(spread, n_groups, HEADS), "g")
     open_t = written(by_token.groupBy("t").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("t"))
-    open_tokens = bucketed.select("t", "n", "p").join(checked_broadcast(open_t, open_t.count()), "t", "left_semi")
-    open_groups = spread.where("lo < hi").select(F.xxhash64("n", "p").alias("t"), "n", "p")
-    wide = written(open_tokens.union(open_groups).join(member, ["n", "p"]).select("t", "doc_id", "n", "c", "sketch"))
+    open_tokens = bucketed.select("t", "g").join(checked_broadcast(open_t, open_t.count()), "t", "left_semi")
+    open_groups = spread.where("lo < hi").select(F.xxhash64("g").alias("t"), "g")
+    wide = written(open_tokens.union(open_groups).join(member, "g").select("t", "doc_id", "n", "c", "sketch"))
     x, y = wide.alias("x"), wide.alias("y")
     cross = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.c") < F.col("y.c")) & _may_link("x", "y", num, den)).select(
         F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
