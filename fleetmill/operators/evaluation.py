@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from fleetmill.functions.columns import bucket, ratio
 
-E = F.col("pred") - F.col("y")
+
+def error() -> Column:
+    """Prediction less truth."""
+    return F.col("pred") - F.col("y")
 
 
 def asymmetric(e: Column) -> Column:
@@ -28,13 +31,13 @@ def with_truth(points: DataFrame, cap: float | None) -> DataFrame:
 
 def unit_sums(points: DataFrame, keys: list[str], buckets: list[tuple[str, float, float | None]]) -> DataFrame:
     """One row for each key: n, se, se2, sabs, late, score, and n, se, se2, late of each bucket of the truth."""
-    b = bucket("y", buckets)
+    b, err = bucket("y", buckets), error()
     one = lambda c, v: F.sum(F.when(c, v).otherwise(0.0))
-    aggs = [F.count("*").cast("double").alias("n"), F.sum(E).alias("se"), F.sum(E * E).alias("se2"), F.sum(F.abs(E)).alias("sabs"),
-            F.sum((E > 0).cast("double")).alias("late"), F.sum(asymmetric(E)).alias("score")]
+    aggs = [F.count("*").cast("double").alias("n"), F.sum(err).alias("se"), F.sum(err * err).alias("se2"), F.sum(F.abs(err)).alias("sabs"),
+            F.sum((err > 0).cast("double")).alias("late"), F.sum(asymmetric(err)).alias("score")]
     for name, _, _ in buckets:
         here = b == name
-        aggs += [one(here, F.lit(1.0)).alias(f"n_{name}"), one(here, E).alias(f"se_{name}"), one(here, E * E).alias(f"se2_{name}"), one(here, (E > 0).cast("double")).alias(f"late_{name}")]
+        aggs += [one(here, F.lit(1.0)).alias(f"n_{name}"), one(here, err).alias(f"se_{name}"), one(here, err * err).alias(f"se2_{name}"), one(here, (err > 0).cast("double")).alias(f"late_{name}")]
     return points.groupBy(*keys).agg(*aggs)
 
 

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from fleetmill.functions.columns import UNIT
 from fleetmill.functions.rng import uniform
 
-ALL = Window.partitionBy(*UNIT)
+def _all() -> WindowSpec:
+    return Window.partitionBy(*UNIT)
 
 
 def true_rul(df: DataFrame) -> DataFrame:
     """Cycles left to the unit's last one."""
-    return df.withColumn("rul_true", (F.max("cycle").over(ALL) - F.col("cycle")).cast("double"))
+    return df.withColumn("rul_true", (F.max("cycle").over(_all()) - F.col("cycle")).cast("double"))
 
 
 def capped_rul(df: DataFrame, caps: list[float]) -> DataFrame:
@@ -24,7 +25,7 @@ def capped_rul(df: DataFrame, caps: list[float]) -> DataFrame:
 def first_n(df: DataFrame, n: int) -> DataFrame:
     """Cycles 1..n of the units that have them all."""
     head = df.where(F.col("cycle") <= n)
-    return head.withColumn("__n", F.count("*").over(ALL)).where(F.col("__n") == n).drop("__n")
+    return head.withColumn("__n", F.count("*").over(_all())).where(F.col("__n") == n).drop("__n")
 
 
 def last_row(df: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def last_row(df: DataFrame) -> DataFrame:
 
 def every_kth(df: DataFrame, cap: float, k: int) -> DataFrame:
     """Every k-th of a unit's rows below the cap; of all its rows if none is."""
-    low = F.count_if(F.col("rul_true") < cap).over(ALL)
+    low = F.count_if(F.col("rul_true") < cap).over(_all())
     rows = df.withColumn("__low", low).where((F.col("rul_true") < cap) | (F.col("__low") == 0)).drop("__low")
     at = F.row_number().over(Window.partitionBy(*UNIT).orderBy("cycle"))
     return rows.withColumn("__at", at).where((F.col("__at") - 1) % k == 0).drop("__at")

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A lower metric is better: the difference challenger less incumbent lies wholly below 0.
-BETTER, WORSE = F.expr("diff_ci_hi < 0"), F.expr("diff_ci_lo > 0")
-
 
 def verdict() -> Column:
     return F.when(F.col("diff_ci_hi") < 0, "better").when(F.col("diff_ci_lo") > 0, "worse").otherwise("not different")

@@ -38,17 +38,17 @@ def engine_aggregates(spark, d):
 
 @query(f"WITH {P} SELECT subpop, round(sqrt(avg(e * e)), 6) AS rmse FROM p GROUP BY subpop")
 def metric_rmse(spark, d):
-    return uncapped(spark, d).groupBy("subpop").agg(r6(F.sqrt(F.avg(F.pow(e.E, 2)))).alias("rmse"))
+    return uncapped(spark, d).groupBy("subpop").agg(r6(F.sqrt(F.avg(F.pow(e.error(), 2)))).alias("rmse"))
 
 
 @query(f"WITH {P} SELECT subpop, round(avg(abs(e)), 6) AS mae FROM p GROUP BY subpop")
 def metric_mae(spark, d):
-    return uncapped(spark, d).groupBy("subpop").agg(r6(F.avg(F.abs(e.E))).alias("mae"))
+    return uncapped(spark, d).groupBy("subpop").agg(r6(F.avg(F.abs(e.error()))).alias("mae"))
 
 
 @query(f"WITH {P} SELECT unit, round(sum({SCORE}), 4) AS score FROM p GROUP BY unit")
 def metric_asymmetric_score(spark, d):
-    return uncapped(spark, d).groupBy("unit").agg(F.round(F.sum(e.asymmetric(e.E)), 4).alias("score"))
+    return uncapped(spark, d).groupBy("unit").agg(F.round(F.sum(e.asymmetric(e.error())), 4).alias("score"))
 
 
 @query(f"WITH {P} SELECT subpop, {', '.join(f'''round(sqrt(avg(e * e) FILTER (b = '{n}')), 6) AS rmse_{n}''' for n in NAMES)} FROM p GROUP BY subpop")
@@ -60,23 +60,23 @@ def metric_bucket_rmse(spark, d):
 
 @query(f"WITH {P} SELECT repeat, round(100 * avg((e > 0)::INT), 6) AS late_pct FROM p GROUP BY repeat")
 def metric_late_pct(spark, d):
-    return uncapped(spark, d).groupBy("repeat").agg(r6(100 * F.avg((e.E > 0).cast("double"))).alias("late_pct"))
+    return uncapped(spark, d).groupBy("repeat").agg(r6(100 * F.avg((e.error() > 0).cast("double"))).alias("late_pct"))
 
 
 @query(f"WITH {P} SELECT 'all' AS bucket, round(avg(e), 6) AS bias FROM p UNION ALL SELECT b, round(avg(e), 6) FROM p GROUP BY b")
 def metric_signed_error(spark, d):
     p = uncapped(spark, d).withColumn("bucket", bucket("y", B))
-    return p.rollup("bucket").agg(r6(F.avg(e.E)).alias("bias")).select(F.coalesce("bucket", F.lit("all")).alias("bucket"), "bias")
+    return p.rollup("bucket").agg(r6(F.avg(e.error())).alias("bias")).select(F.coalesce("bucket", F.lit("all")).alias("bucket"), "bias")
 
 
 @query(f"WITH {P} SELECT b AS bucket, round(avg(e), 6) AS mean, round(stddev_pop(e), 6) AS std, count(*) AS n FROM p GROUP BY b")
 def error_by_bucket(spark, d):
-    return uncapped(spark, d).groupBy(bucket("y", B).alias("bucket")).agg(r6(F.avg(e.E)).alias("mean"), r6(F.stddev_pop(e.E)).alias("std"), F.count("*").alias("n"))
+    return uncapped(spark, d).groupBy(bucket("y", B).alias("bucket")).agg(r6(F.avg(e.error())).alias("mean"), r6(F.stddev_pop(e.error())).alias("std"), F.count("*").alias("n"))
 
 
 @query(f"WITH {P} SELECT round(avg(s), 6) AS score FROM (SELECT unit, avg({SCORE}) AS s FROM p GROUP BY unit)")
 def metric_score_mean_per_engine(spark, d):
-    return uncapped(spark, d).groupBy("unit").agg(F.avg(e.asymmetric(e.E)).alias("s")).agg(r6(F.avg("s")).alias("score"))
+    return uncapped(spark, d).groupBy("unit").agg(F.avg(e.asymmetric(e.error())).alias("s")).agg(r6(F.avg("s")).alias("score"))
 
 
 @query(f"""WITH {BOTH} SELECT round(sqrt(avg(e * e) FILTER (truth = 'uncapped')), 6) AS rmse_vs_uncapped, round(sqrt(avg(e * e) FILTER (truth = 'capped')), 6) AS rmse_vs_capped,

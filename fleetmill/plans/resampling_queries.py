@@ -91,7 +91,7 @@ SPLITS = "d AS (SELECT repeat, fold, sqrt(avg((pred_a - rul_true) ** 2)) - sqrt(
 @query(f"""WITH {SPLITS}, r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r FROM d WHERE d <> 0), w AS (SELECT count(*) AS n, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS w FROM r)
   SELECT n, w, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24), 6) AS z FROM w""")
 def wilcoxon_signed_rank(spark, d):
-    v = lambda w: e.with_truth(b.points(spark, d, w), None).groupBy("repeat", "fold").agg(F.sqrt(F.avg(F.pow(e.E, 2))).alias(w))
+    v = lambda w: e.with_truth(b.points(spark, d, w), None).groupBy("repeat", "fold").agg(F.sqrt(F.avg(F.pow(e.error(), 2))).alias(w))
     diffs = v("A").join(v("B"), ["repeat", "fold"]).select(F.lit(1).alias("all"), (F.col("A") - F.col("B")).alias("d"))
     return rs.signed_rank(diffs, "d", ["all"]).select("n", "w", r6("z").alias("z"))
 
