@@ -148,7 +148,7 @@ def check_truth(spark, d):
     return checks.truth(truth, units.where("unit % 5 = 0"))
 
 
-@query("""SELECT 'events' AS dataset, 'rows' AS what, (SELECT count(*) FROM cycles) AS expected, (SELECT count(*) FROM broken) AS actual
+@query("""SELECT 'events' AS dataset, 'rows' AS what, (SELECT count(*) FROM cycles) AS expected, (SELECT count(*) FROM broken) AS actual WHERE (SELECT count(*) FROM cycles) <> (SELECT count(*) FROM broken)
   UNION ALL SELECT 'events', 'max_unit', (SELECT count(DISTINCT unit) FROM cycles), (SELECT max(unit) FROM broken) WHERE (SELECT count(DISTINCT unit) FROM cycles) <> (SELECT max(unit) FROM broken)""")
 def check_counts_vs_expected(spark, d):
     def counts(df, top):
