@@ -162,6 +162,19 @@ def identifiability(spark, d):
     return rs.roc_auc(p, "p", "y")
 
 
+@query()
+def fit_candidate(spark, d):
+    """(fold, feature, weight): ridge fitted on the other folds' units, for each fold."""
+    r = written(rows(spark, d).select("fold", "rul", *X))
+
+    def one(train, test):
+        w, i = models.ridge(train, X, "rul", 1.0)
+        pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(float(v)).alias("weight")) for c, v in zip([*X, "intercept"], [*w, i], strict=True)])
+        return test.select("fold").distinct().select("fold", F.explode(pairs).alias("p")).select("fold", "p.feature", "p.weight")
+
+    return models.out_of_fold(r, 3, one)
+
+
 @query()
 def oof_predict(spark, d):
     """Held-out predictions of ridge and mean for every cycle."""
