@@ -83,7 +83,9 @@ def _named(attributes: str) -> tuple[bool, bool]:
     for name, value in _NAMED.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            hint = hint or not _HINTS.isdisjoint(_PART.findall(value))
+            # A name such as has-sidebar tells what else the page has, not what this element is.
+            parts = [p for p in map(_PART.findall, value.split()) if p and p[0] not in ("has", "with", "no", "not")]
+            hint = hint or any(not _HINTS.isdisjoint(p) for p in parts)
         elif name == "role":
             hint, article = hint or value in _ROLES, article or value in ("main", "article")
         elif name == "itemprop":

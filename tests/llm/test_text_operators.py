@@ -128,6 +128,7 @@ LONG = "This paragraph has enough plain words in it to be taken for the running
     (f"<article><p>One</p><section class='comments'><p>{LONG}</p></section><form>Name {LONG}</form><p>Two</p></article>", "One Two"),
     (f"<div id=content><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div><aside>{LONG}</aside><div class='cookie-notice'>{LONG}</div>", f"{LONG} Short. {LONG}"),
     (f"<article><p><a href='x'>all linked</a></p><p title='a > b'>{LONG}</p><!-- <p>no</p> --></article>", f"all linked {LONG}"),
+    (f"<div class='content has-sidebar'><p>{LONG}</p></div><div class='page-sidebar'>{LONG}</div>", LONG),
     (f"<header>Site</header><article><header><h1>T</h1></header><p>w  o\n r</p><div hidden>{LONG}</div></article>", "T w o r"),
 ])
 def test_html_cases(page, text):
