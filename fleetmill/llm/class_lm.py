@@ -1,8 +1,8 @@
 """LM scoring: a class-based bigram model; exchange clustering assigns words to classes.
 
-Every word of the training texts is counted. The HEAD most frequent words are held by each task; all others are met by
-a join on the word, so the vocabulary may grow without bound. The CLUSTERED most frequent words are clustering units of
-their own; every other word, also one never seen, belongs to the unit of its last three bytes (one of SUFFIXES by their
+Every word of the training texts is counted. The `head` most frequent words are held by each task; all others are met by
+a join on the word, so the vocabulary may grow without bound. The `clustered` most frequent words are clustering units of
+their own; every other word, also one never seen, belongs to the unit of its last three bytes (one of `suffixes` by their
 CRC), so every word has a class. Exchange: in each sweep half of the units (by turns) have their neighbours' classes
 counted over all training texts; each then moves to the class in which the class bigrams' likelihood is greatest, with
 the counts updated at once. With classes c of words w, after the class b of the word before (the end's class at the
@@ -22,26 +22,42 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sliced, written
 
-HEAD, CLUSTERED, SUFFIXES, CLASSES, SWEEPS = 150_000, 8_000, 1_000, 32, 6
 A, D = 0.1, 0.1
-#: The unit of the end of a text, and the last class, which is the end's alone.
-END = CLUSTERED + SUFFIXES
 
 
-def held_out(doc_id: str = "doc_id") -> F.Column:
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 10 == 0, F.lit(True))
+class Sizes(NamedTuple):
+    """Words held by each task; words that are units of their own; units of suffixes; classes beside the end's; sweeps."""
+
+    head: int = 150_000
+    clustered: int = 8_000
+    suffixes: int = 1_000
+    classes: int = 32
+    sweeps: int = 6
+
+    @property
+    def end(self) -> int:
+        """The unit of the end of a text; its class is the last one, which is the end's alone."""
+        return self.clustered + self.suffixes
 
+    @property
+    def c1(self) -> int:
+        return self.classes + 1
 
-def _suffix(word: bytes) -> int:
-    return CLUSTERED + zlib.crc32(word[-3:]) % SUFFIXES
+    def suffix(self, word: bytes) -> int:
+        return self.clustered + zlib.crc32(word[-3:]) % self.suffixes
+
+
+def held_out(doc_id: str = "doc_id") -> F.Column:
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 10 == 0, F.lit(True))
 
 
 def _raw(batch: pa.RecordBatch, name: str) -> list:
@@ -67,13 +83,31 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.where("not held_out").select("text").mapInArrow(of, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def tokenised(texts: DataFrame, head: dict[bytes, int], counts: np.ndarray) -> DataFrame:
+def frequent(counted: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
+    """At most `most` words with their counts (and a last count of 0), the commonest first.
+
+    Counts fall into classes by their logarithm; as many whole classes as fit are taken, so no task sorts all words.
+    """
+    place = F.floor(F.log("n") * 256)
+    sizes = counted.groupBy(place.alias("place")).agg(F.count("*").alias("words")).collect()  # some thousand classes
+    cut, total = 0, 0
+    for r in sorted(sizes, key=lambda r: -r.place):
+        total += r.words
+        if total > most:
+            cut = r.place + 1
+            break
+    top = counted.where(place >= cut).toArrow()
+    rows = sorted(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+    return [w for w, _ in rows], np.array([n for _, n in rows] + [0.0])
+
+
+def tokenised(texts: DataFrame, head: dict[bytes, int], counts: np.ndarray, z: Sizes) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, logs, units, tail): counts' logarithms over the held words, units of all words, the other words."""
-    held = texts.sparkSession.sparkContext.broadcast((head, np.log10(counts + D), np.array([i if i < CLUSTERED else _suffix(w) for w, i in head.items()], np.int32)))
+    held = texts.sparkSession.sparkContext.broadcast((head, np.log10(counts + D), np.array([i if i < z.clustered else z.suffix(w) for w, i in head.items()], np.int32)))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, logs, unit = held.value
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list] = [[], [], [], [], []]
             for raw in _raw(batch, "text"):
                 w = (raw or b"").lower().split()
@@ -81,7 +115,7 @@ def tokenised(texts: DataFrame, head: dict[bytes, int], counts: np.ndarray) -> D
                 miss = np.flatnonzero(at < 0).tolist()
                 u = unit[at] if len(unit) else np.zeros(len(w), np.int32)
                 tail = [w[i] for i in miss]
-                u[miss] = [_suffix(x) for x in tail]
+                u[miss] = [z.suffix(x) for x in tail]
                 for c, v in zip(out, (len(w) + 1, len(w) - len(tail), float(logs[at[at >= 0]].sum()), u, tail), strict=True):
                     c.append(v)
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.binary()))
@@ -91,35 +125,35 @@ def tokenised(texts: DataFrame, head: dict[bytes, int], counts: np.ndarray) -> D
     return texts.select("doc_id", "held_out", "text").mapInArrow(of, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, units array<int>, tail array<binary>")
 
 
-def _streams(batch: pa.RecordBatch, name: str = "units") -> tuple[np.ndarray, np.ndarray]:
+def _streams(batch: pa.RecordBatch, end: int, name: str = "units") -> tuple[np.ndarray, np.ndarray]:
     """(all units of the batch with an end before and behind every text, places of the ends)."""
     col = batch.column(batch.schema.get_field_index(name))
     size = col.value_lengths().to_numpy()
     flat = col.flatten().to_numpy()
     ends = np.cumsum(np.concatenate([[0], size + 1]))
-    out = np.full(int(ends[-1]) + 1, END, np.int32)
+    out = np.full(int(ends[-1]) + 1, end, np.int32)
     inside = np.ones(len(out), bool)
     inside[ends] = False
     out[inside] = flat
     return out, ends
 
 
-def _pairs(rows: DataFrame, class_of: np.ndarray, half: int | None) -> DataFrame:
-    """(cell, n) over the training texts. half None: class bigrams, cell = class before * (CLASSES + 1) + class. Else, for
-    the units of that half: (unit * 2 + side) * (CLASSES + 1) + class before (side 0) or behind (side 1)."""
+def _pairs(rows: DataFrame, class_of: np.ndarray, half: int | None, z: Sizes) -> DataFrame:
+    """(cell, n) over the training texts. half None: class bigrams, cell = class before * z.c1 + class. Else, for
+    the units of that half: (unit * 2 + side) * z.c1 + class before (side 0) or behind (side 1)."""
     held = rows.sparkSession.sparkContext.broadcast(class_of)
-    c1 = CLASSES + 1
+    c1 = z.c1
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = held.value
-        total = np.zeros(c1 * c1 if half is None else END * 2 * c1, np.int64)
+        total = np.zeros(c1 * c1 if half is None else z.end * 2 * c1, np.int64)
         for batch in batches:
-            u, _ = _streams(batch)
+            u, _ = _streams(batch, z.end)
             c = classes[u].astype(np.int64)
             if half is None:
                 total += np.bincount(c[:-1] * c1 + c[1:], minlength=len(total))
             else:
-                mine = np.flatnonzero((u < END) & (u % 2 == half))  # never the first or last place: those are ends
+                mine = np.flatnonzero((u < z.end) & (u % 2 == half))  # never the first or last place: those are ends
                 for side, other in ((0, mine - 1), (1, mine + 1)):
                     total += np.bincount((u[mine].astype(np.int64) * 2 + side) * c1 + c[other], minlength=len(total))
         at = np.flatnonzero(total)
@@ -150,25 +184,25 @@ def exchange(big: np.ndarray, around: np.ndarray, class_of: np.ndarray) -> np.nd
         np.maximum(big, 0, out=big)  # counts of neighbours that moved in this sweep are a little out of date
         row, col, n = big.sum(1), big.sum(0), total[u]
         gain = (xlx(big + behind) - xlx(big)).sum(1) + (xlx(big + before[:, None]) - xlx(big)).sum(0) - (xlx(row + n) - xlx(row)) - (xlx(col + n) - xlx(col))
-        new = int(np.argmax(gain[:CLASSES]))
+        new = int(np.argmax(gain[: len(big) - 1]))
         out[u] = new
         big[new] += behind
         big[:, new] += before
     return out
 
 
-def cluster(rows: DataFrame, sweeps: int = SWEEPS) -> np.ndarray:
+def cluster(rows: DataFrame, z: Sizes) -> np.ndarray:
     """The class of every unit; the end has a class of its own."""
-    c1 = CLASSES + 1
-    class_of = np.append(np.arange(END) % CLASSES, CLASSES).astype(np.int32)
-    for sweep in range(sweeps):
-        big = _dense(_pairs(rows, class_of, None), c1 * c1).reshape(c1, c1)
-        around = _dense(_pairs(rows, class_of, sweep % 2), END * 2 * c1).reshape(END, 2, c1)
+    c1 = z.c1
+    class_of = np.append(np.arange(z.end) % z.classes, z.classes).astype(np.int32)
+    for sweep in range(z.sweeps):
+        big = _dense(_pairs(rows, class_of, None, z), c1 * c1).reshape(c1, c1)
+        around = _dense(_pairs(rows, class_of, sweep % 2, z), z.end * 2 * c1).reshape(z.end, 2, c1)
         class_of = exchange(big, around, class_of)
     return class_of
 
 
-def scores(docs: DataFrame) -> DataFrame:
+def scores(docs: DataFrame, z: Sizes = Sizes()) -> DataFrame:  # noqa: B008  immutable
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): log10 probabilities by the unigram and the class model."""
     texts = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
     spark = docs.sparkSession
@@ -176,30 +210,28 @@ def scores(docs: DataFrame) -> DataFrame:
     size = counted.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     ends = texts.where("not held_out").count()
     n_all, v_all = (size.n or 0) + ends, size.v + (ends > 0)
-    top = counted.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
-    words = top.column("word").to_pylist()
-    n_head = np.append(top.column("n").to_numpy(), 0.0)
+    words, n_head = frequent(counted, z.head)
     head = {w: i for i, w in enumerate(words)}
-    rows = written(tokenised(texts, head, n_head))
-    class_of = cluster(rows)
+    rows = written(tokenised(texts, head, n_head, z))
+    class_of = cluster(rows, z)
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, kinds = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
+        tokens, kinds = np.zeros(z.c1), np.zeros(z.c1)
         first, classes = at.value
         for batch in batches:
             n = batch.column(1).to_numpy()
-            c = classes[np.array([first[w] if w in first else _suffix(w) for w in _raw(batch, "word")], np.int64)] if len(n) else np.empty(0, np.int64)
-            tokens += np.bincount(c, n, CLASSES + 1)
-            kinds += np.bincount(c, minlength=CLASSES + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES + 1), pa.int32()), pa.array(tokens), pa.array(kinds)], ["c", "n", "v"])
+            c = classes[np.array([first[w] if w in first else z.suffix(w) for w in _raw(batch, "word")], np.int64)] if len(n) else np.empty(0, np.int64)
+            tokens += np.bincount(c, n, z.c1)
+            kinds += np.bincount(c, minlength=z.c1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(z.c1), pa.int32()), pa.array(tokens), pa.array(kinds)], ["c", "n", "v"])
 
-    at = spark.sparkContext.broadcast(({w: i for i, w in enumerate(words[:CLUSTERED])}, class_of))
+    at = spark.sparkContext.broadcast(({w: i for i, w in enumerate(words[: z.clustered])}, class_of))
     own = counted.select("word", "n").mapInArrow(classed, "c int, n double, v double").groupBy("c").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow()
-    n_class, v_class = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
+    n_class, v_class = np.zeros(z.c1), np.zeros(z.c1)
     n_class[own.column("c").to_numpy()], v_class[own.column("c").to_numpy()] = own.column("n").to_numpy(), own.column("v").to_numpy()
-    n_class[CLASSES], v_class[CLASSES] = ends, ends > 0
-    c1 = CLASSES + 1
-    big = _dense(_pairs(rows, class_of, None), c1 * c1).reshape(c1, c1)
+    n_class[z.classes], v_class[z.classes] = ends, ends > 0
+    c1 = z.c1
+    big = _dense(_pairs(rows, class_of, None, z), c1 * c1).reshape(c1, c1)
     step = np.log10((big + A) / (big.sum(1, keepdims=True) + A * c1))
     emit = np.log10(n_class + D * (v_class + 1))
     model = spark.sparkContext.broadcast((class_of, step, emit, np.log10(ends + D)))
@@ -207,7 +239,7 @@ def scores(docs: DataFrame) -> DataFrame:
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, step, emit, end_log = model.value
         for batch in batches:
-            u, ends = _streams(batch)
+            u, ends = _streams(batch, z.end)
             c = classes[u]
             each = step[c[:-1], c[1:]] - emit[c[1:]]
             sums = np.add.reduceat(each, ends[:-1]) if len(ends) > 1 else np.empty(0)
