@@ -199,7 +199,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     final = member.select("doc_id", "c").distinct().join(over, "c", "left").select(F.col("doc_id").alias("class_id"), F.coalesce("oc", "c").alias("component_id"))
 
     by_class = classes.join(final.groupBy("class_id").agg(F.min("component_id").alias("component_id")), "class_id", "left")
-    known = every.where("n > 0").join(by_class, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
+    known = every.where("n > 0").join(by_class, ["n", "d1", "d2"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), "class_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     none = every.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     # Where one id has several texts, the id's links are shared: the least component of its rows holds for all.
     return known.union(none)

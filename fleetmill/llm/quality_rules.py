@@ -1,7 +1,7 @@
 """Quality rules: a table of thresholds compiled into one Spark projection, without user functions.
 
 Defined cases: a null or empty text has no words, hence fails the base rule; a null threshold is open; equal rows
-are judged alike; an empty table gives an empty result; other columns of the input pass through untouched.
+are judged alike; an empty table gives an empty result; other columns pass through, but for one named quality, which score() sets.
 """
 
 from __future__ import annotations
