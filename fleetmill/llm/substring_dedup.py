@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bitmap
-from .common import checked_broadcast, written
+from .common import checked_broadcast, sliced, written
 
 MIN_WORDS, RUN_WORDS = 5, 20
 
@@ -79,7 +79,7 @@ def repeats(docs: DataFrame, rank: str = "doc_id") -> DataFrame:
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col(rank).cast("long").alias("rank"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             parts = [_hashes(units(t)) for t in batch.column(2).to_pylist()]
             value, times = np.unique(np.concatenate(parts) if parts else np.empty(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times.astype(np.int64))], ["h", "n"])
@@ -88,7 +88,7 @@ def repeats(docs: DataFrame, rank: str = "doc_id") -> DataFrame:
     held = spark.sparkContext.broadcast(bitmap.build(twice, "h", twice.count()))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             cols: list[list] = [[] for _ in range(9)]
             for doc, rank, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
                 found = units(text)
@@ -101,7 +101,8 @@ def repeats(docs: DataFrame, rank: str = "doc_id") -> DataFrame:
 
     found = written(docs.mapInArrow(of, "doc_id long, rank long, d1 long, d2 long, words int, start int, end int, ordinal int, line int"))
     first = found.groupBy("d1", "d2").agg(F.min(F.struct("rank", "doc_id", "start", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("d1", "d2", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start"))
+    # Written, so that both sides of the join are shuffled for it and Spark can split a very common unit.
+    first = written(first.select("d1", "d2", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start")))
     return found.join(first, ["d1", "d2"]).where((F.col("doc_id") != F.col("keep_doc_id")) | (F.col("start") != F.col("keep_start"))).select(
         "doc_id", "start", "end", "words", "ordinal", "line", "keep_doc_id").distinct()
 
