@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 MOST_BITS = 1 << 27
 
 
-def build(hashes: DataFrame, name: str, n: int) -> np.ndarray:
-    """The filter of a column of longs (already mixed hashes), 16 to 32 bits for each of n; two bits are set for each."""
-    bits = min(MOST_BITS, 1 << (16 * max(n, 64)).bit_length())
+def build(hashes: DataFrame, name: str, n: int, per: int = 16) -> np.ndarray:
+    """The filter of a column of longs (already mixed hashes), per to 2 * per bits for each of n; two bits are set for each."""
+    bits = min(MOST_BITS, 1 << (per * max(n, 64)).bit_length())
     h = F.col(name)
     at = F.explode(F.array(h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1)))).alias("at")
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))

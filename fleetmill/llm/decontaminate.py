@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmap
-from .common import anti_by_id, written
+from .common import anti_by_id, sliced, written
 from .shingles import window_hashes, word_hashes
 
 #: Fixed masks: 1 counts, 0 is ignored. All span ten words and count seven.
@@ -66,7 +66,7 @@ def _hit_islands(docs: DataFrame, filtered: np.ndarray, lengths: tuple[int, ...]
     held = docs.sparkSession.sparkContext.broadcast(filtered)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list] = [[], [], [], []]
             for doc, raw in zip(batch.column(0).to_pylist(), _raw(batch, 1), strict=True):
                 h = word_hashes(raw)
@@ -109,7 +109,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     items = items.where("item_id is not null").select(F.col("item_id").cast("long"), "text")
     sought = written(item_seeds(items))
     lengths = tuple(r.mask - 100 for r in sought.where("mask >= 100").select("mask").distinct().collect())  # at most SPAN - SHORTEST
-    islands = written(_hit_islands(docs, bitmap.build(sought, "h", sought.count()), lengths))
+    islands = written(_hit_islands(docs, bitmap.build(sought, "h", sought.count(), per=512), lengths))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
