@@ -41,7 +41,7 @@ def tree(leaves: DataFrame, levels: int = LEVELS) -> list[DataFrame]:
     """Level 0 (ranges of records) to the level with one root for each file; (file, node, digest) each."""
     levels_up = [written(_up(leaves, RANGE, "offset"))]
     for _ in range(levels - 1):
-        levels_up.append(_up(levels_up[-1], FANOUT, "node"))
+        levels_up.append(written(_up(levels_up[-1], FANOUT, "node")))
     return levels_up
 
 
@@ -57,11 +57,12 @@ def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
     """
     original, replica = (written(x.select("file", "offset", "record_id", "digest")) for x in (original, replica))
     left, right = tree(original), tree(replica)
-    bad = _differs(left[-1], right[-1], ["file", "node"]).select("file", "node")
+    # Each level's branches are written: the next level's plan then reads them, and doesn't hold all plans above it.
+    bad = written(_differs(left[-1], right[-1], ["file", "node"]).select("file", "node"))
     for a, b in zip(left[-2::-1], right[-2::-1], strict=True):
         parent = F.floor(F.col("node") / FANOUT).alias("up")
         below = lambda x, bad=bad, parent=parent: x.select("file", "node", "digest", parent).join(bad.select("file", F.col("node").alias("up")), ["file", "up"], "left_semi")
-        bad = _differs(below(a), below(b), ["file", "node"]).select("file", "node")
+        bad = written(_differs(below(a), below(b), ["file", "node"]).select("file", "node"))
     range_of = F.floor(F.col("offset") / RANGE).alias("node")
     one = lambda x: x.select("file", "offset", "record_id", "digest", range_of).join(bad, ["file", "node"], "left_semi").groupBy("file", "offset").agg(
         F.min("record_id").alias("record_id"), F.concat_ws(",", F.array_sort(F.collect_list("digest"))).alias("digest"))
