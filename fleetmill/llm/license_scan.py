@@ -2,8 +2,9 @@
 
 Terms are runs of letters, digits, dots, + and -, A-Z lower-cased. Inverse document frequencies of the templates'
 terms come from all texts; a term of no template weighs as much as one of no text. A line of a text (its header,
-wherever it stands) or the text as a whole is compared with each template if it has a marker: a template's term that
-few texts have (MARKER_SHARE). The best cosine of LEAST or more is the text's own licence. A text whose first line
+wherever it stands) or the text as a whole is compared with each template if it has a marker. Markers are the rarest
+terms of each template, so many that by Cauchy-Schwarz no text without any of them reaches LEAST: however common a
+licence is, nothing is lost. The best cosine of LEAST or more is the text's own licence. A text whose first line
 with words, or whose whole, is a licence is a licence file of its directory; a file without own licence inherits from
 the nearest directory at or above its own that has a licence file, by joins on the paths' ancestors. Of several in
 one directory the one with the least path holds.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-LEAST, MARKER_SHARE = 0.7, 0.2
+LEAST = 0.7
 
 _TERM = re.compile(r"[a-z0-9](?:[a-z0-9.+-]*[a-z0-9+])?")
 
@@ -65,8 +66,16 @@ class Matcher:
             norm = math.sqrt(sum(x * x for x in v.values()))
             if norm:
                 self.vectors.append((name, {t: x / norm for t, x in v.items()}))
-        markers = sorted((t for t in self.idf if df.get(t, 0) <= MARKER_SHARE * n and len(t) > 2), key=lambda t: (-len(t), t))
-        self.marker = re.compile("|".join(map(re.escape, markers)), re.I) if markers else None
+        markers: set[str] = set()
+        for _, v in self.vectors:
+            rest = 1.0  # a text with none but the other terms has a cosine of at most the root of their squares
+            for t in sorted(v, key=lambda t: (-self.idf[t], -v[t], t)):
+                if rest < LEAST**2 - 1e-9:
+                    break
+                markers.add(t)
+                rest -= v[t] ** 2
+        found = "|".join(map(re.escape, sorted(markers, key=lambda t: (-len(t), t))))
+        self.marker = re.compile(f"(?:{found})(?![a-z0-9+])") if markers else None
 
     def cosine(self, text: str) -> tuple[float, str]:
         c = Counter(terms(text))
@@ -79,7 +88,8 @@ class Matcher:
 
     def match(self, text: str | None) -> tuple[float, str, str] | None:
         """(cosine, licence, kind) of the best line or the whole; kind: file or header."""
-        if not text or not self.marker or not self.marker.search(text):
+        text = (text or "").lower()
+        if not self.marker or not self.marker.search(text):
             return None
         best, first = (0.0, "", ""), True
         for line in text.split("\n"):

@@ -314,6 +314,24 @@ def test_cosine_matches_brute_force():
     assert m.cosine("the MIT license of the north")[0] == pytest.approx(dot / norm(a) / norm(b))
 
 
+@pytest.mark.parametrize("every", [1, 3])
+def test_common_licences_are_found(spark, prose, every):
+    texts = [prose(40, i) + ("\nReleased under the MIT License." if i % every == 0 else "") for i in range(12)]
+    df = spark.createDataFrame([(i, f"d{i}/x", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    got = {r.doc_id: (r.licence, r.kind) for r in license_scan.scan(df, T).collect()}
+    assert got == {i: ("MIT", "header") if i % every == 0 else (None, "none") for i in range(12)}
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 1.0])
+def test_markers_lose_no_licence(share):
+    r, words = random.Random(5), sorted({t for _, text in T for t in license_scan.terms(text)})
+    m = license_scan.Matcher(T, 100, {t: int(100 * share) for t in words} | {"the": 90, "of": 95})
+    for _ in range(3000):
+        text = " ".join(r.sample(words, r.randint(1, 6)) if r.random() < 0.5 else [w for w in r.choice(T)[1].split() if r.random() < 0.8])
+        best = m.cosine(text)[0]
+        assert (m.match(text) is not None) == (best >= license_scan.LEAST)
+
+
 # --- WARC audit ----------------------------------------------------------------------------------------------------
 
 
