@@ -6,6 +6,13 @@ hashed with 128 bits. Of equal units the earliest by (rank, place in the text) i
 has MIN_WORDS or more; later sentences go where a run of them side by side has RUN_WORDS or more, so that short
 sentences that are alike by chance stay. Sentences of fewer than MIN_WORDS words neither count nor part a run.
 
+Passages that begin or end inside a sentence are found by fingerprints: of each WIDE windows of GRAM words side by side
+the one with the least hash is taken, so equal stretches of PASSAGE_WORDS words have one in common wherever they start.
+Windows that occur earlier are joined to runs, and a run grows at both sides, word by word, as far as any earlier
+occurrence of one of its outer windows goes on alike: the 1 to WIDE - 1 words beside these windows are hashed and
+matched as windows are (an equal stretch has a taken window no further from its end). Runs of PASSAGE_WORDS words or
+more go. In scripts without blanks each character counts as a word.
+
 First 64-bit hashes are counted; only units whose hash may be repeated (a bounded Bloom filter) are then grouped by
 their 128 bits, with partial aggregation, and joined back (a join that Spark can split if a unit is very common).
 
@@ -30,6 +37,12 @@ from .common import checked_broadcast, sliced, written
 
 MIN_WORDS, RUN_WORDS = 5, 20
 
+#: Words of a window; windows of which one is taken; words of a stretch that surely holds a taken window.
+GRAM, WIDE = 26, 25
+PASSAGE_WORDS = GRAM + WIDE - 1
+
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+
 #: Pieces of a line: to the end of a sentence and the blanks behind it, or the rest.
 _PIECE = re.compile(r".*?[.!?]+[ \t]+|.+")
 
@@ -107,6 +120,161 @@ def repeats(docs: DataFrame, rank: str = "doc_id") -> DataFrame:
         "doc_id", "start", "end", "words", "ordinal", "line", "keep_doc_id").distinct()
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Hashes whose bits all depend on all bits of h."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.full(n, base, np.uint64))
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, number of the text, start, end in code points) of all words; characters of scripts without blanks are words."""
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    base = np.cumsum(sizes) - sizes
+    b = _LOWER[np.frombuffer(b"\n".join([*texts, b""]), np.uint8)]
+    if not len(b):
+        return np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3
+    space = (b == 32) | ((b >= 9) & (b <= 13))
+    nxt = np.append(b[1:], np.uint8(0))
+    wide = (b == 0xF0) & (nxt >= 0xA0) & (nxt <= 0xAF)  # ideographs of four bytes
+    three = ((b >= 0xE3) & (b <= 0xE9)) | ((b == 0xE0) & (nxt >= 0xB8) & (nxt <= 0xBB)) | ((b == 0xE1) & (((nxt >= 0x80) & (nxt <= 0x82)) | (nxt == 0x9E) | (nxt == 0x9F)))
+    begins = np.zeros(len(b) + 5, bool)
+    begins[0] = True
+    begins[1 : len(b)] = space[1:] != space[:-1]
+    for lead, n in ((np.flatnonzero(three), 3), (np.flatnonzero(wide), 4)):
+        begins[lead] = begins[lead + n] = True
+    at = np.flatnonzero(begins[: len(b)])
+    end = np.append(at[1:], len(b))
+    inside = np.arange(len(b)) - np.repeat(at, end - at)
+    h = _mixed(np.add.reduceat((b.astype(np.uint64) + np.uint64(1)) * _powers(0x9E3779B97F4A7C15, int(inside.max()) + 1)[inside], at))
+    word = ~space[at]
+    h, at, end = h[word], at[word], end[word]
+    text = np.searchsorted(base, at, "right") - 1
+    before = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
+    return h, text, before[at] - before[base[text]], before[end] - before[base[text]]
+
+
+def fingerprints(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, hash, second hash) of the windows taken from the words of texts."""
+    if len(h) < PASSAGE_WORDS:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+    n, by = len(h) - GRAM + 1, _powers(0xD6E8FEB86659FD93, GRAM)
+    whole = np.zeros(n, np.uint64)
+    for j in range(GRAM):
+        whole += h[j : j + n] * by[j]
+    whole = _mixed(whole)
+    least = np.lib.stride_tricks.sliding_window_view(whole, WIDE).argmin(1) + np.arange(n - WIDE + 1)
+    taken = np.unique(least[text[: len(least)] == text[PASSAGE_WORDS - 1 :]])
+    again = _mixed(h ^ np.uint64(0xA0761D6478BD642F))
+    second = (again[taken[:, None] + np.arange(GRAM)] * _powers(0xE7037ED1A0B428DB, GRAM)).sum(1, dtype=np.uint64)
+    return taken, whole[taken], _mixed(second)
+
+
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return [t or b"" for t in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
+
+
+def _ids(batch: pa.RecordBatch, i: int, rows: np.ndarray) -> pa.Array:
+    return batch.column(i).take(pa.array(rows))
+
+
+def passages(docs: DataFrame, rank: str = "doc_id") -> DataFrame:
+    """(doc_id, start, end, keep_doc_id): windows, the outer ones of a run grown, of stretches of PASSAGE_WORDS words or more that occur earlier."""
+    spark = docs.sparkSession
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col(rank).cast("long").alias("rank"), "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            h, text, _, _ = tokens(_texts(batch))
+            value, times = np.unique(fingerprints(h, text)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times.astype(np.int64))], ["h", "n"])
+
+    twice = written(docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
+    held = spark.sparkContext.broadcast(bitmap.build(twice, "h", twice.count()))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            h, text, start, end = tokens(_texts(batch))
+            at, d1, d2 = fingerprints(h, text)
+            may = bitmap.passes(held.value, d1)
+            at, d1, d2 = at[may], d1[may], d2[may]
+            place = at - np.searchsorted(text, text[at])
+            yield pa.RecordBatch.from_arrays(
+                [_ids(batch, 0, text[at]), _ids(batch, 1, text[at]), *[pa.array(x) for x in (d1.view(np.int64), d2.view(np.int64), place.astype(np.int32), start[at].astype(np.int32), end[at + GRAM - 1].astype(np.int32))]],
+                ["doc_id", "rank", "d1", "d2", "at", "start", "end"])
+
+    found = written(docs.mapInArrow(of, "doc_id long, rank long, d1 long, d2 long, at int, start int, end int"))
+    first = found.groupBy("d1", "d2").agg(F.min(F.struct("rank", "doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # Written, so that both sides of the join are shuffled for it and Spark can split a very common window.
+    first = written(first.select("d1", "d2", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.at").alias("keep_at")))
+    # Within one text, a window that overlaps its own first occurrence stays, as that one would go with it.
+    hits = found.join(first, ["d1", "d2"]).where(f"doc_id <> keep_doc_id or at >= keep_at + {GRAM}").select("doc_id", "d1", "d2", "at", "start", "end", "keep_doc_id", "keep_at").distinct()
+    by_doc = Window.partitionBy("doc_id").orderBy("at", "d1", "d2", "start", "keep_doc_id", "keep_at")  # the repeats of one text
+    hits = hits.withColumn("new", F.when(F.col("at") <= F.lag("at").over(by_doc) + GRAM, 0).otherwise(1))
+    run = Window.partitionBy("doc_id", "run")
+    hits = written(hits.withColumn("run", F.sum("new").over(by_doc)).withColumn("lo", F.min("at").over(run)).withColumn("hi", F.max("at").over(run)))
+    sought = []
+    for outer in (f"at < lo + {WIDE - 1}", f"at > hi - {WIDE - 1}"):
+        wanted = written(hits.where(outer).select(F.col("d1").alias("h")).distinct())
+        sought.append(bitmap.build(wanted, "h", wanted.count()))
+    outer = spark.sparkContext.broadcast(sought)
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """The words beside outer windows: (batch, start and end of words, text, place of the window, side, length, last word, hash of one word more (0: none), hash, second hash)."""
+        for batch in sliced(batches):
+            h, text, start, end = tokens(_texts(batch))
+            every, every_d1, every_d2 = fingerprints(h, text)
+            for side in (0, 1):
+                may = bitmap.passes(outer.value[side], every_d1)
+                at, d1, d2 = every[may], every_d1[may], every_d2[may]
+                word = at[:, None] + (np.arange(WIDE - 1) + GRAM if side else -1 - np.arange(WIDE - 1))
+                there = (word >= 0) & (word < len(h))
+                word = np.where(there, word, 0)
+                there &= text[word] == text[at][:, None]
+                length = np.arange(1, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(side)
+                keys = [_mixed(np.cumsum(_mixed(h[word] ^ np.uint64(salt)) * _powers(base, WIDE - 1), axis=1, dtype=np.uint64) ^ _mixed(d[:, None] + length)) for d, salt, base in (
+                    (d1, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3), (d2, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165))]
+                row, n = np.nonzero(there)
+                further = np.zeros(there.shape, np.uint64)
+                further[:, :-1] = np.where(there[:, 1:], keys[0][:, 1:], 0)
+                yield batch, start, end, text[at[row]], at[row] - np.searchsorted(text, text[at[row]]), side, n + 1, word[row, n], further[row, n], keys[0][row, n], keys[1][row, n]
+
+    def count_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in beside(batches):
+            order = np.argsort(found[-2])
+            h, further = found[-2][order], found[-3][order].view(np.int64)
+            at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
+            lo, hi = (np.minimum.reduceat(further, at), np.maximum.reduceat(further, at)) if len(h) else (further, further)
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.diff(np.append(at, len(h)))), pa.array(lo), pa.array(hi)], ["h", "n", "lo", "hi"])
+
+    # Where all that share some words share the next one too, the longer stretch alone is enough.
+    alike = docs.mapInArrow(count_beside, "h long, n long, lo long, hi long").groupBy("h").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    alike = written(alike.where("n > 1 and (lo <> hi or lo = 0)").select("h"))
+    shared = spark.sparkContext.broadcast(bitmap.build(alike, "h", alike.count()))
+
+    def of_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, start, end, text, place, side, n, word, _, k1, k2 in beside(batches):
+            may = bitmap.passes(shared.value, k1)
+            text, place, n, word, k1, k2 = text[may], place[may], n[may], word[may], k1[may], k2[may]
+            yield pa.RecordBatch.from_arrays(
+                [_ids(batch, 0, text), _ids(batch, 1, text), *[pa.array(x.astype(np.int32)) for x in (place, np.full(len(n), side), n, (end if side else start)[word])], pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))],
+                ["doc_id", "rank", "at", "side", "more", "char", "k1", "k2"])
+
+    near = written(docs.mapInArrow(of_beside, "doc_id long, rank long, at int, side int, more int, char int, k1 long, k2 long"))
+    origin = near.groupBy("k1", "k2").agg(F.min(F.struct("rank", "doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    origin = written(origin.select("k1", "k2", F.col("first.doc_id").alias("from_id"), F.col("first.at").alias("from_at")))
+    # Within one text neither occurrence grows into the other.
+    most = near.join(origin, ["k1", "k2"]).where(f"doc_id <> from_id or at >= from_at + {GRAM} + more").groupBy("doc_id", "at").agg(
+        *[F.max(F.when(F.col("side") == i, F.struct("more", "char"))).alias(name) for i, name in ((0, "left"), (1, "right"))])
+    grown = hits.join(most, ["doc_id", "at"], "left").withColumn("first_word", F.col("at") - F.coalesce("left.more", F.lit(0))).withColumn("last_word", F.col("at") + F.coalesce("right.more", F.lit(0)) + GRAM)
+    grown = grown.withColumn("words", F.max("last_word").over(run) - F.min("first_word").over(run))
+    return grown.where(F.col("words") >= PASSAGE_WORDS).select("doc_id", F.coalesce("left.char", "start").alias("start"), F.coalesce("right.char", "end").alias("end"), "keep_doc_id")
+
+
 def spans(docs: DataFrame, rank: str = "doc_id") -> DataFrame:
     """(doc_id, span_start, span_end, n_units, kept_in): stretches to remove, in code points; kept_in: where they stay."""
     by_doc = Window.partitionBy("doc_id")  # the repeats of one text
@@ -114,7 +282,7 @@ def spans(docs: DataFrame, rank: str = "doc_id") -> DataFrame:
     sentences = dup.where("line < 2").withColumn("run", F.col("ordinal") - F.row_number().over(by_doc.orderBy("ordinal")))
     sentences = sentences.withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "run")))
     gone = sentences.where((F.col("run_words") >= RUN_WORDS) | (F.col("line") == 1)).select("doc_id", "start", "end", "keep_doc_id").union(
-        dup.where("line = 2").select("doc_id", "start", "end", "keep_doc_id"))
+        dup.where("line = 2").select("doc_id", "start", "end", "keep_doc_id")).union(passages(docs, rank))
     # Stretches that touch or overlap, but for a line end between them, are one.
     before = F.max("end").over(by_doc.orderBy("start", "end", "keep_doc_id").rowsBetween(Window.unboundedPreceding, -1))
     gone = gone.withColumn("new", F.when(F.col("start") <= before + 1, 0).otherwise(1))

@@ -142,6 +142,26 @@ def test_passages_inside_lines_are_cut_and_clean_documents_stay(spark, prose):
     assert all("more than fifty words" not in out[i].text and out[i].n_chars == len(out[i].text) for i in (1, 2, 3, 4))
 
 
+def test_passages_that_begin_and_end_inside_sentences_are_cut(spark):
+    r = random.Random(9)
+    words = lambda n: [r.choice("bcdfglmn") + r.choice("aeiou") + str(r.randrange(10**6)) for _ in range(n)]
+    whole = words(300)
+    texts, want, at = {0: " ".join(words(7) + whole + words(9))}, {}, 0
+    for i, n in enumerate([49, 50, 51, 64, 75, 120, 300], 1):
+        at, own = r.randrange(301 - n), [" ".join(words(n)) for n in (r.randrange(1, 90), r.randrange(1, 90))]
+        passage = " ".join(whole[at : at + n])
+        texts[i] = f"é {own[0]} {passage.upper()}  {own[1]}."
+        if n >= 50:
+            want[i] = (len(own[0]) + 3, len(own[0]) + 3 + len(passage))
+    signs = "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(80))
+    texts |= {20: "甲乙" + signs + "丙。", 21: "丁戊己" + signs + "庚。"}
+    want[21] = (3, 83)
+    rows = substring_dedup.spans(documents(spark, texts)).collect()
+    assert {x.doc_id: (x.span_start, x.span_end) for x in rows if x.doc_id != 21} == {i: v for i, v in want.items() if i != 21}
+    signs_cut = [(x.span_start, x.span_end) for x in rows if x.doc_id == 21]
+    assert signs_cut == [want[21]]
+
+
 def test_dedup_edges(spark, prose):
     t = prose(60, 1)
     df = documents(spark, {1: t, 2: None}).union(documents(spark, {1: t})).union(documents(spark, {3: t}).withColumn("doc_id", F.lit(None).cast("long")))
