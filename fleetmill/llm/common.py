@@ -58,11 +58,12 @@ def semi_by_id(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFram
     return docs.join(checked_broadcast(ids, ids.count()), key, "left_semi")
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches in smaller pieces, so that a task holds few texts at once."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller pieces, of about so many rows and bytes at most, so that a task holds few texts at once."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def ascii_lower(text: Column) -> Column:
