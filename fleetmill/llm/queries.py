@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from . import byte_bpe, class_lm, decontaminate, html_extract, jaccard_join, license_scan, quality_rules, substring_dedup, url_filters, warc_audit
 from .common import table, written
 
+#: Repeated lines of fewer words stay, and so do runs of repeated sentences: formulas that unlike texts share by chance.
+SUBSTRING_SIZES = {"min_words": 5, "run_words": 20}
+
 #: Rules of the URL query: (verdict, host, start of the path).
 URL_RULES = [
     ("block", "com", "en/"), ("allow", "example.com", "en/7"), ("block", "net", "de/"),
@@ -92,7 +95,7 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return substring_dedup.spans(table(spark, sf_dir, "documents").select("doc_id", "text"), **SUBSTRING_SIZES)
 
 
 QUERIES = {f.__name__: f for f in (

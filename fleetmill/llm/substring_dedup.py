@@ -2,9 +2,9 @@
 
 Units are whole lines and, in lines of several sentences, each sentence (passages often start in the middle of a line,
 where hashes of lines alone can't find them). A unit is normalised (A-Z lower-cased, white space runs to one space) and
-hashed with 128 bits. Of equal units the earliest by (rank, place in the text) is kept. A later whole line goes if it
-has MIN_WORDS or more; later sentences go where a run of them side by side has RUN_WORDS or more, so that short
-sentences that are alike by chance stay. Sentences of fewer than MIN_WORDS words neither count nor part a run.
+hashed with 128 bits. Of equal units the earliest by (rank, id, place in the text) is kept. A later whole line goes if
+it has min_words or more; later sentences go where a run of them side by side has run_words or more. Sentences of fewer
+than min_words words neither count nor part a run. Both are 1 unless given: every repeated line and sentence goes.
 
 Passages that begin or end inside a sentence are found by fingerprints: of each WIDE windows of GRAM words side by side
 the one with the least hash is taken, so equal stretches of PASSAGE_WORDS words have one in common wherever they start.
@@ -16,9 +16,10 @@ more go. In scripts without blanks each character counts as a word.
 First 64-bit hashes are counted; only units whose hash may be repeated (a bounded Bloom filter) are then grouped by
 their 128 bits, with partial aggregation, and joined back (a join that Spark can split if a unit is very common).
 
-Defined cases: null or blank texts have no units; a repeated doc_id with an equal text has the same units at the same
-place, which are one occurrence; a row without doc_id is never changed and keeps nothing; an empty table gives an
-empty result; other columns are ignored here and kept by removed().
+Defined cases: null or blank texts have no units; a row is known by its doc_id and the hash of its text, so rows that
+share an id keep apart, and rows that repeat both have the same units at the same place, which are one occurrence; a
+row without doc_id is never changed and keeps nothing; a row without rank comes last; an empty table gives an empty
+result; other columns are ignored here and kept by removed().
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 from . import bitmap
 from .common import checked_broadcast, sliced, written
 
-MIN_WORDS, RUN_WORDS = 5, 20
+#: What a row is known by; text_key is a hash of its text.
+ROW = ["doc_id", "text_key"]
 
 #: Words of a window; windows of which one is taken; words of a stretch that surely holds a taken window.
 GRAM, WIDE = 26, 25
@@ -47,13 +49,19 @@ _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8
 _PIECE = re.compile(r".*?[.!?]+[ \t]+|.+")
 
 
-def _digest(piece: str) -> tuple[int, int]:
+def _digest(piece: str, min_words: int) -> tuple[int, int]:
     """(hash, number of words) of a normalised unit."""
     w = piece.encode().lower().split()
-    return (xxhash.xxh3_128_intdigest(b" ".join(w)), len(w)) if len(w) >= MIN_WORDS else (0, len(w))
+    return (xxhash.xxh3_128_intdigest(b" ".join(w)), len(w)) if len(w) >= min_words else (0, len(w))
 
 
-def units(text: str | None) -> list[tuple[int, int, int, int, int, int]]:
+def _keyed(docs: DataFrame, rank: str) -> DataFrame:
+    """(doc_id, text_key, rank, text) of the rows that have an id."""
+    last = F.lit((1 << 63) - 1)
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.coalesce(F.col(rank).cast("long"), last).alias("rank"), "text")
+
+
+def units(text: str | None, min_words: int = 1) -> list[tuple[int, int, int, int, int, int]]:
     """(128-bit hash, words, start, end, ordinal, line) of the hashed units; line: 1 for a whole line, else 0.
 
     Ordinals count the hashed sentences of the text; a line of several has the ordinal of its first one and line 2,
@@ -63,18 +71,18 @@ def units(text: str | None) -> list[tuple[int, int, int, int, int, int]]:
     for line in (text or "").split("\n"):
         pieces = _PIECE.findall(line)
         if len(pieces) == 1:
-            h, n = _digest(line)
-            if n >= MIN_WORDS:
+            h, n = _digest(line, min_words)
+            if n >= min_words:
                 out.append((h, n, at, at + len(line), ordinal, 1))
                 ordinal += 1
         elif pieces:
-            h, n = _digest(line)
-            if n >= MIN_WORDS:
+            h, n = _digest(line, min_words)
+            if n >= min_words:
                 out.append((h, n, at, at + len(line), ordinal, 2))
             start = at
             for piece in pieces:
-                h, n = _digest(piece)
-                if n >= MIN_WORDS:
+                h, n = _digest(piece, min_words)
+                if n >= min_words:
                     out.append((h, n, start, start + len(piece), ordinal, 0))
                     ordinal += 1
                 start += len(piece)
@@ -86,14 +94,14 @@ def _hashes(found: list[tuple]) -> np.ndarray:
     return np.fromiter((u[0] & 0xFFFFFFFFFFFFFFFF for u in found), np.uint64, len(found))
 
 
-def repeats(docs: DataFrame, rank: str = "doc_id") -> DataFrame:
-    """(doc_id, start, end, words, ordinal, line, keep_doc_id): units of docs (doc_id, text) that occur earlier."""
+def repeats(docs: DataFrame, rank: str = "doc_id", min_words: int = 1) -> DataFrame:
+    """(doc_id, text_key, start, end, words, ordinal, line, keep_doc_id): units of docs (doc_id, text) that occur earlier."""
     spark = docs.sparkSession
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col(rank).cast("long").alias("rank"), "text")
+    docs = _keyed(docs, rank)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            parts = [_hashes(units(t)) for t in batch.column(2).to_pylist()]
+            parts = [_hashes(units(t, min_words)) for t in batch.column(3).to_pylist()]
             value, times = np.unique(np.concatenate(parts) if parts else np.empty(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times.astype(np.int64))], ["h", "n"])
 
@@ -102,22 +110,22 @@ def repeats(docs: DataFrame, rank: str = "doc_id") -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            cols: list[list] = [[] for _ in range(9)]
-            for doc, rank, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                found = units(text)
+            cols: list[list] = [[] for _ in range(10)]
+            for doc, key, rank, text in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                found = units(text, min_words)
                 for i in np.flatnonzero(bitmap.passes(held.value, _hashes(found))).tolist():
                     h, n, start, end, ordinal, line = found[i]
-                    for c, v in zip(cols, (doc, rank, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), n, start, end, ordinal, line), strict=True):
+                    for c, v in zip(cols, (doc, key, rank, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), n, start, end, ordinal, line), strict=True):
                         c.append(v)
-            kinds = [pa.int64()] * 4 + [pa.int32()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "rank", "d1", "d2", "words", "start", "end", "ordinal", "line"])
+            kinds = [pa.int64()] * 5 + [pa.int32()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [*ROW, "rank", "d1", "d2", "words", "start", "end", "ordinal", "line"])
 
-    found = written(docs.mapInArrow(of, "doc_id long, rank long, d1 long, d2 long, words int, start int, end int, ordinal int, line int"))
-    first = found.groupBy("d1", "d2").agg(F.min(F.struct("rank", "doc_id", "start", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    found = written(docs.mapInArrow(of, "doc_id long, text_key long, rank long, d1 long, d2 long, words int, start int, end int, ordinal int, line int"))
+    first = found.groupBy("d1", "d2").agg(F.min(F.struct("rank", *ROW, "start", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
     # Written, so that both sides of the join are shuffled for it and Spark can split a very common unit.
-    first = written(first.select("d1", "d2", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start")))
-    return found.join(first, ["d1", "d2"]).where((F.col("doc_id") != F.col("keep_doc_id")) | (F.col("start") != F.col("keep_start"))).select(
-        "doc_id", "start", "end", "words", "ordinal", "line", "keep_doc_id").distinct()
+    first = written(first.select("d1", "d2", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.text_key").alias("keep_key"), F.col("first.start").alias("keep_start")))
+    return found.join(first, ["d1", "d2"]).where("doc_id <> keep_doc_id or text_key <> keep_key or start <> keep_start").select(
+        *ROW, "start", "end", "words", "ordinal", "line", "keep_doc_id").distinct()
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -178,14 +186,15 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
 
 
-def _ids(batch: pa.RecordBatch, i: int, rows: np.ndarray) -> pa.Array:
-    return batch.column(i).take(pa.array(rows))
+def _ids(batch: pa.RecordBatch, rows: np.ndarray) -> list[pa.Array]:
+    """doc_id, text_key and rank of the rows."""
+    return [batch.column(i).take(pa.array(rows)) for i in range(3)]
 
 
 def passages(docs: DataFrame, rank: str = "doc_id") -> DataFrame:
-    """(doc_id, start, end, keep_doc_id): windows, the outer ones of a run grown, of stretches of PASSAGE_WORDS words or more that occur earlier."""
+    """(doc_id, text_key, start, end, keep_doc_id): windows, the outer ones of a run grown, of stretches of PASSAGE_WORDS words or more that occur earlier."""
     spark = docs.sparkSession
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col(rank).cast("long").alias("rank"), "text")
+    docs = _keyed(docs, rank)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -204,18 +213,18 @@ def passages(docs: DataFrame, rank: str = "doc_id") -> DataFrame:
             at, d1, d2 = at[may], d1[may], d2[may]
             place = at - np.searchsorted(text, text[at])
             yield pa.RecordBatch.from_arrays(
-                [_ids(batch, 0, text[at]), _ids(batch, 1, text[at]), *[pa.array(x) for x in (d1.view(np.int64), d2.view(np.int64), place.astype(np.int32), start[at].astype(np.int32), end[at + GRAM - 1].astype(np.int32))]],
-                ["doc_id", "rank", "d1", "d2", "at", "start", "end"])
+                [*_ids(batch, text[at]), *[pa.array(x) for x in (d1.view(np.int64), d2.view(np.int64), place.astype(np.int32), start[at].astype(np.int32), end[at + GRAM - 1].astype(np.int32))]],
+                [*ROW, "rank", "d1", "d2", "at", "start", "end"])
 
-    found = written(docs.mapInArrow(of, "doc_id long, rank long, d1 long, d2 long, at int, start int, end int"))
-    first = found.groupBy("d1", "d2").agg(F.min(F.struct("rank", "doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    found = written(docs.mapInArrow(of, "doc_id long, text_key long, rank long, d1 long, d2 long, at int, start int, end int"))
+    first = found.groupBy("d1", "d2").agg(F.min(F.struct("rank", *ROW, "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
     # Written, so that both sides of the join are shuffled for it and Spark can split a very common window.
-    first = written(first.select("d1", "d2", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.at").alias("keep_at")))
+    first = written(first.select("d1", "d2", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.text_key").alias("keep_key"), F.col("first.at").alias("keep_at")))
     # Within one text, a window that overlaps its own first occurrence stays, as that one would go with it.
-    hits = found.join(first, ["d1", "d2"]).where(f"doc_id <> keep_doc_id or at >= keep_at + {GRAM}").select("doc_id", "d1", "d2", "at", "start", "end", "keep_doc_id", "keep_at").distinct()
-    by_doc = Window.partitionBy("doc_id").orderBy("at", "d1", "d2", "start", "keep_doc_id", "keep_at")  # the repeats of one text
+    hits = found.join(first, ["d1", "d2"]).where(f"doc_id <> keep_doc_id or text_key <> keep_key or at >= keep_at + {GRAM}").select(*ROW, "d1", "d2", "at", "start", "end", "keep_doc_id", "keep_at").distinct()
+    by_doc = Window.partitionBy(*ROW).orderBy("at", "d1", "d2", "start", "keep_doc_id", "keep_at")  # the repeats of one text
     hits = hits.withColumn("new", F.when(F.col("at") <= F.lag("at").over(by_doc) + GRAM, 0).otherwise(1))
-    run = Window.partitionBy("doc_id", "run")
+    run = Window.partitionBy(*ROW, "run")
     hits = written(hits.withColumn("run", F.sum("new").over(by_doc)).withColumn("lo", F.min("at").over(run)).withColumn("hi", F.max("at").over(run)))
     sought = []
     for outer in (f"at < lo + {WIDE - 1}", f"at > hi - {WIDE - 1}"):
@@ -261,43 +270,48 @@ def passages(docs: DataFrame, rank: str = "doc_id") -> DataFrame:
             may = bitmap.passes(shared.value, k1)
             text, place, n, word, k1, k2 = text[may], place[may], n[may], word[may], k1[may], k2[may]
             yield pa.RecordBatch.from_arrays(
-                [_ids(batch, 0, text), _ids(batch, 1, text), *[pa.array(x.astype(np.int32)) for x in (place, np.full(len(n), side), n, (end if side else start)[word])], pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))],
-                ["doc_id", "rank", "at", "side", "more", "char", "k1", "k2"])
+                [*_ids(batch, text), *[pa.array(x.astype(np.int32)) for x in (place, np.full(len(n), side), n, (end if side else start)[word])], pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))],
+                [*ROW, "rank", "at", "side", "more", "char", "k1", "k2"])
 
-    near = written(docs.mapInArrow(of_beside, "doc_id long, rank long, at int, side int, more int, char int, k1 long, k2 long"))
-    origin = near.groupBy("k1", "k2").agg(F.min(F.struct("rank", "doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    origin = written(origin.select("k1", "k2", F.col("first.doc_id").alias("from_id"), F.col("first.at").alias("from_at")))
+    near = written(docs.mapInArrow(of_beside, "doc_id long, text_key long, rank long, at int, side int, more int, char int, k1 long, k2 long"))
+    origin = near.groupBy("k1", "k2").agg(F.min(F.struct("rank", *ROW, "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    origin = written(origin.select("k1", "k2", F.col("first.doc_id").alias("from_id"), F.col("first.text_key").alias("from_key"), F.col("first.at").alias("from_at")))
     # Within one text neither occurrence grows into the other.
-    most = near.join(origin, ["k1", "k2"]).where(f"doc_id <> from_id or at >= from_at + {GRAM} + more").groupBy("doc_id", "at").agg(
+    most = near.join(origin, ["k1", "k2"]).where(f"doc_id <> from_id or text_key <> from_key or at >= from_at + {GRAM} + more").groupBy(*ROW, "at").agg(
         *[F.max(F.when(F.col("side") == i, F.struct("more", "char"))).alias(name) for i, name in ((0, "left"), (1, "right"))])
-    grown = hits.join(most, ["doc_id", "at"], "left").withColumn("first_word", F.col("at") - F.coalesce("left.more", F.lit(0))).withColumn("last_word", F.col("at") + F.coalesce("right.more", F.lit(0)) + GRAM)
+    grown = hits.join(most, [*ROW, "at"], "left").withColumn("first_word", F.col("at") - F.coalesce("left.more", F.lit(0))).withColumn("last_word", F.col("at") + F.coalesce("right.more", F.lit(0)) + GRAM)
     grown = grown.withColumn("words", F.max("last_word").over(run) - F.min("first_word").over(run))
-    return grown.where(F.col("words") >= PASSAGE_WORDS).select("doc_id", F.coalesce("left.char", "start").alias("start"), F.coalesce("right.char", "end").alias("end"), "keep_doc_id")
+    return grown.where(F.col("words") >= PASSAGE_WORDS).select(*ROW, F.coalesce("left.char", "start").alias("start"), F.coalesce("right.char", "end").alias("end"), "keep_doc_id")
 
 
-def spans(docs: DataFrame, rank: str = "doc_id") -> DataFrame:
-    """(doc_id, span_start, span_end, n_units, kept_in): stretches to remove, in code points; kept_in: where they stay."""
-    by_doc = Window.partitionBy("doc_id")  # the repeats of one text
-    dup = repeats(docs, rank)
+def _spans(docs: DataFrame, rank: str, min_words: int, run_words: int) -> DataFrame:
+    """spans() with text_key."""
+    by_doc = Window.partitionBy(*ROW)  # the repeats of one text
+    dup = repeats(docs, rank, min_words)
     sentences = dup.where("line < 2").withColumn("run", F.col("ordinal") - F.row_number().over(by_doc.orderBy("ordinal")))
-    sentences = sentences.withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "run")))
-    gone = sentences.where((F.col("run_words") >= RUN_WORDS) | (F.col("line") == 1)).select("doc_id", "start", "end", "keep_doc_id").union(
-        dup.where("line = 2").select("doc_id", "start", "end", "keep_doc_id")).union(passages(docs, rank))
+    sentences = sentences.withColumn("run_words", F.sum("words").over(Window.partitionBy(*ROW, "run")))
+    place = [*ROW, "start", "end", "keep_doc_id"]
+    gone = sentences.where((F.col("run_words") >= run_words) | (F.col("line") == 1)).select(*place).union(dup.where("line = 2").select(*place)).union(passages(docs, rank).select(*place))
     # Stretches that touch or overlap, but for a line end between them, are one.
     before = F.max("end").over(by_doc.orderBy("start", "end", "keep_doc_id").rowsBetween(Window.unboundedPreceding, -1))
     gone = gone.withColumn("new", F.when(F.col("start") <= before + 1, 0).otherwise(1))
     gone = gone.withColumn("island", F.sum("new").over(by_doc.orderBy("start", "end", "keep_doc_id").rowsBetween(Window.unboundedPreceding, 0)))
-    return gone.groupBy("doc_id", "island").agg(
+    return gone.groupBy(*ROW, "island").agg(
         F.min("start").cast("long").alias("span_start"), F.max("end").cast("long").alias("span_end"), F.count("*").alias("n_units"),
         F.array_sort(F.collect_set("keep_doc_id")).alias("kept_in")).drop("island")
 
 
-def removed(docs: DataFrame, rank: str = "doc_id") -> DataFrame:
+def spans(docs: DataFrame, rank: str = "doc_id", min_words: int = 1, run_words: int = 1) -> DataFrame:
+    """(doc_id, span_start, span_end, n_units, kept_in): stretches to remove, in code points; kept_in: where they stay."""
+    return _spans(docs, rank, min_words, run_words).drop("text_key")
+
+
+def removed(docs: DataFrame, rank: str = "doc_id", min_words: int = 1, run_words: int = 1) -> DataFrame:
     """docs with the spans cut out of text, and n_chars, if there, set anew; every row stays."""
-    cuts = spans(docs.select(*dict.fromkeys(["doc_id", rank, "text"])), rank).groupBy("doc_id").agg(
+    cuts = _spans(docs.select(*dict.fromkeys(["doc_id", rank, "text"])), rank, min_words, run_words).groupBy(*ROW).agg(
         F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias("__cuts"))  # of one text
-    cuts = written(cuts)
-    rows = docs.join(checked_broadcast(cuts, cuts.count(), 100_000), "doc_id", "left")
+    cuts = written(cuts.withColumnsRenamed({"doc_id": "__id", "text_key": "__key"}))
+    rows = docs.join(checked_broadcast(cuts, cuts.count(), 100_000), (docs.doc_id == F.col("__id")) & (F.xxhash64(docs.text) == F.col("__key")), "left")
     c, t = F.col("__cuts"), F.col("text")
     start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(c, i - 1)["span_end"])
     end = lambda i: F.when(i == F.size(c), F.length(t)).otherwise(F.get(c, i)["span_start"])
