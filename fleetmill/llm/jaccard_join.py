@@ -9,8 +9,10 @@ shingles, linked sets share one of the first n - ceil(n * num / den) + 1 shingle
 3. Classes with the same prefix and size form a group. In each bucket (groups that share a prefix shingle) all are
    compared with the bucket's first member, and in each group all with the group's: links that join most of a
    family of near copies, in a number of comparisons that follows its size.
-4. Buckets that still hold more than one component: their groups are expanded, and all pairs of members in
-   different components compared. Pairs in one component need no link: they are reachable already.
+4. Buckets that still hold more than one component: pairs of their groups are filtered, by sizes and by the bits that
+   all or none of a group's sketches have. Only groups of the pairs that are left are expanded, and members in
+   different components compared. Pairs in one component need no link for the components: they are reachable already.
+   links() leaves this rule out and so finds every link between different sets.
 5. Every comparison is by exact sets. Before it, sizes and sketches rule out what can't reach the threshold: bits in
    which two parity sketches differ are at most the shingles in which the sets differ. A short sketch of fixed length
    goes with the bucket rows, a long one (a bit or more for each shingle) is looked at pair by pair; a sketch of twice
@@ -24,6 +26,7 @@ component; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -150,11 +153,18 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, k: int, num: i
     return written(pairs.join(left, "a").join(right, "b").where(both * (den + num) >= (F.size("sa") + F.size("sb")) * num).select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id), a row for each of docs (doc_id, text).
+class _Candidates(NamedTuple):
+    """What steps 1 to 3 make: features of all rows, classes of equal sets, a row for each class, groups, and groups by prefix shingle."""
 
-    class_id: the least doc_id with the same set; component_id: the least doc_id that links reach.
-    """
+    every: DataFrame
+    classes: DataFrame
+    rows: DataFrame
+    groups: DataFrame
+    n_groups: int
+    bucketed: DataFrame
+
+
+def _candidates(docs: DataFrame, k: int, num: int, den: int) -> _Candidates:
     if 2 * num < den:
         raise ValueError("the threshold must be 1/2 or more")
     every = written(features(docs, k, num, den))
@@ -168,31 +178,78 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     first = groups.select(F.col("g").alias("doc_id"), "n", "p")
     tokens = rows.join(checked_broadcast(first, n_groups, HEADS), ["doc_id", "n", "p"], "left_semi").select(F.col("doc_id").alias("g"), F.explode("prefix").alias("t"))
     shared = tokens.groupBy("t").agg(F.min("g").alias("hub"), F.count("*").alias("groups")).where("groups > 1").select("t", "hub")
-    bucketed = written(tokens.join(shared, "t"))
+    return _Candidates(every, classes, rows, groups, n_groups, written(tokens.join(shared, "t")))
+
+
+def _group_pairs(buckets: DataFrame, within: DataFrame, spread: DataFrame, n_groups: int, num: int, den: int) -> DataFrame:
+    """Pairs (g, h) of groups that share a bucket (t, g), or one of within with itself, and whose members may link: distinct.
+
+    spread: (g, n, lo, hi, all_bits, any_bits). Groups that are all of one component are no pair.
+    """
+    wide = buckets.join(checked_broadcast(spread, n_groups, HEADS // 8), "g")
+    a, b = wide.alias("x"), wide.alias("y")
+    differ = F.lit(0)
+    bits = lambda side, name, i: F.coalesce(F.col(f"{side}.any_bits"), F.col(f"{side}.all_bits"))[i] if name == "any" else F.col(f"{side}.all_bits")[i]
+    for i in range(SKETCH):  # bits that all of one group and none of the other have
+        differ = differ + F.bit_count(bits("x", "all", i).bitwiseAND(F.bitwise_not(bits("y", "any", i)))) + F.bit_count(bits("y", "all", i).bitwiseAND(F.bitwise_not(bits("x", "any", i))))
+    n, m = F.col("x.n"), F.col("y.n")
+    apart = F.least("x.lo", "y.lo") < F.greatest("x.hi", "y.hi")
+    pairs = a.join(b, (F.col("x.t") == F.col("y.t")) & (F.col("x.g") < F.col("y.g")) & apart & (n * den >= m * num) & (m * den >= n * num) & (differ * (den + num) <= (n + m) * (den - num)))
+    return pairs.select(F.col("x.g").alias("g"), F.col("y.g").alias("h")).distinct().union(within.select("g", F.col("g").alias("h")))
+
+
+def _expanded(pairs: DataFrame, member: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of members of the pairs of groups, in different components, that their own sketches don't rule out."""
+    x, y = (member.select(F.col("g").alias(key), F.struct("doc_id", "n", "sketch", "c").alias(name)) for key, name in (("g", "x"), ("h", "y")))
+    both = pairs.join(x, "g").join(y, "h")
+    return both.where((F.col("x.c") != F.col("y.c")) & ((F.col("g") < F.col("h")) | (F.col("x.doc_id") < F.col("y.doc_id"))) & _may_link("x", "y", num, den)).select(
+        F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+
 
+def _spread(member: DataFrame) -> DataFrame:
+    """A row for each group: size, least and greatest component, and the sketch bits that all (and, for more than one member, that any) have."""
+    all_bits, any_bits = (F.array(*[f(F.col("sketch")[i]) for i in range(SKETCH)]) for f in (F.bit_and, F.bit_or))
+    return written(member.groupBy("g").agg(F.first("n").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), all_bits.alias("all_bits"), F.when(F.count("*") > 1, any_bits).alias("any_bits")))
+
+
+def links(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame]:
+    """((a, b), (doc_id, class_id)): all links between different sets as pairs a < b of class ids, and every document's class.
+
+    The pairs of a family of m unlike near copies are m * (m - 1) / 2; near_duplicates() needs about m comparisons.
+    """
+    c = _candidates(docs, k, num, den)
+    member = written(c.rows.join(checked_broadcast(c.groups, c.n_groups, HEADS), ["n", "p"]).select("doc_id", "n", "g", "sketch", F.col("doc_id").alias("c")))
+    spread = _spread(member)
+    pairs = _group_pairs(c.bucketed.select("t", "g"), spread.where("lo < hi"), spread, c.n_groups, num, den)
+    found = _verified(_expanded(pairs, member, num, den), c.rows, docs, k, num, den)
+    return found, c.every.where("n > 0").join(c.classes.select("n", "d1", "d2", "class_id"), ["n", "d1", "d2"]).select("doc_id", "class_id")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id), a row for each of docs (doc_id, text).
+
+    class_id: the least doc_id with the same set; component_id: the least doc_id that links reach.
+    """
+    every, classes, rows, groups, n_groups, bucketed = _candidates(docs, k, num, den)
     star = bucketed.select(F.col("hub").alias("a"), F.col("g").alias("b")).where("a <> b").distinct()
     larger = written(groups.where("members > 1").select("n", "p", "g"))
     own = rows.select("doc_id", "n", "p").join(checked_broadcast(larger, larger.count()), ["n", "p"]).select(F.col("g").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     star = star.union(own).distinct()
     side = lambda name, key: rows.select(F.col("doc_id").alias(key), F.struct("n", "sketch").alias(name))
     star = star.join(side("x", "a"), "a").join(side("y", "b"), "b").where(_may_link("x", "y", num, den)).select("a", "b").distinct()
-    links = _verified(star, rows, docs, k, num, den)
-    label = components(links)
+    near = _verified(star, rows, docs, k, num, den)
+    label = components(near)
 
     # Buckets, and groups as buckets of their own, with members in more than one component.
     member = rows.join(label.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").select(
         "doc_id", "n", "p", "sketch", F.coalesce("c", "doc_id").alias("c"))
     member = written(member.join(checked_broadcast(groups, n_groups, HEADS), ["n", "p"]).select("doc_id", "n", "g", "sketch", "c"))
-    spread = written(member.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")))
-    by_token = bucketed.select("t", "g").join(checked_broadcast(spread, n_groups, HEADS), "g")
+    spread = _spread(member)
+    by_token = bucketed.select("t", "g").join(checked_broadcast(spread.select("g", "lo", "hi"), n_groups, HEADS), "g")
     open_t = written(by_token.groupBy("t").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("t"))
-    open_tokens = bucketed.select("t", "g").join(checked_broadcast(open_t, open_t.count()), "t", "left_semi")
-    open_groups = spread.where("lo < hi").select(F.xxhash64("g").alias("t"), "g")
-    wide = written(open_tokens.union(open_groups).join(member, "g").select("t", "doc_id", "n", "c", "sketch"))
-    x, y = wide.alias("x"), wide.alias("y")
-    cross = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.c") < F.col("y.c")) & _may_link("x", "y", num, den)).select(
-        F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-    rest = _verified(cross, rows, docs, k, num, den)
+    open_tokens = written(bucketed.select("t", "g").join(checked_broadcast(open_t, open_t.count()), "t", "left_semi"))
+    pairs = written(_group_pairs(open_tokens, spread.where("lo < hi"), spread, n_groups, num, den))
+    rest = _verified(_expanded(pairs, member, num, den), rows, docs, k, num, den)
     more = rest.join(label.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(
         label.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     over = components(more).select(F.col("node").alias("c"), F.col("component").alias("oc"))
@@ -209,11 +266,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """docs with one document (the least doc_id) of each component of near duplicates.
 
-    Of rows that repeat a doc_id one stays; rows without doc_id all stay.
+    Rows that repeat a doc_id but not its text are documents of their own, of which others come first; of rows that
+    repeat both, one counts. Rows without doc_id all stay.
     """
-    found = written(near_duplicates(docs.select("doc_id", "text"), k, num, den).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")).where("doc_id is not null"))
-    left = anti_by_id(docs, written(found.where("c <> doc_id").select("doc_id")))
-    again = written(found.where("n > 1 and c = doc_id").select("doc_id"))
+    again = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
-        return left
-    return anti_by_id(left, again).unionByName(semi_by_id(left, again).dropDuplicates(["doc_id"]))
+        found = near_duplicates(docs.select("doc_id", "text"), k, num, den)
+        return anti_by_id(docs, written(found.where("doc_id <> component_id").select("doc_id")))
+    beyond = docs.agg(F.max("doc_id")).first()[0] + 1
+    twice = written(semi_by_id(docs, again).dropDuplicates(["doc_id", "text"]).withColumn("__own", F.monotonically_increasing_id() + F.lit(beyond)))
+    rows = written(anti_by_id(docs, again).withColumn("__own", F.col("doc_id").cast("long")).unionByName(twice))
+    found = near_duplicates(rows.select(F.col("__own").alias("doc_id"), "text"), k, num, den)
+    return anti_by_id(rows, written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__own"))), "__own").drop("__own")
