@@ -1,12 +1,15 @@
 """Jaccard join, substring dedup, decontamination, class LM, licence scan, WARC audit, pipeline: edge cases and brute force."""
 
+import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
@@ -66,6 +69,40 @@ def test_components_match_brute_force(spark, prose, k, num, den):
     assert got == brute_components(texts, k, num, den)
 
 
+def shingle_sets(texts, k):
+    words = {i: (t or "").encode().lower().split() for i, t in texts.items()}
+    return {i: frozenset(tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))) for i, w in words.items() if w}
+
+
+@pytest.mark.parametrize(("k", "num", "den"), [(3, 9, 10), (5, 4, 5)])
+def test_all_links_match_brute_force(spark, prose, k, num, den):
+    texts = dict(enumerate([None, "", "one", "ONE", "one two", *near_copies(prose, k, 4, 9), *[prose(60, 50 + i) + " " + prose(80, 9) for i in range(12)]]))
+    sets = shingle_sets(texts, k)
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    heads = sorted(first.values())
+    want = {(a, b) for x, a in enumerate(heads) for b in heads[x + 1 :] if den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])}
+    pairs, classes = jaccard_join.links(documents(spark, texts), k, num, den)
+    assert {(r.a, r.b) for r in pairs.collect()} == want and len(want) > 5
+    assert {r.doc_id: r.class_id for r in classes.collect()} == {i: first[x] for i, x in sets.items()}
+
+
+def test_shared_boilerplate_makes_no_links(spark, prose):
+    """Many texts with one long passage in common, each with as much of its own: candidates in one bucket, no link."""
+    shared = prose(60, 9)
+    texts = {i: f"{shared} {prose(60, 1000 + i)}" for i in range(2000)}
+    texts |= {5000 + i: texts[i] + " end" for i in range(0, 2000, 100)}
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(documents(spark, texts), 5, 4, 5).collect()}
+    assert got == {i: i - 5000 if i >= 5000 else i for i in texts}
+
+
+def test_one_of_each_keeps_unlike_texts_of_one_id(spark, prose):
+    a, b, c = prose(80, 1), prose(80, 2), prose(80, 3)
+    df = documents(spark, {3: a, 4: c}).union(documents(spark, {7: a + " end"})).union(documents(spark, {7: b})).union(documents(spark, {7: b}))
+    assert sorted((r.doc_id, r.text) for r in jaccard_join.one_of_each(df, 3, 9, 10).collect()) == sorted([(3, a), (4, c), (7, b)])
+
+
 def test_jaccard_repeated_rows_null_ids_and_empty_tables(spark, prose):
     t = prose(80, 1)
     df = documents(spark, {5: t, 9: t}).union(documents(spark, {5: t})).union(documents(spark, {7: prose(80, 2)}).withColumn("doc_id", F.lit(None).cast("long")))
@@ -110,24 +147,85 @@ def test_graph_components(spark):
 # --- substring dedup -----------------------------------------------------------------------------------------------
 
 
-def brute_repeats(texts):
-    """(doc_id, start, end) of units that occur earlier, by (doc_id, place)."""
+def brute_repeats(rows, min_words):
+    """(doc_id, text, start, end) of units that occur earlier, by (rank, doc_id, text_key, place); rows: (rank, doc_id, text_key, text)."""
     first, out = {}, set()
-    for i in sorted(texts):
-        for h, n, start, end, _, _ in substring_dedup.units(texts[i]):
-            key = (h, (i, start))
+    for rank, i, key, text in sorted(rows):
+        for h, n, start, end, _, _ in substring_dedup.units(text, min_words):
+            place = (i, text, start)
             if h not in first:
-                first[h] = (i, start)
-            elif first[h] != key[1]:
-                out.add((i, start, end))
+                first[h] = place
+            elif first[h] != place:
+                out.add((i, text, start, end))
     return out
 
 
-def test_repeats_match_brute_force(spark, prose):
+@pytest.mark.parametrize("min_words", [1, 5])
+def test_repeats_match_brute_force(spark, prose, min_words):
     shared = prose(90, 3)
-    texts = dict(enumerate([None, "", prose(60, 1) + "\n" + shared, prose(70, 2) + " " + shared, shared, shared, prose(50, 4), "A line that is found here.\nA  LINE that is found here.\n" + prose(30, 5)]))
-    got = {(r.doc_id, r.start, r.end) for r in substring_dedup.repeats(documents(spark, texts)).collect()}
-    assert got == brute_repeats(texts)
+    texts = dict(enumerate([None, "", prose(60, 1) + "\n" + shared, prose(70, 2) + " " + shared, shared, shared, prose(50, 4), "A line that is found here.\nA  LINE that is found here.\n" + prose(30, 5), "Yes.\nNo.\nyes. No. Yes.", "x " * 5000]))
+    df = documents(spark, texts).union(documents(spark, {4: prose(20, 8) + "\n" + shared, 6: "Yes."})).withColumn("place", F.when(F.col("doc_id") != 5, -F.col("doc_id")))
+    rows = [((1 << 63) - 1 if r.place is None else r.place, r.doc_id, r.text_key, r.text) for r in df.withColumn("text_key", F.xxhash64("text")).collect()]
+    got = {(r.doc_id, r.text, r.start, r.end) for r in substring_dedup.repeats(df, "place", min_words).join(df.select("doc_id", "text", F.xxhash64("text").alias("text_key")), ["doc_id", "text_key"]).collect()}
+    assert got == brute_repeats(rows, min_words) and len(got) > 5
+
+
+def brute_spans(texts, min_words, run_words):
+    """Character spans to cut of each text: repeated lines, runs of repeated sentences, stretches of 50 words or more that an earlier text has."""
+    gone = defaultdict(set)
+    cut = brute_repeats([(i, i, 0, t) for i, t in texts.items() if t], min_words)
+    for i, t in texts.items():
+        units = substring_dedup.units(t, min_words)
+        dup = [(t, u) for u in units if (i, t, u[2], u[3]) in cut]
+        single = sorted((u for _, u in dup if u[5] < 2), key=lambda u: u[4])
+        runs = []
+        for u in single:
+            if runs and runs[-1][-1][4] == u[4] - 1:
+                runs[-1].append(u)
+            else:
+                runs.append([u])
+        spans = [(u[2], u[3]) for run in runs for u in run if sum(x[1] for x in run) >= run_words or u[5] == 1] + [(u[2], u[3]) for _, u in dup if u[5] == 2]
+        for a, b in spans:
+            gone[i] |= set(range(a, b))
+    words = {i: [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")] for i, t in texts.items()}
+    for i in texts:
+        for j in (x for x in texts if x < i):
+            a, b = ([w for w, _, _ in words[x]] for x in (i, j))
+            run = {}
+            for x in range(len(a)):
+                run = {y: run.get(y - 1, 0) + 1 for y in range(len(b)) if a[x] == b[y]}
+                n = max(run.values(), default=0)
+                if n >= substring_dedup.PASSAGE_WORDS:
+                    gone[i] |= set(range(words[i][x - n + 1][1], words[i][x][2]))
+    return {i: g for i, g in gone.items() if g}
+
+
+@pytest.mark.parametrize(("min_words", "run_words"), [(1, 1), (5, 20)])
+def test_spans_and_removal_match_brute_force(spark, prose, min_words, run_words):
+    r = random.Random(7)
+    words = lambda n: " ".join(r.choice("bcdfglmn") + r.choice("aeiou") + str(r.randrange(10**6)) for _ in range(n))
+    long, lines = words(200).split(), [words(9) + "." for _ in range(4)] + ["Short line.", "Thanks."]
+    texts = {0: words(30) + "\n" + " ".join(long) + "\n" + "\n".join(lines)}
+    for i in range(1, 9):
+        at, n = r.randrange(100), r.choice([30, 49, 50, 70, 100])
+        texts[i] = "\n".join([words(20), r.choice(lines), f"{words(r.randrange(1, 20))} {' '.join(long[at : at + n])} {words(r.randrange(1, 20))}.", " ".join(r.sample(lines, 3)), words(5)])
+    texts |= {20: None, 21: " \n\n ", 22: texts[3], 23: "é " + texts[3].upper()}
+    want = brute_spans(texts, min_words, run_words)
+    rows = substring_dedup.spans(documents(spark, texts), min_words=min_words, run_words=run_words).collect()
+    got = defaultdict(set)
+    for x in rows:
+        got[x.doc_id] |= set(range(x.span_start, x.span_end))
+    solid = lambda i, chars: {c for c in chars if not texts[i][c].isspace()}  # noqa: E731  white space between units may go or stay
+    assert {i: solid(i, g) for i, g in got.items()} == {i: solid(i, g) for i, g in want.items()}
+    for x in substring_dedup.removed(documents(spark, texts), min_words=min_words, run_words=run_words).collect():
+        assert x.text == (None if texts[x.doc_id] is None else "".join(ch for c, ch in enumerate(texts[x.doc_id]) if c not in got[x.doc_id]))
+
+
+def test_rows_that_share_an_id_keep_their_own_text(spark, prose):
+    a, b, c = prose(90, 1), prose(90, 2), prose(90, 3)
+    df = documents(spark, {1: a}).union(documents(spark, {2: b})).union(documents(spark, {2: a})).union(documents(spark, {2: c}))
+    out = sorted((r.doc_id, r.text) for r in substring_dedup.removed(df).collect())
+    assert out == sorted([(1, a), (2, b), (2, ""), (2, c)])
 
 
 def test_passages_inside_lines_are_cut_and_clean_documents_stay(spark, prose):
@@ -195,8 +293,8 @@ def brute_overlap(doc, item):
 
 def test_leaks_with_substitutions_are_found_and_clean_texts_not(spark, prose):
     r = random.Random(1)
-    items = {i: prose(18 + 4 * i, 500 + i) for i in range(6)} | {20: "only five words are here", 21: "too short", 22: None, 23: ""}
-    texts = {i: prose(100, i) for i in range(30)} | {90: None, 91: ""}
+    items = {i: prose(18 + 4 * i, 500 + i) for i in range(6)} | {20: "only five words are here", 21: "too short", 22: None, 23: "", 24: prose(11, 700), 25: "word", 26: prose(18, 500), 27: "many a word of Some Bench Mark"}
+    texts = {i: prose(100, i) for i in range(30)} | {90: None, 91: "", 92: "a " * 3000}
     want = set()
     for n, i in enumerate(range(6)):
         w = items[i].split()
@@ -204,19 +302,65 @@ def test_leaks_with_substitutions_are_found_and_clean_texts_not(spark, prose):
             w[at] = "swapped"
         texts[40 + n] = prose(50, 200 + n) + " " + " ".join(w) + " " + prose(50, 300 + n)
         want.add((40 + n, i))
-    texts[60] = "before it only FIVE words are here after"
-    want.add((60, 20))
+    want.add((40, 26))  # an item with the text of item 0
+    texts[60] = "before it only FIVE strange are here after"
+    texts[61] = "it is too short. this is too short"
+    texts[62] = "x " * 200 + " ".join(x if k not in (2, 7) else "other" for k, x in enumerate(items[24].split())) + " y" * 300
+    texts[63] = texts[62].replace("x", "z")
+    want |= {(60, 20), (61, 21), (62, 24), (63, 24)}
     items_df = spark.createDataFrame(list(items.items()), "item_id long, text string")
     rows = decontaminate.overlaps(documents(spark, texts), items_df).collect()
     assert {(r.doc_id, r.item_id) for r in rows} == want
     for r in rows:
-        assert r.n_words == min(r.n_words, brute_overlap(texts[r.doc_id], items[r.item_id])) and 5 * r.n_agree >= 4 * r.n_words
+        assert r.n_words == brute_overlap(texts[r.doc_id], items[r.item_id]) and 5 * r.n_agree >= 4 * r.n_words
+        d, w = (x[r.doc_id if x is texts else r.item_id].lower().split() for x in (texts, items))
+        assert sum(a == b for a, b in zip(d[r.doc_word : r.doc_word + r.n_words], w[r.item_word : r.item_word + r.n_words], strict=True)) == r.n_agree
     kept = decontaminate.clean(documents(spark, texts), items_df)
-    assert {r.doc_id for r in kept.collect()} == set(texts) - {d for d, _ in want}
+    assert kept.columns == documents(spark, texts).columns and {r.doc_id for r in kept.collect()} == set(texts) - {d for d, _ in want}
     assert decontaminate.overlaps(documents(spark, texts).limit(0), items_df).count() == 0
     assert decontaminate.overlaps(documents(spark, texts), items_df.limit(0)).count() == 0
 
 
+def test_decontamination_of_rows_that_share_ids(spark, prose):
+    item, other = prose(30, 1), prose(40, 2)
+    df = documents(spark, {1: "so " + item}).union(documents(spark, {1: other})).union(documents(spark, {1: "so " + item})).union(documents(spark, {2: item}).withColumn("doc_id", F.lit(None).cast("long")))
+    items = spark.createDataFrame([(7, item, "z"), (7, prose(25, 3), "z"), (None, other, "z"), (7, item, "z")], "item_id long, text string, words string")
+    assert [(r.doc_id, r.item_id, r.n_words) for r in decontaminate.overlaps(df, items).collect()] == [(1, 7, 30)]
+    assert sorted((r.doc_id or 0, r.text) for r in decontaminate.clean(df, items).collect()) == sorted([(0, item), (1, other)])
+
+
+def test_a_passage_in_many_texts_is_verified_once(spark, prose):
+    item = prose(30, 1)
+    texts = {i: f"copy {item} end" for i in range(300)}
+    rows = decontaminate.overlaps(documents(spark, texts), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.doc_word, r.item_word, r.n_words) for r in rows) == [(i, 1, 0, 30) for i in range(300)]
+
+
+def test_overlaps_longer_than_the_distance_between_hits(spark):
+    """The stretch goes on far from the last window that is alike in any mask: nothing cuts it off."""
+    w = [f"w{i}" for i in range(400)]
+    d = [x if i < 100 or i % 4 else "no" for i, x in enumerate(w)]
+    rows = decontaminate.overlaps(documents(spark, {1: " ".join(d)}), spark.createDataFrame([(7, " ".join(w))], "item_id long, text string")).collect()
+    assert [(r.n_words, r.n_agree) for r in rows] == [(brute_stretch(d, w), rows[0].n_agree)]
+
+
+def brute_stretch(d, w):
+    same = np.cumsum([0, *(1 if a == b else -4 for a, b in zip(d, w))])
+    return max(j - i for i in range(len(same)) for j in range(i, len(same)) if same[j] >= same[i])
+
+
+@pytest.mark.parametrize("n", [*range(1, 22), 25])
+def test_masks_find_nearly_all_placements_of_substitutions(n):
+    """Enumerated: the share of placements of as many substitutions as an overlap may have that some mask ignores."""
+    masks = [m for m in decontaminate._PLACES] if n >= decontaminate.LEAST else decontaminate.short_masks(n)
+    windows = np.array([sum(1 << (a + i) for i in m) for m in masks for a in range(n - max(m))], np.int64)
+    places = np.array([sum(1 << i for i in c) for c in itertools.combinations(range(n), n // 5)], np.int64)
+    found = np.zeros(len(places), bool)
+    for x in windows:
+        found |= places & x == 0
+    assert found.mean() >= (0.997 if n >= decontaminate.LEAST else 1)
+
+
 def test_longest_overlap():
     a, b = np.array([1, 2, 3, 4, 9, 6, 7, 8, 9, 10]), np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 10])
     assert decontaminate.longest_overlap(a, b) == (0, 10, 9)
@@ -226,9 +370,14 @@ def test_longest_overlap():
 # --- LM scoring ----------------------------------------------------------------------------------------------------
 
 
-def test_scores_match_brute_force(spark, prose, monkeypatch):
-    """Base scores and class path, with the bounds so low that held words, clustered units and the joined tail all occur."""
-    z = class_lm.Sizes(head=40, clustered=12, suffixes=6, classes=4)
+def lm_key(word):
+    return xxhash.xxh3_64_intdigest(word) - (1 << 64) * (xxhash.xxh3_64_intdigest(word) >> 63)
+
+
+@pytest.mark.parametrize("head", [30, 60, 10_000])
+def test_scores_match_brute_force(spark, prose, monkeypatch, head):
+    """Base scores and class path, with more words than the core and the held words, and with all of them held."""
+    z = class_lm.Sizes(head=head, class_factor=0.9, core_factor=1.0)
     texts = {i: prose(r, i) for i, r in enumerate([0, 1, 5, 60, 200, 200, 30, 80, 90, 120, 150, 40])} | {50: None, 51: "unseenword the of", 52: prose(200, 4)}
     seen = Counter()
     toks = {i: (t or "").encode().lower().split() for i, t in texts.items()}
@@ -236,23 +385,24 @@ def test_scores_match_brute_force(spark, prose, monkeypatch):
     for i in train:
         seen.update(toks[i])
     n_end, n, v = len(train), sum(seen.values()) + len(train), len(seen) + 1
-    class_of = []
-    original = class_lm.cluster
-    monkeypatch.setattr(class_lm, "cluster", lambda rows, z: class_of.append(original(rows, z)) or class_of[-1])
+    classes, core = z.classes(len(seen)), z.core(len(seen))
+    assert 2 < classes < core < min(len(seen), 60)
+    made = []
+    original = class_lm.assigned
+    monkeypatch.setattr(class_lm, "assigned", lambda *a: made.append(original(*a)) or made[-1])
     rows = {r.doc_id: r for r in class_lm.scores(documents(spark, texts), z).collect()}
-    place = Counter(math.floor(math.log(k) * 256) for k in seen.values())
-    cut = max((p + 1 for p in place if sum(k for q, k in place.items() if q >= p) > z.head), default=0)
-    held = [w for w in seen if math.floor(math.log(seen[w]) * 256) >= cut]
-    assert 12 < len(held) <= z.head < len(seen)
-    head = sorted(held, key=lambda w: (-seen[w], w))[:12]
-    unit = {w: k for k, w in enumerate(head)}
-    cls = lambda w: int(class_of[0][unit[w] if w in unit else 12 + zlib.crc32(w[-3:]) % 6])
-    big, n_class, v_class = Counter(), Counter(), Counter()
-    for w, k in seen.items():
-        n_class[cls(w)] += k
-        v_class[cls(w)] += 1
-    n_class[4], v_class[4] = n_end, 1
-    path = lambda i: [4, *map(cls, toks[i]), 4]
+    table = {r.h: r for r in made[0].collect()}
+    assert {h: r.n for h, r in table.items()} == {lm_key(w): k for w, k in seen.items()}  # every word has a class
+    n_class, v_class, once = Counter(), Counter(), Counter()
+    for r in table.values():
+        n_class[r.c] += r.n
+        v_class[r.c] += 1
+        once[r.c] += r.n == 1
+    unseen = max(range(classes), key=lambda c: (once[c], -c))
+    cls = lambda w: table[lm_key(w)].c if w in seen else unseen
+    n_class[classes], v_class[classes] = n_end, 1
+    path = lambda i: [classes, *map(cls, toks[i]), classes]
+    big = Counter()
     for i in train:
         big.update(zip(path(i), path(i)[1:]))
     left = Counter()
@@ -262,10 +412,46 @@ def test_scores_match_brute_force(spark, prose, monkeypatch):
         c = [seen.get(w, 0) for w in toks[i]] + [n_end]
         base = sum(math.log10((x + 0.1) / (n + 0.1 * (v + 1))) for x in c)
         p = path(i)
-        score = sum(math.log10((big[a, b] + 0.1) / (left[a] + 0.5)) + math.log10((x + 0.1) / (n_class[b] + 0.1 * (v_class[b] + 1))) for a, b, x in zip(p, p[1:], c))
+        score = sum(math.log10((big[a, b] + 0.1) / (left[a] + 0.1 * (classes + 1))) + math.log10((x + 0.1) / (n_class[b] + 0.1 * (v_class[b] + 1))) for a, b, x in zip(p, p[1:], c))
         r = rows[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i not in train, len(c), sum(x > 0 for x in c), n)
         assert r.base_score == pytest.approx(base, abs=1e-8) and r.score == pytest.approx(score, abs=1e-8)
+        assert math.log10(r.perplexity) == pytest.approx(-score / len(c)) and math.log10(r.base_perplexity) == pytest.approx(-base / len(c))
+
+
+def test_words_outside_the_core_go_where_their_neighbours_are_likely(spark):
+    """Brute force: with the core's classes, each other word has the class of greatest likelihood."""
+    r = random.Random(3)
+    texts = {i: " ".join(r.choice(["a", "b", "c", "d", "e", *(f"w{j}" for j in range(30))]) for _ in range(60)) for i in range(60)}
+    train = [t.split() for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10 != 0]
+    counted = spark.createDataFrame([(lm_key(w), n) for w, n in Counter(x for t in train for x in t).items()], "h long, n long")
+    h, n = class_lm.frequent(counted, 20, 5)
+    assert len(h) == 5 or len(h) <= 20
+    name = {lm_key(w): w for t in train for w in t}
+    core = [name[x] for x in h[:5].tolist()]
+    classes = np.array([0, 0, 1, 1, 2], np.int32)
+    of = dict(zip(core, classes.tolist()))
+    docs = documents(spark, texts).withColumn("held_out", class_lm.held_out())
+    got = {name[r.h]: r.c for r in class_lm.assigned(class_lm.tokenised(docs, h), h, n, classes, 3).collect()}
+    big, around = np.zeros((5, 5)), defaultdict(lambda: np.zeros((2, 5)))
+    for t in train:
+        c = [3, *(of.get(w, 4) for w in t), 3]
+        for x, y in zip(c, c[1:]):
+            big[x, y] += 1
+        for i, w in enumerate(t):
+            around[w][0][c[i]] += 1
+            around[w][1][c[i + 2]] += 1
+    log = np.log(big + class_lm.A)
+    own = np.log(big.sum(1) + 5 * class_lm.A) + np.log(big.sum(0) + 5 * class_lm.A)
+    for w, a in around.items():
+        gain = [a[0] @ log[:, c] + a[1] @ log[c] - a[0].sum() * own[c] for c in range(3)]
+        assert got[w] == of[w] if w in of else gain[got[w]] == pytest.approx(max(gain), abs=1e-3)
+
+
+def test_frequent_takes_enough_words_where_all_are_as_common(spark):
+    counted = spark.createDataFrame([(i, 7) for i in range(50)], "h long, n long")
+    assert class_lm.frequent(counted, 20, 5)[0].tolist() == [0, 1, 2, 3, 4]
+    assert len(class_lm.frequent(counted, 50, 5)[0]) == 50 and len(class_lm.frequent(counted.limit(0), 20, 5)[0]) == 0
 
 
 def test_class_model_beats_unigrams_on_held_out_texts(spark):
@@ -274,7 +460,7 @@ def test_class_model_beats_unigrams_on_held_out_texts(spark):
     langs = [[f"a{i}a" for i in range(60)], [f"b{i}b" for i in range(60)]]
     texts = {i: " ".join(r.choice(langs[i % 2]) for _ in range(60)) for i in range(300)}
     rows = class_lm.scores(documents(spark, texts)).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
-    assert rows[1] > rows[0] * 0.95
+    assert rows[1] > rows[0] * 0.9
 
 
 def test_exchange_raises_the_likelihood():
@@ -296,7 +482,7 @@ def test_exchange_raises_the_likelihood():
         for u in range(sweep % 2, 20, 2):
             np.add.at(around[u, 0], c, m[:, u])
             np.add.at(around[u, 1], c, m[u])
-        c = class_lm.exchange(big_of(c), around, c)
+        c = class_lm.exchange(big_of(c), around, c, 32)
     assert gain(big_of(c)) > before
 
 
