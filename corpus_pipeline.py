@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fleetmill.llm import byte_bpe, decontaminate, jaccard_join, quality_rules, substring_dedup
 from fleetmill.llm.common import shared_dir, table
-from fleetmill.llm.queries import vocabulary
+from fleetmill.llm.queries import SUBSTRING_SIZES, vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines and passages that an earlier one has."""
-    return substring_dedup.removed(docs)
+    return substring_dedup.removed(docs, **SUBSTRING_SIZES)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
