@@ -30,14 +30,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        n_stop_words, n_letter_words, n_lines, list_filter([{_BROKEN}], lambda x: x IS NOT NULL) AS broken_rules FROM f
 """
 
-OP3 = r"""
-WITH r AS (SELECT coalesce(page_id // 1000, -1) AS file, page_id AS record_id,
-  'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
-  || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS payload FROM pages),
-o AS (SELECT file, record_id, sha256(payload) AS digest, coalesce(sum(strlen(payload)) OVER (PARTITION BY file ORDER BY record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM r)
-SELECT file, "offset", record_id, CASE WHEN record_id % 1000 = 999 AND file % 2 <> 0 THEN 'missing' ELSE 'corrupt' END AS status, digest AS expected,
-       CASE WHEN record_id % 1000 = 999 AND file % 2 <> 0 THEN NULL ELSE sha256(digest || '!') END AS found
-FROM o WHERE record_id % 23 = 5 OR (record_id % 1000 = 999 AND file % 2 <> 0)
+_WARC = r"""'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+  || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10)"""
+_RECORDS = f"""SELECT page_id // 1000 AS file, page_id AS record_id, sha256(payload) AS digest,
+  coalesce(sum(strlen(payload)) OVER (PARTITION BY page_id // 1000 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM (SELECT page_id, {_WARC} AS payload FROM """
+
+OP3 = f"""
+WITH o AS ({_RECORDS} pages)),
+r AS ({_RECORDS} (SELECT page_id, url, CASE WHEN page_id % 2003 = 7 THEN substring(html, 1, 700) WHEN page_id % 23 = 5 THEN '~' || substring(html, 2) ELSE html END AS html FROM pages WHERE page_id % 3001 <> 11)))
+SELECT o.file, o."offset", o.record_id, CASE WHEN r.digest IS NULL THEN 'missing' WHEN r.digest = o.digest THEN 'moved' ELSE 'corrupt' END AS status, o.digest AS expected, r.digest AS found
+FROM o LEFT JOIN r ON o.record_id = r.record_id WHERE r.digest IS NULL OR r.digest <> o.digest OR r."offset" <> o."offset"
 """
 
 OP5 = r"""

@@ -49,12 +49,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The replica is derived from the pages: some records changed in place, some lost at the end of their file."""
-    original = warc_audit.records(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    last = F.col("record_id") % 1000 == 999
-    changed = F.when(F.col("record_id") % 23 == 5, F.sha2(F.concat("digest", F.lit("!")), 256)).otherwise(F.col("digest"))
-    replica = original.where(~last | (F.col("file") % 2 == 0)).withColumn("digest", changed)
-    return warc_audit.audit(original, replica)
+    """The replica is made of the pages and hashed like them: bytes of some records changed, some cut short, some lost anywhere."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    html = F.when(F.col("page_id") % 2003 == 7, F.substring("html", 1, 700)).when(F.col("page_id") % 23 == 5, F.concat(F.lit("~"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
+    copy = pages.where(F.coalesce(F.col("page_id") % 3001 != 11, F.lit(True))).withColumn("html", html)
+    return warc_audit.audit(warc_audit.records(pages), warc_audit.records(copy))
 
 
 def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
