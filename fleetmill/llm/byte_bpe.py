@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import sliced
+
 #: Symbols; RESET stands between texts. Blanks: BLANK is the last white space before a piece and U+0020, which joins it;
 #: SPACE is any other last white space before a piece; MID is white space before white space or the end.
 LETTER, NUMBER, OTHER, MID, BLANK, SPACE, SHORT, LONG, RESET = range(9)
@@ -252,20 +254,71 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return docs.select(*kept, text).mapInArrow(of, kind)
 
 
+class Decoder:
+    """Bytes of ids, each put where its offset says."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.size = np.full(max(ranks.values()) + 1, -1, np.int64)
+        for b, i in ranks.items():
+            self.size[i] = len(b)
+        at = np.cumsum(np.maximum(self.size, 0))
+        self.first = at - np.maximum(self.size, 0)
+        self.bytes = np.empty(int(at[-1]), np.uint8)
+        for b, i in ranks.items():
+            self.bytes[self.first[i] : self.first[i] + len(b)] = np.frombuffer(b, np.uint8)
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(all bytes, bytes of each row): ids and their offsets, of which rows says how many each row has."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size) or self.size[ids].min() < 0):
+            raise ValueError("an id is not in the vocabulary")
+        size = self.size[ids]
+        row = np.repeat(np.arange(len(rows)), rows)
+        length = np.zeros(len(rows), np.int64)
+        np.maximum.at(length, row, offsets + size)
+        start = np.cumsum(length) - length
+        inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        out = np.zeros(int(length.sum()), np.uint8)
+        out[np.repeat(start[row] + offsets, size) + inside] = self.bytes[np.repeat(self.first[ids], size) + inside]
+        return out, length
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """encoded with one more column, decoded: the bytes of ids; an id outside the vocabulary is an error."""
+    """encoded with one more column, decoded: the bytes of ids at their offsets; an id outside the vocabulary is an error."""
+    return decode_range(encoded, path, 0, None)
+
+
+def decode_range(encoded: DataFrame, path: str, start: int, end: int | None) -> DataFrame:
+    """encoded with one more column, decoded: the bytes from start to end (None: the text's end) of each text.
+
+    Offsets tell which ids reach into the range; only those are decoded. Null ids have no bytes.
+    """
     ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(path))
     kept = [c for c in encoded.columns if c != "decoded"]
     kind = T.StructType([encoded.schema[c] for c in kept] + [T.StructField("decoded", T.BinaryType())])
-    at = kept.index("ids")
+    at_ids, at_offsets = kept.index("ids"), kept.index("offsets")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {i: b for b, i in ranks.value.items()}.__getitem__
-        for batch in batches:
-            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                col = part.column(at)
-                flat, ends = col.flatten().to_numpy().tolist(), np.cumsum([0, *col.value_lengths().fill_null(0).to_pylist()]).tolist()
-                texts = [b"".join(map(token, flat[a:b])) for a, b in zip(ends, ends[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), pa.array(texts, pa.binary())], [*kept, "decoded"])
+        decoder = Decoder(ranks.value)
+        for batch in sliced(batches, 512):
+            rows = batch.column(at_ids).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, offsets = (batch.column(i).flatten().to_numpy().astype(np.int64) for i in (at_ids, at_offsets))
+            if start > 0 or end is not None:
+                ends = offsets + decoder.size[ids]
+                asked = (ends > start) & (offsets < (end if end is not None else np.inf))
+                row = np.repeat(np.arange(len(rows)), rows)[asked]
+                rows = np.bincount(row, minlength=len(rows))
+                ids, offsets = ids[asked], offsets[asked]
+                base = np.zeros(len(rows), np.int64)  # the first id asked for begins at or before start
+                first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.empty(0, np.int64)
+                base[row[first]] = offsets[first]
+                whole, length = decoder.decode(ids, offsets - base[row], rows)
+                cuts = np.cumsum(length) - length
+                texts = [whole[c + max(0, start - b) : c + (n if end is None else max(0, min(n, end - b)))].tobytes() for c, b, n in zip(cuts.tolist(), base.tolist(), length.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(texts, pa.binary())], [*kept, "decoded"])
+                continue
+            whole, length = decoder.decode(ids, offsets, rows)
+            cuts = np.concatenate([[0], np.cumsum(length)])
+            texts = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(whole)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), texts], [*kept, "decoded"])
 
     return encoded.select(*kept).mapInArrow(of, kind)
