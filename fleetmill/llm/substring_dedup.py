@@ -8,10 +8,9 @@ than min_words words neither count nor part a run. Both are 1 unless given: ever
 
 Passages that begin or end inside a sentence are found by fingerprints: of each WIDE windows of GRAM words side by side
 the one with the least hash is taken, so equal stretches of PASSAGE_WORDS words have one in common wherever they start.
-Windows that occur earlier are joined to runs, and a run grows at both sides, word by word, as far as any earlier
-occurrence of one of its outer windows goes on alike: the 1 to WIDE - 1 words beside these windows are hashed and
-matched as windows are (an equal stretch has a taken window no further from its end). Runs of PASSAGE_WORDS words or
-more go. In scripts without blanks each character counts as a word.
+Windows that occur earlier are joined to runs, and a run grows at both sides, word by word, as far as the first
+occurrence of one of its outer windows goes on alike, by WIDE - 1 words at most (an equal stretch has a taken window no
+further from its end). Runs of PASSAGE_WORDS words or more go. In scripts without blanks each character counts as a word.
 
 First 64-bit hashes are counted; only units whose hash may be repeated (a bounded Bloom filter) are then grouped by
 their 128 bits, with partial aggregation, and joined back (a join that Spark can split if a unit is very common).
@@ -192,7 +191,7 @@ def _ids(batch: pa.RecordBatch, rows: np.ndarray) -> list[pa.Array]:
 
 
 def passages(docs: DataFrame, rank: str = "doc_id") -> DataFrame:
-    """(doc_id, text_key, start, end, keep_doc_id): windows, the outer ones of a run grown, of stretches of PASSAGE_WORDS words or more that occur earlier."""
+    """(doc_id, text_key, start, end, keep_doc_id): stretches of PASSAGE_WORDS words or more that occur earlier."""
     spark = docs.sparkSession
     docs = _keyed(docs, rank)
 
@@ -221,67 +220,64 @@ def passages(docs: DataFrame, rank: str = "doc_id") -> DataFrame:
     # Written, so that both sides of the join are shuffled for it and Spark can split a very common window.
     first = written(first.select("d1", "d2", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.text_key").alias("keep_key"), F.col("first.at").alias("keep_at")))
     # Within one text, a window that overlaps its own first occurrence stays, as that one would go with it.
-    hits = found.join(first, ["d1", "d2"]).where(f"doc_id <> keep_doc_id or text_key <> keep_key or at >= keep_at + {GRAM}").select(*ROW, "d1", "d2", "at", "start", "end", "keep_doc_id", "keep_at").distinct()
+    hits = found.join(first, ["d1", "d2"]).where(f"doc_id <> keep_doc_id or text_key <> keep_key or at >= keep_at + {GRAM}").select(*ROW, "d1", "d2", "at", "start", "end", "keep_doc_id", "keep_key", "keep_at").distinct()
     by_doc = Window.partitionBy(*ROW).orderBy("at", "d1", "d2", "start", "keep_doc_id", "keep_at")  # the repeats of one text
     hits = hits.withColumn("new", F.when(F.col("at") <= F.lag("at").over(by_doc) + GRAM, 0).otherwise(1))
     run = Window.partitionBy(*ROW, "run")
     hits = written(hits.withColumn("run", F.sum("new").over(by_doc)).withColumn("lo", F.min("at").over(run)).withColumn("hi", F.max("at").over(run)))
-    sought = []
-    for outer in (f"at < lo + {WIDE - 1}", f"at > hi - {WIDE - 1}"):
-        wanted = written(hits.where(outer).select(F.col("d1").alias("h")).distinct())
-        sought.append(bitmap.build(wanted, "h", wanted.count()))
-    outer = spark.sparkContext.broadcast(sought)
-
-    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """The words beside outer windows: (batch, start and end of words, text, place of the window, side, length, last word, hash of one word more (0: none), hash, second hash)."""
+    grown = _grown(docs, hits).groupBy(*ROW, "run").agg(
+        F.min(F.when(F.col("side") == 0, F.struct("word", "char"))).alias("left"), F.max(F.when(F.col("side") == 1, F.struct("word", "char"))).alias("right"))
+    runs = hits.groupBy(*ROW, "run").agg(F.min(F.struct("at", "start")).alias("first"), F.max(F.struct("at", "end")).alias("last"), F.collect_set("keep_doc_id").alias("keep"))  # of one text
+    runs = runs.join(grown, [*ROW, "run"], "left")
+    words = F.coalesce("right.word", F.col("last.at") + GRAM) - F.coalesce("left.word", "first.at")
+    return runs.where(words >= PASSAGE_WORDS).select(*ROW, F.coalesce("left.char", "first.start").alias("start"), F.coalesce("right.char", "last.end").alias("end"), F.explode("keep").alias("keep_doc_id"))
+
+
+def _grown(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """(doc_id, text_key, run, side, word, char): how far the ends of runs grow beyond their outer windows.
+
+    side 0: the first word, and where it begins; side 1: the word behind the last one, and where that one ends. Windows
+    of one end that lie on one diagonal with one earlier text grow alike: the outermost of them stands for all.
+    """
+    kept = ["keep_doc_id", "keep_key"]
+    diagonal = (F.col("at") - F.col("keep_at")).alias("diagonal")
+    end = lambda side, near, outermost: hits.where(near).groupBy(*ROW, "run", *kept, diagonal).agg(outermost("at").alias("at")).withColumn("side", F.lit(side))
+    ends = end(0, f"at < lo + {WIDE - 1}", F.min).union(end(1, f"at > hi - {WIDE - 1}", F.max))
+    ends = written(ends.withColumn("keep_at", F.col("at") - F.col("diagonal")).drop("diagonal"))
+    asked = ends.select(*ROW, "at", "side").union(ends.select(*kept, "keep_at", "side")).distinct()
+    asked = written(asked.groupBy(*ROW).agg(F.collect_list(F.struct("at", "side")).alias("asked")))  # of one text
+    few = docs.join(checked_broadcast(asked.select(*ROW), asked.count(), 500_000), ROW, "left_semi").dropDuplicates(ROW)
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Up to WIDE - 1 words beside each place, from it outwards: hashes of 32 bits and where each begins (side 0) or ends."""
         for batch in sliced(batches):
             h, text, start, end = tokens(_texts(batch))
-            every, every_d1, every_d2 = fingerprints(h, text)
-            for side in (0, 1):
-                may = bitmap.passes(outer.value[side], every_d1)
-                at, d1, d2 = every[may], every_d1[may], every_d2[may]
-                word = at[:, None] + (np.arange(WIDE - 1) + GRAM if side else -1 - np.arange(WIDE - 1))
-                there = (word >= 0) & (word < len(h))
-                word = np.where(there, word, 0)
-                there &= text[word] == text[at][:, None]
-                length = np.arange(1, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(side)
-                keys = [_mixed(np.cumsum(_mixed(h[word] ^ np.uint64(salt)) * _powers(base, WIDE - 1), axis=1, dtype=np.uint64) ^ _mixed(d[:, None] + length)) for d, salt, base in (
-                    (d1, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3), (d2, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165))]
-                row, n = np.nonzero(there)
-                further = np.zeros(there.shape, np.uint64)
-                further[:, :-1] = np.where(there[:, 1:], keys[0][:, 1:], 0)
-                yield batch, start, end, text[at[row]], at[row] - np.searchsorted(text, text[at[row]]), side, n + 1, word[row, n], further[row, n], keys[0][row, n], keys[1][row, n]
-
-    def count_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in beside(batches):
-            order = np.argsort(found[-2])
-            h, further = found[-2][order], found[-3][order].view(np.int64)
-            at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
-            lo, hi = (np.minimum.reduceat(further, at), np.maximum.reduceat(further, at)) if len(h) else (further, further)
-            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.diff(np.append(at, len(h)))), pa.array(lo), pa.array(hi)], ["h", "n", "lo", "hi"])
-
-    # Where all that share some words share the next one too, the longer stretch alone is enough.
-    alike = docs.mapInArrow(count_beside, "h long, n long, lo long, hi long").groupBy("h").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    alike = written(alike.where("n > 1 and (lo <> hi or lo = 0)").select("h"))
-    shared = spark.sparkContext.broadcast(bitmap.build(alike, "h", alike.count()))
-
-    def of_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, start, end, text, place, side, n, word, _, k1, k2 in beside(batches):
-            may = bitmap.passes(shared.value, k1)
-            text, place, n, word, k1, k2 = text[may], place[may], n[may], word[may], k1[may], k2[may]
-            yield pa.RecordBatch.from_arrays(
-                [*_ids(batch, text), *[pa.array(x.astype(np.int32)) for x in (place, np.full(len(n), side), n, (end if side else start)[word])], pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))],
-                [*ROW, "rank", "at", "side", "more", "char", "k1", "k2"])
-
-    near = written(docs.mapInArrow(of_beside, "doc_id long, text_key long, rank long, at int, side int, more int, char int, k1 long, k2 long"))
-    origin = near.groupBy("k1", "k2").agg(F.min(F.struct("rank", *ROW, "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    origin = written(origin.select("k1", "k2", F.col("first.doc_id").alias("from_id"), F.col("first.text_key").alias("from_key"), F.col("first.at").alias("from_at")))
+            list_ = batch.column(batch.schema.get_field_index("asked"))
+            of = np.repeat(np.arange(batch.num_rows), list_.value_lengths().to_numpy())
+            at, side = (list_.flatten().field(i).to_numpy() for i in (0, 1))
+            first = np.searchsorted(text, of)
+            step = np.arange(WIDE - 1)
+            word = (first + at)[:, None] + np.where(side[:, None] == 1, GRAM + step, -1 - step)
+            there = (word >= 0) & (word < len(h))
+            word = np.where(there, word, 0)
+            there &= (text[word] if len(h) else word) == of[:, None]
+            size = np.concatenate([[0], np.cumsum(there.sum(1))]).astype(np.int32)
+            word = word[there]
+            char = np.where(np.repeat(side, np.diff(size)) == 1, end[word], start[word])
+            lists = [pa.ListArray.from_arrays(pa.array(size), pa.array(x)) for x in (h[word].astype(np.uint32).view(np.int32), char.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(pa.array(of)) for i in (0, 1)], pa.array(at.astype(np.int32)), pa.array(side.astype(np.int32)), *lists], [*ROW, "at", "side", "words", "chars"])
+
+    near = written(few.join(asked, ROW).select(*ROW, "text", "asked").mapInArrow(beside, "doc_id long, text_key long, at int, side int, words array<int>, chars array<int>"))
+    other = near.select(F.col("doc_id").alias("keep_doc_id"), F.col("text_key").alias("keep_key"), F.col("at").alias("keep_at"), "side", F.col("words").alias("kept_words"))
+    both = ends.join(near, [*ROW, "at", "side"]).join(other, [*kept, "keep_at", "side"])
+    alike = F.zip_with("words", "kept_words", lambda x, y: F.coalesce(x == y, F.lit(False)))
+    unlike = F.array_position(alike, F.lit(False)).cast("int")
+    more = F.when(unlike == 0, F.size(alike)).otherwise(unlike - 1)
     # Within one text neither occurrence grows into the other.
-    most = near.join(origin, ["k1", "k2"]).where(f"doc_id <> from_id or text_key <> from_key or at >= from_at + {GRAM} + more").groupBy(*ROW, "at").agg(
-        *[F.max(F.when(F.col("side") == i, F.struct("more", "char"))).alias(name) for i, name in ((0, "left"), (1, "right"))])
-    grown = hits.join(most, [*ROW, "at"], "left").withColumn("first_word", F.col("at") - F.coalesce("left.more", F.lit(0))).withColumn("last_word", F.col("at") + F.coalesce("right.more", F.lit(0)) + GRAM)
-    grown = grown.withColumn("words", F.max("last_word").over(run) - F.min("first_word").over(run))
-    return grown.where(F.col("words") >= PASSAGE_WORDS).select(*ROW, F.coalesce("left.char", "start").alias("start"), F.coalesce("right.char", "end").alias("end"), "keep_doc_id")
+    own = (F.col("doc_id") == F.col("keep_doc_id")) & (F.col("text_key") == F.col("keep_key"))
+    more = F.when(own, F.least(more, F.greatest(F.col("at") - F.col("keep_at") - GRAM, F.lit(0)))).otherwise(more)
+    both = both.withColumn("more", more.cast("int")).where("more > 0")
+    return both.select(*ROW, "run", "side", F.when(F.col("side") == 0, F.col("at") - F.col("more")).otherwise(F.col("at") + GRAM + F.col("more")).alias("word"), F.get("chars", F.col("more") - 1).alias("char"))
 
 
 def _spans(docs: DataFrame, rank: str, min_words: int, run_words: int) -> DataFrame:
