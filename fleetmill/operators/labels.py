@@ -82,10 +82,9 @@ def candidate_grid(spark, values: dict[str, list]) -> DataFrame:
     return out
 
 
-def random_candidates(spark, n: int) -> DataFrame:
-    """(trial, rate, depth, kind): hashed draws, log-uniform, integer and categorical."""
-    t = spark.range(1, n + 1).select(F.col("id").alias("trial"))
+def random_candidates(trials: DataFrame) -> DataFrame:
+    """trials (with a column trial) and rate, depth, kind: hashed draws, log-uniform, integer and categorical."""
     lo, hi = F.lit(0.01), F.lit(0.3)
     rate = F.exp(F.log(lo) + uniform("rate", F.col("trial")) * (F.log(hi) - F.log(lo)))
-    return t.select("trial", rate.alias("rate"), (F.floor(uniform("depth", F.col("trial")) * 6) + 3).cast("int").alias("depth"),
-                    F.element_at(F.array(F.lit("mean"), F.lit("ridge"), F.lit("gbt")), (F.floor(uniform("kind", F.col("trial")) * 3) + 1).cast("int")).alias("kind"))
+    kind = F.element_at(F.array(F.lit("mean"), F.lit("ridge"), F.lit("gbt")), (F.floor(uniform("kind", F.col("trial")) * 3) + 1).cast("int"))
+    return trials.withColumns({"rate": rate, "depth": (F.floor(uniform("depth", F.col("trial")) * 6) + 3).cast("int"), "kind": kind})

@@ -25,9 +25,11 @@ def kmeans(df: DataFrame, columns: list[str], k: int, seeds: tuple[int, ...] = (
     v = vectors(df, columns).persist()
     if k == 1:
         means = v.agg(*[F.avg(c).alias(c) for c in columns]).first()
+        v.unpersist()
         return v.drop("features").withColumn("cluster", F.lit(0)), [list(means)]
     fits = [KMeans(k=k, seed=s).fit(v) for s in seeds]
     best = min(fits, key=lambda m: m.summary.trainingCost)
+    v.unpersist()
     centres = [list(map(float, c)) for c in best.clusterCenters()]
     order = sorted(range(len(centres)), key=lambda i: centres[i])
     new = F.element_at(F.array(*[F.lit(order.index(i)) for i in range(len(centres))]), F.col("prediction") + 1)
@@ -62,26 +64,24 @@ def first_component(row: dict, columns: list[str]) -> tuple[np.ndarray, float]:
     return v * np.sign(v[np.argmax(np.abs(v))]), float(values[-1] / values.sum())
 
 
-def component_draws(per_unit: DataFrame, drawn: DataFrame, columns: list[str]) -> DataFrame:
-    """(replicate, sensor, loading, explained): the first component of each replicate, from weighted unit moments."""
-    names = [c for c in per_unit.columns if c != "unit"]
-    reps = per_unit.join(drawn, "unit").groupBy("replicate").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in names])
+def component_draws(per_unit: DataFrame, drawn: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
+    """(keys, replicate, sensor, loading, explained): the first component of each replicate, from weighted unit moments."""
+    keys = keys or []
+    names = [c for c in per_unit.columns if c not in ("unit", *keys)]
+    reps = per_unit.join(drawn, "unit").groupBy(*keys, "replicate").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in names])
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for row in f.to_dict("records"):
                 v, share = first_component(row, columns)
-                yield pd.DataFrame({"replicate": row["replicate"], "sensor": columns, "loading": v, "explained": share})
+                yield pd.DataFrame({**{k: row[k] for k in keys}, "replicate": row["replicate"], "sensor": columns, "loading": v, "explained": share})
 
-    return reps.mapInPandas(of, "replicate int, sensor string, loading double, explained double")
+    kinds = "".join(f"{k} {per_unit.schema[k].dataType.simpleString()}, " for k in keys)
+    return reps.mapInPandas(of, f"{kinds}replicate int, sensor string, loading double, explained double")
 
 
-def ridge(df: DataFrame, columns: list[str], y: str, alpha: float) -> tuple[np.ndarray, float]:
-    """(weights, intercept) on the columns' own scale: features are standardised, the penalty leaves out the intercept.
-
-    One pass gathers the Gram sums; only those, a row of p * p numbers, reach the driver.
-    """
-    row = moments(df, [*columns, y]).first().asDict()
+def _solved(row: dict, columns: list[str], y: str, alpha: float) -> tuple[np.ndarray, float]:
+    """Ridge's weights and intercept from a row of moments."""
     cov = covariance(row, [*columns, y])
     n, sd = row["n"], np.sqrt(np.diag(cov)[:-1])
     sd = np.where(sd == 0, 1.0, sd)
@@ -90,11 +90,43 @@ def ridge(df: DataFrame, columns: list[str], y: str, alpha: float) -> tuple[np.n
     return w, float(row[f"s_{y}"] / n - sum(w[i] * row[f"s_{c}"] / n for i, c in enumerate(columns)))
 
 
+def ridge(df: DataFrame, columns: list[str], y: str, alpha: float) -> tuple[np.ndarray, float]:
+    """(weights, intercept) on the columns' own scale: features are standardised, the penalty leaves out the intercept.
+
+    One pass gathers the Gram sums; only those, a row of p * p numbers, reach the driver.
+    """
+    return _solved(moments(df, [*columns, y]).first().asDict(), columns, y, alpha)
+
+
+def ridge_by_fold(df: DataFrame, columns: list[str], y: str, alphas: list[float], fold: str = "fold") -> DataFrame:
+    """(fold, alpha, w_<c>, intercept): ridge fitted on the rows of the other folds, for every fold and penalty.
+
+    One pass gathers each fold's Gram sums; a fold's training sums are those of all others.
+    """
+    rows = {r[fold]: r.asDict() for r in moments(df, [*columns, y], [fold]).collect()}  # a row for each fold
+    out = []
+    for k in rows:
+        rest = [r for f, r in rows.items() if f != k]
+        if rest:
+            row = {c: sum(r[c] for r in rest) for c in rest[0] if c != fold}
+            for a in alphas:
+                w, i = _solved(row, columns, y, a)
+                out.append((k, float(a), *map(float, w), i))
+    kind = df.schema[fold].dataType.simpleString()
+    return df.sparkSession.createDataFrame(out, f"{fold} {kind}, alpha double, {', '.join(f'w_{c} double' for c in columns)}, intercept double")
+
+
+def predicted(df: DataFrame, fits: DataFrame, columns: list[str], fold: str = "fold") -> DataFrame:
+    """df with alpha and raw: each row predicted by the fits of its fold; fits: a row for each fold and penalty."""
+    raw = reduce(lambda a, c: a + F.col(c) * F.col(f"w_{c}"), columns, F.col("intercept"))
+    return df.join(F.broadcast(fits), fold).withColumn("raw", raw).drop("intercept", *(f"w_{c}" for c in columns))
+
+
 def linear(columns: list[str], w: np.ndarray, b: float) -> F.Column:
     return reduce(lambda a, x: a + x, [F.col(c) * float(v) for c, v in zip(columns, w, strict=True)], F.lit(float(b)))
 
 
-def forest(train: DataFrame, columns: list[str], y: str, trees: int = 20, seed: int = 42):
+def forest(train: DataFrame, columns: list[str], y: str, trees: int = 300, seed: int = 42):
     return RandomForestRegressor(labelCol=y, numTrees=trees, maxDepth=6, seed=seed).fit(vectors(train, columns))
 
 
@@ -144,14 +176,19 @@ def split_gain(patterns: list[tuple[list[float], float]]) -> float:
     return 1 - best / total
 
 
-def silhouette(df: DataFrame, columns: list[str], label: str, of_each: int) -> DataFrame:
-    """(silhouette): the mean over units whose id is divisible by of_each, by exact Euclidean distances to all rows.
+def silhouette(df: DataFrame, columns: list[str], label: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys, silhouette): the mean over all rows, by mean squared Euclidean distances to the clusters.
 
-    The sample is part of the statistic; distances are summed per cluster before anything is compared.
+    These follow from each cluster's size, mean and mean of squares: no row is compared with another. A row that is
+    alone in its cluster counts 0.
     """
-    a = df.where(F.col("unit") % of_each == 0).select(F.col("unit").alias("u"), F.col(label).alias("own"), *[F.col(c).alias(f"a_{c}") for c in columns])
-    dist = F.sqrt(reduce(lambda x, y: x + y, [(F.col(c) - F.col(f"a_{c}")) * (F.col(c) - F.col(f"a_{c}")) for c in columns]))
-    d = df.join(F.broadcast(a), F.col("unit") != F.col("u"))  # the sample only
-    per = d.groupBy("u", "own", F.col(label).alias("other")).agg(F.avg(dist).alias("mean"))
-    g = per.groupBy("u").agg(F.min(F.when(F.col("own") == F.col("other"), F.col("mean"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("mean"))).alias("b"))
-    return g.agg(F.avg(F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))).alias("silhouette"))
+    keys = keys or []
+    square = lambda p: reduce(lambda x, y: x + y, [F.col(p + c) * F.col(p + c) for c in columns])
+    stats = df.groupBy(*keys, F.col(label).alias("__c")).agg(F.count("*").alias("__n"), F.avg(square("")).alias("__q"), *[F.avg(c).alias(f"__m_{c}") for c in columns])
+    rows = df.withColumn("__row", F.monotonically_increasing_id())
+    far = rows.join(F.broadcast(stats), keys) if keys else rows.join(F.broadcast(stats), F.lit(True))  # a row for each cluster
+    mean = square("") - 2 * reduce(lambda x, y: x + y, [F.col(c) * F.col(f"__m_{c}") for c in columns]) + F.col("__q")
+    own = F.col(label) == F.col("__c")
+    per = far.groupBy(*keys, "__row").agg(F.max(F.when(own & (F.col("__n") > 1), mean * F.col("__n") / (F.col("__n") - 1))).alias("a"), F.min(F.when(~own, mean)).alias("b"))
+    one = F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)))
+    return per.groupBy(*keys).agg(F.avg(one).alias("silhouette"))

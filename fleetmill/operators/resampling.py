@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from fleetmill.functions.columns import ratio
 from fleetmill.functions.rng import uniform
+from fleetmill.operators.ordering import numbered, running
+from fleetmill.sources.shared import written
 
 
 def draws(units: DataFrame, replicates: int, stream: str = "boot", key: str = "unit") -> DataFrame:
@@ -14,10 +16,10 @@ def draws(units: DataFrame, replicates: int, stream: str = "boot", key: str = "u
 
     units: one row for each unit. Draw i of a replicate takes the unit at a hashed place in the order of ids.
     """
-    place = units.select(key).withColumn("place", F.row_number().over(Window.orderBy(key)) - 1)  # ids only, one row for each unit
+    place = written(numbered(units.select(key), [key]), "places")  # ids only, one row for each unit
     n = F.broadcast(place.agg(F.count("*").alias("n")))  # a single row
     drawn = place.join(n, F.lit(True)).select(F.col("place").alias("i"), "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    drawn = drawn.select("replicate", F.floor(uniform(stream, F.col("replicate"), F.col("i")) * F.col("n")).cast("int").alias("place"))
+    drawn = drawn.select("replicate", F.floor(uniform(stream, F.col("replicate"), F.col("i")) * F.col("n")).cast("long").alias("place"))
     return drawn.groupBy("replicate", "place").agg(F.count("*").alias("w")).join(place, "place").select("replicate", key, "w")
 
 
@@ -65,10 +67,10 @@ def triggers(points: DataFrame, thresholds: list[float], keys: list[str]) -> Dat
         *keys, "threshold", F.when(F.col("hits") > 0, F.col("lead")).alias("lead"))
 
 
-def decision_sums(leads: DataFrame, least: float) -> DataFrame:
-    """(unit, threshold, n, failed, removed, wasted, caught) over a unit's trajectories."""
+def decision_sums(leads: DataFrame, least: float, keys: list[str] | None = None) -> DataFrame:
+    """(keys, unit, threshold, n, failed, removed, wasted, caught) over a unit's trajectories."""
     l = F.col("lead")  # noqa: E741
-    return leads.groupBy("unit", "threshold").agg(
+    return leads.groupBy(*(keys or []), "unit", "threshold").agg(
         F.count("*").cast("double").alias("n"), F.sum(F.coalesce(l <= 0, F.lit(True)).cast("double")).alias("failed"), F.sum(F.coalesce(l > 0, F.lit(False)).cast("double")).alias("removed"),
         F.sum(F.coalesce(F.when(l > 0, l), F.lit(0.0))).alias("wasted"), F.sum(F.coalesce(l >= least, F.lit(False)).cast("double")).alias("caught"))
 
@@ -96,27 +98,41 @@ def caught_at_budget(curve: DataFrame, budgets: list[float], keys: list[str]) ->
     return c.select(*keys, "budget").distinct().join(found, [*keys, "budget"], "left")
 
 
+def _normal_tail(z: Column) -> Column:
+    """The standard normal distribution's weight beyond |z| on one side, by a rational approximation (error under 1e-7)."""
+    x = F.abs(z) / F.sqrt(F.lit(2.0))
+    t = 1 / (1 + 0.3275911 * x)
+    series = ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t
+    return series * F.exp(-x * x) / 2
+
+
+def _exact_p(w: Column, n: Column) -> Column:
+    """Two-sided p of the statistic without ties: sums of all subsets of the ranks 1 to n are counted."""
+    most = n * (n + 1) / 2
+    start = F.transform(F.sequence(F.lit(0), most.cast("int")), lambda s: F.when(s == 0, 1.0).otherwise(0.0))
+    ways = F.aggregate(F.sequence(F.lit(1), n.cast("int")), start, lambda have, r: F.transform(have, lambda x, s: x + F.when(s >= r, F.get(have, s - r)).otherwise(0.0)))
+    below = F.aggregate(F.slice(ways, 1, F.floor(w).cast("int") + 1), F.lit(0.0), lambda t, x: t + x)
+    return F.least(F.lit(1.0), 2 * below / F.pow(F.lit(2.0), n))
+
+
 def signed_rank(diffs: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """(keys, n, w, p): Wilcoxon's signed ranks without zeros, average ranks for ties; p by the normal approximation with tie correction."""
+    """(keys, n, w, z, p): Wilcoxon's signed ranks of the differences of a few splits, without zeros, average ranks for ties.
+
+    p is exact for up to 50 differences without ties, else by the normal approximation with tie correction; where no
+    split differs n is 0 and w, z and p are null.
+    """
     d = diffs.where(F.col(value) != 0).withColumn("__a", F.abs(value))
     group = Window.partitionBy(*keys)
-    r = F.rank().over(group.orderBy("__a")) + (F.count("*").over(Window.partitionBy(*keys, "__a")) - 1) / 2
     t = F.count("*").over(Window.partitionBy(*keys, "__a"))
-    d = d.withColumn("r", r).withColumn("t", t)
+    d = d.withColumn("r", F.rank().over(group.orderBy("__a")) + (t - 1) / 2).withColumn("t", t)
     g = d.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.when(F.col(value) > 0, F.col("r")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col(value) < 0, F.col("r")).otherwise(0.0)).alias("down"),
                              F.sum(F.col("t") * F.col("t") - 1).alias("ties"))
     n, w = F.col("n"), F.least("up", "down")
     z = (w - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
-    return g.select(*keys, "n", w.alias("w"), z.alias("z"))
-
-
-def exact_signed_rank_p(w: float, n: int) -> float:
-    """Two-sided p of Wilcoxon's statistic without ties, by counting the sums of all subsets of ranks."""
-    ways = [1] + [0] * (n * (n + 1) // 2)
-    for r in range(1, n + 1):
-        for s in range(len(ways) - 1, r - 1, -1):
-            ways[s] += ways[s - r]
-    return min(1.0, 2 * sum(ways[: int(w) + 1]) / 2**n)
+    g = g.select(*keys, "n", w.alias("w"), z.alias("z"), "ties")
+    p = F.when((F.col("n") <= 50) & (F.col("ties") == 0), _exact_p(F.col("w"), F.col("n"))).otherwise(F.least(F.lit(1.0), 2 * _normal_tail(F.col("z"))))
+    found = g.select(*keys, "n", "w", "z", p.alias("p"))
+    return diffs.select(*keys).distinct().join(found, keys, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
 def ks(df: DataFrame, value: str, side: str, weight: Column | None = None, keys: list[str] | None = None) -> DataFrame:
@@ -124,20 +140,22 @@ def ks(df: DataFrame, value: str, side: str, weight: Column | None = None, keys:
     keys = keys or []
     w = weight if weight is not None else F.lit(1)
     n = lambda x: F.sum(F.when(F.col(side) == x, w).otherwise(0))
-    g = df.groupBy(*keys, value).agg(n(0).alias("a"), n(1).alias("b"))
-    order = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy(*keys)
-    gap = F.abs(F.sum("a").over(order) / F.nullif(F.sum("a").over(total), F.lit(0)) - F.sum("b").over(order) / F.nullif(F.sum("b").over(total), F.lit(0)))
-    return g.select(*keys, gap.alias("gap")).groupBy(*keys).agg(F.max("gap").alias("ks"))
+    g = running(df.groupBy(*keys, value).agg(n(0).alias("a"), n(1).alias("b")), value, ["a", "b"], keys)
+    share = lambda c: F.col(f"run_{c}") / F.nullif(F.col(f"total_{c}"), F.lit(0.0))
+    return g.select(*keys, F.abs(share("a") - share("b")).alias("gap")).groupBy(*keys).agg(F.max("gap").alias("ks"))
 
 
 def largest_remainder(shares: DataFrame, total: int) -> DataFrame:
     """(bin, want): whole numbers that add up to total; the largest remainders, then the least bins, get one more."""
     s = shares.withColumn("exact", F.col("share") * total).withColumn("want", F.floor("exact"))
-    everything = Window.partitionBy(F.lit(0))  # a row for each bin
-    place = F.row_number().over(everything.orderBy(F.desc(F.col("exact") - F.col("want")), "bin"))
-    short = F.lit(total) - F.sum("want").over(everything)
-    return s.select("bin", (F.col("want") + (place <= short).cast("int")).alias("want"))
+    # A row for each bin: they are sorted as one array.
+    place = F.array_sort(F.collect_list(F.struct((F.col("want") - F.col("exact")).alias("less"), "bin", "want")))
+    one = s.agg(place.alias("b"), (F.lit(total) - F.sum("want")).alias("short")).select("short", F.posexplode("b").alias("place", "x"))
+    return one.select("x.bin", (F.col("x.want") + (F.col("place") < F.col("short")).cast("int")).alias("want"))
+
+
+#: Slots that the points of a bin fall into by their hash.
+SLOTS = 4096
 
 
 def benchmark_view(points: DataFrame, target: DataFrame, total: int, width: float) -> tuple[DataFrame, DataFrame]:
@@ -145,11 +163,16 @@ def benchmark_view(points: DataFrame, target: DataFrame, total: int, width: floa
     want = largest_remainder(target, total)
     b = (F.floor(F.col("rul_true") / width) * width).alias("bin")
     h = uniform("bench", F.col("unit"), F.col("cycle"))
-    rows = points.withColumn("bin", b).join(F.broadcast(want), "bin")  # a row for each bin
-    place = F.row_number().over(Window.partitionBy("bin").orderBy(h, "unit", "cycle"))
-    have = points.groupBy(b).agg(F.count("*").alias("have"))
+    rows = points.withColumn("bin", b).withColumn("__h", h)
+    # A bin's points fall into slots by their hash; only slots up to the one that fills the bin are ranked.
+    slots = rows.groupBy("bin", F.floor(F.col("__h") * SLOTS).alias("__slot")).agg(F.count("*").alias("n"))
+    filled = slots.withColumn("before", F.sum("n").over(Window.partitionBy("bin").orderBy("__slot").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))  # SLOTS rows
+    last = filled.join(F.broadcast(want), "bin").where("before < want").groupBy("bin").agg(F.max("__slot").alias("__last"), F.first("want").alias("want"))  # a row for each bin
+    few = rows.join(F.broadcast(last), "bin").where(F.floor(F.col("__h") * SLOTS) <= F.col("__last"))
+    place = F.row_number().over(Window.partitionBy("bin").orderBy("__h", "unit", "cycle"))
+    have = slots.groupBy("bin").agg(F.sum("n").alias("have"))
     short = want.join(have, "bin", "left").select("bin", F.greatest(F.col("want") - F.coalesce("have", F.lit(0)), F.lit(0)).alias("shortfall")).where("shortfall > 0")
-    return rows.withColumn("__p", place).where("__p <= want").drop("__p", "want"), short
+    return few.withColumn("__p", place).where("__p <= want").drop("__p", "__h", "__last", "want"), short
 
 
 def roc_auc(df: DataFrame, score: str, label: str, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
@@ -157,8 +180,7 @@ def roc_auc(df: DataFrame, score: str, label: str, keys: list[str] | None = None
     keys = keys or []
     w = F.col(weight) if weight else F.lit(1)
     g = df.groupBy(*keys, score).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0)).alias("__p"), F.sum(F.when(F.col(label) == 0, w).otherwise(0)).alias("__q"))
-    below = F.coalesce(F.sum("__q").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    g = g.withColumn("__wins", F.col("__p") * (below + F.col("__q") / 2))
+    g = running(g, score, ["__q"], keys).withColumn("__wins", F.col("__p") * (F.col("run___q") - F.col("__q") / 2))
     return g.groupBy(*keys).agg((F.sum("__wins") / F.nullif(F.sum("__p") * F.sum("__q"), F.lit(0))).alias("auc"))
 
 

@@ -18,13 +18,21 @@ def pick_winner(comparisons: DataFrame, keys: list[str]) -> DataFrame:
 
 def none_worse(comparisons: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """(keys, passes): worse on none of the metrics; budgets' curves count the other way round (more is better)."""
-    bad = F.when(F.col("metric").startswith("caught"), F.col("diff_ci_hi") < 0).otherwise(F.col("diff_ci_lo") > 0)
+    bad = F.coalesce(F.when(F.col("metric").startswith("caught"), F.col("diff_ci_hi") < 0).otherwise(F.col("diff_ci_lo") > 0), F.lit(False))
     return comparisons.where(F.col("metric").isin(metrics) | F.col("metric").startswith("caught")).groupBy(*keys).agg((~F.bool_or(bad)).alias("passes"))
 
 
 def decision_better(comparisons: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, better): caught more at one budget or more, less at none."""
-    return comparisons.where("metric like 'caught%'").groupBy(*keys).agg((F.bool_or(F.col("diff_ci_lo") > 0) & ~F.bool_or(F.col("diff_ci_hi") < 0)).alias("better"))
+    return comparisons.where("metric like 'caught%'").groupBy(*keys).agg(
+        (F.coalesce(F.bool_or(F.col("diff_ci_lo") > 0), F.lit(False)) & ~F.coalesce(F.bool_or(F.col("diff_ci_hi") < 0), F.lit(False))).alias("better"))
+
+
+def loo_dropped(comparisons: DataFrame, keys: list[str], cap: str, metrics: list[str]) -> DataFrame:
+    """(keys, challenger): adopted changes that aren't better than leaving them out; that of the cap also where none_worse fails."""
+    passes = none_worse(comparisons, [*keys, "challenger"], metrics)
+    rows = comparisons.where("metric = 'rmse'").join(passes, [*keys, "challenger"])
+    return rows.where(~((verdict() == "better") & ((F.col("challenger") != cap) | F.col("passes")))).select(*keys, "challenger")
 
 
 def block_screen(comparisons: DataFrame, exclusive: list[str]) -> DataFrame:

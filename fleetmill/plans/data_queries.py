@@ -38,18 +38,22 @@ def scan_cycles_txt(spark, d):
 
 
 @query("""SELECT dataset, split, count(*) AS n_rows, count(DISTINCT unit) AS n_units FROM (
-  SELECT dataset, unit, 'train' AS split FROM cycles WHERE unit % 5 <> 0 UNION ALL
-  SELECT dataset, unit, 'test' FROM (SELECT *, max(cycle) OVER (PARTITION BY unit) AS l FROM cycles) WHERE unit % 5 = 0 AND cycle <= floor(l / 2)) GROUP BY ALL""")
+  SELECT dataset, unit, 'train' AS split FROM both_cycles WHERE unit % 5 <> 0 UNION ALL
+  SELECT dataset, unit, 'test' FROM (SELECT *, max(cycle) OVER (PARTITION BY dataset, unit) AS l FROM both_cycles) WHERE unit % 5 = 0 AND cycle <= floor(l / 2)) GROUP BY ALL""")
 def scan_multi_dataset(spark, d):
-    return files.read_text(spark, _text(spark, d), [*b.OPS, *S]).groupBy("dataset", "split").agg(F.count("*").alias("n_rows"), F.countDistinct("unit").alias("n_units"))
+    folder = new_folder(spark, "text")
+    c = b.all_cycles(spark, d)
+    files.write_text(c.where("unit % 5 <> 0"), folder, "train")
+    files.write_text(b.truncated(c), folder, "test")
+    return files.read_text(spark, folder, ["s2", "s7"]).groupBy("dataset", "split").agg(F.count("*").alias("n_rows"), F.countDistinct("unit").alias("n_units"))
 
 
 @query("""SELECT row_number() OVER (ORDER BY unit) AS unit, rul FROM (SELECT unit, max(cycle) - floor(max(cycle) / 2)::BIGINT AS rul FROM cycles WHERE unit % 5 = 0 GROUP BY unit)""")
 def scan_truth_by_line(spark, d):
     t = b.cycles(spark, d).where("unit % 5 = 0").groupBy("unit").agg((F.max("cycle") - F.floor(F.max("cycle") / 2)).alias("rul"))
     folder = new_folder(spark, "truth")
-    # One small file with a number on each line, as such truth files are published.
-    t.orderBy("unit").coalesce(1).select(F.col("rul").cast("string")).write.text(folder)
+    # A number on each line, as such truth files are published; as many files as tasks, in the order of their names.
+    t.repartitionByRange("unit").sortWithinPartitions("unit").select(F.col("rul").cast("string")).write.text(folder)
     return files.read_truth(spark, folder)
 
 

@@ -11,6 +11,7 @@ from fleetmill.operators import features as f
 from fleetmill.operators import labels, models
 from fleetmill.operators import resampling as rs
 from fleetmill.operators import signal as s
+from fleetmill.operators.ordering import numbered
 from fleetmill.plans.flagship import fleet_status as _fleet_status
 from fleetmill.sources import bindings as b
 from fleetmill.sources.shared import new_folder, written
@@ -81,10 +82,18 @@ def health_index_fit(spark, d):
 
 @query()
 def pca_loading_ci(spark, d):
+    """(cluster, sensor, ci_lo, ci_hi, defined, reversed): intervals over replicates of units, of all and of each cluster.
+
+    reversed: the cluster's interval and that of all lie on opposite sides of 0.
+    """
     c = b.cycles(spark, d)
     drawn = written(rs.draws(c.select("unit").distinct(), 40))
-    reps = written(models.component_draws(models.moments(c, X, ["unit"]), drawn, X))
-    return rs.interval(reps, ["sensor"], "loading")
+    per = models.moments(c, X, ["unit"]).join(b.labels(c), "unit")
+    groups = per.withColumn("cluster", F.explode(F.array(F.lit("all"), F.col("subpop").cast("string")))).drop("subpop")
+    reps = written(models.component_draws(groups, drawn, X, ["cluster"]))
+    ci = rs.interval(reps, ["cluster", "sensor"], "loading")
+    whole = ci.where("cluster = 'all'").select("sensor", F.col("ci_lo").alias("lo"), F.col("ci_hi").alias("hi"))
+    return ci.join(F.broadcast(whole), "sensor").withColumn("reversed", ((F.col("ci_hi") < 0) & (F.col("lo") > 0)) | ((F.col("ci_lo") > 0) & (F.col("hi") < 0))).select("cluster", "sensor", "ci_lo", "ci_hi", "defined", "reversed")
 
 
 def _hig(x: str) -> str:
@@ -113,11 +122,27 @@ def ridge_gram(spark, d):
     return m.select(F.col("n").cast("long").alias("n"), F.round("s_s2", 3).alias("s_s2"), F.round("q_s2_s4", 2).alias("q_s2_s4"), F.round("q_s7_rul", 2).alias("q_s7_rul"))
 
 
-@query()
+def solved(rows: str, alphas: str, key: str = "k") -> str:
+    """SQL of ridge's weights w2, w4, w7 and intercept i by key and alpha, from the moments of rows (key, s2, s4, s7, rul): normal equations by Cramer's rule."""
+    return f"""mo AS (SELECT {key}, count(*)::DOUBLE AS n, avg(s2) AS m2, avg(s4) AS m4, avg(s7) AS m7, avg(rul) AS my, stddev_pop(s2) AS d2, stddev_pop(s4) AS d4, stddev_pop(s7) AS d7, covar_pop(s2, s4) AS v24, covar_pop(s2, s7) AS v27, covar_pop(s4, s7) AS v47,
+      covar_pop(s2, rul) AS y2, covar_pop(s4, rul) AS y4, covar_pop(s7, rul) AS y7 FROM {rows} GROUP BY {key}),
+    ge AS (SELECT *, n + alpha AS a, n * v24 / (d2 * d4) AS b, n * v27 / (d2 * d7) AS c, n * v47 / (d4 * d7) AS e, n * y2 / d2 AS p, n * y4 / d4 AS q, n * y7 / d7 AS r FROM mo, ({alphas})),
+    de AS (SELECT *, a * (a * a - e * e) - b * (b * a - e * c) + c * (b * e - a * c) AS det FROM ge),
+    wt AS (SELECT {key}, alpha, (p * (a * a - e * e) - b * (q * a - e * r) + c * (q * e - a * r)) / det / d2 AS w2, (a * (q * a - e * r) - p * (b * a - e * c) + c * (b * r - q * c)) / det / d4 AS w4,
+      (a * (a * r - q * e) - b * (b * r - q * c) + p * (b * e - a * c)) / det / d7 AS w7, my, m2, m4, m7 FROM de),
+    we AS (SELECT *, my - w2 * m2 - w4 * m4 - w7 * m7 AS i FROM wt)"""
+
+
+ROWS = f"rw AS (SELECT *, least(rul_true, 40) AS rul, floor({u('oof', 'unit')} * 3)::INT AS fold FROM ruled)"
+OTHERS = "(SELECT k, s2, s4, s7, rul FROM rw JOIN (SELECT DISTINCT fold AS k FROM rw) ON fold <> k)"
+RAW = "i + s2 * w2 + s4 * w4 + s7 * w7"
+
+
+@query(f"WITH {ROWS}, {solved('(SELECT 0 AS k, * FROM rw WHERE unit % 5 <> 0)', 'SELECT 1.0::DOUBLE AS alpha')} SELECT unit, cycle, rul, round(least(greatest({RAW}, 0), 40), 6) AS pred FROM rw, we WHERE unit % 5 = 0")
 def model_ridge(spark, d):
     r = rows(spark, d)
     w, i = models.ridge(r.where("unit % 5 <> 0"), X, "rul", 1.0)
-    return r.where("unit % 5 = 0").select("unit", "cycle", "rul", clip(models.linear(X, w, i), b.CAP).alias("pred"))
+    return r.where("unit % 5 = 0").select("unit", "cycle", "rul", r6(clip(models.linear(X, w, i), b.CAP)).alias("pred"))
 
 
 @query()
@@ -133,6 +158,14 @@ def model_gbt(spark, d):
     return fit.transform(models.vectors(r.where("unit % 5 = 0"), X)).select("unit", "cycle", "rul", F.col("prediction").alias("pred"), F.lit(fit.getNumTrees).alias("rounds"))
 
 
+@query()
+def gbt_importances(spark, d):
+    """(feature, importance) of the boosted trees, the largest first."""
+    r = rows(spark, d)
+    fit = models.boosted(r.where("unit % 5 <> 0").withColumn("val", F.col("unit") % 5 == 1), X, "rul", 15, "val")
+    return spark.createDataFrame([(c, float(v)) for c, v in zip(X, fit.featureImportances.toArray(), strict=True)], "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
 def early(spark, d):
     e = f.early_summary(b.cycles(spark, d), ["s2", "s8"], b.FIRST_N)
     return e.withColumns({"y": (F.col("unit") % 2 == 1).cast("int"), "fold": F.floor(uniform("cv", F.col("unit")) * 3).cast("int")})
@@ -162,31 +195,24 @@ def identifiability(spark, d):
     return rs.roc_auc(p, "p", "y")
 
 
-@query()
+@query(f"""WITH {ROWS}, {solved(OTHERS, 'SELECT 1.0::DOUBLE AS alpha')} SELECT k AS fold, x.f AS feature, round(x.w, 6) AS weight FROM (SELECT k, unnest([{{'f': 's2', 'w': w2}}, {{'f': 's4', 'w': w4}}, {{'f': 's7', 'w': w7}}, {{'f': 'intercept', 'w': i}}]) AS x FROM we)""")
 def fit_candidate(spark, d):
     """(fold, feature, weight): ridge fitted on the other folds' units, for each fold."""
-    r = written(rows(spark, d).select("fold", "rul", *X))
-
-    def one(train, test):
-        w, i = models.ridge(train, X, "rul", 1.0)
-        pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(float(v)).alias("weight")) for c, v in zip([*X, "intercept"], [*w, i], strict=True)])
-        return test.select("fold").distinct().select("fold", F.explode(pairs).alias("p")).select("fold", "p.feature", "p.weight")
-
-    return models.out_of_fold(r, 3, one)
+    fits = models.ridge_by_fold(rows(spark, d), X, "rul", [1.0])
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(v).alias("weight")) for c, v in [*((c, f"w_{c}") for c in X), ("intercept", "intercept")]])
+    return fits.select("fold", F.explode(pairs).alias("p")).select("fold", "p.feature", r6("p.weight").alias("weight"))
 
 
-@query()
+@query(f"""WITH {ROWS}, {solved(OTHERS, 'SELECT 1.0::DOUBLE AS alpha')} SELECT unit, cycle, fold, rul_true, 'ridge' AS model, round(least(greatest({RAW}, 0), 40), 6) AS pred FROM rw JOIN we ON fold = k
+  UNION ALL SELECT unit, cycle, fold, rul_true, 'mean', round(my, 6) FROM rw JOIN we ON fold = k""")
 def oof_predict(spark, d):
     """Held-out predictions of ridge and mean for every cycle."""
     r = written(rows(spark, d).select("unit", "cycle", "fold", "rul_true", "rul", *X))
-
-    def one(train, test):
-        w, i = models.ridge(train, X, "rul", 1.0)
-        mean = F.broadcast(train.agg(F.avg("rul").alias("m")))  # a single row
-        both = test.join(mean, F.lit(True)).withColumn("pred", F.explode(F.array(F.struct(F.lit("ridge").alias("model"), clip(models.linear(X, w, i), b.CAP).alias("p")), F.struct(F.lit("mean").alias("model"), F.col("m").alias("p")))))
-        return both.select("unit", "cycle", "fold", "rul_true", F.col("pred.model").alias("model"), F.col("pred.p").alias("pred"))
-
-    return models.out_of_fold(r, 3, one)
+    by_fold = r.groupBy("fold").agg(F.sum("rul").alias("s"), F.count("*").alias("n"))  # a row for each fold
+    mean = by_fold.alias("a").join(F.broadcast(by_fold.alias("b")), F.col("a.fold") != F.col("b.fold")).groupBy(F.col("a.fold").alias("fold")).agg((F.sum("b.s") / F.sum("b.n")).alias("m"))
+    both = models.predicted(r, models.ridge_by_fold(r, X, "rul", [1.0]), X).join(F.broadcast(mean), "fold")
+    each = F.explode(F.array(F.struct(F.lit("ridge").alias("model"), clip("raw", b.CAP).alias("p")), F.struct(F.lit("mean").alias("model"), F.col("m").alias("p")))).alias("x")
+    return both.select("unit", "cycle", "fold", "rul_true", each).select("unit", "cycle", "fold", "rul_true", "x.model", r6("x.p").alias("pred"))
 
 
 @query("""SELECT model, dataset, round(sqrt(avg((p - rul) ** 2)), 6) AS rmse, round(avg(abs(p - rul)), 6) AS mae FROM (SELECT dataset, rul, x.m AS model, x.p AS p FROM (SELECT op1 AS dataset, rul, unnest([{'m': 'mean', 'p': (SELECT avg(least(rul_true, 40)) FROM ruled WHERE unit % 5 <> 0)}, {'m': 'line', 'p': least(greatest(66 - cycle, 0), 40)::DOUBLE}]) AS x
@@ -199,20 +225,30 @@ def candidate_scoreboard(spark, d):
     return t.groupBy(F.col("x.model").alias("model"), "dataset").agg(r6(F.sqrt(F.avg(e * e))).alias("rmse"), r6(F.avg(F.abs(e))).alias("mae"))
 
 
-@query()
-def hyperparameter_search(spark, d):
-    """The ridge penalty of least held-out error, by folds of units; the best's error on them."""
-    r = written(rows(spark, d).select("unit", "cycle", "fold", "rul", *X))
+TRIALS = 8
+ALPHAS = f"SELECT exp(ln(0.01) + {u('alpha', 'trial')} * (ln(1000.0) - ln(0.01)))::DOUBLE AS alpha FROM (SELECT unnest(range(1, {TRIALS + 1})) AS trial)"
 
-    def trial(alpha):
-        def one(train, test):
-            w, i = models.ridge(train, X, "rul", alpha)
-            return test.select("rul", clip(models.linear(X, w, i), b.CAP).alias("pred"))
 
-        return models.out_of_fold(r, 3, one).agg(F.lit(alpha).alias("alpha"), F.sqrt(F.avg(F.pow(F.col("pred") - F.col("rul"), 2))).alias("rmse"))
+@query(f"""WITH {ROWS}, ra AS (SELECT *, floor({u('again', 'unit')} * 3)::INT AS fold2 FROM rw), {solved(OTHERS, ALPHAS)}, e1 AS (SELECT alpha, sqrt(avg((least(greatest({RAW}, 0), 40) - rul) ** 2)) AS rmse FROM rw JOIN we ON fold = k GROUP BY alpha),
+  {solved(OTHERS.replace('FROM rw JOIN', 'FROM ra JOIN').replace('fold AS k FROM rw', 'fold2 AS k FROM ra').replace('fold <> k', 'fold2 <> k'), ALPHAS).replace('mo AS', 'mo2 AS').replace('FROM mo,', 'FROM mo2,').replace('ge AS', 'ge2 AS').replace('FROM ge)', 'FROM ge2)').replace('de AS', 'de2 AS').replace('FROM de)', 'FROM de2)').replace('wt AS', 'wt2 AS').replace('FROM wt)', 'FROM wt2)').replace('we AS', 'we2 AS')},
+  e2 AS (SELECT alpha, sqrt(avg((least(greatest({RAW}, 0), 40) - rul) ** 2)) AS rmse FROM ra JOIN we2 ON fold2 = k GROUP BY alpha), best AS (SELECT arg_min(alpha, rmse) AS alpha, min(rmse) AS rmse FROM e1)
+  SELECT round(best.alpha, 6) AS alpha, round(best.rmse, 6) AS rmse, round(e2.rmse, 6) AS rmse_other_repeat, (SELECT count(*) FROM e2 o WHERE o.rmse < e2.rmse - 1e-9) AS better_elsewhere FROM best JOIN e2 ON e2.alpha = best.alpha""")
+def hyperparameter_search(spark, d):
+    """The ridge penalty of least held-out error among hashed log-uniform draws, and how it does in another repeat's folds."""
+    r = written(rows(spark, d).withColumn("fold2", F.floor(uniform("again", F.col("unit")) * 3).cast("int")).select("unit", "cycle", "fold", "fold2", "rul", *X))
+    lo, hi = F.log(F.lit(0.01)), F.log(F.lit(1000.0))
+    drawn = spark.range(1, TRIALS + 1).select(F.exp(lo + uniform("alpha", F.col("id")) * (hi - lo)).alias("alpha"))
+    alphas = [x.alpha for x in drawn.collect()]  # TRIALS numbers
+
+    def errors(fold):
+        fits = models.ridge_by_fold(r, X, "rul", alphas, fold)
+        return models.predicted(r, fits, X, fold).groupBy("alpha").agg(F.sqrt(F.avg(F.pow(clip("raw", b.CAP) - F.col("rul"), 2))).alias("rmse"))
 
-    a, z, y = (trial(x) for x in (0.1, 10.0, 1000.0))
-    return a.unionByName(z).unionByName(y).agg(F.min_by("alpha", F.struct("rmse", "alpha")).alias("alpha"), F.min("rmse").alias("rmse"))
+    best = errors("fold").agg(F.min_by("alpha", F.struct("rmse", "alpha")).alias("alpha"), F.min("rmse").alias("rmse"))
+    other = written(errors("fold2").withColumnRenamed("rmse", "rmse2"))
+    all_of = other.agg(F.collect_list("rmse2").alias("all"))  # TRIALS numbers
+    found = best.join(other, "alpha").join(F.broadcast(all_of), F.lit(True))
+    return found.select(r6("alpha").alias("alpha"), r6("rmse").alias("rmse"), r6("rmse2").alias("rmse_other_repeat"), F.size(F.filter("all", lambda x: x < F.col("rmse2") - 1e-9)).cast("long").alias("better_elsewhere"))
 
 
 @query()
@@ -247,10 +283,10 @@ def permutation_test(spark, d):
     """Gain of the split against gains with every sensor's signs dealt anew, in 20 replicates."""
     signs = written(sign_rows(spark, d))
     long = unpivot(signs, ["unit"], ["s2", "s4", "s8"]).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(20))))
-    by = Window.partitionBy("replicate", "sensor")
-    a = long.select("replicate", "sensor", "unit", F.row_number().over(by.orderBy("unit")).alias("i"))
+    # Places over all replicates and sensors: each of these has as many rows, so equal ranges of places.
+    a = numbered(long.select("replicate", "sensor", "unit"), ["replicate", "sensor", "unit"], "i")
     h = uniform("perm", F.col("replicate"), F.col("sensor"), F.col("unit"))
-    z = long.select("replicate", "sensor", "x", F.row_number().over(by.orderBy(h, "unit")).alias("i"))
+    z = numbered(long.select("replicate", "sensor", "x", h.alias("h"), F.col("unit").alias("from")), ["replicate", "sensor", "h", "from"], "i").drop("h", "from")
     dealt = a.join(z, ["replicate", "sensor", "i"]).groupBy("replicate", "unit").pivot("sensor", ["s2", "s4", "s8"]).agg(F.first("x"))
     counts = dealt.groupBy("replicate", "s2", "s4", "s8").agg(F.count("*").cast("double").alias("n"))
 
@@ -262,11 +298,13 @@ def permutation_test(spark, d):
     return null.agg(F.max(F.lit(seen)).alias("gain"), ((1 + F.count_if(F.col("gain") >= seen)) / (1 + F.count("*"))).alias("p"))
 
 
-@query("""WITH p AS (SELECT unit, avg(s2) AS x, avg(s8) AS y, unit % 2 AS g FROM cycles GROUP BY unit), d AS (SELECT a.unit AS u, a.g AS own, q.g AS other, avg(sqrt((a.x - q.x) ** 2 + (a.y - q.y) ** 2)) AS m FROM p a JOIN p q ON a.unit <> q.unit WHERE a.unit % 10 = 0 GROUP BY ALL),
-  s AS (SELECT u, min(m) FILTER (own = other) AS a, min(m) FILTER (own <> other) AS b FROM d GROUP BY u) SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM s""")
+@query("""WITH p AS (SELECT k, unit, avg(s2) AS x, avg(s8) AS y, unit % k AS g FROM cycles, (SELECT unnest([2, 3, 5]) AS k) GROUP BY ALL), c AS (SELECT k, g AS c, count(*) AS n, avg(x * x + y * y) AS q, avg(x) AS mx, avg(y) AS my FROM p GROUP BY ALL),
+  d AS (SELECT p.k, unit, max(CASE WHEN g = c AND n > 1 THEN (x * x + y * y - 2 * (x * mx + y * my) + q) * n / (n - 1) END) AS a, min(CASE WHEN g <> c THEN x * x + y * y - 2 * (x * mx + y * my) + q END) AS b FROM p JOIN c ON p.k = c.k GROUP BY ALL)
+  SELECT k, round(avg(CASE WHEN a IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END), 6) AS silhouette FROM d GROUP BY k""")
 def silhouette(spark, d):
-    p = b.cycles(spark, d).groupBy("unit").agg(F.avg("s2").alias("x"), F.avg("s8").alias("y")).withColumn("g", F.col("unit") % 2)
-    return models.silhouette(p, ["x", "y"], "g", 10).select(r6("silhouette").alias("silhouette"))
+    """The mean silhouette of all units for several numbers of groups."""
+    p = b.cycles(spark, d).groupBy("unit").agg(F.avg("s2").alias("x"), F.avg("s8").alias("y")).withColumn("k", F.explode(F.array(*[F.lit(k) for k in (2, 3, 5)]))).withColumn("g", F.col("unit") % F.col("k"))
+    return models.silhouette(p, ["x", "y"], "g", ["k"]).select("k", r6("silhouette").alias("silhouette"))
 
 
 @query("SELECT op1 AS c1, op1 / 50 AS c2, CASE WHEN op1 = 25 THEN 60.0 ELSE 100.0 END::DOUBLE AS c3, count(*) AS n FROM cycles GROUP BY op1")
@@ -297,35 +335,46 @@ def batch_score(spark, d):
 
 @query(f"WITH {FEATS} SELECT unit, cycle, n_cycles_used, round(p, 6) AS predicted_rul, {BUCKET} AS bucket FROM sc")
 def stream_score(spark, d):
+    """Cycles come in three runs, every third of a unit's in each, so that most wait in the state for those before them."""
     folder = new_folder(spark, "stream")
-    b.cycles(spark, d).select("unit", "cycle", "s7").write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema("unit long, cycle long, s7 double").parquet(f"{folder}/in")
-    feats = scoring.drained(scoring.stream_features(stream, "s7", b.WINDOW), folder)
+    c = b.cycles(spark, d).select("unit", "cycle", "s7")
+    for part in (0, 2, 1):
+        c.where(F.col("cycle") % 3 == part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("unit long, cycle long, s7 double").parquet(f"{folder}/in")
+        feats = scoring.drained(scoring.stream_features(stream, "s7", b.WINDOW), folder)
     out = scoring.scored(feats, WEIGHTS, b.CAP, b.MIN_HISTORY, b.BUCKETS)
     return out.select("unit", "cycle", "n_cycles_used", r6("predicted_rul").alias("predicted_rul"), "bucket")
 
 
 @query("SELECT unit, count(*) AS n, max(cycle) AS last FROM (SELECT DISTINCT unit, cycle FROM cycles) GROUP BY unit")
 def stream_dedup_late(spark, d):
+    """A second run brings repeated rows, and new ones that are older than the watermark: neither is taken."""
     folder = new_folder(spark, "dedup")
     e = b.read(spark, d, "events").select("event_id", "ts", "user_id")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     c = e.select(F.col("user_id").alias("unit"), F.row_number().over(order).cast("long").alias("cycle"), "ts")
-    c.union(c.where("cycle % 3 = 0")).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema("unit long, cycle long, ts timestamp").parquet(f"{folder}/in")
-    out = scoring.drained(scoring.deduplicated(stream, "ts", ["unit", "cycle"], "3650 days"), folder)
+    last = F.broadcast(e.agg(F.max("ts").alias("__last")))  # a single row
+    late = c.join(last, F.lit(True)).where("ts < __last - interval 6 days").drop("__last").withColumn("cycle", F.col("cycle") + 1_000_000)
+    for rows_now in (c.union(c.where("cycle % 3 = 0")), c.where("cycle % 2 = 0").union(late)):
+        rows_now.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("unit long, cycle long, ts timestamp").parquet(f"{folder}/in")
+        out = scoring.drained(scoring.deduplicated(stream, "ts", ["unit", "cycle"], "5 days"), folder)
     return out.groupBy("unit").agg(F.count("*").alias("n"), F.max("cycle").alias("last"))
 
 
 @query("""SELECT time_bucket(INTERVAL '1 day', ts) AS start, CASE WHEN value < 10 THEN 'critical' WHEN value < 20 THEN 'urgent' WHEN value < 40 THEN 'monitor' ELSE 'healthy' END AS bucket, count(*) AS n FROM events GROUP BY ALL""")
 def stream_bucket_alert(spark, d):
+    """Windows of a stream are given out as the watermark passes them; a mark behind all events lets the last ones pass."""
+    folder = new_folder(spark, "alerts")
     e = b.read(spark, d, "events").select("ts", bucket("value", b.BUCKETS).alias("bucket"))
-    return scoring.bucket_alerts(e, "ts", "1 day")
+    e.union(e.agg((F.max("ts") + F.expr("interval 4 days")).alias("ts"), F.lit("mark").alias("bucket")).where("ts is not null")).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("ts timestamp, bucket string").parquet(f"{folder}/in").withWatermark("ts", "2 days")
+    return scoring.drained(scoring.bucket_alerts(stream, "ts", "1 day"), folder).where("bucket <> 'mark'")
 
 
 @query(f"""SELECT trial, round(exp(ln(0.01) + {u('rate', 'trial')} * (ln(0.3) - ln(0.01))), 9) AS rate, (floor({u('depth', 'trial')} * 6) + 3)::INT AS depth, ['mean', 'ridge', 'gbt'][(floor({u('kind', 'trial')} * 3) + 1)::INT] AS kind, n
-  FROM (SELECT unit + 1 AS trial, count(*) AS n FROM cycles WHERE unit < 15 GROUP BY unit)""")
+  FROM (SELECT unit + 1 AS trial, count(*) AS n FROM cycles GROUP BY unit)""")
 def random_candidates(spark, d):
-    """A drawn candidate for each of the first units, with the cycles that it would be fitted on."""
-    n = b.cycles(spark, d).where("unit < 15").groupBy((F.col("unit") + 1).alias("trial")).agg(F.count("*").alias("n"))
-    return labels.random_candidates(spark, 15).join(n, "trial").select("trial", F.round("rate", 9).alias("rate"), "depth", "kind", "n")
+    """A drawn candidate for each unit, with the cycles that it would be fitted on."""
+    n = b.cycles(spark, d).groupBy((F.col("unit") + 1).alias("trial")).agg(F.count("*").alias("n"))
+    return labels.random_candidates(n).select("trial", F.round("rate", 9).alias("rate"), "depth", "kind", "n")

@@ -18,6 +18,7 @@ VIEWS = {
             (CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 10 WHEN 'purchase' THEN 20 WHEN 'signup' THEN 25 ELSE 35 END)::DOUBLE AS op1 FROM events)""",
     "long_cycles": """SELECT *, s2 + 0.05 * cycle AS s7 FROM (SELECT 'lineitem' AS dataset, l_suppkey::BIGINT AS unit, row_number() OVER (PARTITION BY l_suppkey ORDER BY
       l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_discount, l_tax) AS cycle, l_quantity::DOUBLE AS s2 FROM lineitem)""",
+    "both_cycles": "SELECT dataset, unit, cycle, s2, s7 FROM cycles UNION ALL SELECT dataset, unit, cycle, s2, s7 FROM long_cycles",
     "ruled": "SELECT *, (max(cycle) OVER (PARTITION BY unit) - cycle)::DOUBLE AS rul_true FROM cycles",
     "points2": """SELECT dataset, unit, cycle, repeat, floor(('0x' || substr(md5('42|fold|' || repeat || '|' || unit), 1, 8))::BIGINT / 4294967296.0 * 5)::INT AS fold, 42 AS seed, rul_true,
       least(greatest(66 - cycle + (s2 - 50) / 10, 0), 125) AS pred_a, least(greatest(70 - 1.05::DOUBLE * cycle, 0), 125)::DOUBLE AS pred_b, (unit % 3 = 0)::INT AS subpop

@@ -9,6 +9,7 @@ from fleetmill.functions.rng import uniform
 from fleetmill.operators import evaluation as e
 from fleetmill.operators import resampling as rs
 from fleetmill.operators import selection as sel
+from fleetmill.operators.ordering import numbered
 from fleetmill.sources import bindings as b
 from fleetmill.sources.shared import written
 
@@ -89,11 +90,12 @@ SPLITS = "d AS (SELECT repeat, fold, sqrt(avg((pred_a - rul_true) ** 2)) - sqrt(
 
 
 @query(f"""WITH {SPLITS}, r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r FROM d WHERE d <> 0), w AS (SELECT count(*) AS n, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS w FROM r)
-  SELECT n, w, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24), 6) AS z FROM w""")
+  SELECT n, w, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24), 6) AS z, (SELECT round(least(1, 2 * avg((list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN (subset >> (i - 1)) & 1 = 1 THEN i ELSE 0 END)) <= w)::INT)), 9)
+    FROM (SELECT unnest(range(1 << 10)) AS subset)) AS p FROM w""")
 def wilcoxon_signed_rank(spark, d):
     v = lambda w: e.with_truth(b.points(spark, d, w), None).groupBy("repeat", "fold").agg(F.sqrt(F.avg(F.pow(e.error(), 2))).alias(w))
     diffs = v("A").join(v("B"), ["repeat", "fold"]).select(F.lit(1).alias("all"), (F.col("A") - F.col("B")).alias("d"))
-    return rs.signed_rank(diffs, "d", ["all"]).select("n", "w", r6("z").alias("z"))
+    return rs.signed_rank(diffs, "d", ["all"]).select("n", "w", r6("z").alias("z"), F.round("p", 9).alias("p"))
 
 
 @query("""WITH v AS (SELECT s2 AS x, sum((unit % 2 = 0)::INT) AS a, sum((unit % 2 = 1)::INT) AS b FROM cycles GROUP BY s2), c AS (SELECT sum(a) OVER (ORDER BY x) / sum(a) OVER () AS fa, sum(b) OVER (ORDER BY x) / sum(b) OVER () AS fb FROM v)
@@ -267,24 +269,68 @@ def adjusted_rand_index(spark, d):
     return rs.rand_index(c, "a", "b").select(F.round("ari", 9).alias("ari"))
 
 
-# Selection rules: comparisons of regimes' challengers with the incumbent A, from the points.
-CMP = """cmp AS (SELECT op1 AS step, 'c' || fold AS challenger, 'A' AS incumbent, 'rmse' AS metric, avg(abs(pred_b - rul_true)) AS estimate, avg(pred_b - pred_a) - 1.5 AS diff_ci_lo, avg(pred_b - pred_a) + 0.7 AS diff_ci_hi FROM points2 JOIN (SELECT unit, cycle, op1 FROM cycles) USING (unit, cycle) GROUP BY ALL
-  UNION ALL SELECT op1, 'c' || fold, 'A', 'caught_' || repeat, 0, avg(pred_a - pred_b) - 0.4, avg(pred_a - pred_b) + 0.9 FROM points2 JOIN (SELECT unit, cycle, op1 FROM cycles) USING (unit, cycle) GROUP BY op1, fold, repeat)"""
+# Selection rules: in each regime (step) four challengers' predictions are compared with the incumbent A's, by paired
+# bootstraps of units: the same draws on both sides.
+CHALLENGERS = {"c1": "{b}", "c2": "({a} + {b}) / 2", "c3": "greatest({a} - 2, 0)", "c4": "least({a} + 1.5, 125)"}
+_UNNEST = ", ".join(f"{{'c': '{k}', 'p': ({v.format(a='pred_a', b='pred_b')})::DOUBLE}}" for k, v in CHALLENGERS.items())
+CMP = f"""{DRAWS}, cand AS (SELECT step, unit, cycle, repeat, rul_true, pa, x.c AS challenger, x.p AS pc FROM (SELECT op1 AS step, unit, cycle, repeat, rul_true, pred_a AS pa, unnest([{_UNNEST}]) AS x FROM points2 JOIN (SELECT unit, cycle, op1 FROM cycles) USING (unit, cycle))),
+  us AS (SELECT step, challenger, unit, count(*) AS n, sum((pa - rul_true) ** 2) AS sa, sum((pc - rul_true) ** 2) AS sc, sum((rul_true < 10)::INT) AS nk, sum(CASE WHEN rul_true < 10 THEN (pa - rul_true) ** 2 ELSE 0 END) AS ka, sum(CASE WHEN rul_true < 10 THEN (pc - rul_true) ** 2 ELSE 0 END) AS kc,
+    sum((pa > rul_true)::INT) AS la, sum((pc > rul_true)::INT) AS lc FROM cand GROUP BY ALL),
+  rp AS (SELECT step, challenger, replicate, sqrt(sum(w * sc) / sum(w * n)) - sqrt(sum(w * sa) / sum(w * n)) AS rmse, sqrt(sum(w * kc) / nullif(sum(w * nk), 0)) - sqrt(sum(w * ka) / nullif(sum(w * nk), 0)) AS rmse_critical,
+    (100 * (sum(w * lc) - sum(w * la)) / sum(w * n))::DOUBLE AS late FROM draws JOIN us USING (unit) GROUP BY ALL),
+  es AS (SELECT step, challenger, sqrt(sum(sc) / sum(n)) AS rmse, sqrt(sum(kc) / nullif(sum(nk), 0)) AS rmse_critical, (100 * sum(lc) / sum(n))::DOUBLE AS late FROM us GROUP BY ALL),
+  who AS (SELECT step, unit, repeat, cycle, rul_true, challenger AS who, pc AS pred FROM cand UNION ALL SELECT step, unit, repeat, cycle, rul_true, 'A', pa FROM cand WHERE challenger = 'c1'),
+  ld AS (SELECT step, who, unit, repeat, threshold, arg_min(rul_true, cycle) FILTER (pred <= threshold) AS lead FROM who, (SELECT unnest({T}::DOUBLE[]) AS threshold) GROUP BY ALL),
+  ds AS (SELECT step, who, unit, threshold, count(*) AS n, sum(CASE WHEN lead > 0 THEN 1 ELSE 0 END) AS removed, sum(CASE WHEN lead > 0 THEN lead ELSE 0 END) AS wasted, sum(coalesce(lead >= 5, false)::INT) AS caught FROM ld GROUP BY ALL),
+  cu AS (SELECT step, who, replicate, threshold, 100 * sum(w * caught) / sum(w * n) AS caught, sum(w * wasted) / nullif(sum(w * removed), 0) AS wasted FROM draws JOIN ds USING (unit) GROUP BY ALL),
+  ru AS (SELECT step, who, replicate, threshold, caught, r AS run, lead(r) OVER o AS nr, lead(caught) OVER o AS nc FROM (SELECT *, max(wasted) OVER (PARTITION BY step, who, replicate ORDER BY threshold) AS r FROM cu WHERE wasted IS NOT NULL) WINDOW o AS (PARTITION BY step, who, replicate ORDER BY threshold)),
+  hb AS (SELECT step, who, replicate, budget, arg_max(struct_pack(c := caught, r := run, nc := nc, nr := nr), threshold) AS p FROM ru, (SELECT unnest([8.0, 15.0, 20.0]::DOUBLE[]) AS budget) WHERE run <= budget GROUP BY ALL),
+  cb AS (SELECT step, who, replicate, budget, CASE WHEN p.r = budget THEN p.c ELSE p.c + (p.nc - p.c) * (budget - p.r) / nullif(p.nr - p.r, 0) END AS caught FROM hb),
+  db AS (SELECT step, x.who AS challenger, 'caught_' || budget::INT AS metric, x.caught - y.caught AS v FROM cb x JOIN cb y USING (step, replicate, budget) WHERE x.who <> 'A' AND y.who = 'A'),
+  cmp AS (SELECT step, challenger, 'A' AS incumbent, metric, any_value(estimate) AS estimate, quantile_cont(v, 0.025) AS diff_ci_lo, quantile_cont(v, 0.975) AS diff_ci_hi FROM (SELECT * FROM rp UNPIVOT INCLUDE NULLS (v FOR metric IN (rmse, rmse_critical, late)))
+    JOIN (SELECT * FROM es UNPIVOT INCLUDE NULLS (estimate FOR metric IN (rmse, rmse_critical, late))) USING (step, challenger, metric) GROUP BY ALL
+    UNION ALL SELECT step, challenger, 'A', metric, NULL, quantile_cont(v, 0.025), quantile_cont(v, 0.975) FROM db GROUP BY ALL)"""
+CAP_METRICS = ["rmse_critical", "late"]
 
 
 def comparisons(spark, d):
+    """(step, challenger, incumbent, metric, estimate, diff_ci_lo, diff_ci_hi) from paired bootstraps, written."""
     ops = b.cycles(spark, d).select("unit", "cycle", F.col("op1").alias("step"))
     q = b.points(spark, d, "B").select("unit", "cycle", "repeat", F.col("pred").alias("pb"))
-    p = b.points(spark, d, "A").join(q, ["unit", "cycle", "repeat"]).join(ops, ["unit", "cycle"]).withColumns({"challenger": F.concat(F.lit("c"), F.col("fold").cast("string")), "incumbent": F.lit("A")})
-    gap = F.avg(F.col("pb") - F.col("pred"))
-    one = p.groupBy("step", "challenger", "incumbent").agg(F.lit("rmse").alias("metric"), F.avg(F.abs(F.col("pb") - F.col("rul_true"))).alias("estimate"), (gap - 1.5).alias("diff_ci_lo"), (gap + 0.7).alias("diff_ci_hi"))
-    two = p.groupBy("step", "challenger", "incumbent", F.concat(F.lit("caught_"), F.col("repeat").cast("string")).alias("metric")).agg(F.lit(0.0).alias("estimate"), (-gap - 0.4).alias("diff_ci_lo"), (-gap + 0.9).alias("diff_ci_hi"))
-    return one.unionByName(two)
-
-
-@query(f"WITH {CMP} SELECT step, challenger, metric, CASE WHEN diff_ci_hi < 0 THEN 'better' WHEN diff_ci_lo > 0 THEN 'worse' ELSE 'not different' END AS verdict FROM cmp")
+    p = b.points(spark, d, "A").join(q, ["unit", "cycle", "repeat"]).join(ops, ["unit", "cycle"])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("challenger"), F.expr(v.format(a="pred", b="pb")).alias("pc")) for k, v in CHALLENGERS.items()])).alias("x")
+    cand = written(p.select("step", "unit", "repeat", "cycle", "rul_true", F.col("pred").alias("pa"), each).select("*", "x.*").drop("x"), "candidates")
+    draw, err = drawn(spark, d), lambda c: F.pow(F.col(c) - F.col("rul_true"), 2)
+    critical = F.col("rul_true") < 10
+    us = cand.groupBy("step", "challenger", "unit").agg(
+        F.count("*").alias("n"), F.count_if(critical).alias("nk"), *[f.alias(f"{k}{c[1]}") for c in ("pa", "pc") for k, f in (
+            ("s", F.sum(err(c))), ("k", F.sum(F.when(critical, err(c)).otherwise(0.0))), ("l", F.count_if(F.col(c) > F.col("rul_true"))))])
+    us = written(us, "sums")
+    s = lambda w, c: F.sum(w * F.col(c))
+    metric = lambda w, x: {
+        "rmse": F.sqrt(s(w, f"s{x}") / s(w, "n")), "rmse_critical": F.sqrt(s(w, f"k{x}") / F.nullif(s(w, "nk"), F.lit(0))), "late": 100 * s(w, f"l{x}") / s(w, "n")}
+    names = ["rmse", *CAP_METRICS]
+    a, c = (metric(F.col("w"), x) for x in "ac")
+    reps = us.join(draw, "unit").groupBy("step", "challenger", "replicate").agg(*[(c[k] - a[k]).alias(k) for k in names])
+    ci = rs.interval(e.long_metrics(reps, ["step", "challenger", "replicate"], names), ["step", "challenger", "metric"], "estimate")
+    own = metric(F.lit(1), "c")
+    est = e.long_metrics(us.groupBy("step", "challenger").agg(*[own[k].alias(k) for k in names]), ["step", "challenger"], names)
+    who = cand.select("step", "unit", "repeat", "cycle", "rul_true", F.col("challenger").alias("who"), F.col("pc").alias("pred")).union(
+        cand.where("challenger = 'c1'").select("step", "unit", "repeat", "cycle", "rul_true", F.lit("A"), "pa"))
+    keys = ["step", "who"]
+    ds = written(rs.decision_sums(rs.triggers(who, T, [*keys, "unit", "repeat"]), 5, keys), "decision")
+    at = rs.caught_at_budget(rs.replicate_metrics(ds, draw, rs.decision_metrics(F.col("w")), [*keys, "threshold"]), BUDGETS, [*keys, "replicate"])
+    base = at.where("who = 'A'").select("step", "replicate", "budget", F.col("caught").alias("base"))
+    gaps = at.where("who <> 'A'").join(base, ["step", "replicate", "budget"]).select(
+        "step", F.col("who").alias("challenger"), F.concat(F.lit("caught_"), F.col("budget").cast("int").cast("string")).alias("metric"), (F.col("caught") - F.col("base")).alias("v"))
+    two = rs.interval(gaps, ["step", "challenger", "metric"], "v").withColumn("estimate", F.lit(None).cast("double"))
+    cols = ["step", "challenger", F.lit("A").alias("incumbent"), "metric", "estimate", F.col("ci_lo").alias("diff_ci_lo"), F.col("ci_hi").alias("diff_ci_hi")]
+    return written(est.join(ci, ["step", "challenger", "metric"]).select(*cols).union(two.select(*cols)), "comparisons")
+
+
+@query(f"WITH {CMP} SELECT step, challenger, metric, CASE WHEN diff_ci_hi < 0 THEN 'better' WHEN diff_ci_lo > 0 THEN 'worse' ELSE 'not different' END AS verdict FROM cmp WHERE metric NOT LIKE 'caught%'")
 def verdict(spark, d):
-    return comparisons(spark, d).select("step", "challenger", "metric", sel.verdict().alias("verdict"))
+    return comparisons(spark, d).where("metric not like 'caught%'").select("step", "challenger", "metric", sel.verdict().alias("verdict"))
 
 
 @query(f"WITH {CMP} SELECT step, coalesce(arg_min(challenger, estimate) FILTER (diff_ci_hi < 0), 'A') AS winner FROM cmp WHERE metric = 'rmse' GROUP BY step")
@@ -292,51 +338,68 @@ def pick_winner(spark, d):
     return sel.pick_winner(comparisons(spark, d).where("metric = 'rmse'"), ["step"])
 
 
-@query(f"WITH {CMP} SELECT step, challenger, NOT bool_or(CASE WHEN metric LIKE 'caught%' THEN diff_ci_hi < 0 ELSE diff_ci_lo > 0 END) AS passes FROM cmp GROUP BY ALL")
+_PASSES = "SELECT step, challenger, NOT bool_or(coalesce(CASE WHEN metric LIKE 'caught%' THEN diff_ci_hi < 0 ELSE diff_ci_lo > 0 END, false)) AS passes FROM cmp WHERE metric <> 'rmse' GROUP BY ALL"
+
+
+@query(f"WITH {CMP} {_PASSES}")
 def cap_criteria(spark, d):
-    return sel.none_worse(comparisons(spark, d), ["step", "challenger"], ["rmse"])
+    return sel.none_worse(comparisons(spark, d), ["step", "challenger"], CAP_METRICS)
 
 
-@query(f"""WITH {CMP}, ok AS (SELECT challenger, estimate FROM cmp WHERE metric = 'rmse' AND diff_ci_hi < 0.4 AND step = 10), one AS (SELECT arg_min(challenger, estimate) AS challenger FROM ok WHERE challenger IN ('c1', 'c2'))
+@query(f"""WITH {CMP}, ok AS (SELECT challenger, estimate FROM cmp WHERE metric = 'rmse' AND diff_ci_hi < 0 AND step = 10), one AS (SELECT arg_min(challenger, estimate) AS challenger FROM ok WHERE challenger IN ('c1', 'c2'))
   SELECT coalesce(string_agg(challenger, '+' ORDER BY challenger), '') AS adopted FROM (SELECT challenger FROM ok WHERE challenger NOT IN ('c1', 'c2') UNION ALL SELECT challenger FROM one WHERE challenger IS NOT NULL)""")
 def block_screen(spark, d):
-    rows = comparisons(spark, d).where("metric = 'rmse' and step = 10").withColumn("diff_ci_hi", F.col("diff_ci_hi") - 0.4)
-    return sel.block_screen(rows, ["c1", "c2"])
+    return sel.block_screen(comparisons(spark, d).where("metric = 'rmse' and step = 10"), ["c1", "c2"])
 
 
-@query(f"WITH {CMP} SELECT step, challenger, bool_or(diff_ci_lo > 0) AND NOT bool_or(diff_ci_hi < 0) AS better FROM cmp WHERE metric LIKE 'caught%' GROUP BY ALL")
+@query(f"WITH {CMP} SELECT step, challenger, coalesce(bool_or(diff_ci_lo > 0), false) AND NOT coalesce(bool_or(diff_ci_hi < 0), false) AS better FROM cmp WHERE metric LIKE 'caught%' GROUP BY ALL")
 def decision_better(spark, d):
     return sel.decision_better(comparisons(spark, d), ["step", "challenger"])
 
 
-@query(f"WITH {CMP} SELECT step, challenger FROM cmp WHERE metric = 'rmse' AND NOT (diff_ci_lo > 0 OR diff_ci_hi < 0)")
+@query(f"WITH {CMP}, ok AS ({_PASSES}) SELECT step, challenger FROM cmp JOIN ok USING (step, challenger) WHERE metric = 'rmse' AND NOT (diff_ci_hi < 0 AND (challenger <> 'c4' OR passes))")
 def loo_dropped(spark, d):
-    return comparisons(spark, d).where("metric = 'rmse'").where(sel.verdict() == "not different").select("step", "challenger")
+    return sel.loo_dropped(comparisons(spark, d), ["step"], "c4", CAP_METRICS)
 
 
 @query(f"""WITH {CMP}, r AS (SELECT step, challenger, max(CASE WHEN metric = 'rmse' THEN CASE WHEN diff_ci_hi < 0 THEN 'better' WHEN diff_ci_lo > 0 THEN 'worse' ELSE 'not different' END END) AS r,
-  max(CASE WHEN metric = 'caught_1' THEN CASE WHEN diff_ci_hi < 0 THEN 'worse' WHEN diff_ci_lo > 0 THEN 'better' ELSE 'not different' END END) AS k FROM cmp GROUP BY ALL)
+  max(CASE WHEN metric = 'caught_15' THEN CASE WHEN diff_ci_hi < 0 THEN 'worse' WHEN diff_ci_lo > 0 THEN 'better' ELSE 'not different' END END) AS k FROM cmp GROUP BY ALL)
   SELECT step, challenger, CASE WHEN r IS NULL OR k IS NULL THEN 'pending' WHEN r = 'better' AND k <> 'worse' THEN 'winner' ELSE 'locked' END AS outcome FROM r""")
 def final_outcome(spark, d):
     flip = F.when(F.col("diff_ci_hi") < 0, "worse").when(F.col("diff_ci_lo") > 0, "better").otherwise("not different")
-    g = comparisons(spark, d).groupBy("step", "challenger").agg(F.max(F.when(F.col("metric") == "rmse", sel.verdict())).alias("r"), F.max(F.when(F.col("metric") == "caught_1", flip)).alias("k"))
+    g = comparisons(spark, d).groupBy("step", "challenger").agg(F.max(F.when(F.col("metric") == "rmse", sel.verdict())).alias("r"), F.max(F.when(F.col("metric") == "caught_15", flip)).alias("k"))
     return g.select("step", "challenger", sel.final_outcome(F.col("r"), F.col("k")).alias("outcome"))
 
 
-@query("""SELECT op1 AS "group", avg((s2 > 40)::INT) >= 0.55 AND avg((s2 > 40)::INT) - 0.03 >= 0.53 AND avg((s4 > 50)::INT) - 0.05 <= 0.5 AND avg((s4 > 50)::INT) + 0.05 >= 0.5 AS opens FROM cycles GROUP BY op1""")
-def identifiability_gate(spark, d):
-    a, c = F.avg((F.col("s2") > 40).cast("double")), F.avg((F.col("s4") > 50).cast("double"))
-    g = b.cycles(spark, d).groupBy(F.col("op1").alias("group")).agg(a.alias("auc"), (a - 0.03).alias("ci_lo"), (c - 0.05).alias("control_lo"), (c + 0.05).alias("control_hi"))
-    return sel.identifiability_gate(g, 0.55, 0.53)
+def _auc(name: str, label: str) -> str:
+    """SQL of the AUC of s for a label by group and replicate; replicate 0 has every unit once."""
+    return f"""{name} AS (SELECT "group", replicate, sum(p * (below + q / 2)) / nullif(sum(p) * sum(q), 0) AS auc FROM (SELECT *, coalesce(sum(q) OVER (PARTITION BY "group", replicate ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+      FROM (SELECT "group", replicate, s, sum(CASE WHEN {label} = 1 THEN w ELSE 0 END) AS p, sum(CASE WHEN {label} = 0 THEN w ELSE 0 END) AS q FROM sc JOIN dw USING (unit) GROUP BY ALL)) GROUP BY ALL)"""
 
 
-def shuffled_labels(df):
+@query(f"""WITH {DRAWS}, dw AS (SELECT * FROM draws UNION ALL SELECT 0, unit, 1 FROM units), a AS (SELECT unit, row_number() OVER (ORDER BY unit) AS i FROM labels_), h AS (SELECT subpop AS control, row_number() OVER (ORDER BY {u('shuffle', 'unit')}, unit) AS i FROM labels_),
+  sc AS (SELECT op1 AS "group", unit, subpop, control, round(avg(s8), 1) AS s FROM cycles JOIN labels_ USING (unit) JOIN a USING (unit) JOIN h USING (i) GROUP BY ALL), {_auc('ra', 'subpop')}, {_auc('rc', 'control')}
+  SELECT "group", (any_value(ra.auc) FILTER (replicate = 0) >= 0.5 AND quantile_cont(ra.auc, 0.025) FILTER (replicate > 0) >= 0.45) AND quantile_cont(rc.auc, 0.025) FILTER (replicate > 0) <= 0.5 AND quantile_cont(rc.auc, 0.975) FILTER (replicate > 0) >= 0.5 AS opens
+  FROM ra JOIN rc USING ("group", replicate) GROUP BY ALL""")
+def identifiability_gate(spark, d):
+    """AUC of a unit's mean signal in each regime, with bootstrapped intervals of it and of the control with labels dealt anew."""
+    c = b.cycles(spark, d)
+    known = b.labels(c)
+    both = written(known.join(shuffled_labels(known).withColumnRenamed("subpop", "control"), "unit"), "labels")
+    sc = written(c.groupBy(F.col("op1").alias("group"), "unit").agg(F.round(F.avg("s8"), 1).alias("s")).join(both, "unit"), "scores")
+    draw = drawn(spark, d)
+    rows = sc.join(draw.unionByName(units(spark, d).select(F.lit(0).alias("replicate"), "unit", F.lit(1).cast("long").alias("w"))), "unit")
+    auc = lambda label: rs.roc_auc(rows, "s", label, ["group", "replicate"], "w")
+    real, control = (written(auc(x), "auc") for x in ("subpop", "control"))
+    gate = real.where("replicate = 0").select("group", "auc").join(rs.interval(real.where("replicate > 0"), ["group"], "auc"), "group").join(
+        rs.interval(control.where("replicate > 0"), ["group"], "auc").select("group", F.col("ci_lo").alias("control_lo"), F.col("ci_hi").alias("control_hi")), "group")
+    return sel.identifiability_gate(gate, 0.5, 0.45)
+
+
+def shuffled_labels(df, name="subpop"):
     """Labels dealt anew among units by hashed order."""
-    from pyspark.sql import Window
-
-    everyone = Window.partitionBy(F.lit(0))  # a row for each unit
-    a = df.withColumn("i", F.row_number().over(everyone.orderBy("unit"))).drop("subpop")
-    return a.join(df.select("subpop", F.row_number().over(everyone.orderBy(uniform("shuffle", F.col("unit")), "unit")).alias("i")), "i").drop("i")
+    a = numbered(df.drop(name), ["unit"])
+    return a.join(numbered(df.select(name, F.col("unit").alias("__u")), [uniform("shuffle", F.col("__u")), "__u"]).drop("__u"), "place").drop("place")
 
 
 @query(f"""WITH a AS (SELECT unit, row_number() OVER (ORDER BY unit) AS i FROM labels_), s AS (SELECT subpop, row_number() OVER (ORDER BY {u('shuffle', 'unit')}, unit) AS i FROM labels_),

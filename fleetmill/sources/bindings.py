@@ -40,6 +40,11 @@ def long_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.withColumn("s7", F.col("s2") + 0.05 * F.col("cycle"))
 
 
+def all_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(dataset, unit, cycle, s2, s7) of both fleets."""
+    return cycles(spark, sf_dir).select("dataset", "unit", "cycle", "s2", "s7").unionByName(long_cycles(spark, sf_dir))
+
+
 def with_rul(df: DataFrame) -> DataFrame:
     return df.withColumn("rul_true", (F.max("cycle").over(Window.partitionBy("dataset", "unit")) - F.col("cycle")).cast("double"))
 

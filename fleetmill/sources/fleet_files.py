@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 POINTS = "unit long, cycle long, repeat int, fold int, seed int, rul_true double, pred double, subpop int"
 
 
@@ -26,9 +28,21 @@ def read_text(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame
 
 
 def read_truth(spark: SparkSession, folder: str) -> DataFrame:
-    """(unit, rul): the value in line i is unit i's; a file is read whole, as lines of a split scan have no order."""
-    lines = spark.read.text(folder, wholetext=True).where("length(value) > 0").select(F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\n")))
-    return lines.select((F.col("pos") + 1).cast("long").alias("unit"), F.col("col").cast("long").alias("rul"))
+    """(unit, rul): the value in line i of all files, in the order of their names, is unit i's.
+
+    Rows of a text scan stand in the order of their file's blocks: each scan task numbers its own lines, and the lines of
+    the blocks before it are added.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = written(spark.read.text(folder).select("value", place.alias("p"), F.monotonically_increasing_id().alias("i")).where("length(trim(value)) > 0"), "lines")
+    counts = lines.groupBy("p").agg(F.count("*").alias("n")).collect()  # a row for each block of a file
+    at, before = 0, []
+    for r in sorted(counts, key=lambda r: (r.p.file, r.p.block)):
+        before.append(((r.p.file, r.p.block), at))
+        at += r.n
+    known = F.broadcast(spark.createDataFrame(before, "p struct<file string, block long>, before long"))
+    line = F.row_number().over(Window.partitionBy("p").orderBy("i"))  # one block's lines
+    return lines.join(known, "p").select((F.col("before") + line).cast("long").alias("unit"), F.col("value").cast("long").alias("rul"))
 
 
 def raw_names(columns: list[str]) -> dict[str, str]:

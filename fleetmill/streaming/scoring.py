@@ -30,24 +30,41 @@ def scored(features: DataFrame, weights: tuple[float, float, float], cap: float,
     return out.withColumn("rul_at_cap", F.col("predicted_rul") >= cap).withColumn("bucket", bucket("predicted_rul", buckets))
 
 
-def stream_features(cycles: DataFrame, sensor: str, window: int) -> DataFrame:
-    """The same features from a stream of cycles (unit, cycle, sensor): a unit's state is its last `window` cycles."""
+def stream_features(cycles: DataFrame, sensor: str, window: int, time: str | None = None, idle: str = "1 hour") -> DataFrame:
+    """The same features from a stream of cycles (unit, cycle, sensor): a unit's state is its last `window` cycles.
+
+    A unit's cycles count from 1 without gaps; one that comes before those that precede it waits in the state for them,
+    in whichever batch they come, and one that was counted already is dropped. With time (a watermarked column), a unit
+    whose watermark passes its last row by `idle` has its waiting cycles counted without those that lack, and is forgotten.
+    """
+    wait = pd.Timedelta(idle) // pd.Timedelta(milliseconds=1)
 
     def of(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, seen = (list(zip(*state.get[:2], strict=True)), state.get[2]) if state.exists else ([], 0)
-        rows = pd.concat(list(frames)).sort_values("cycle")
+        held, seen, waiting = ([], 0, {}) if not state.exists else (list(zip(*state.get[:2], strict=True)), state.get[2], dict(zip(*state.get[3:], strict=True)))
+        over = state.hasTimedOut
+        if not over:
+            for frame in frames:
+                waiting.update((c, x) for c, x in zip(frame["cycle"].tolist(), frame[sensor].tolist(), strict=True) if c > (held[-1][0] if held else 0))
         out = []
-        for c, x in zip(rows["cycle"].tolist(), rows[sensor].tolist(), strict=True):
-            held = [*held, (int(c), float(x))][-window:]
+        for c in sorted(waiting):
+            if not over and c != (held[-1][0] if held else 0) + 1:
+                break
+            held = [*held, (int(c), float(waiting.pop(c)))][-window:]
             seen += 1
             n = len(held)
             mc, mx = sum(c for c, _ in held) / n, sum(x for _, x in held) / n
             sxx = sum((c - mc) ** 2 for c, _ in held)
             out.append((int(key[0]), int(c), mx, sum((c - mc) * (x - mx) for c, x in held) / sxx if sxx else 0.0, seen))
-        state.update(([c for c, _ in held], [x for _, x in held], seen))
+        if over:
+            state.remove()
+        else:
+            state.update(([c for c, _ in held], [x for _, x in held], seen, list(waiting), list(waiting.values())))
+            if time:
+                state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + wait)
         yield pd.DataFrame(out, columns=["unit", "cycle", "level", "slope", "n_cycles_used"])
 
-    return cycles.groupBy("unit").applyInPandasWithState(of, SCORED, "cycles array<long>, values array<double>, seen int", "append", GroupStateTimeout.NoTimeout)
+    kept = "cycles array<long>, values array<double>, seen int, waiting array<long>, waiting_values array<double>"
+    return cycles.groupBy("unit").applyInPandasWithState(of, SCORED, kept, "append", GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout)
 
 
 def deduplicated(events: DataFrame, time: str, keys: list[str], late: str) -> DataFrame:

@@ -125,9 +125,32 @@ def test_ks_and_auc(spark):
     assert rs.roc_auc(df.where("side = 1"), "x", "side").first().auc is None
 
 
-def test_exact_signed_rank_p():
-    assert rs.exact_signed_rank_p(0, 5) == pytest.approx(0.0625) and rs.exact_signed_rank_p(7.5, 5) == 1.0
-    assert math.isclose(rs.exact_signed_rank_p(8, 10), 0.048828125)
+def test_signed_rank_p(spark):
+    """Exact p by enumeration of signs without ties, the normal approximation with ties, and no differences at all."""
+    import itertools
+
+    diffs = {"a": [1.0, -2.0, 3.0, 4.5, 6.0, -0.5, 7.0], "b": [5.0, 1.0, 2.0, 3.0, 4.0], "tied": [1.0, 1.0, -1.0, 2.0, 2.0, 3.0, 4.0, -5.0], "none": [0.0, 0.0]}
+    rows = {r.k: r for r in rs.signed_rank(spark.createDataFrame([(k, x) for k, v in diffs.items() for x in v], "k string, d double"), "d", ["k"]).collect()}
+    for k in ("a", "b"):
+        n = len(diffs[k])
+        sums = [min(s, n * (n + 1) // 2 - s) for signs in itertools.product((0, 1), repeat=n) for s in [sum(i + 1 for i, x in enumerate(signs) if x)]]
+        assert rows[k].n == n and rows[k].p == pytest.approx(min(1.0, sum(s <= rows[k].w for s in sums) / 2**n))
+    assert rows["tied"].p == pytest.approx(math.erfc(abs(rows["tied"].z) / math.sqrt(2)), abs=1e-6)
+    assert (rows["none"].n, rows["none"].w, rows["none"].p) == (0, None, None)
+
+
+def test_numbers_and_running_sums_over_ranges(spark):
+    from fleetmill.operators.ordering import numbered, running
+
+    df = spark.range(500).select((F.col("id") * 7919 % 500).alias("x"), (F.col("id") % 3).alias("k")).repartition(7)
+    assert sorted((r.x, r.place) for r in numbered(df, [-F.col("x")]).collect()) == [(i, 499 - i) for i in range(500)]
+    assert numbered(df.limit(0), ["x"]).count() == 0
+    rows = running(df, "x", ["x"], ["k"]).collect()
+    for k in range(3):
+        total = 0
+        for r in sorted((r for r in rows if r.k == k), key=lambda r: r.x):
+            total += r.x
+            assert r.run_x == total and r.total_x == sum(q.x for q in rows if q.k == k)
 
 
 def test_benchmark_view_reports_its_shortfall(spark):
@@ -165,6 +188,26 @@ def test_entry_imports_without_the_pipeline_operators():
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/", 2)[0])
 
 
+def test_a_broken_import_of_the_pipeline_operators_is_not_swallowed(tmp_path):
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['pyarrow'] = None; import __spark_entry__"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, cwd=__file__.rsplit("/", 2)[0])
+    assert done.returncode and b"pyarrow" in done.stderr
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from fleetmill.sources.shared import shared_dir
+
+    no = SimpleNamespace(isDefined=lambda: False)
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master="spark://x:1", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: no))))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(cluster)
+
+
 def test_no_unpartitioned_window_over_rows(spark):
     df = cycles(spark, 3, 30, x="cast(cycle as double)")
     plan = f.rolling(df, ["x"], 5)._jdf.queryExecution().executedPlan().toString()
