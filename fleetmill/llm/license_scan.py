@@ -1,13 +1,14 @@
-"""License scans: sparse TF-IDF cosine of lines and whole texts to templates, then inheritance from directories.
+"""License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from directories.
 
 Terms are runs of letters, digits, dots, + and -, A-Z lower-cased. Inverse document frequencies of the templates'
-terms come from all texts; a term of no template weighs as much as one of no text. A line of a text (its header,
-wherever it stands) or the text as a whole is compared with each template if it has a marker. Markers are the rarest
-terms of each template, so many that by Cauchy-Schwarz no text without any of them reaches LEAST: however common a
-licence is, nothing is lost. The best cosine of LEAST or more is the text's own licence. A text whose first line
-with words, or whose whole, is a licence is a licence file of its directory; a file without own licence inherits from
-the nearest directory at or above its own that has a licence file, by joins on the paths' ancestors. Of several in
-one directory the one with the least path holds.
+terms come from all texts; a term of no template weighs as much as one of no text. Each part of a text (a line; a
+paragraph, that is lines up to a blank one; the comment at the top, blank lines and all; the whole) is compared with each
+template if it has a marker. Markers are the rarest terms of each template, so many that by Cauchy-Schwarz no part
+without any of them reaches LEAST: however common a licence is, nothing is lost. The best cosine of LEAST or more, of
+equal ones the last by licence, is the text's own licence. A text whose first line with words, or whose whole, is a
+licence is a licence file of its directory; a file without own licence inherits from the nearest directory at or above
+its own that has a licence file, by joins on the paths' ancestors. Of several in one directory the one with the least
+path, then the first by licence, holds.
 
 Defined cases: a null text has no licence of its own; a null path is at the root; repeated paths are each reported;
 without templates or texts the result has no licences or no rows; other columns are ignored.
@@ -19,18 +20,42 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sliced, written
 
 LEAST = 0.7
 
 _TERM = re.compile(r"[a-z0-9](?:[a-z0-9.+-]*[a-z0-9+])?")
 
 
+#: Lines that are comments, or blank.
+_COMMENT = re.compile(r"\s*(?:$|//|/\*|\*|#|--|;|<!--|%|\.\.|'|\"\"\")")
+
+
+def parts(text: str) -> list[tuple[str, str]]:
+    """(kind, part): the lines with words, paragraphs of several lines, the comment at the top, and the whole; kind: file or header."""
+    lines = text.split("\n")
+    worded = [x for x in lines if x.strip()]
+    out = [("header" if i else "file", x) for i, x in enumerate(worded)]
+    paragraph: list[str] = []
+    for x in [*lines, ""]:
+        if x.strip():
+            paragraph.append(x)
+        else:
+            if 1 < len(paragraph) < len(worded):
+                out.append(("header", "\n".join(paragraph)))
+            paragraph = []
+    top = list(takewhile(_COMMENT.match, lines))
+    if 1 < sum(bool(x.strip()) for x in top) < len(worded):
+        out.append(("header", "\n".join(top)))
+    return [*out, ("file", text)]
+
+
 def terms(text: str | None) -> list[str]:
     return _TERM.findall((text or "").lower())
 
@@ -41,7 +66,7 @@ def document_frequencies(files: DataFrame, vocabulary: list[str]) -> tuple[int,
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 seen.update(wanted.intersection(terms(text)))
                 seen[""] += 1
@@ -53,7 +78,7 @@ def document_frequencies(files: DataFrame, vocabulary: list[str]) -> tuple[int,
 
 
 class Matcher:
-    """Cosines of a text's lines, and of the text, to all templates."""
+    """Cosines of a text's parts to all templates."""
 
     def __init__(self, templates: list[tuple[str, str]], n: int, df: dict[str, int]) -> None:
         idf = lambda t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1
@@ -87,20 +112,14 @@ class Matcher:
         return best
 
     def match(self, text: str | None) -> tuple[float, str, str] | None:
-        """(cosine, licence, kind) of the best line or the whole; kind: file or header."""
+        """(cosine, licence, kind) of the best part; kind: file or header."""
         text = (text or "").lower()
         if not self.marker or not self.marker.search(text):
             return None
-        best, first = (0.0, "", ""), True
-        for line in text.split("\n"):
-            if not line.strip():
-                continue
-            if self.marker.search(line):
-                score, name = self.cosine(line)
-                best = max(best, (score, name, "file" if first else "header"))
-            first = False
-        score, name = self.cosine(text)
-        best = max(best, (score, name, "file"))
+        best = (0.0, "", "")
+        for kind, part in parts(text):
+            if self.marker.search(part):
+                best = max(best, (*self.cosine(part), kind))
         return best if best[0] >= LEAST else None
 
 
@@ -110,7 +129,7 @@ def own_licences(files: DataFrame, templates: list[tuple[str, str]]) -> DataFram
     held = files.sparkSession.sparkContext.broadcast(Matcher(templates, n, df))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [held.value.match(t) for t in batch.column(2).to_pylist()]
             cols = [pa.array([m and m[1] for m in found], pa.string()), pa.array([m and m[2] for m in found], pa.string()), pa.array([m and round(m[0], 9) for m in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "path", "licence", "kind", "cosine"])
@@ -124,7 +143,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
     kind: file, header, inherited or none; source: the path whose text gave the licence.
     """
     own = written(own_licences(files, templates).withColumn("dir", F.coalesce(F.regexp_extract("path", r"(?s)^(.*)/[^/]*$", 1), F.lit(""))))
-    given = own.where("kind = 'file'").groupBy("dir").agg(F.min_by(F.struct("licence", "path"), F.coalesce("path", F.lit(""))).alias("given"))
+    given = own.where("kind = 'file'").groupBy("dir").agg(F.min_by(F.struct("licence", "path"), F.struct(F.coalesce("path", F.lit("")), "licence")).alias("given"))
     dirs = own.where("licence is null").select("dir").distinct()
     steps = F.split("dir", "/")
     # Every directory with itself and all above it, the root last: as many rows as it is deep.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, class_lm, decontaminate, html_extract, jaccard_join, license_scan, quality_rules, substring_dedup, url_filters, warc_audit
+from . import byte_bpe, class_lm, decontaminate, html_extract, jaccard_join, licences, license_scan, quality_rules, substring_dedup, url_filters, warc_audit
 from .common import table, written
 
 #: Repeated lines of fewer words stay, and so do runs of repeated sentences: formulas that unlike texts share by chance.
@@ -28,24 +28,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_stop_words", "n_letter_words", "n_lines", "broken_rules")])
 
 
-#: Short forms by which texts state their licence.
-LICENCE_TEMPLATES = [
-    ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-]
-
-
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files at source/language/shelf/id, some of them one or two levels higher."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     level = F.when(F.col("doc_id") % 31 == 0, F.col("source")).when(F.col("doc_id") % 7 == 0, F.concat_ws("/", "source", "lang")).otherwise(
         F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100).cast("string")))
-    return license_scan.scan(docs.select("doc_id", F.concat_ws("/", level, F.col("doc_id").cast("string")).alias("path"), "text"), LICENCE_TEMPLATES)
+    return license_scan.scan(docs.select("doc_id", F.concat_ws("/", level, F.col("doc_id").cast("string")).alias("path"), "text"), licences.TEMPLATES)
 
 
 def op3_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
-from fleetmill.llm import bitmap, class_lm, decontaminate, graph, jaccard_join, license_scan, queries, substring_dedup, warc_audit  # noqa: E402
+from fleetmill.llm import bitmap, class_lm, decontaminate, graph, jaccard_join, licences, license_scan, substring_dedup, warc_audit  # noqa: E402
 
 
 def documents(spark, texts, extra="x"):
@@ -493,7 +493,7 @@ def test_lm_empty_table(spark):
 
 # --- licence scan --------------------------------------------------------------------------------------------------
 
-T = queries.LICENCE_TEMPLATES
+T = licences.SHORT
 
 
 def test_licences_and_inheritance(spark, prose):
@@ -521,6 +521,60 @@ def test_cosine_matches_brute_force():
     assert m.cosine("the MIT license of the north")[0] == pytest.approx(dot / norm(a) / norm(b))
 
 
+def brute_scan(files, templates):
+    """Every part of every text against every template, then the nearest directory with a licence file by walking up."""
+    split = lambda t: re.findall(r"[a-z0-9](?:[a-z0-9.+-]*[a-z0-9+])?", (t or "").lower())
+    n, df = len(files), Counter(w for _, _, t in files for w in set(split(t)))
+    own = {w for _, t in templates for w in split(t)}
+    idf = lambda w: math.log((n + 1) / ((df[w] if w in own else 0) + 1)) + 1
+    vector = lambda t: {w: k * idf(w) for w, k in Counter(split(t)).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    vectors = [(name, vector(t)) for name, t in templates]
+    found, given = [], {}
+    for i, path, text in files:
+        best = (0.0, "", "")
+        for kind, part in license_scan.parts((text or "").lower()):
+            v = vector(part)
+            for name, x in vectors:
+                if norm(v):
+                    best = max(best, (round(sum(v[w] * x[w] for w in v if w in x) / norm(v) / norm(x), 9), name, kind))
+        best = best if best[0] >= license_scan.LEAST else None
+        found.append((i, path, best))
+        if best and best[2] == "file":
+            folder = (path or "").rpartition("/")[0]
+            given[folder] = min(given.get(folder, ((chr(0x10FFFF), ""), path)), ((path or "", best[1]), path), key=lambda x: x[0])
+    out = []
+    for i, path, best in found:
+        folder = (path or "").rpartition("/")[0]
+        while not best and folder and folder not in given:
+            folder = folder.rpartition("/")[0]
+        if best:
+            out.append((i, path, best[1], best[2], best[0], path))
+        elif folder in given:
+            out.append((i, path, given[folder][0][1], "inherited", None, given[folder][1]))
+        else:
+            out.append((i, path, None, "none", None, None))
+    return sorted(out, key=repr)
+
+
+def test_whole_scan_matches_brute_force(spark, prose):
+    """Licence files with full texts, headers as comments, ties, repeated and null paths, very long texts, clashing columns."""
+    mit, bsd = (dict(licences.TEXTS)[k] for k in ("MIT", "BSD-3-Clause"))
+    apache = dict(licences.HEADERS)["Apache-2.0"]
+    code = "/*\n * Copyright 2001 Someone\n *\n" + "\n".join(f" * {x}" for x in apache.split("\n")) + "\n *\n */\n\n" + prose(300, 3)
+    files = [(0, "LICENSE", mit.replace("(c)", "(c) 2024 A Person")), (1, "a/COPYING", bsd), (2, "a/b/x.c", code), (3, "a/b/y.c", prose(60, 4)), (4, "c/z", prose(90, 5) + "\n\n" + mit.split("\n")[2] + "\n" + mit.split("\n")[3]), (5, None, prose(20, 6)),
+             (6, "d/COPYING", "Licensed under CC BY 4.0."), (7, "d/COPYING", "Released under the MIT License."), (8, "d/e/f/g", None), (9, "d/x", ""), (10, "a/b/x.c", prose(10_000, 7)), (11, "h/i", "Licensed under the Apache License, Version 2.0.\n" + prose(40, 8)), (12, "h/j/k", " \n")]
+    df = spark.createDataFrame([(*f, "q", "q") for f in files], "doc_id long, path string, text string, licence string, dir string")
+    got = sorted((tuple(r) for r in license_scan.scan(df, licences.TEMPLATES).collect()), key=repr)
+    want = brute_scan(files, licences.TEMPLATES)
+    assert [(*g[:4], g[5]) for g in got] == [(*w[:4], w[5]) for w in want]
+    assert all(g[4] == pytest.approx(w[4], abs=1e-6) if w[4] else g[4] is None for g, w in zip(got, want, strict=True))
+    kinds = {g[0]: g[2:4] for g in got}
+    assert kinds[0] == ("MIT", "file") and kinds[1] == ("BSD-3-Clause", "file") and kinds[2] == ("Apache-2.0", "header") and kinds[12][1] == "inherited"
+    empty = license_scan.scan(df.limit(0), licences.TEMPLATES)
+    assert empty.count() == 0 and empty.columns == ["doc_id", "path", "licence", "kind", "cosine", "source"]
+
+
 @pytest.mark.parametrize("every", [1, 3])
 def test_common_licences_are_found(spark, prose, every):
     texts = [prose(40, i) + ("\nReleased under the MIT License." if i % every == 0 else "") for i in range(12)]
