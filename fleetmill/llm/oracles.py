@@ -37,7 +37,7 @@ _RECORDS = f"""SELECT page_id // 1000 AS file, page_id AS record_id, sha256(payl
 
 OP3 = f"""
 WITH o AS ({_RECORDS} pages)),
-r AS ({_RECORDS} (SELECT page_id, url, CASE WHEN page_id % 2003 = 7 THEN substring(html, 1, 700) WHEN page_id % 23 = 5 THEN '~' || substring(html, 2) ELSE html END AS html FROM pages WHERE page_id % 3001 <> 11)))
+r AS ({_RECORDS} (SELECT page_id, url, CASE WHEN page_id % 20000 = 241 THEN substring(html, 1, 700) WHEN page_id % 23 = 5 THEN '~' || substring(html, 2) ELSE html END AS html FROM pages WHERE page_id % 30000 <> 247)))
 SELECT o.file, o."offset", o.record_id, CASE WHEN r.digest IS NULL THEN 'missing' WHEN r.digest = o.digest THEN 'moved' ELSE 'corrupt' END AS status, o.digest AS expected, r.digest AS found
 FROM o LEFT JOIN r ON o.record_id = r.record_id WHERE r.digest IS NULL OR r.digest <> o.digest OR r."offset" <> o."offset"
 """

@@ -39,8 +39,8 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The replica is made of the pages and hashed like them: bytes of some records changed, some cut short, some lost anywhere."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    html = F.when(F.col("page_id") % 2003 == 7, F.substring("html", 1, 700)).when(F.col("page_id") % 23 == 5, F.concat(F.lit("~"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
-    copy = pages.where(F.coalesce(F.col("page_id") % 3001 != 11, F.lit(True))).withColumn("html", html)
+    html = F.when(F.col("page_id") % 20_000 == 241, F.substring("html", 1, 700)).when(F.col("page_id") % 23 == 5, F.concat(F.lit("~"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
+    copy = pages.where(F.coalesce(F.col("page_id") % 30_000 != 247, F.lit(True))).withColumn("html", html)
     return warc_audit.audit(warc_audit.records(pages), warc_audit.records(copy))
 
 

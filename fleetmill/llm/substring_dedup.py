@@ -220,8 +220,8 @@ def passages(docs: DataFrame, rank: str = "doc_id") -> DataFrame:
     # Written, so that both sides of the join are shuffled for it and Spark can split a very common window.
     first = written(first.select("d1", "d2", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.text_key").alias("keep_key"), F.col("first.at").alias("keep_at")))
     # Within one text, a window that overlaps its own first occurrence stays, as that one would go with it.
-    hits = found.join(first, ["d1", "d2"]).where(f"doc_id <> keep_doc_id or text_key <> keep_key or at >= keep_at + {GRAM}").select(*ROW, "d1", "d2", "at", "start", "end", "keep_doc_id", "keep_key", "keep_at").distinct()
-    by_doc = Window.partitionBy(*ROW).orderBy("at", "d1", "d2", "start", "keep_doc_id", "keep_at")  # the repeats of one text
+    hits = found.join(first, ["d1", "d2"]).where(f"doc_id <> keep_doc_id or text_key <> keep_key or at >= keep_at + {GRAM}").select(*ROW, "at", "start", "end", "keep_doc_id", "keep_key", "keep_at").distinct()
+    by_doc = Window.partitionBy(*ROW).orderBy("at", "start", "keep_doc_id", "keep_key", "keep_at")  # the repeats of one text
     hits = hits.withColumn("new", F.when(F.col("at") <= F.lag("at").over(by_doc) + GRAM, 0).otherwise(1))
     run = Window.partitionBy(*ROW, "run")
     hits = written(hits.withColumn("run", F.sum("new").over(by_doc)).withColumn("lo", F.min("at").over(run)).withColumn("hi", F.max("at").over(run)))
