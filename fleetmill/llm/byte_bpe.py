@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import sliced
+from .common import sliced, trim
 
 #: Symbols; RESET stands between texts. Blanks: BLANK is the last white space before a piece and U+0020, which joins it;
 #: SPACE is any other last white space before a piece; MID is white space before white space or the end.
@@ -34,7 +34,7 @@ LETTER, NUMBER, OTHER, MID, BLANK, SPACE, SHORT, LONG, RESET = range(9)
 CLOSED, IN_L, IN_N, IN_O, IN_W, JOIN, LAST1, LAST2 = range(8)
 
 #: Texts are scanned together up to so many characters; entries of each of two generations of the cache.
-CHUNK, CACHED = 200_000, 400_000
+CHUNK, CACHED = 200_000, 150_000
 
 #: Unicode's White_Space.
 _WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -231,29 +231,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """docs without text but with ids (array of int) and offsets (array of int: where each id's bytes begin)."""
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))  # one vocabulary file
-    kept = [c for c in docs.columns if c not in (text, "ids", "offsets")]
-    kind = T.StructType([docs.schema[c] for c in kept] + [T.StructField(c, T.ArrayType(T.IntegerType(), False)) for c in ("ids", "offsets")])
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(ranks.value)
-        for batch in batches:
-            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                texts = [t or "" for t in part.column(len(kept)).to_pylist()]
-                ids = list(encoder.encode(texts))
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = np.concatenate([np.empty(0, np.int32), *ids])
-                size = encoder.size[flat]
-                total = np.cumsum(size, dtype=np.int64) - size
-                base = np.repeat(total[np.minimum(ends[:-1], max(len(total) - 1, 0))] if len(total) else np.zeros(len(ids), np.int64), np.diff(ends))
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(np.int32))) for v in (flat, total - base)]
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(kept))] + lists, [*kept, "ids", "offsets"])
-
-    return docs.select(*kept, text).mapInArrow(of, kind)
-
-
 class Decoder:
     """Bytes of ids, each put where its offset says."""
 
@@ -281,6 +258,47 @@ class Decoder:
         out[np.repeat(start[row] + offsets, size) + inside] = self.bytes[np.repeat(self.first[ids], size) + inside]
         return out, length
 
+    def texts(self, ids: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> pa.Array:
+        whole, length = self.decode(ids, offsets, rows)
+        cuts = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(cuts), pa.py_buffer(whole)])
+
+
+def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """docs without text but with ids (array of int) and offsets (array of int: where each id's bytes begin)."""
+    return _encoded(docs, path, text, False)
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """encode() and decode() in one pass: docs without text but with ids, offsets and decoded, the bytes of the ids at their offsets."""
+    return _encoded(docs, path, text, True)
+
+
+def _encoded(docs: DataFrame, path: str, text: str, decoded: bool) -> DataFrame:
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))  # one vocabulary file
+    more = ["ids", "offsets", *["decoded"] * decoded]
+    kept = [c for c in docs.columns if c not in (text, *more)]
+    kind = T.StructType([docs.schema[c] for c in kept] + [T.StructField(c, T.BinaryType() if c == "decoded" else T.ArrayType(T.IntegerType(), False)) for c in more])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = Encoder(ranks.value), Decoder(ranks.value) if decoded else None
+        for part in sliced(batches, 512):
+            ids = list(encoder.encode([t or "" for t in part.column(len(kept)).to_pylist()]))
+            rows = np.fromiter(map(len, ids), np.int64, len(ids))
+            ends = np.concatenate([[0], np.cumsum(rows)]).astype(np.int32)
+            flat = np.concatenate([np.empty(0, np.int32), *ids])
+            size = encoder.size[flat]
+            total = np.cumsum(size, dtype=np.int64) - size
+            offsets = total - np.repeat(total[np.minimum(ends[:-1], max(len(total) - 1, 0))] if len(total) else np.zeros(len(ids), np.int64), rows)
+            made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(np.int32))) for v in (flat, offsets)]
+            if decoder:
+                made.append(decoder.texts(flat, offsets, rows))
+            yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(kept))] + made, [*kept, *more])
+        del encoder, decoder
+        trim()
+
+    return docs.select(*kept, text).mapInArrow(of, kind)
+
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded with one more column, decoded: the bytes of ids at their offsets; an id outside the vocabulary is an error."""
@@ -316,9 +334,6 @@ def decode_range(encoded: DataFrame, path: str, start: int, end: int | None) ->
                 texts = [whole[c + max(0, start - b) : c + (n if end is None else max(0, min(n, end - b)))].tobytes() for c, b, n in zip(cuts.tolist(), base.tolist(), length.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(texts, pa.binary())], [*kept, "decoded"])
                 continue
-            whole, length = decoder.decode(ids, offsets, rows)
-            cuts = np.concatenate([[0], np.cumsum(length)])
-            texts = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(whole)])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), texts], [*kept, "decoded"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), decoder.texts(ids, offsets, rows)], [*kept, "decoded"])
 
     return encoded.select(*kept).mapInArrow(of, kind)

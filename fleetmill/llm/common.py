@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,11 +36,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Rows that Spark hands to Python at once while a table is written: whole texts, of which both sides hold copies.
+BATCH_ROWS = 1000
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read again: lineage ends there, and a lost executor costs nothing before it."""
-    spark = df.sparkSession
+    spark, rows = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     path = f"{shared_dir(spark)}/fleetmill/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(rows, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -60,12 +69,21 @@ def semi_by_id(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFram
     return docs.join(checked_broadcast(ids, ids.count()), key, "left_semi")
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in smaller pieces, of about so many rows and bytes at most, so that a task holds few texts at once."""
     for batch in batches:
         step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    trim()
+
+
+def trim() -> None:
+    """Gives unused memory back: workers are kept for later stages, whose executors must hold them all."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
 
 
 def ascii_lower(text: Column) -> Column:

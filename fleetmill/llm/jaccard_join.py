@@ -69,7 +69,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
                 n += 1
                 held += len(s)
                 parts.append(s)
-                if held > 2_000_000:
+                if held > 1_000_000:
                     flush()
         flush()
         top = sorted(((t, v) for v, t in seen.items() if t >= max(4, n // 400)), reverse=True)[:TASK_KEEPS]

@@ -71,8 +71,7 @@ def vocabulary() -> str:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
-    return byte_bpe.decode(encoded, vocabulary()).select(
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary()).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -42,6 +42,9 @@ ROW = ["doc_id", "text_key"]
 GRAM, WIDE = 26, 25
 PASSAGE_WORDS = GRAM + WIDE - 1
 
+#: Bytes of text that a task takes at once: some hundred bytes of arrays are made for each.
+SLICE = 1 << 20
+
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 
 #: Pieces of a line: to the end of a sentence and the blanks behind it, or the rest.
@@ -99,7 +102,7 @@ def repeats(docs: DataFrame, rank: str = "doc_id", min_words: int = 1) -> DataFr
     docs = _keyed(docs, rank)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, size=SLICE):
             parts = [_hashes(units(t, min_words)) for t in batch.column(3).to_pylist()]
             value, times = np.unique(np.concatenate(parts) if parts else np.empty(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times.astype(np.int64))], ["h", "n"])
@@ -108,7 +111,7 @@ def repeats(docs: DataFrame, rank: str = "doc_id", min_words: int = 1) -> DataFr
     held = spark.sparkContext.broadcast(bitmap.build(twice, "h", twice.count()))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, size=SLICE):
             cols: list[list] = [[] for _ in range(10)]
             for doc, key, rank, text in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 found = units(text, min_words)
@@ -196,7 +199,7 @@ def passages(docs: DataFrame, rank: str = "doc_id") -> DataFrame:
     docs = _keyed(docs, rank)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, size=SLICE):
             h, text, _, _ = tokens(_texts(batch))
             value, times = np.unique(fingerprints(h, text)[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times.astype(np.int64))], ["h", "n"])
@@ -205,7 +208,7 @@ def passages(docs: DataFrame, rank: str = "doc_id") -> DataFrame:
     held = spark.sparkContext.broadcast(bitmap.build(twice, "h", twice.count()))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, size=SLICE):
             h, text, start, end = tokens(_texts(batch))
             at, d1, d2 = fingerprints(h, text)
             may = bitmap.passes(held.value, d1)
@@ -250,7 +253,7 @@ def _grown(docs: DataFrame, hits: DataFrame) -> DataFrame:
 
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Up to WIDE - 1 words beside each place, from it outwards: hashes of 32 bits and where each begins (side 0) or ends."""
-        for batch in sliced(batches):
+        for batch in sliced(batches, size=SLICE):
             h, text, start, end = tokens(_texts(batch))
             list_ = batch.column(batch.schema.get_field_index("asked"))
             of = np.repeat(np.arange(batch.num_rows), list_.value_lengths().to_numpy())

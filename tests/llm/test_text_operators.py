@@ -103,7 +103,9 @@ def test_bpe_dataframe_round_trip(spark):
         assert whole.decode() in [t or "" for t in texts]
         assert r.ids == LIBRARY.encode_ordinary(whole.decode())
         assert [whole[a:b] for a, b in zip(r.offsets, [*r.offsets[1:], len(whole)])] == [LIBRARY.decode_single_token_bytes(i) for i in r.ids]
-    assert byte_bpe.encode(df.limit(0), PATH).count() == 0
+    both = byte_bpe.round_trip(df, PATH)
+    assert both.columns == ["doc_id", "ids", "offsets", "decoded"] and sorted(map(tuple, both.collect()), key=repr) == sorted(map(tuple, rows), key=repr)
+    assert byte_bpe.encode(df.limit(0), PATH).count() == 0 and byte_bpe.round_trip(df.limit(0), PATH).count() == 0
 
 
 @pytest.mark.parametrize(("start", "end"), [(0, 5), (3, 12), (7, None), (0, 0), (4, 4), (900, 1000), (2, 100_000)])
