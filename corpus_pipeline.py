@@ -38,8 +38,8 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids with the byte offset of each, and whether they decode to the text."""
-    ids = byte_bpe.encode(docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)), vocabulary())
-    return byte_bpe.decode(ids, vocabulary()).withColumn("round_trip", F.sha2("decoded", 256) == F.col("text_sha256")).withColumn(
+    ids = byte_bpe.round_trip(docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)), vocabulary())
+    return ids.withColumn("round_trip", F.sha2("decoded", 256) == F.col("text_sha256")).withColumn(
         "n_tokens", F.size("ids").cast("long")).drop("decoded", "text_sha256")
 
 
