@@ -39,7 +39,8 @@ def fleet_status(spark, d):
 
 @query("SELECT CASE op1 WHEN 0 THEN 0 WHEN 10 THEN 1 WHEN 20 THEN 2 WHEN 25 THEN 3 ELSE 4 END AS cluster, count(*) AS n FROM cycles GROUP BY op1")
 def kmeans_regimes(spark, d):
-    c, _ = models.kmeans(b.cycles(spark, d), b.OPS, 5, tuple(range(1, 11)))
+    c = b.cycles(spark, d).select(*b.OPS)
+    c, _ = models.kmeans(models.standardised(c, c, b.OPS), b.OPS, 5, tuple(range(1, 11)))
     return c.groupBy("cluster").agg(F.count("*").alias("n"))
 
 
