@@ -1,6 +1,8 @@
 """The whole pipeline against a brute-force version, and its defined cases."""
 
 import random
+import subprocess
+import sys
 
 import pytest
 
@@ -78,3 +80,9 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_a_broken_import_is_not_swallowed():
+    code = "import sys; sys.modules['pyarrow'] = None; import __spark_entry__"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, cwd=__file__.rsplit("/", 3)[0])
+    assert done.returncode and b"pyarrow" in done.stderr
