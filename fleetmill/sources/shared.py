@@ -29,4 +29,6 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
+    place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(place)  # the table is there as long as the driver
     return df.sparkSession.read.schema(df.schema).parquet(path)
