@@ -50,6 +50,8 @@ def written(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(rows, before)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)  # the table is there as long as the driver
     return spark.read.schema(df.schema).parquet(path)
 
 
