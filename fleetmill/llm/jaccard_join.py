@@ -274,7 +274,10 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Data
         found = near_duplicates(docs.select("doc_id", "text"), k, num, den)
         return anti_by_id(docs, written(found.where("doc_id <> component_id").select("doc_id")))
     beyond = docs.agg(F.max("doc_id")).first()[0] + 1
-    twice = written(semi_by_id(docs, again).dropDuplicates(["doc_id", "text"]).withColumn("__own", F.monotonically_increasing_id() + F.lit(beyond)))
-    rows = written(anti_by_id(docs, again).withColumn("__own", F.col("doc_id").cast("long")).unionByName(twice))
+    twice = written(semi_by_id(docs, again).dropDuplicates(["doc_id", "text"]))
+    unlike = written(twice.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    own = F.col("doc_id").cast("long")
+    rows = anti_by_id(docs, again).withColumn("__own", own).unionByName(anti_by_id(twice, unlike).withColumn("__own", own))
+    rows = written(rows.unionByName(semi_by_id(twice, unlike).withColumn("__own", F.monotonically_increasing_id() + F.lit(beyond))))
     found = near_duplicates(rows.select(F.col("__own").alias("doc_id"), "text"), k, num, den)
     return anti_by_id(rows, written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__own"))), "__own").drop("__own")
