@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from fleetmill.functions.columns import UNIT
 from fleetmill.functions.rng import uniform
+from fleetmill.operators.ordering import numbered_within
+
 
 def _all() -> WindowSpec:
     return Window.partitionBy(*UNIT)
@@ -43,16 +45,14 @@ def every_kth(df: DataFrame, cap: float, k: int) -> DataFrame:
 
 def split_first_frac(units: DataFrame, frac: float) -> DataFrame:
     """(unit, part): the first floor(n * frac) units by id are for training."""
-    place = F.row_number().over(Window.partitionBy("dataset").orderBy("unit"))
-    n = F.count("*").over(Window.partitionBy("dataset"))
-    return units.select("dataset", "unit", F.when(place <= F.floor(n * frac), "train").otherwise("validation").alias("part"))
+    placed = numbered_within(units.select("dataset", "unit"), ["dataset"], ["unit"])
+    return placed.select("dataset", "unit", F.when(F.col("place") < F.floor(F.col("size") * frac), "train").otherwise("validation").alias("part"))
 
 
 def balanced_sample(labels: DataFrame, n: int) -> DataFrame:
     """n units, as many of each label as n allows, least ids first; the rest filled with the least ids left."""
     k = labels.select("subpop").distinct().count()
-    place = F.row_number().over(Window.partitionBy("subpop").orderBy("unit"))
-    ranked = labels.withColumn("__p", F.when(place <= n // k, 0).otherwise(1))
+    ranked = numbered_within(labels, ["subpop"], ["unit"]).withColumn("__p", F.when(F.col("place") < n // k, 0).otherwise(1))
     return ranked.orderBy("__p", "unit").limit(n).select("unit", "subpop")
 
 
@@ -60,8 +60,8 @@ def stratified_folds(labels: DataFrame, repeats: int, folds: int) -> DataFrame:
     """(repeat, unit, subpop, fold): in each repeat a unit is held out once, every label spread evenly over the folds."""
     rep = labels.select("unit", "subpop", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))
     h = uniform("folds", F.col("repeat"), F.col("unit"))
-    place = F.row_number().over(Window.partitionBy("repeat", "subpop").orderBy(h, "unit"))
-    return rep.select("repeat", "unit", "subpop", ((place - 1 + F.col("subpop")) % folds).cast("int").alias("fold"))
+    placed = numbered_within(rep, ["repeat", "subpop"], [h, "unit"])
+    return placed.select("repeat", "unit", "subpop", ((F.col("place") + F.col("subpop")) % folds).cast("int").alias("fold"))
 
 
 def inner_validation(folds: DataFrame, frac: float) -> DataFrame:
@@ -69,9 +69,8 @@ def inner_validation(folds: DataFrame, frac: float) -> DataFrame:
     n = folds.select("fold").distinct()
     rows = n.join(folds.select("repeat", "unit", "subpop", F.col("fold").alias("own")), F.col("fold") != F.col("own"))
     h = uniform("inner", F.col("repeat"), F.col("fold"), F.col("unit"))
-    strata = Window.partitionBy("repeat", "fold", "subpop")
-    place, size = F.row_number().over(strata.orderBy(h, "unit")), F.count("*").over(strata)
-    return rows.select("repeat", "fold", "unit", F.when(place <= F.bround(frac * size), "val").otherwise("train").alias("role"))
+    placed = numbered_within(rows, ["repeat", "fold", "subpop"], [h, "unit"])
+    return placed.select("repeat", "fold", "unit", F.when(F.col("place") < F.bround(frac * F.col("size")), "val").otherwise("train").alias("role"))
 
 
 def candidate_grid(spark, values: dict[str, list]) -> DataFrame:

@@ -34,6 +34,13 @@ def numbered(df: DataFrame, order: list, name: str = "place") -> DataFrame:
     return t.join(known, _RANGE).withColumn(name, F.col("__before") + place).drop(_RANGE, "__before", *helpers)
 
 
+def numbered_within(df: DataFrame, keys: list[str], order: list, name: str = "place", size: str = "size") -> DataFrame:
+    """df with each row's place among the rows of its keys, from 0, and their number; for few keys with many rows each."""
+    t = written(numbered(df, [*keys, *order], name), "numbered")
+    first = t.groupBy(*keys).agg(F.min(name).alias("__first"), F.count("*").alias(size))  # a row for each of the few keys
+    return t.join(F.broadcast(first), keys).withColumn(name, F.col(name) - F.col("__first")).drop("__first")
+
+
 def running(df: DataFrame, order: str, sums: list[str], keys: list[str] | None = None) -> DataFrame:
     """df with run_<c> and total_<c> for each c of sums: sums over the rows of the same keys up to this one, and over all.
 

@@ -125,6 +125,16 @@ def test_ks_and_auc(spark):
     assert rs.roc_auc(df.where("side = 1"), "x", "side").first().auc is None
 
 
+def test_numbers_within_keys(spark):
+    from fleetmill.operators.ordering import numbered_within
+
+    df = spark.range(300).select("id", (F.col("id") % 4 == 0).alias("k")).repartition(5)
+    rows = numbered_within(df, ["k"], [-F.col("id")]).collect()
+    for k, n in ((True, 75), (False, 225)):
+        mine = sorted((r for r in rows if r.k == k), key=lambda r: -r.id)
+        assert [r.place for r in mine] == list(range(n)) and {r.size for r in mine} == {n}
+
+
 def test_signed_rank_p(spark):
     """Exact p by enumeration of signs without ties, the normal approximation with ties, and no differences at all."""
     import itertools
