@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, class_lm, decontaminate, html_extract, jaccard_join, licences, license_scan, quality_rules, substring_dedup, url_filters, warc_audit
+from . import (byte_bpe, class_lm, conversation_repair, decontaminate, html_extract, jaccard_join, licences, license_scan, periodic_runs, quality_rules, substring_dedup, toxicity,
+               url_filters, warc_audit)
 from .common import table, written
 
 #: Repeated lines of fewer words stay, and so do runs of repeated sentences: formulas that unlike texts share by chance.
@@ -84,5 +85,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.spans(table(spark, sf_dir, "documents").select("doc_id", "text"), **SUBSTRING_SIZES)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the texts go on periodically from some word on."""
+    return periodic_runs.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), planted=True)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations are damaged first; the repair sees the damaged rows alone."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.digests(rows, conversation_repair.damaged(rows))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model is fitted to labelled rows that aren't held out, and scores all."""
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = toxicity.fit(docs.where(~held), table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held))
+    return toxicity.scores(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted", "n_hits", "weight")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_license_scan, op3_warc_audit, op4_class_lm, op5_url_filter, op6_jaccard_join, op7_decontaminate, op8_byte_bpe, op9_html_extract, op10_substring_dedup)}
+    op1_quality_rules, op2_license_scan, op3_warc_audit, op4_class_lm, op5_url_filter, op6_jaccard_join, op7_decontaminate, op8_byte_bpe, op9_html_extract, op10_substring_dedup,
+    op11_periodic_runs, op12_conversation_repair, op13_toxicity)}
