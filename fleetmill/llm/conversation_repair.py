@@ -36,6 +36,9 @@ REROLE, DELETE, INSERT, TRUNCATED = 2, 3, 2, 1
 #: Rows whose spans and splits are all filled in.
 BLOCK = 16
 
+#: Rows of a conversation come by turn (nulls first), then role and text; nth tells equal ones apart.
+ORDER = ("turn", "role", "text", "nth")  # Spark sorts nulls first
+
 Cells = dict[tuple[int, int], tuple[int, str]]
 
 
@@ -134,14 +137,14 @@ def _fault_columns(rows: DataFrame) -> tuple[Column, Column]:
 
 
 def letters(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, digest, letter, initial, fault): each row's letter for the parser and its first fault, or none.
+    """(conv_id, turn, role, text, digest, nth, letter, initial, fault): each row's letter for the parser and its first fault, or none.
 
     A row repeats another of its conversation if role and text are equal and it comes later by turn (nulls first).
     """
     rows = rows.withColumn("digest", F.sha2(F.concat_ws(":", "role", "text"), 256))
-    seen = F.row_number().over(Window.partitionBy("conv_id", "role", "digest").orderBy(F.col("turn").asc_nulls_first())) > 1
+    nth = F.row_number().over(Window.partitionBy("conv_id", "role", "digest").orderBy(F.col("turn").asc_nulls_first()))
     blank, cut = _fault_columns(rows)
-    rows = rows.withColumn("fault", F.when(blank, "blank").when(seen, "duplicate").when(cut, "truncated"))
+    rows = rows.withColumn("nth", nth).withColumn("fault", F.when(blank, "blank").when(F.col("nth") > 1, "duplicate").when(cut, "truncated"))
     first = F.substring("role", 1, 1)
     letter = F.when(first.isin("s", "u", "a"), first).otherwise(F.lit("o"))
     letter = F.when(F.col("fault").isin("blank", "duplicate"), F.lit("x")).when(F.col("fault") == "truncated", F.upper(letter)).otherwise(letter)
@@ -181,8 +184,8 @@ def audits(marked: DataFrame) -> DataFrame:
         if state is not None:
             yield _rows([ended(_closed(state))], AUDITS)
 
-    few = marked.select("conv_id", "turn", "role", "text", "letter", "initial", "fault")
-    ordered = few.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
+    few = marked.select("conv_id", "turn", "role", "text", "nth", "letter", "initial", "fault")
+    ordered = few.repartition("conv_id").sortWithinPartitions("conv_id", *ORDER)
     return ordered.select("conv_id", "turn", "letter", "initial", "fault").mapInArrow(scan, AUDITS)
 
 
@@ -200,9 +203,9 @@ REPAIRED = "conv_id long, gaps long, blank long, duplicate long, truncated long,
 
 def _ordered(marked: DataFrame, audited: DataFrame) -> DataFrame:
     """Each conversation's audit, then its rows in order: what a task needs to repair it row by row."""
-    rows = marked.select("conv_id", F.lit(1).alias("tag"), "turn", "role", "text")
+    rows = marked.select("conv_id", F.lit(1).alias("tag"), "turn", "role", "text", "nth")
     both = rows.unionByName(audited.withColumn("tag", F.lit(0)), allowMissingColumns=True)
-    return both.repartition("conv_id").sortWithinPartitions("conv_id", "tag", F.col("turn").asc_nulls_first(), "role", "text")
+    return both.repartition("conv_id").sortWithinPartitions("conv_id", "tag", *ORDER)
 
 
 def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict | None, str | None, str | None]]:

@@ -72,4 +72,35 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN reach r ON r.doc_id = d.doc_id LEFT JOIN cls ON cls.doc_id = d.doc_id GROUP BY d.doc_id, n.n
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op3_warc_audit": OP3, "op5_url_filter": OP5, "op6_jaccard_join": OP6}
+# Rows are damaged, marked and numbered; `best` holds the least (cost, audit) of each place in a dialogue (0 before it, 1 after the system turn, 2 after a
+# user's, 3 after an assistant's) behind row i, with turns put in behind it.
+OP12 = r"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+c AS (SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda d, y: xor(d >> 1, 3988292384 * (d & 1))))) % 20 AS kind FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+      unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM c WHERE kind <> 0),
+g AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM d),
+m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS i, nth > 1 AS seen, right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last, left(role, 1) AS initial FROM g),
+f AS (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM m),
+step AS (SELECT * FROM (VALUES (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (2, 3, 'a'), (3, 2, 'u')) AS t(p, q, role)),
+put AS (SELECT * FROM (VALUES (0, 0, ''), (0, 2, 'I'), (0, 3, 'II'), (1, 1, ''), (1, 2, 'I'), (1, 3, 'II'), (2, 2, ''), (2, 3, 'I'), (3, 3, ''), (3, 2, 'I')) AS t(p, q, audit)),
+edit AS (SELECT conv_id, i, p, p AS q, 3 AS cost, 'D' AS audit FROM f, (SELECT unnest([0, 1, 2, 3]) AS p)
+  UNION ALL SELECT conv_id, i, p, q, (fault = 'truncated')::INT, 'K' FROM f JOIN step ON initial = step.role WHERE fault NOT IN ('blank', 'duplicate')
+  UNION ALL SELECT conv_id, i, p, q, 2 + (fault = 'truncated')::INT, 'R' FROM f JOIN step ON step.role <> 's' WHERE fault NOT IN ('blank', 'duplicate')),
+best(conv_id, i, q, b) AS (
+  SELECT conv_id, 0::BIGINT, q, {'cost': 2 * len(audit), 'audit': audit} FROM (SELECT DISTINCT conv_id FROM f), put WHERE p = 0
+  UNION ALL SELECT b.conv_id, e.i, put.q, min({'cost': b.b.cost + e.cost + 2 * len(put.audit), 'audit': b.b.audit || e.audit || put.audit})
+  FROM best b JOIN edit e ON e.conv_id = b.conv_id AND e.i = b.i + 1 AND e.p = b.q JOIN put ON put.p = e.q GROUP BY b.conv_id, e.i, put.q),
+n AS (SELECT conv_id, max(i) AS n, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+      count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM f GROUP BY conv_id),
+r AS (SELECT n.*, b FROM n JOIN (SELECT conv_id, i, min(b) AS b FROM best WHERE q IN (0, 3) GROUP BY conv_id, i) USING (conv_id) WHERE i = n),
+t AS (SELECT conv_id, k, b.audit[k] AS edit, len(replace(b.audit[:k], 'I', '')) AS i, len(replace(b.audit[:k - 1], 'D', '')) AS place FROM (SELECT conv_id, b, unnest(range(1, len(b.audit) + 1)) AS k FROM r)),
+w AS (SELECT t.*, CASE WHEN edit <> 'I' THEN f.role END AS role, CASE WHEN edit <> 'I' THEN f.text ELSE '' END AS text, max((edit = 'K' AND initial = 's')::INT) OVER (PARTITION BY t.conv_id) AS s FROM t LEFT JOIN f ON f.conv_id = t.conv_id AND f.i = t.i),
+h AS (SELECT conv_id, sha256(coalesce(string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - s) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k), '')) AS h FROM w WHERE edit <> 'D' GROUP BY conv_id)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(b.cost, 0)::BIGINT AS cost, coalesce(b.audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN r USING (conv_id) LEFT JOIN h USING (conv_id)
+"""
+
+ORACLES = {"op1_quality_rules": OP1, "op3_warc_audit": OP3, "op5_url_filter": OP5, "op6_jaccard_join": OP6, "op12_conversation_repair": OP12}

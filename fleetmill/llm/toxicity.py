@@ -46,7 +46,7 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clownfish",
 #: Letters that look like Latin ones (Cyrillic, then Greek), digits and signs that stand for letters, and the letters that
 #: these stand for; i and l share a skeleton, as 1 stands for both.
 LOOKALIKES = dict(zip("асеорхуікмтвнѕјԁɡһ", "aceopxyikmtbhsjdgh", strict=True)) | dict(zip("αβεικνορτυχ", "abeiknoptux", strict=True))
-SUBSTITUTES = dict(zip("0134578@$!|", "oieastbasii", strict=True)) | {"l": "i"}
+SUBSTITUTES = dict(zip("0134578@$|", "oieastbasi", strict=True)) | {"l": "i"}
 
 #: Soft hyphen, zero-width space, non-joiner and joiner, word joiner, byte-order mark.
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
@@ -138,7 +138,7 @@ def automaton(entries: list[tuple[str, int, int]]) -> ahocorasick.Automaton:
         a.add_word(" " + entry, (len(entry) + 1, k))
     for phrase in EXCEPTIONS:
         f = " " + " ".join(fold(phrase).split())
-        a.add_word(f, (len(f), -1))
+        a.add_word(f + " ", (len(f) + 1, -1))
     if len(a):
         a.make_automaton()
     return a
@@ -149,7 +149,7 @@ def measure(text: str | None, a: ahocorasick.Automaton, weights: list[float], ow
     words = fold(text).split()
     if not words or not len(a):
         return 0.0, 0, len(words)
-    met = [(end - length + 1, length, k) for end, (length, k) in a.iter(" " + " ".join(words))]
+    met = [(end - length + 1, length, k) for end, (length, k) in a.iter(" " + " ".join(words) + " ")]
     if own is not None:
         weights = own(Counter(k for _, _, k in met if k >= 0))
     harmless = [(at, at + length) for at, length, k in met if k < 0]
