@@ -11,27 +11,28 @@ from pyspark.sql import functions as F
 
 from fleetmill.sources.shared import written
 
-_RANGE = "__range"
+#: The column with the number of a row's range.
+RANGE = "__range"
 
 
-def _ranged(df: DataFrame, order: list) -> DataFrame:
+def ranged(df: DataFrame, order: list) -> DataFrame:
     """df, written, with the number of the range of the order that a row is in."""
     cols = {f"__order{i}": c for i, c in enumerate(F.col(o) if isinstance(o, str) else o for o in order)}
     dealt = df.withColumns(cols).repartitionByRange(*cols)
-    return written(dealt.withColumn(_RANGE, F.spark_partition_id()), "ranged")
+    return written(dealt.withColumn(RANGE, F.spark_partition_id()), "ranged")
 
 
 def numbered(df: DataFrame, order: list, name: str = "place") -> DataFrame:
     """df with each row's place in the order, from 0; the order must tell all rows apart."""
-    t = _ranged(df, order)
+    t = ranged(df, order)
     at, offsets = 0, []
-    for r in sorted(t.groupBy(_RANGE).agg(F.count("*").alias("n")).collect(), key=lambda r: r[_RANGE]):  # a row for each range
-        offsets.append((r[_RANGE], at))
+    for r in sorted(t.groupBy(RANGE).agg(F.count("*").alias("n")).collect(), key=lambda r: r[RANGE]):  # a row for each range
+        offsets.append((r[RANGE], at))
         at += r.n
-    known = F.broadcast(df.sparkSession.createDataFrame(offsets, f"{_RANGE} int, __before long"))
+    known = F.broadcast(df.sparkSession.createDataFrame(offsets, f"{RANGE} int, __before long"))
     helpers = [c for c in t.columns if c.startswith("__order")]
-    place = F.row_number().over(Window.partitionBy(_RANGE).orderBy(*helpers)) - 1
-    return t.join(known, _RANGE).withColumn(name, F.col("__before") + place).drop(_RANGE, "__before", *helpers)
+    place = F.row_number().over(Window.partitionBy(RANGE).orderBy(*helpers)) - 1
+    return t.join(known, RANGE).withColumn(name, F.col("__before") + place).drop(RANGE, "__before", *helpers)
 
 
 def numbered_within(df: DataFrame, keys: list[str], order: list, name: str = "place", size: str = "size") -> DataFrame:
@@ -47,17 +48,17 @@ def running(df: DataFrame, order: str, sums: list[str], keys: list[str] | None =
     The order must tell rows of the same keys apart.
     """
     keys = keys or []
-    t = _ranged(df, [*keys, order])
+    t = ranged(df, [*keys, order])
     total, offsets = {}, []
-    per = t.groupBy(*keys, _RANGE).agg(*[F.sum(c).alias(c) for c in sums]).collect()  # a row for each range, and for each key
-    for r in sorted(per, key=lambda r: r[_RANGE]):
+    per = t.groupBy(*keys, RANGE).agg(*[F.sum(c).alias(c) for c in sums]).collect()  # a row for each range, and for each key
+    for r in sorted(per, key=lambda r: r[RANGE]):
         key = tuple(r[k] for k in keys)
         before = total.get(key, [0] * len(sums))
-        offsets.append((*key, r[_RANGE], *map(float, before)))
+        offsets.append((*key, r[RANGE], *map(float, before)))
         total[key] = [x + (r[c] or 0) for x, c in zip(before, sums, strict=True)]
     rows = [(*o, *map(float, total[o[: len(keys)]])) for o in offsets]
     kinds = [f"{k} {t.schema[k].dataType.simpleString()}" for k in keys]
-    known = F.broadcast(df.sparkSession.createDataFrame(rows, ", ".join([*kinds, f"{_RANGE} int", *(f"__before_{c} double" for c in sums), *(f"total_{c} double" for c in sums)])))
-    w = Window.partitionBy(*keys, _RANGE).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = t.join(known, [*keys, _RANGE]).withColumns({f"run_{c}": F.col(f"__before_{c}") + F.sum(c).over(w) for c in sums})
-    return out.drop(_RANGE, *(f"__before_{c}" for c in sums), *(c for c in t.columns if c.startswith("__order")))
+    known = F.broadcast(df.sparkSession.createDataFrame(rows, ", ".join([*kinds, f"{RANGE} int", *(f"__before_{c} double" for c in sums), *(f"total_{c} double" for c in sums)])))
+    w = Window.partitionBy(*keys, RANGE).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = t.join(known, [*keys, RANGE]).withColumns({f"run_{c}": F.col(f"__before_{c}") + F.sum(c).over(w) for c in sums})
+    return out.drop(RANGE, *(f"__before_{c}" for c in sums), *(c for c in t.columns if c.startswith("__order")))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetmill.functions.columns import ratio
 from fleetmill.functions.rng import uniform
 from fleetmill.operators.ordering import numbered, running
+from fleetmill.operators.quantiles import quantiles
 from fleetmill.sources.shared import written
 
 
@@ -23,34 +28,82 @@ def draws(units: DataFrame, replicates: int, stream: str = "boot", key: str = "u
     return drawn.groupBy("replicate", "place").agg(F.count("*").alias("w")).join(place, "place").select("replicate", key, "w")
 
 
+def _counts() -> list[float]:
+    """The distribution function of a Poisson count of mean 1, up to where the rest is less than the random numbers' step."""
+    p, out = math.exp(-1), []
+    while not out or 1 - out[-1] >= 2.0**-32:
+        out.append((out[-1] if out else 0.0) + p)
+        p /= len(out)
+    return out
+
+
+#: P(count <= k) for k = 0, 1, ...
+POISSON = _counts()
+
+
+def poisson_weight(u: Column) -> Column:
+    """How often a unit counts, from a uniform number."""
+    return reduce(lambda a, c: a + (u >= c).cast("int"), POISSON, F.lit(0))
+
+
+def poisson(df: DataFrame, replicates: int, stream: str = "poisson", key: str = "unit") -> DataFrame:
+    """df's rows once for each replicate that they count in, with replicate and w: a Poisson count of mean 1, from a hash of replicate and key.
+
+    Units are drawn independently of each other, so no order, count or shuffle is needed; the number of units drawn
+    varies from replicate to replicate. Where df has several rows for a unit, they share its count.
+    """
+    every = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    return every.withColumn("w", poisson_weight(uniform(stream, F.col("replicate"), F.col(key)))).where("w > 0")
+
+
 def interval(df: DataFrame, keys: list[str], value: str, level: float = 0.95) -> DataFrame:
-    """(keys, ci_lo, ci_hi, defined): percentile interval over replicates; nulls are left out, defined is the share of others."""
+    """(keys, ci_lo, ci_hi, defined): percentile interval over replicates; nulls are left out, defined is the share of others.
+
+    A group's buffer holds a number for each replicate, whatever the number of units.
+    """
     a = (1 - level) / 2
     return df.groupBy(*keys).agg(F.percentile(value, F.lit(a)).alias("ci_lo"), F.percentile(value, F.lit(1 - a)).alias("ci_hi"), F.avg(F.col(value).isNotNull().cast("double")).alias("defined"))
 
 
-def weighted(stat: str, value: str, w: str) -> Column:
-    """A statistic of values that count w times: mean, median, share (of values above 0) or cv."""
-    v, n = F.col(value), F.col(w)
-    mean = F.sum(v * n) / F.sum(n)
-    if stat == "mean":
-        return mean
-    if stat == "median":
-        return F.percentile(v, F.lit(0.5), n)
-    if stat == "share":
-        return F.sum((v > 0).cast("double") * n) / F.sum(n)
-    if stat == "cv":
-        return F.sqrt((F.sum(v * v * n) - F.sum(n) * mean * mean) / (F.sum(n) - 1)) / mean
-    raise ValueError(f"no statistic {stat}")
+#: A statistic as an aggregate of values that count w times.
+Statistic = Callable[[Column, Column], Column]
+
+
+def mean(v: Column, w: Column) -> Column:
+    return F.sum(v * w) / F.sum(w)
+
+
+def share(v: Column, w: Column) -> Column:
+    """Share of values above 0."""
+    return F.sum((v > 0).cast("double") * w) / F.sum(w)
+
 
+def cv(v: Column, w: Column) -> Column:
+    """Deviation over mean."""
+    m = mean(v, w)
+    return F.sqrt((F.sum(v * v * w) - F.sum(w) * m * m) / (F.sum(w) - 1)) / m
 
-def bootstrap_ci(values: DataFrame, value: str, replicates: int, stats: list[str], stream: str = "boot") -> DataFrame:
-    """(stat, estimate, ci_lo, ci_hi) of one value for each unit."""
+
+def bootstrap_ci(values: DataFrame, value: str, replicates: int, stats: dict[str, Statistic | float], stream: str = "boot", method: str = "exact") -> DataFrame:
+    """(stat, estimate, ci_lo, ci_hi) of one value for each unit.
+
+    stats: by name an aggregate of (value, weight), or a number from 0 to 1 for that quantile, which is found by ranges.
+    method: "exact" or "poisson" draws.
+    """
     from fleetmill.operators.evaluation import long_metrics
 
-    drawn = draws(values, replicates, stream).join(values, "unit").groupBy("replicate").agg(*[weighted(s, value, "w").alias(s) for s in stats])
-    ci = interval(long_metrics(drawn, ["replicate"], stats), ["metric"], "estimate")
-    est = long_metrics(values.withColumn("w", F.lit(1)).agg(*[weighted(s, value, "w").alias(s) for s in stats]), [], stats)
+    rows = values.select("unit", value)
+    drawn = written(poisson(rows, replicates, stream) if method == "poisson" else draws(rows, replicates, stream).join(rows, "unit"), "drawn")
+
+    def measured(df: DataFrame, keys: list[str]) -> DataFrame:
+        plain = {n: s for n, s in stats.items() if callable(s)}
+        parts = [df.groupBy(*keys).agg(*[s(F.col(value), F.col("w")).alias(n) for n, s in plain.items()])] if plain else []
+        parts += [quantiles(df, value, {n: s}, keys, "w") for n, s in stats.items() if not callable(s)]
+        both = reduce(lambda a, x: a.join(x, keys or F.lit(True)), parts)  # a row for each replicate
+        return long_metrics(both, keys, list(stats))
+
+    ci = interval(measured(drawn, ["replicate"]), ["metric"], "estimate")
+    est = measured(rows.withColumn("w", F.lit(1)), [])
     return est.join(ci, "metric").select(F.col("metric").alias("stat"), "estimate", "ci_lo", "ci_hi")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetmill.functions.columns import pearson, ratio
 from fleetmill.functions.rng import uniform
+from fleetmill.operators.quantiles import median
 
 KEYS = ["unit", "sensor"]
 
@@ -40,8 +41,9 @@ def shuffled_ttf(long: DataFrame) -> DataFrame:
 
 def consistency(rho: DataFrame) -> DataFrame:
     """(sensor, share, median): share of units with the majority's sign; units without rho are left out."""
-    r = rho.where("rho is not null").groupBy("sensor").agg(F.avg((F.col("rho") > 0).cast("double")).alias("up"), F.avg((F.col("rho") < 0).cast("double")).alias("down"), F.percentile("rho", F.lit(0.5)).alias("median"))
-    return r.select("sensor", F.greatest("up", "down").alias("share"), "median")
+    known = rho.where("rho is not null")
+    r = known.groupBy("sensor").agg(F.avg((F.col("rho") > 0).cast("double")).alias("up"), F.avg((F.col("rho") < 0).cast("double")).alias("down"))
+    return r.join(median(known, "rho", "median", ["sensor"]), "sensor").select("sensor", F.greatest("up", "down").alias("share"), "median")
 
 
 def diff_noise(long: DataFrame) -> DataFrame:
@@ -118,7 +120,7 @@ def signs(rho: DataFrame) -> DataFrame:
 
 def flips(rho: DataFrame) -> DataFrame:
     """(unit, sensor, flip): the unit's sign differs from that of the sensor's median."""
-    major = rho.groupBy("sensor").agg(F.signum(F.percentile("rho", F.lit(0.5))).alias("major"))
+    major = median(rho, "rho", "m", ["sensor"]).select("sensor", F.signum("m").alias("major"))
     return rho.where("rho is not null").join(F.broadcast(major), "sensor").select("unit", "sensor", (F.signum("rho") != F.col("major")).alias("flip"))
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from fleetmill.functions.columns import bucket, clip, r6
 from fleetmill.operators import checks, labels
+from fleetmill.operators.quantiles import median, quantiles
 from fleetmill.sources import bindings as b
 from fleetmill.sources import fleet_files as files
-from fleetmill.sources.shared import new_folder
+from fleetmill.sources.shared import new_folder, written
 
 from .registry import query, u
 
@@ -227,18 +228,18 @@ def check_unseen_regime(spark, d):
 @query("""SELECT dataset, count(*) AS n_engines, sum(life)::BIGINT AS n_rows, min(life) AS life_min, quantile_cont(life, 0.25) AS q25, quantile_cont(life, 0.5) AS life_median, quantile_cont(life, 0.75) AS q75, max(life) AS life_max,
   count(*) FILTER (life < 60) AS n_short FROM (SELECT dataset, unit, max(cycle) AS life FROM cycles GROUP BY ALL) GROUP BY dataset""")
 def dataset_profile(spark, d):
-    life = b.cycles(spark, d).groupBy("dataset", "unit").agg(F.max("cycle").alias("life"))
-    q = lambda p: F.percentile("life", F.lit(p))
-    return life.groupBy("dataset").agg(F.count("*").alias("n_engines"), F.sum("life").alias("n_rows"), F.min("life").alias("life_min"), q(0.25).alias("q25"), q(0.5).alias("life_median"),
-                                       q(0.75).alias("q75"), F.max("life").alias("life_max"), F.count_if(F.col("life") < 60).alias("n_short"))
+    life = written(b.cycles(spark, d).groupBy("dataset", "unit").agg(F.max("cycle").alias("life")), "lives")
+    n = life.groupBy("dataset").agg(F.count("*").alias("n_engines"), F.sum("life").alias("n_rows"), F.min("life").alias("life_min"), F.max("life").alias("life_max"), F.count_if(F.col("life") < 60).alias("n_short"))
+    return n.join(quantiles(life, "life", {"q25": 0.25, "life_median": 0.5, "q75": 0.75}, ["dataset"]), "dataset")
 
 
 @query("""SELECT sensor, count(x) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, round(min(x), 6) AS min, round(quantile_cont(x, 0.5), 6) AS median, round(max(x), 6) AS max FROM long GROUP BY sensor""")
 def describe_columns(spark, d):
     from fleetmill.functions.columns import unpivot
 
-    g = unpivot(b.cycles(spark, d), [], S).groupBy("sensor")
-    return g.agg(F.count("x").alias("n"), r6(F.avg("x")).alias("mean"), r6(F.stddev_samp("x")).alias("std"), r6(F.min("x")).alias("min"), r6(F.percentile("x", F.lit(0.5))).alias("median"), r6(F.max("x")).alias("max"))
+    x = unpivot(b.cycles(spark, d), [], S)
+    g = x.groupBy("sensor").agg(F.count("x").alias("n"), r6(F.avg("x")).alias("mean"), r6(F.stddev_samp("x")).alias("std"), r6(F.min("x")).alias("min"), r6(F.max("x")).alias("max"))
+    return g.join(median(x, "x", "median", ["sensor"]), "sensor").withColumn("median", r6("median"))
 
 
 @query("SELECT sensor, round(stddev_samp(x), 6) AS std FROM long GROUP BY sensor HAVING stddev_samp(x) < 25")

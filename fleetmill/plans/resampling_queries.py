@@ -10,16 +10,24 @@ from fleetmill.operators import evaluation as e
 from fleetmill.operators import resampling as rs
 from fleetmill.operators import selection as sel
 from fleetmill.operators.ordering import numbered
+from fleetmill.operators.quantiles import median
 from fleetmill.sources import bindings as b
 from fleetmill.sources.shared import written
 
 from .registry import query, u
 
-R, T = 40, [5.0, 10.0, 20.0, 30.0]
+#: Replicates that are drawn by places in the order of units; replicates by Poisson counts, which cost no shuffle.
+R, MANY, T = 40, 1000, [5.0, 10.0, 20.0, 30.0]
 UNITS = "units AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS place FROM (SELECT DISTINCT unit FROM cycles))"
 DRAWS = f"""{UNITS}, draws AS (SELECT replicate, x.unit, count(*) AS w FROM (SELECT replicate, floor({u('boot', 'replicate', 'place')} * (SELECT count(*) FROM units))::INT AS spot FROM units, (SELECT unnest(range(1, {R + 1})) AS replicate)) d JOIN units x ON x.place = d.spot GROUP BY ALL)"""
 SUMS = """sums AS (SELECT unit, count(*) AS n, sum((pred_a - rul_true) ** 2) AS se2, sum((pred_b - rul_true) ** 2) AS se2b, sum(pred_a - rul_true) AS se, sum((rul_true < 10)::INT) AS nc, sum(CASE WHEN rul_true < 10 THEN (pred_a - rul_true) ** 2 ELSE 0 END) AS se2c FROM points2 GROUP BY unit)"""
 LIFE = "life AS (SELECT unit, max(cycle)::DOUBLE AS life FROM cycles GROUP BY unit)"
+def poisson_draws(replicates: int, source: str = "(SELECT DISTINCT unit FROM cycles)") -> str:
+    """SQL of Poisson counts of a source's units; a random number is worked out once for each row."""
+    counts = " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in rs.POISSON)
+    return f"""pd AS (SELECT * EXCLUDE u FROM (SELECT *, {counts} AS w FROM (SELECT *, {u('poisson', 'replicate', 'unit')} AS u FROM {source}, (SELECT unnest(range(1, {replicates + 1})) AS replicate))) WHERE w > 0)"""
+
+
 CI = "round(quantile_cont({0}, 0.025), 6) AS ci_lo, round(quantile_cont({0}, 0.975), 6) AS ci_hi"
 
 
@@ -49,7 +57,7 @@ def bootstrap_draws(spark, d):
   SELECT 'mean' AS stat, (SELECT round(avg(life), 6) FROM life) AS estimate, {CI.format('mean')} FROM s UNION ALL SELECT 'median', (SELECT quantile_cont(life, 0.5) FROM life), {CI.format('median')} FROM m
   UNION ALL SELECT 'share', 1.0, 1.0, 1.0 UNION ALL SELECT 'cv', (SELECT round(stddev_samp(life) / avg(life), 6) FROM life), {CI.format('cv')} FROM s""")
 def bootstrap_ci(spark, d):
-    out = rs.bootstrap_ci(life(spark, d), "life", R, ["mean", "median", "share", "cv"])
+    out = rs.bootstrap_ci(life(spark, d), "life", R, {"mean": rs.mean, "median": 0.5, "share": rs.share, "cv": rs.cv})
     return out.select("stat", r6("estimate").alias("estimate"), r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"))
 
 
@@ -65,25 +73,44 @@ def metrics_from_weights(spark, d):
     return rs.replicate_metrics(sums(spark, d), drawn(spark, d), {"rmse_critical": r6(m["rmse_critical"])})
 
 
-@query(f"""WITH {DRAWS}, {SUMS}, r AS (SELECT replicate, sqrt(sum(w * se2) / sum(w * n)) AS rmse, sum(w * se) / sum(w * n) AS bias, sqrt(sum(w * se2c) / nullif(sum(w * nc), 0)) AS c FROM draws JOIN sums USING (unit) GROUP BY replicate)
+@query(f"WITH {poisson_draws(MANY)} SELECT replicate, count(*) AS units, sum(w)::BIGINT AS n, max(w) AS most, sum(w * unit)::BIGINT AS checksum FROM pd GROUP BY replicate")
+def bootstrap_draws_poisson(spark, d):
+    """(replicate, units, n, most, checksum) of MANY replicates' Poisson counts."""
+    w = F.col("w")
+    return rs.poisson(units(spark, d), MANY).groupBy("replicate").agg(F.count("*").alias("units"), F.sum(w).alias("n"), F.max(w).alias("most"), F.sum(w * F.col("unit")).alias("checksum"))
+
+
+@query(f"""WITH {LIFE}, {poisson_draws(R, 'life')}, s AS (SELECT replicate, sum(ln(life) * w) / sum(w) AS logs FROM pd GROUP BY replicate),
+  q AS (SELECT replicate, quantile_cont(life, 0.9) AS p90 FROM (SELECT replicate, life, unnest(range(w)) FROM pd) GROUP BY replicate)
+  SELECT 'geometric mean' AS stat, (SELECT round(exp(avg(ln(life))), 6) FROM life) AS estimate, round(exp(quantile_cont(logs, 0.025)), 4) AS ci_lo, round(exp(quantile_cont(logs, 0.975)), 4) AS ci_hi FROM s
+  UNION ALL SELECT 'p90', (SELECT quantile_cont(life, 0.9) FROM life), round(quantile_cont(p90, 0.025), 4), round(quantile_cont(p90, 0.975), 4) FROM q""")
+def bootstrap_ci_builders(spark, d):
+    """Intervals of statistics that the library doesn't know: an aggregate of value and weight, and a quantile."""
+    stats = {"geometric mean": lambda v, w: F.sum(F.log(v) * w) / F.sum(w), "p90": 0.9}
+    out = rs.bootstrap_ci(life(spark, d), "life", R, stats, "poisson", "poisson")
+    back = lambda c, n: F.round(F.when(F.col("stat") == "geometric mean", F.exp(c)).otherwise(F.col(c)), n).alias(c)
+    return out.select("stat", back("estimate", 6), back("ci_lo", 4), back("ci_hi", 4))
+
+
+@query(f"""WITH {SUMS}, {poisson_draws(MANY, 'sums')}, r AS (SELECT replicate, sqrt(sum(w * se2) / sum(w * n)) AS rmse, sum(w * se) / sum(w * n) AS bias, sqrt(sum(w * se2c) / nullif(sum(w * nc), 0)) AS c FROM pd GROUP BY replicate)
   SELECT 'rmse' AS metric, {CI.format('rmse')}, 1.0::DOUBLE AS defined FROM r UNION ALL SELECT 'bias', {CI.format('bias')}, 1.0 FROM r UNION ALL SELECT 'rmse_critical', {CI.format('c')}, avg((c IS NOT NULL)::INT) FROM r""")
 def bootstrap_metric_ci(spark, d):
     m, names = e.metrics(F.col("w"), b.BUCKETS), ["rmse", "bias", "rmse_critical"]
-    reps = e.long_metrics(rs.replicate_metrics(sums(spark, d), drawn(spark, d), {k: m[k] for k in names}), ["replicate"], names)
-    return rs.interval(reps, ["metric"], "estimate").select("metric", r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"), "defined")
+    reps = rs.poisson(sums(spark, d), MANY).groupBy("replicate").agg(*[m[k].alias(k) for k in names])
+    return rs.interval(e.long_metrics(reps, ["replicate"], names), ["metric"], "estimate").select("metric", r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"), "defined")
 
 
-@query(f"""WITH {DRAWS}, {SUMS}, r AS (SELECT sqrt(sum(w * se2) / sum(w * n)) - sqrt(sum(w * se2b) / sum(w * n)) AS diff FROM draws JOIN sums USING (unit) GROUP BY replicate)
+@query(f"""WITH {SUMS}, {poisson_draws(MANY, 'sums')}, r AS (SELECT sqrt(sum(w * se2) / sum(w * n)) - sqrt(sum(w * se2b) / sum(w * n)) AS diff FROM pd GROUP BY replicate)
   SELECT (SELECT round(sqrt(sum(se2) / sum(n)) - sqrt(sum(se2b) / sum(n)), 6) FROM sums) AS diff, {CI.format('diff')}, (SELECT round(quantile_cont(sqrt(se2 / n) - sqrt(se2b / n), 0.5), 6) FROM sums) AS median_diff,
   (SELECT round(avg((se2 < se2b)::INT), 6) FROM sums) AS share_better FROM r""")
 def paired_compare(spark, d):
     a, q = sums(spark, d, "A"), sums(spark, d, "B")
-    both = a.select("unit", "n", "se2").join(q.select("unit", F.col("se2").alias("se2b")), "unit")
+    both = written(a.select("unit", "n", "se2").join(q.select("unit", F.col("se2").alias("se2b")), "unit"), "both")
     diff = lambda w: F.sqrt(F.sum(w * F.col("se2")) / F.sum(w * F.col("n"))) - F.sqrt(F.sum(w * F.col("se2b")) / F.sum(w * F.col("n")))
-    reps = both.join(drawn(spark, d), "unit").groupBy("replicate").agg(diff(F.col("w")).alias("v"))
-    ci = rs.interval(reps, [], "v").select(r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"))
-    own = F.sqrt(F.col("se2") / F.col("n")) - F.sqrt(F.col("se2b") / F.col("n"))
-    return both.agg(r6(diff(F.lit(1))).alias("diff"), r6(F.percentile(own, F.lit(0.5))).alias("median_diff"), r6(F.avg((F.col("se2") < F.col("se2b")).cast("double"))).alias("share_better")).join(ci, F.lit(True))  # single rows
+    ci = rs.interval(rs.poisson(both, MANY).groupBy("replicate").agg(diff(F.col("w")).alias("v")), [], "v").select(r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"))
+    middle = median(both, F.sqrt(F.col("se2") / F.col("n")) - F.sqrt(F.col("se2b") / F.col("n")), "m").select(r6("m").alias("median_diff"))
+    one = both.agg(r6(diff(F.lit(1))).alias("diff"), r6(F.avg((F.col("se2") < F.col("se2b")).cast("double"))).alias("share_better"))
+    return one.join(middle, F.lit(True)).join(ci, F.lit(True))  # single rows
 
 
 SPLITS = "d AS (SELECT repeat, fold, sqrt(avg((pred_a - rul_true) ** 2)) - sqrt(avg((pred_b - rul_true) ** 2)) AS d FROM points2 GROUP BY ALL)"
@@ -129,9 +156,8 @@ def ks_bootstrap_ci(spark, d):
 @query(f"""WITH {SIDES}, {LIFE}, a AS (SELECT replicate, quantile_cont(life, 0.5) AS m FROM (SELECT replicate, unit, unnest(range(w)) FROM ev) JOIN life USING (unit) GROUP BY replicate), b AS (SELECT replicate, quantile_cont(life, 0.5) AS m FROM (SELECT replicate, unit, unnest(range(w)) FROM od) JOIN life USING (unit) GROUP BY replicate),
   j AS (SELECT a.m - b.m AS d FROM a JOIN b USING (replicate)) SELECT {CI.format('d')} FROM j""")
 def boot_diff_median(spark, d):
-    rows = two_sides(spark, d).join(life(spark, d), "unit")
-    med = lambda p: F.percentile(F.col("life"), F.lit(0.5), F.when(F.col("unit") % 2 == p, F.col("w")).otherwise(0))
-    g = rows.groupBy("replicate").agg((med(0) - med(1)).alias("v"))
+    m = median(two_sides(spark, d).join(life(spark, d), "unit").withColumn("side", F.col("unit") % 2), "life", "m", ["replicate", "side"], "w")
+    g = m.groupBy("replicate").agg(F.sum(F.when(F.col("side") == 0, F.col("m")).otherwise(-F.col("m"))).alias("v"))
     return rs.interval(g, [], "v").select(r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetmill.functions.columns import pearson, r6, unpivot
 from fleetmill.operators import signal as s
+from fleetmill.operators.quantiles import median, quantiles
 from fleetmill.sources import bindings as b
 from fleetmill.sources.shared import written
 
@@ -50,15 +51,15 @@ NULLS = f"""{LT}, a AS (SELECT unit, sensor, x, row_number() OVER (PARTITION BY
 
 @query(f"WITH {NULLS} SELECT sensor, round(quantile_cont(abs(rho), 0.5), 6) AS null_rho FROM nul GROUP BY sensor")
 def shuffle_null(spark, d):
-    return s.spearman(s.shuffled_ttf(long(spark, d))).groupBy("sensor").agg(r6(F.percentile(F.abs("rho"), F.lit(0.5))).alias("null_rho"))
+    return median(s.spearman(s.shuffled_ttf(long(spark, d))), F.abs("rho"), "m", ["sensor"]).select("sensor", r6("m").alias("null_rho"))
 
 
 @query(f"""WITH {RHO}, {NULLS.replace(LT + ', ', '')}, m AS (SELECT sensor, quantile_cont(abs(rho), 0.5) AS m, greatest(avg((rho > 0)::INT), avg((rho < 0)::INT)) AS share FROM rho GROUP BY sensor), n AS (SELECT sensor, quantile_cont(abs(rho), 0.75) AS n FROM nul GROUP BY sensor)
   SELECT sensor, CASE WHEN m IS NULL THEN 'constant' WHEN m <= n THEN 'flat' WHEN share >= 0.9 THEN 'informative, consistent' ELSE 'informative, mixed' END AS class FROM m JOIN n USING (sensor)""")
 def sensor_class(spark, d):
-    r = rho(spark, d)
-    m = r.groupBy("sensor").agg(F.percentile(F.abs("rho"), F.lit(0.5)).alias("m")).join(s.consistency(r), "sensor", "left")
-    n = s.spearman(s.shuffled_ttf(long(spark, d))).groupBy("sensor").agg(F.percentile(F.abs("rho"), F.lit(0.75)).alias("n"))
+    r = written(rho(spark, d), "rho")
+    m = median(r, F.abs("rho"), "m", ["sensor"]).join(s.consistency(r).drop("median"), "sensor", "left")
+    n = quantiles(s.spearman(s.shuffled_ttf(long(spark, d))), F.abs("rho"), {"n": 0.75}, ["sensor"])
     c = F.when(F.col("m").isNull(), "constant").when(F.col("m") <= F.col("n"), "flat").when(F.col("share") >= 0.9, "informative, consistent").otherwise("informative, mixed")
     return m.join(n, "sensor").select("sensor", c.alias("class"))
 
@@ -133,11 +134,12 @@ def hinge_changepoint(spark, d):
 @query(f"""WITH {_hinge('cycles', 'unit', 's7', 5)}, o AS (SELECT f.last - f.tau AS onset, f.* FROM fit) SELECT quantile_cont(onset, 0.1) FILTER (b > 0) AS p10, quantile_cont(onset, 0.5) FILTER (b > 0) AS p50, quantile_cont(onset, 0.9) FILTER (b > 0) AS p90,
   round(avg((onset <= 40)::INT) FILTER (b > 0), 6) AS within_cap, count(*) FILTER (b <= 0) AS falling, count(*) FILTER (b > 0 AND at_start) AS at_start, round(quantile_cont(rss / lin_rss, 0.5) FILTER (b > 0), 6) AS rss_ratio FROM o""")
 def onset_quantiles(spark, d):
-    h = s.hinge(b.cycles(spark, d), ["unit"], "s7", 5).withColumn("onset", F.col("last") - F.col("tau"))
+    h = written(s.hinge(b.cycles(spark, d), ["unit"], "s7", 5).withColumn("onset", F.col("last") - F.col("tau")), "onsets")
     up = lambda c: F.when(F.col("b") > 0, c)
-    q = lambda p: F.percentile(up(F.col("onset")), F.lit(p))
-    return h.agg(q(0.1).alias("p10"), q(0.5).alias("p50"), q(0.9).alias("p90"), r6(F.avg(up((F.col("onset") <= 40).cast("double")))).alias("within_cap"), F.count_if(F.col("b") <= 0).alias("falling"),
-                 F.count_if((F.col("b") > 0) & F.col("at_start")).alias("at_start"), r6(F.percentile(up(F.col("rss") / F.col("lin_rss")), F.lit(0.5))).alias("rss_ratio"))
+    one = h.agg(r6(F.avg(up((F.col("onset") <= 40).cast("double")))).alias("within_cap"), F.count_if(F.col("b") <= 0).alias("falling"), F.count_if((F.col("b") > 0) & F.col("at_start")).alias("at_start"))
+    q = quantiles(h, up(F.col("onset")), {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    ratio = median(h, up(F.col("rss") / F.col("lin_rss")), "ratio").select(r6("ratio").alias("rss_ratio"))
+    return q.join(F.broadcast(one), F.lit(True)).join(F.broadcast(ratio), F.lit(True))  # single rows
 
 
 SENS = "ss AS (SELECT unit, sensor, cycle, x FROM long WHERE sensor IN ('s2', 's7', 's8'))"
@@ -154,7 +156,9 @@ def sensor_onset(spark, d):
     v = rows.groupBy(*s.KEYS).agg((F.min("x") != F.max("x")).alias("varies"))
     h = s.hinge(rows, s.KEYS, "x", 5).join(v, s.KEYS)
     ok = F.col("varies") & (F.col("b") > 0)
-    return h.groupBy("sensor").agg(F.count_if("varies").alias("varying"), F.count_if(ok).alias("rising"), F.percentile(F.when(ok, F.col("last") - F.col("tau")), F.lit(0.5)).alias("onset"))
+    h = written(h, "onsets")
+    n = h.groupBy("sensor").agg(F.count_if("varies").alias("varying"), F.count_if(ok).alias("rising"))
+    return n.join(median(h, F.when(ok, F.col("last") - F.col("tau")), "onset", ["sensor"]), "sensor")
 
 
 @query(f"""WITH {SENS}, {_hinge('ss', 'unit, sensor', 'x', 5)}, {DIFF}, g AS (SELECT unit, sensor, stddev_samp(d) / sqrt(2) AS sigma FROM dp GROUP BY ALL), k AS (SELECT *, abs(f.b) AS ab, abs(f.b) * (f.last - f.tau) AS delta FROM fit JOIN g USING (unit, sensor) WHERE sigma > 0)
@@ -215,7 +219,8 @@ def flip_share_by_cluster(spark, d):
   SELECT subpop AS cluster, n, life, life - (SELECT arg_max(life, n) FROM m) AS diff FROM m""")
 def cluster_life_compare(spark, d):
     c = b.cycles(spark, d)
-    m = written(c.groupBy("unit").agg(F.max("cycle").alias("life")).join(b.labels(c), "unit").groupBy("subpop").agg(F.count("*").alias("n"), F.percentile("life", F.lit(0.5)).alias("life")))
+    lives = written(c.groupBy("unit").agg(F.max("cycle").alias("life")).join(b.labels(c), "unit"), "lives")
+    m = written(lives.groupBy("subpop").agg(F.count("*").alias("n")).join(median(lives, "life", "life", ["subpop"]), "subpop"))
     big = m.agg(F.max_by("life", "n").alias("ref"))
     return m.join(F.broadcast(big), F.lit(True)).select(F.col("subpop").alias("cluster"), "n", "life", (F.col("life") - F.col("ref")).alias("diff"))  # a single row
 
