@@ -336,17 +336,51 @@ def batch_score(spark, d):
 
 @query(f"WITH {FEATS} SELECT unit, cycle, n_cycles_used, round(p, 6) AS predicted_rul, {BUCKET} AS bucket FROM sc")
 def stream_score(spark, d):
-    """Cycles come in three runs, every third of a unit's in each, so that most wait in the state for those before them."""
+    """Cycles come in three runs, every third of a unit's in each, so that most wait in the state for those before them.
+
+    A cycle is a minute of event time; a mark far behind all of them lets every unit's timer pass, which frees its state.
+    """
     folder = new_folder(spark, "stream")
-    c = b.cycles(spark, d).select("unit", "cycle", "s7")
-    for part in (0, 2, 1):
-        c.where(F.col("cycle") % 3 == part).write.mode("append").parquet(f"{folder}/in")
-        stream = spark.readStream.schema("unit long, cycle long, s7 double").parquet(f"{folder}/in")
-        feats = scoring.drained(scoring.stream_features(stream, "s7", b.WINDOW), folder)
-    out = scoring.scored(feats, WEIGHTS, b.CAP, b.MIN_HISTORY, b.BUCKETS)
+    time = F.timestamp_seconds(F.col("cycle") * 60)
+    c = b.cycles(spark, d).select("unit", "cycle", "s7", time.alias("time"))
+    for rows_now in (*(c.where(F.col("cycle") % 3 == part) for part in (0, 2, 1)), marked(c, "unit", "time")):
+        rows_now.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(c.schema).parquet(f"{folder}/in").withWatermark("time", "10 days")
+        feats = scoring.drained(scoring.stream_features(stream, "s7", b.WINDOW, "time"), folder)
+    out = scoring.scored(feats.where("unit <> -1"), WEIGHTS, b.CAP, b.MIN_HISTORY, b.BUCKETS)
     return out.select("unit", "cycle", "n_cycles_used", r6("predicted_rul").alias("predicted_rul"), "bucket")
 
 
+def marked(rows, key, time):
+    """One row of key -1, 100 days behind the last of rows; nothing if there are none."""
+    last = rows.agg((F.max(time) + F.expr("interval 100 days")).alias(time)).where(F.col(time).isNotNull())
+    kinds = {f.name: f.dataType for f in rows.schema}
+    other = [F.lit(-1).cast(kinds[c]).alias(c) if c == key else F.col(time) if c == time else F.lit(0).cast(kinds[c]).alias(c) for c in rows.columns]
+    return last.select(*other)
+
+
+LATE = "FROM (SELECT ts, (SELECT max(ts) FROM events) AS last FROM events) WHERE ts < last - INTERVAL 6 DAY"
+
+
+@query(f"SELECT user_id AS unit, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place, (SELECT count(*) {LATE}) AS late FROM events")
+def stream_reorder(spark, d):
+    """Events come up to four days late, in three runs, and are given out in order; a fourth run repeats old ones, all too late."""
+    folder = new_folder(spark, "reorder")
+    e = b.read(spark, d, "events").select(F.col("user_id").alias("unit"), "event_id", "ts")
+    span = F.broadcast(e.agg(F.min("ts").alias("first"), F.max("ts").alias("last")))  # a single row
+    days = lambda a, z: (F.unix_micros(z.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) / 86_400_000_000
+    comes = days(F.col("first"), F.col("ts")) + 4 * uniform("delay", F.col("event_id"))
+    run = F.least(F.floor(3 * comes / (days(F.col("first"), F.col("last")) + 4)), F.lit(2))
+    timed = written(e.join(span, F.lit(True)).withColumn("run", run), "timed")
+    late = 0
+    for rows_now in (*(timed.where(F.col("run") == k) for k in range(3)), timed.where("ts < last - interval 6 days"), marked(e, "unit", "ts")):
+        rows_now.select("unit", "event_id", "ts").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("unit long, event_id long, ts timestamp").parquet(f"{folder}/in").withWatermark("ts", "5 days")
+        late += scoring.drain(scoring.in_order(stream, "unit", "ts", "event_id"), folder)
+    out = spark.read.parquet(f"{folder}/out").where("unit <> -1")
+    return out.select("unit", "event_id", "place", F.lit(late).cast("long").alias("late"))
+
+
 @query("SELECT unit, count(*) AS n, max(cycle) AS last FROM (SELECT DISTINCT unit, cycle FROM cycles) GROUP BY unit")
 def stream_dedup_late(spark, d):
     """A second run brings repeated rows, and new ones that are older than the watermark: neither is taken."""

@@ -7,13 +7,126 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from fleetmill.functions.columns import bucket, by_cycle, clip, trailing
 
 SCORED = "unit long, cycle long, level double, slope double, n_cycles_used int"
 
 
+#: A row's time as a number: pandas shows times in the session's zone, timers and watermarks are in UTC.
+CLOCK = "__clock"
+
+
+def _ms(span: str) -> int:
+    return pd.Timedelta(span) // pd.Timedelta(milliseconds=1)
+
+
+class TrailingFeatures(StatefulProcessor):
+    """A unit's last cycles in two lists: those counted, as far as windows reach back, and those that wait for earlier ones."""
+
+    def __init__(self, sensor: str, window: int, timed: bool, idle: int, ttl: int | None):
+        self.sensor, self.window, self.timed, self.idle, self.ttl = sensor, window, timed, idle, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        cells = "cycle long, value double"
+        self.held = handle.getListState("held", cells, self.ttl)
+        self.waiting = handle.getListState("waiting", cells, self.ttl)
+        self.seen = handle.getValueState("seen", "n int", self.ttl)
+
+    def _count(self, unit: int, held: list, waiting: dict, gaps: bool) -> pd.DataFrame:
+        """Takes from the waiting cycles those whose turn it is, or all of them, and writes the state."""
+        seen = self.seen.get()[0] if self.seen.exists() else 0
+        out = []
+        for c in sorted(waiting):
+            if not gaps and c != (held[-1][0] if held else 0) + 1:
+                break
+            held = [*held, (c, waiting.pop(c))][-self.window :]
+            seen += 1
+            n = len(held)
+            mc, mx = sum(c for c, _ in held) / n, sum(x for _, x in held) / n
+            sxx = sum((c - mc) ** 2 for c, _ in held)
+            out.append((unit, c, mx, sum((c - mc) * (x - mx) for c, x in held) / sxx if sxx else 0.0, seen))
+        if held:
+            self.held.put(held)
+            self.seen.update((seen,))
+        if waiting:
+            self.waiting.put(sorted(waiting.items()))
+        else:
+            self.waiting.clear()
+        return pd.DataFrame(out, columns=["unit", "cycle", "level", "slope", "n_cycles_used"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held, waiting = list(self.held.get()), dict(self.waiting.get())
+        last = held[-1][0] if held else 0
+        until = 0
+        for frame in rows:
+            waiting.update((int(c), float(x)) for c, x in zip(frame["cycle"], frame[self.sensor], strict=True) if c > last)
+            if self.timed:
+                until = max(until, int(frame.iloc[:, -1].max()) + self.idle)  # the clock; computed columns come without their names
+        if self.timed:
+            old = list(self.handle.listTimers())
+            if not old or until > max(old):
+                for t in old:
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer(until)
+        yield self._count(int(key[0]), held, waiting, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out = self._count(int(key[0]), list(self.held.get()), dict(self.waiting.get()), True)
+        for state in (self.held, self.waiting, self.seen):
+            state.clear()
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+class InOrder(StatefulProcessor):
+    """Rows of a key, held until the watermark passes their time, then given out in order. One timer a key: the earliest row's."""
+
+    def __init__(self, key: str, order: str, names: list[str], kept: StructType):
+        self.key, self.order, self.names, self.kept = key, order, names, kept
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", self.kept)
+        self.given = handle.getValueState("given", "n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        first = []
+        for frame in rows:
+            frame = frame.set_axis(self.names, axis=1)  # computed columns come without their names
+            first.append(int(frame[CLOCK].min()) // 1000)
+            self.held.appendList(list(frame[self.kept.names].astype(object).itertuples(index=False, name=None)))
+        timers = list(self.handle.listTimers())
+        if not timers or min(first) < min(timers):
+            for t in timers:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(min(first))
+        yield pd.DataFrame({c: [] for c in [self.key, *self.kept.names, "place"]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark, clock, order = timerValues.getCurrentWatermarkInMs(), self.kept.names.index(CLOCK), self.kept.names.index(self.order)
+        rows = sorted(self.held.get(), key=lambda r: (r[clock], r[order]))
+        n = self.given.get()[0] if self.given.exists() else 0
+        ready = [r for r in rows if r[clock] // 1000 <= mark]
+        rest = rows[len(ready) :]
+        self.given.update((n + len(ready),))
+        if rest:
+            self.held.put(rest)
+            self.handle.registerTimer(rest[0][clock] // 1000)  # the timer that has expired goes by itself
+        else:
+            self.held.clear()
+        out = pd.DataFrame(ready, columns=self.kept.names)
+        yield out.assign(**{self.key: key[0], "place": range(n + 1, n + 1 + len(ready))})[[self.key, *self.kept.names, "place"]]
+
+    def close(self) -> None:
+        pass
+
+
 def batch_features(df: DataFrame, sensor: str, window: int) -> DataFrame:
     """(unit, cycle, level, slope, n_cycles_used) of every cycle: trailing mean and slope."""
     w = trailing(window)
@@ -30,41 +143,30 @@ def scored(features: DataFrame, weights: tuple[float, float, float], cap: float,
     return out.withColumn("rul_at_cap", F.col("predicted_rul") >= cap).withColumn("bucket", bucket("predicted_rul", buckets))
 
 
-def stream_features(cycles: DataFrame, sensor: str, window: int, time: str | None = None, idle: str = "1 hour") -> DataFrame:
+def stream_features(cycles: DataFrame, sensor: str, window: int, time: str | None = None, idle: str = "1 hour", ttl: str | None = None) -> DataFrame:
     """The same features from a stream of cycles (unit, cycle, sensor): a unit's state is its last `window` cycles.
 
     A unit's cycles count from 1 without gaps; one that comes before those that precede it waits in the state for them,
     in whichever batch they come, and one that was counted already is dropped. With time (a watermarked column), a unit
     whose watermark passes its last row by `idle` has its waiting cycles counted without those that lack, and is forgotten.
+    With ttl instead, state that was not written for so long is forgotten by the clock.
     """
-    wait = pd.Timedelta(idle) // pd.Timedelta(milliseconds=1)
-
-    def of(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, seen, waiting = ([], 0, {}) if not state.exists else (list(zip(*state.get[:2], strict=True)), state.get[2], dict(zip(*state.get[3:], strict=True)))
-        over = state.hasTimedOut
-        if not over:
-            for frame in frames:
-                waiting.update((c, x) for c, x in zip(frame["cycle"].tolist(), frame[sensor].tolist(), strict=True) if c > (held[-1][0] if held else 0))
-        out = []
-        for c in sorted(waiting):
-            if not over and c != (held[-1][0] if held else 0) + 1:
-                break
-            held = [*held, (int(c), float(waiting.pop(c)))][-window:]
-            seen += 1
-            n = len(held)
-            mc, mx = sum(c for c, _ in held) / n, sum(x for _, x in held) / n
-            sxx = sum((c - mc) ** 2 for c, _ in held)
-            out.append((int(key[0]), int(c), mx, sum((c - mc) * (x - mx) for c, x in held) / sxx if sxx else 0.0, seen))
-        if over:
-            state.remove()
-        else:
-            state.update(([c for c, _ in held], [x for _, x in held], seen, list(waiting), list(waiting.values())))
-            if time:
-                state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + wait)
-        yield pd.DataFrame(out, columns=["unit", "cycle", "level", "slope", "n_cycles_used"])
+    mode = "EventTime" if time else "ProcessingTime" if ttl else "None"
+    rows = cycles.select("unit", "cycle", sensor, *([time, F.unix_millis(time).alias(CLOCK)] if time else []))
+    return rows.groupBy("unit").transformWithStateInPandas(TrailingFeatures(sensor, window, bool(time), _ms(idle), _ms(ttl) if ttl else None), SCORED, "Append", mode)
+
 
-    kept = "cycles array<long>, values array<double>, seen int, waiting array<long>, waiting_values array<double>"
-    return cycles.groupBy("unit").applyInPandasWithState(of, SCORED, kept, "append", GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout)
+def in_order(rows: DataFrame, key: str, time: str, order: str) -> DataFrame:
+    """rows (a stream with a watermark on time) with their place among those of their key, from 1, by time and `order`.
+
+    A row is held until the watermark passes its time; then nothing earlier can come any more. Rows that come later than
+    that are dropped by the watermark and counted by it (see `drain`). Repeated rows keep their number.
+    """
+    kept = StructType([f for f in rows.schema if f.name not in (key, time)]).add(CLOCK, "long")
+    out = StructType([rows.schema[key], *kept]).add("place", "long")
+    clocked = rows.withColumn(CLOCK, F.unix_micros(time))
+    held = clocked.groupBy(key).transformWithStateInPandas(InOrder(key, order, clocked.columns, kept), out, "Append", "EventTime")
+    return held.select(*[F.timestamp_micros(CLOCK).alias(c) if c == time else F.col(c) for c in rows.columns], "place")
 
 
 def deduplicated(events: DataFrame, time: str, keys: list[str], late: str) -> DataFrame:
@@ -77,8 +179,20 @@ def bucket_alerts(scores: DataFrame, time: str, every: str) -> DataFrame:
     return scores.groupBy(F.window(time, every).alias("w"), "bucket").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "bucket", "n")
 
 
-def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now into Parquet below folder, and reads it."""
-    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start(f"{folder}/out")
+def drain(stream: DataFrame, folder: str, mode: str = "append") -> int:
+    """Runs a stream over what is there now into Parquet below folder; gives the number of rows that came too late for its watermark."""
+    conf, provider = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(provider)
+    conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # a query keeps what it is started with
+    try:
+        q = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start(f"{folder}/out")
+    finally:
+        conf.set(provider, before)
     q.awaitTermination()
+    return sum(o.numRowsDroppedByWatermark for p in q.recentProgress for o in p.stateOperators)
+
+
+def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there now, and reads what came out so far."""
+    drain(stream, folder, mode)
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
