@@ -7,14 +7,20 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fleetmill.operators.ordering import numbered
+from fleetmill.sources.shared import written
+
 
 def vectors(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(df)
@@ -136,6 +142,70 @@ def boosted(train: DataFrame, columns: list[str], y: str, rounds: int, validatio
     return (gbt.setValidationIndicatorCol(validation) if validation else gbt).fit(vectors(train, columns))
 
 
+def stopping_round(errors: list[float], patience: int) -> tuple[int, bool]:
+    """(rounds up to the least error, whether that is final): the search ends after `patience` rounds without a lower one."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        if i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def truncated(fit: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """The ensemble of the first rounds' trees."""
+    java = fit._java_obj
+    sc = SparkSession.active().sparkContext
+    tree = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weight = sc._gateway.new_array(sc._jvm.double, rounds)
+    trees, weights = java.trees(), java.treeWeights()
+    for k in range(rounds):
+        tree[k], weight[k] = trees[k], weights[k]
+    part = sc._jvm.org.apache.spark.ml.regression.GBTRegressionModel(f"{fit.uid}_{rounds}", tree, weight)
+    part.set(part.labelCol(), fit.getLabelCol())
+    out = GBTRegressionModel(part)
+    out.set(out.labelCol, fit.getLabelCol())
+    return out.setFeaturesCol(fit.getFeaturesCol()).setPredictionCol(fit.getPredictionCol())
+
+
+def boosted_with_patience(train: DataFrame, other: DataFrame, columns: list[str], y: str, rounds: int = 500, patience: int = 50, first: int = 64, seed: int = 42):
+    """(model, errors): boosted trees up to the round of least squared error on other rows, searched until `patience` rounds bring no lower one.
+
+    One fit gives the error of each of its rounds. A fit begins with `first` rounds and is made again with twice as many
+    while the search is open, up to `rounds`: its first trees are the same, so the result is that of one long fit.
+    """
+    t, v, n = vectors(train, columns).persist(), vectors(other, columns).persist(), min(first, rounds)
+    try:
+        while True:
+            fit = GBTRegressor(labelCol=y, maxIter=n, maxDepth=4, stepSize=0.1, seed=seed).fit(t)
+            errors = list(fit.evaluateEachIteration(v, "squared"))
+            best, final = stopping_round(errors, patience)
+            if final or n == rounds:
+                return truncated(fit, best), errors
+            n = min(2 * n, rounds)
+    finally:
+        t.unpersist()
+        v.unpersist()
+
+
+def cross_validated(rows: DataFrame, columns: list[str], y: str, candidates: dict[str, Estimator], folds: int, fold: str = "fold", parallelism: int = 4) -> CrossValidatorModel:
+    """Every candidate fitted on every fold's other rows, several fits at once; its sub-models are kept, the best of all is fitted to all rows.
+
+    candidates: by name an estimator that reads "features"; the same learner with another seed is another candidate.
+    """
+    line = Pipeline(stages=[])
+    maps = [{line.stages: [VectorAssembler(inputCols=columns, outputCol="features"), e]} for e in candidates.values()]
+    return CrossValidator(estimator=line, estimatorParamMaps=maps, evaluator=RegressionEvaluator(labelCol=y), numFolds=folds, foldCol=fold, parallelism=parallelism, collectSubModels=True).fit(rows)
+
+
+def held_out(model: CrossValidatorModel, rows: DataFrame, names: list[str], fold: str = "fold") -> DataFrame:
+    """(rows' columns, candidate, raw): one table with each row predicted by each candidate's model of its fold."""
+    parts = [m.transform(rows.where(F.col(fold) == k)).select(*rows.columns, F.lit(n).alias("candidate"), F.col("prediction").alias("raw"))
+             for k, fits in enumerate(model.subModels) for n, m in zip(names, fits, strict=True)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def standardised(df: DataFrame, train: DataFrame, columns: list[str]) -> DataFrame:
     one = F.broadcast(train.agg(*[x for c in columns for x in (F.avg(c).alias(f"__m_{c}"), F.stddev_pop(c).alias(f"__d_{c}"))]))  # a single row
     z = {c: (F.col(c) - F.col(f"__m_{c}")) / F.when(F.col(f"__d_{c}") == 0, 1.0).otherwise(F.col(f"__d_{c}")) for c in columns}
@@ -176,19 +246,49 @@ def split_gain(patterns: list[tuple[list[float], float]]) -> float:
     return 1 - best / total
 
 
-def silhouette(df: DataFrame, columns: list[str], label: str, keys: list[str] | None = None) -> DataFrame:
+def silhouette_squared(df: DataFrame, columns: list[str], label: str, keys: list[str] | None = None) -> DataFrame:
     """(keys, silhouette): the mean over all rows, by mean squared Euclidean distances to the clusters.
 
-    These follow from each cluster's size, mean and mean of squares: no row is compared with another. A row that is
-    alone in its cluster counts 0.
+    These follow from each cluster's size, mean and mean of squares, held in one array for each key: no row is compared
+    with another, and rows aren't multiplied. A row that is alone in its cluster counts 0.
+    """
+    keys = keys or []
+    total = lambda xs: reduce(lambda x, y: x + y, xs)
+    square = total([F.col(c) * F.col(c) for c in columns])
+    stats = df.groupBy(*keys, F.col(label).alias("c")).agg(F.count("*").alias("n"), F.avg(square).alias("q"), *[F.avg(c).alias(f"m_{c}") for c in columns])
+    every = stats.groupBy(*keys).agg(F.collect_list(F.struct("c", "n", "q", *[f"m_{c}" for c in columns])).alias("__clusters"))  # a row for each key
+    rows = df.join(F.broadcast(every), keys or F.lit(True))
+    mean = lambda x: square - 2 * total([F.col(c) * x[f"m_{c}"] for c in columns]) + x["q"]
+    own = F.get(F.filter("__clusters", lambda x: (x["c"] == F.col(label)) & (x["n"] > 1)), F.lit(0))
+    rows = rows.select(*keys, (mean(own) * own["n"] / (own["n"] - 1)).alias("a"), F.array_min(F.transform(F.filter("__clusters", lambda x: x["c"] != F.col(label)), mean)).alias("b"))
+    return rows.groupBy(*keys).agg(F.avg(_silhouette(F.col("a"), F.col("b"))).alias("silhouette"))
+
+
+def _silhouette(a: Column, b: Column) -> Column:
+    return F.when(a.isNull(), 0.0).otherwise(F.coalesce((b - a) / F.nullif(F.greatest(a, b), F.lit(0.0)), F.lit(0.0)))
+
+
+#: Rows of a block that is held beside all others' rows.
+BLOCK_ROWS = 10_000
+
+
+def silhouette(df: DataFrame, columns: list[str], label: str, row_id: str, every: int = 50, keys: list[str] | None = None) -> DataFrame:
+    """(keys, silhouette, n): the mean over the rows whose id is divisible by `every`, by mean Euclidean distances to all rows of each cluster.
+
+    Those rows are taken in blocks of BLOCK_ROWS, counted before they are broadcast; distances are added up before any
+    shuffle. A row that is alone in its cluster counts 0; ids tell the rows of a key apart.
     """
     keys = keys or []
-    square = lambda p: reduce(lambda x, y: x + y, [F.col(p + c) * F.col(p + c) for c in columns])
-    stats = df.groupBy(*keys, F.col(label).alias("__c")).agg(F.count("*").alias("__n"), F.avg(square("")).alias("__q"), *[F.avg(c).alias(f"__m_{c}") for c in columns])
-    rows = df.withColumn("__row", F.monotonically_increasing_id())
-    far = rows.join(F.broadcast(stats), keys) if keys else rows.join(F.broadcast(stats), F.lit(True))  # a row for each cluster
-    mean = square("") - 2 * reduce(lambda x, y: x + y, [F.col(c) * F.col(f"__m_{c}") for c in columns]) + F.col("__q")
-    own = F.col(label) == F.col("__c")
-    per = far.groupBy(*keys, "__row").agg(F.max(F.when(own & (F.col("__n") > 1), mean * F.col("__n") / (F.col("__n") - 1))).alias("a"), F.min(F.when(~own, mean)).alias("b"))
-    one = F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)))
-    return per.groupBy(*keys).agg(F.avg(one).alias("silhouette"))
+    asked = numbered(df.where(F.col(row_id) % every == 0).select(*keys, row_id, label, *columns), [*keys, row_id], "__place")
+    asked = written(asked.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col(row_id).alias("__id"), F.col(label).alias("__own"), *[F.col(c).alias(f"__{c}") for c in columns],
+                                 F.floor(F.col("__place") / BLOCK_ROWS).alias("__block")), "asked")
+    blocks = asked.agg(F.max("__block")).first()[0]
+    names = [*(f"__k_{k}" for k in keys), "__id", "__own"]
+    apart = F.sqrt(reduce(lambda x, y: x + y, [(F.col(c) - F.col(f"__{c}")) ** 2 for c in columns]))
+    same = reduce(lambda x, k: x & F.col(k).eqNullSafe(F.col(f"__k_{k}")), keys, F.lit(True))
+    parts = [df.join(F.broadcast(asked.where(F.col("__block") == k)), same).groupBy(*names, F.col(label).alias("__c")).agg(F.sum(apart).alias("__s"), F.count("*").alias("__n"))
+             for k in range((blocks if blocks is not None else 0) + 1)]
+    far = reduce(DataFrame.unionByName, parts)
+    own = F.col("__c") == F.col("__own")
+    per = far.groupBy(*names).agg(F.max(F.when(own & (F.col("__n") > 1), F.col("__s") / (F.col("__n") - 1))).alias("a"), F.min(F.when(~own, F.col("__s") / F.col("__n"))).alias("b"))
+    return per.groupBy(*[F.col(f"__k_{k}").alias(k) for k in keys]).agg(F.avg(_silhouette(F.col("a"), F.col("b"))).alias("silhouette"), F.count("*").alias("n"))

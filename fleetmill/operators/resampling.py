@@ -247,3 +247,20 @@ def rand_index(df: DataFrame, a: str, b: str) -> DataFrame:
     one = ij.join(F.broadcast(i), F.lit(True)).join(F.broadcast(j), F.lit(True))  # single rows
     expected = F.col("i") * F.col("j") / (F.col("total") * (F.col("total") - 1) / 2)
     return one.select(((F.col("ij") - expected) / F.nullif((F.col("i") + F.col("j")) / 2 - expected, F.lit(0.0))).alias("ari"))
+
+
+def rand_index_pairs(df: DataFrame, row_id: str, seed: str, label: str) -> DataFrame:
+    """(a, b, ari) for all pairs of seeds a < b: how far the labels of their clusterings agree.
+
+    df: a row for each id and seed. Each id's labels meet once, as one array; what is shuffled further are contingency
+    counts, a row for each pair of seeds and of labels.
+    """
+    s = df.groupBy(row_id).agg(F.collect_list(F.struct(F.col(seed).alias("s"), F.col(label).alias("l"))).alias("x"))  # as many as there are seeds
+    both = F.transform("x", lambda p: F.transform(F.filter("x", lambda q: q["s"] > p["s"]), lambda q: F.struct(p["s"].alias("a"), q["s"].alias("b"), p["l"].alias("la"), q["l"].alias("lb"))))
+    t = s.select(F.explode(F.flatten(both)).alias("p")).select("p.*").groupBy("a", "b", "la", "lb").agg(F.count("*").cast("double").alias("n"))
+    pairs = lambda c: F.sum(c * (c - 1) / 2)
+    ij = t.groupBy("a", "b").agg(pairs(F.col("n")).alias("ij"), F.sum("n").alias("total"))
+    side = lambda c: t.groupBy("a", "b", c).agg(F.sum("n").alias("n")).groupBy("a", "b").agg(pairs(F.col("n")).alias(f"in_{c}"))
+    g = ij.join(side("la"), ["a", "b"]).join(side("lb"), ["a", "b"])
+    expected = F.col("in_la") * F.col("in_lb") / (F.col("total") * (F.col("total") - 1) / 2)
+    return g.select("a", "b", ((F.col("ij") - expected) / F.nullif((F.col("in_la") + F.col("in_lb")) / 2 - expected, F.lit(0.0))).alias("ari"))

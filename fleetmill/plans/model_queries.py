@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from fleetmill.functions.rng import uniform
 from fleetmill.operators import features as f
 from fleetmill.operators import labels, models
 from fleetmill.operators import resampling as rs
+from fleetmill.operators import scoring_pipeline as pl
 from fleetmill.operators import signal as s
 from fleetmill.operators.ordering import numbered
 from fleetmill.plans.flagship import fleet_status as _fleet_status
@@ -152,18 +155,23 @@ def model_forest(spark, d):
     return models.forest(r.where("unit % 5 <> 0"), X, "rul").transform(models.vectors(r.where("unit % 5 = 0"), X)).select("unit", "cycle", "rul", F.col("prediction").alias("pred"))
 
 
+def patient(spark, d, r, patience):
+    """Boosted trees with up to 500 rounds, until `patience` of them bring no lower error on a fifth of the units."""
+    train = r.where("unit % 5 <> 0")
+    return models.boosted_with_patience(train.where("unit % 5 <> 1"), train.where("unit % 5 = 1"), X, "rul", 500, patience)
+
+
 @query()
 def model_gbt(spark, d):
-    r = rows(spark, d)
-    fit = models.boosted(r.where("unit % 5 <> 0").withColumn("val", F.col("unit") % 5 == 1), X, "rul", 15, "val")
+    r = written(rows(spark, d).select("unit", "cycle", "rul", *X))
+    fit, _ = patient(spark, d, r, 50)
     return fit.transform(models.vectors(r.where("unit % 5 = 0"), X)).select("unit", "cycle", "rul", F.col("prediction").alias("pred"), F.lit(fit.getNumTrees).alias("rounds"))
 
 
 @query()
 def gbt_importances(spark, d):
     """(feature, importance) of the boosted trees, the largest first."""
-    r = rows(spark, d)
-    fit = models.boosted(r.where("unit % 5 <> 0").withColumn("val", F.col("unit") % 5 == 1), X, "rul", 15, "val")
+    fit, _ = patient(spark, d, written(rows(spark, d).select("unit", "cycle", "rul", *X)), 10)
     return spark.createDataFrame([(c, float(v)) for c, v in zip(X, fit.featureImportances.toArray(), strict=True)], "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
@@ -226,7 +234,7 @@ def candidate_scoreboard(spark, d):
     return t.groupBy(F.col("x.model").alias("model"), "dataset").agg(r6(F.sqrt(F.avg(e * e))).alias("rmse"), r6(F.avg(F.abs(e))).alias("mae"))
 
 
-TRIALS = 8
+TRIALS = 30
 ALPHAS = f"SELECT exp(ln(0.01) + {u('alpha', 'trial')} * (ln(1000.0) - ln(0.01)))::DOUBLE AS alpha FROM (SELECT unnest(range(1, {TRIALS + 1})) AS trial)"
 
 
@@ -254,13 +262,42 @@ def hyperparameter_search(spark, d):
 
 @query()
 def refit_all_units(spark, d):
-    """Boosted trees on all units with the budget of rounds that validation gave."""
+    """Boosted trees on all units with the budget of rounds that patience on validation units gave."""
     r = written(rows(spark, d).select("unit", "cycle", "rul", *X))
-    rounds = models.boosted(r.withColumn("val", F.col("unit") % 5 == 1), X, "rul", 12, "val").getNumTrees
-    fit = models.boosted(r, X, "rul", max(1, rounds))
+    rounds = patient(spark, d, r, 10)[0].getNumTrees
+    fit = models.boosted(r, X, "rul", rounds)
     return fit.transform(models.vectors(r, X)).groupBy("unit").agg(F.max_by("prediction", "cycle").alias("pred"), F.max(F.lit(rounds)).alias("rounds"))
 
 
+#: Candidates of the cross-validation by name; two seeds of a forest are two candidates.
+CANDIDATES = {
+    "ridge": lambda: LinearRegression(labelCol="rul", regParam=0.1), "forest 1": lambda: RandomForestRegressor(labelCol="rul", numTrees=20, maxDepth=5, seed=1),
+    "forest 2": lambda: RandomForestRegressor(labelCol="rul", numTrees=20, maxDepth=5, seed=2), "boosted": lambda: GBTRegressor(labelCol="rul", maxIter=10, maxDepth=3, seed=1),
+}
+
+
+def cross_validation(spark, d):
+    r = written(rows(spark, d).select("unit", "cycle", "fold", "rul_true", "rul", *X))
+    return models.cross_validated(r, X, "rul", {n: make() for n, make in CANDIDATES.items()}, 3), r
+
+
+@query()
+def oof_predict_candidates(spark, d):
+    """Held-out predictions of every candidate for every cycle, in one table."""
+    model, r = cross_validation(spark, d)
+    return models.held_out(model, r, list(CANDIDATES)).select("unit", "cycle", "fold", "candidate", "rul_true", clip("raw", b.CAP).alias("pred"))
+
+
+@query()
+def candidate_table(spark, d):
+    """(candidate, fold, rmse, mae, n) of held-out rows, and whether the candidate is the one of least mean error over folds."""
+    model, r = cross_validation(spark, d)
+    best = list(CANDIDATES)[min(range(len(CANDIDATES)), key=lambda k: model.avgMetrics[k])]
+    e = F.col("raw") - F.col("rul")
+    g = models.held_out(model, r, list(CANDIDATES)).groupBy("candidate", "fold").agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.count("*").alias("n"))
+    return g.withColumn("best", F.col("candidate") == best)
+
+
 @query("SELECT unit, max(cycle) AS cycle, round((SELECT avg(least(rul_true, 40)) FROM ruled WHERE unit % 5 <> 0), 6) AS pred FROM cycles WHERE unit % 5 = 0 GROUP BY unit")
 def predict_last_cycle(spark, d):
     r = rows(spark, d)
@@ -299,13 +336,38 @@ def permutation_test(spark, d):
     return null.agg(F.max(F.lit(seen)).alias("gain"), ((1 + F.count_if(F.col("gain") >= seen)) / (1 + F.count("*"))).alias("p"))
 
 
+@query("""WITH p AS (SELECT unit, cycle, s2 AS x, s8 AS y, unit % 3 AS g FROM cycles), q AS (SELECT * FROM p WHERE (unit * 1000 + cycle) % 50 = 0),
+  d AS (SELECT q.unit, q.cycle, q.g, p.g AS c, sum(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2)) AS s, count(*) AS n FROM q, p GROUP BY ALL),
+  e AS (SELECT unit, cycle, max(CASE WHEN g = c AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN g <> c THEN s / n END) AS b FROM d GROUP BY ALL)
+  SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END), 6) AS silhouette, count(*) AS n FROM e""")
+def silhouette(spark, d):
+    """The mean silhouette, by Euclidean distances, of every fiftieth cycle among all."""
+    p = b.cycles(spark, d).select((F.col("unit") * 1000 + F.col("cycle")).alias("id"), F.col("s2").alias("x"), F.col("s8").alias("y"), (F.col("unit") % 3).alias("g"))
+    return models.silhouette(written(p), ["x", "y"], "g", "id").select(r6("silhouette").alias("silhouette"), "n")
+
+
+SEEDED = f"l AS (SELECT unit, seed, floor((avg(s2) + 12 * {u('cluster', 'seed', 'unit')}) / 10)::INT AS label FROM cycles, (SELECT unnest([1, 2, 3, 4, 5]) AS seed) GROUP BY unit, seed)"
+
+
+@query(f"""WITH {SEEDED}, t AS (SELECT x.seed AS a, y.seed AS b, x.label AS la, y.label AS lb, count(*)::DOUBLE AS n FROM l x JOIN l y ON x.unit = y.unit AND x.seed < y.seed GROUP BY ALL),
+  i AS (SELECT a, b, sum(n * (n - 1) / 2) AS v FROM (SELECT a, b, la, sum(n) AS n FROM t GROUP BY ALL) GROUP BY ALL), j AS (SELECT a, b, sum(n * (n - 1) / 2) AS v FROM (SELECT a, b, lb, sum(n) AS n FROM t GROUP BY ALL) GROUP BY ALL),
+  g AS (SELECT a, b, sum(n * (n - 1) / 2) AS ij, sum(n) AS n FROM t GROUP BY ALL), r AS (SELECT a, b, (ij - i.v * j.v / (n * (n - 1) / 2)) / nullif((i.v + j.v) / 2 - i.v * j.v / (n * (n - 1) / 2), 0) AS ari FROM g JOIN i USING (a, b) JOIN j USING (a, b))
+  SELECT count(*) AS pairs, round(min(ari), 6) AS least, round(avg(ari), 6) AS mean, round(max(ari), 6) AS greatest FROM r""")
+def rand_index_over_seeds(spark, d):
+    """How far labels that depend on a seed agree: the least, mean and greatest adjusted Rand index of all pairs of five seeds."""
+    per = b.cycles(spark, d).groupBy("unit").agg(F.avg("s2").alias("m")).withColumn("seed", F.explode(F.array(*[F.lit(k) for k in range(1, 6)])))
+    labelled = per.select("unit", "seed", F.floor((F.col("m") + 12 * uniform("cluster", F.col("seed"), F.col("unit"))) / 10).cast("int").alias("label"))
+    r = rs.rand_index_pairs(labelled, "unit", "seed", "label")
+    return r.agg(F.count("*").alias("pairs"), r6(F.min("ari")).alias("least"), r6(F.avg("ari")).alias("mean"), r6(F.max("ari")).alias("greatest"))
+
+
 @query("""WITH p AS (SELECT k, unit, avg(s2) AS x, avg(s8) AS y, unit % k AS g FROM cycles, (SELECT unnest([2, 3, 5]) AS k) GROUP BY ALL), c AS (SELECT k, g AS c, count(*) AS n, avg(x * x + y * y) AS q, avg(x) AS mx, avg(y) AS my FROM p GROUP BY ALL),
   d AS (SELECT p.k, unit, max(CASE WHEN g = c AND n > 1 THEN (x * x + y * y - 2 * (x * mx + y * my) + q) * n / (n - 1) END) AS a, min(CASE WHEN g <> c THEN x * x + y * y - 2 * (x * mx + y * my) + q END) AS b FROM p JOIN c ON p.k = c.k GROUP BY ALL)
   SELECT k, round(avg(CASE WHEN a IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END), 6) AS silhouette FROM d GROUP BY k""")
-def silhouette(spark, d):
-    """The mean silhouette of all units for several numbers of groups."""
+def silhouette_squared(spark, d):
+    """The mean silhouette of all units for several numbers of groups, by squared distances."""
     p = b.cycles(spark, d).groupBy("unit").agg(F.avg("s2").alias("x"), F.avg("s8").alias("y")).withColumn("k", F.explode(F.array(*[F.lit(k) for k in (2, 3, 5)]))).withColumn("g", F.col("unit") % F.col("k"))
-    return models.silhouette(p, ["x", "y"], "g", ["k"]).select("k", r6("silhouette").alias("silhouette"))
+    return models.silhouette_squared(p, ["x", "y"], "g", ["k"]).select("k", r6("silhouette").alias("silhouette"))
 
 
 @query("SELECT op1 AS c1, op1 / 50 AS c2, CASE WHEN op1 = 25 THEN 60.0 ELSE 100.0 END::DOUBLE AS c3, count(*) AS n FROM cycles GROUP BY op1")
@@ -334,6 +396,36 @@ def batch_score(spark, d):
     return out.select("unit", "cycle", "n_cycles_used", r6("predicted_rul").alias("predicted_rul"), "rul_at_cap", "bucket", "reject")
 
 
+LIMITS = """lim AS (SELECT min(s2) - 0.0 AS a2, max(s2) AS z2, min(s4) AS a4, max(s4) AS z4, min(s8) AS a8, max(s8) AS z8 FROM cycles WHERE unit % 5 <> 0),
+  bad AS (SELECT c.*, CASE WHEN (unit * 7 + cycle) % 97 = 0 THEN NULL WHEN (unit + cycle) % 89 = 0 THEN s2 + 1000 ELSE s2 END AS x2, CASE WHEN (unit + cycle) % 83 = 0 THEN -500.0 ELSE s4 END AS x4 FROM cycles c),
+  ck AS (SELECT b.unit, b.cycle, ft.n_cycles_used, ft.level, ft.slope, CASE WHEN x2 IS NULL THEN 'missing value' WHEN concat_ws(', ', CASE WHEN x2 < a2 OR x2 > z2 THEN 's2' END, CASE WHEN x4 < a4 OR x4 > z4 THEN 's4' END, CASE WHEN s8 < a8 OR s8 > z8 THEN 's8' END) <> ''
+    THEN 'outside the envelope: ' || concat_ws(', ', CASE WHEN x2 < a2 OR x2 > z2 THEN 's2' END, CASE WHEN x4 < a4 OR x4 > z4 THEN 's4' END, CASE WHEN s8 < a8 OR s8 > z8 THEN 's8' END) WHEN ft.n_cycles_used < 10 THEN 'short history' END AS reject
+    FROM bad b JOIN ft USING (unit, cycle), lim)"""
+
+
+def scored_batch(spark, d):
+    """(scores, rejects) of cycles with some broken values, by a pipeline that was saved and loaded again."""
+    c = b.cycles(spark, d)
+    limits = pl.envelope(c.where("unit % 5 <> 0"), ["s2", "s4", "s8"])
+    folder = new_folder(spark, "pipeline")
+    pl.pipeline("s7", b.WINDOW, ["s2", "s4", "s8"], limits, b.MIN_HISTORY, WEIGHTS, b.CAP).write().save(folder)
+    s2 = F.when((F.col("unit") * 7 + F.col("cycle")) % 97 == 0, F.lit(None)).when((F.col("unit") + F.col("cycle")) % 89 == 0, F.col("s2") + 1000).otherwise(F.col("s2"))
+    broken = c.withColumns({"s2": s2, "s4": F.when((F.col("unit") + F.col("cycle")) % 83 == 0, -500.0).otherwise(F.col("s4"))})
+    return pl.score(PipelineModel.load(folder), broken, b.BUCKETS)
+
+
+@query(f"WITH {FEATS}, {LIMITS}, pr AS (SELECT *, least(greatest(55 - 0.4 * level - 2 * CASE WHEN cycle = 1 THEN 0 ELSE slope END, 0), 40) AS p FROM ck WHERE reject IS NULL) SELECT unit, cycle, n_cycles_used, round(p, 6) AS predicted_rul, p >= 40 AS rul_at_cap, {BUCKET} AS bucket FROM pr")
+def pipeline_score(spark, d):
+    out, _ = scored_batch(spark, d)
+    return out.select("unit", "cycle", "n_cycles_used", r6("predicted_rul").alias("predicted_rul"), "rul_at_cap", "bucket")
+
+
+@query(f"WITH {FEATS}, {LIMITS} SELECT unit, cycle, n_cycles_used, reject FROM ck WHERE reject IS NOT NULL")
+def pipeline_rejects(spark, d):
+    """The rows that aren't scored, with the reason."""
+    return scored_batch(spark, d)[1].drop("dataset")
+
+
 @query(f"WITH {FEATS} SELECT unit, cycle, n_cycles_used, round(p, 6) AS predicted_rul, {BUCKET} AS bucket FROM sc")
 def stream_score(spark, d):
     """Cycles come in three runs, every third of a unit's in each, so that most wait in the state for those before them.

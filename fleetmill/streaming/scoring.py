@@ -26,15 +26,15 @@ def _ms(span: str) -> int:
 class TrailingFeatures(StatefulProcessor):
     """A unit's last cycles in two lists: those counted, as far as windows reach back, and those that wait for earlier ones."""
 
-    def __init__(self, sensor: str, window: int, timed: bool, idle: int, ttl: int | None):
-        self.sensor, self.window, self.timed, self.idle, self.ttl = sensor, window, timed, idle, ttl
+    def __init__(self, sensor: str, window: int, timed: bool, idle: int):
+        self.sensor, self.window, self.timed, self.idle = sensor, window, timed, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         cells = "cycle long, value double"
-        self.held = handle.getListState("held", cells, self.ttl)
-        self.waiting = handle.getListState("waiting", cells, self.ttl)
-        self.seen = handle.getValueState("seen", "n int", self.ttl)
+        self.held = handle.getListState("held", cells)
+        self.waiting = handle.getListState("waiting", cells)
+        self.seen = handle.getValueState("seen", "n int")
 
     def _count(self, unit: int, held: list, waiting: dict, gaps: bool) -> pd.DataFrame:
         """Takes from the waiting cycles those whose turn it is, or all of them, and writes the state."""
@@ -143,17 +143,16 @@ def scored(features: DataFrame, weights: tuple[float, float, float], cap: float,
     return out.withColumn("rul_at_cap", F.col("predicted_rul") >= cap).withColumn("bucket", bucket("predicted_rul", buckets))
 
 
-def stream_features(cycles: DataFrame, sensor: str, window: int, time: str | None = None, idle: str = "1 hour", ttl: str | None = None) -> DataFrame:
+def stream_features(cycles: DataFrame, sensor: str, window: int, time: str | None = None, idle: str = "1 hour") -> DataFrame:
     """The same features from a stream of cycles (unit, cycle, sensor): a unit's state is its last `window` cycles.
 
     A unit's cycles count from 1 without gaps; one that comes before those that precede it waits in the state for them,
     in whichever batch they come, and one that was counted already is dropped. With time (a watermarked column), a unit
     whose watermark passes its last row by `idle` has its waiting cycles counted without those that lack, and is forgotten.
-    With ttl instead, state that was not written for so long is forgotten by the clock.
     """
-    mode = "EventTime" if time else "ProcessingTime" if ttl else "None"
+    mode = "EventTime" if time else "None"
     rows = cycles.select("unit", "cycle", sensor, *([time, F.unix_millis(time).alias(CLOCK)] if time else []))
-    return rows.groupBy("unit").transformWithStateInPandas(TrailingFeatures(sensor, window, bool(time), _ms(idle), _ms(ttl) if ttl else None), SCORED, "Append", mode)
+    return rows.groupBy("unit").transformWithStateInPandas(TrailingFeatures(sensor, window, bool(time), _ms(idle)), SCORED, "Append", mode)
 
 
 def in_order(rows: DataFrame, key: str, time: str, order: str) -> DataFrame:

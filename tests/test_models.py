@@ -163,7 +163,7 @@ def test_squared_silhouette_matches_brute_force(spark):
         a, o = d[i, own].mean() if own.any() else None, min(d[i, g == k].mean() for k in set(g) - {g[i]})
         s.append(0.0 if a is None else (o - a) / max(a, o))
     df = spark.createDataFrame([(float(p), float(q), int(k)) for (p, q), k in zip(x, g)], "x double, y double, g int")
-    assert models.silhouette(df, ["x", "y"], "g").first().silhouette == pytest.approx(np.mean(s))
+    assert models.silhouette_squared(df, ["x", "y"], "g").first().silhouette == pytest.approx(np.mean(s))
 
 
 def streamed(spark, folder, batches, schema, build):
