@@ -158,7 +158,7 @@ def model_forest(spark, d):
 def patient(spark, d, r, patience):
     """Boosted trees with up to 500 rounds, until `patience` of them bring no lower error on a fifth of the units."""
     train = r.where("unit % 5 <> 0")
-    return models.boosted_with_patience(train.where("unit % 5 <> 1"), train.where("unit % 5 = 1"), X, "rul", 500, patience)
+    return models.boosted_with_patience(train.where("unit % 5 <> 1"), train.where("unit % 5 = 1"), X, "rul", 500, patience, 160 if patience > 20 else 64)
 
 
 @query()
@@ -171,7 +171,7 @@ def model_gbt(spark, d):
 @query()
 def gbt_importances(spark, d):
     """(feature, importance) of the boosted trees, the largest first."""
-    fit, _ = patient(spark, d, written(rows(spark, d).select("unit", "cycle", "rul", *X)), 10)
+    fit, _ = patient(spark, d, written(rows(spark, d).select("unit", "cycle", "rul", *X)), 5)
     return spark.createDataFrame([(c, float(v)) for c, v in zip(X, fit.featureImportances.toArray(), strict=True)], "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
@@ -264,7 +264,7 @@ def hyperparameter_search(spark, d):
 def refit_all_units(spark, d):
     """Boosted trees on all units with the budget of rounds that patience on validation units gave."""
     r = written(rows(spark, d).select("unit", "cycle", "rul", *X))
-    rounds = patient(spark, d, r, 10)[0].getNumTrees
+    rounds = patient(spark, d, r, 5)[0].getNumTrees
     fit = models.boosted(r, X, "rul", rounds)
     return fit.transform(models.vectors(r, X)).groupBy("unit").agg(F.max_by("prediction", "cycle").alias("pred"), F.max(F.lit(rounds)).alias("rounds"))
 
