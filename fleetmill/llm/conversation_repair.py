@@ -36,8 +36,9 @@ REROLE, DELETE, INSERT, TRUNCATED = 2, 3, 2, 1
 #: Rows whose spans and splits are all filled in.
 BLOCK = 16
 
-#: Rows of a conversation come by turn (nulls first), then role and text; nth tells equal ones apart.
-ORDER = ("turn", "role", "text", "nth")  # Spark sorts nulls first
+#: Rows of a conversation come by turn (nulls first), then role, the first 64 characters, and the digest of role and text;
+#: nth tells equal ones apart. So the pass over letters carries no whole texts.
+ORDER = ("turn", "role", "start", "digest", "nth")  # Spark sorts nulls first
 
 Cells = dict[tuple[int, int], tuple[int, str]]
 
@@ -137,7 +138,7 @@ def _fault_columns(rows: DataFrame) -> tuple[Column, Column]:
 
 
 def letters(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, digest, nth, letter, initial, fault): each row's letter for the parser and its first fault, or none.
+    """(conv_id, turn, role, text, digest, start, nth, letter, initial, fault): each row's letter for the parser and its first fault, or none.
 
     A row repeats another of its conversation if role and text are equal and it comes later by turn (nulls first).
     """
@@ -148,7 +149,7 @@ def letters(rows: DataFrame) -> DataFrame:
     first = F.substring("role", 1, 1)
     letter = F.when(first.isin("s", "u", "a"), first).otherwise(F.lit("o"))
     letter = F.when(F.col("fault").isin("blank", "duplicate"), F.lit("x")).when(F.col("fault") == "truncated", F.upper(letter)).otherwise(letter)
-    return rows.withColumns({"letter": letter, "initial": first})
+    return rows.withColumns({"letter": letter, "initial": first, "start": F.substring("text", 1, 64)})
 
 
 AUDITS = "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, initials string"
@@ -184,7 +185,7 @@ def audits(marked: DataFrame) -> DataFrame:
         if state is not None:
             yield _rows([ended(_closed(state))], AUDITS)
 
-    few = marked.select("conv_id", "turn", "role", "text", "nth", "letter", "initial", "fault")
+    few = marked.select("conv_id", *ORDER, "letter", "initial", "fault")
     ordered = few.repartition("conv_id").sortWithinPartitions("conv_id", *ORDER)
     return ordered.select("conv_id", "turn", "letter", "initial", "fault").mapInArrow(scan, AUDITS)
 
@@ -203,7 +204,7 @@ REPAIRED = "conv_id long, gaps long, blank long, duplicate long, truncated long,
 
 def _ordered(marked: DataFrame, audited: DataFrame) -> DataFrame:
     """Each conversation's audit, then its rows in order: what a task needs to repair it row by row."""
-    rows = marked.select("conv_id", F.lit(1).alias("tag"), "turn", "role", "text", "nth")
+    rows = marked.select("conv_id", F.lit(1).alias("tag"), *ORDER, "text")
     both = rows.unionByName(audited.withColumn("tag", F.lit(0)), allowMissingColumns=True)
     return both.repartition("conv_id").sortWithinPartitions("conv_id", "tag", *ORDER)
 
@@ -232,7 +233,7 @@ def repair(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text): the repaired conversations, turns numbered from 0.
 
     rows: conv_id, turn, role, text. Nulls in role or text count as one space; rows are taken by turn (nulls first),
-    then role, then text; rows of a null conv_id are one conversation. Other columns are ignored.
+    then role, the first 64 characters and a digest; rows of a null conv_id are one conversation. Other columns are ignored.
     """
     marked = letters(rows.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text")))
 
