@@ -43,15 +43,25 @@ ORDER = ("turn", "role", "start", "digest", "nth")  # Spark sorts nulls first
 Cells = dict[tuple[int, int], tuple[int, str]]
 
 
+def _by_start(b: Cells) -> dict[int, list[tuple[int, int, str]]]:
+    out: dict[int, list[tuple[int, int, str]]] = {}
+    for (r, q), (d, y) in b.items():
+        out.setdefault(r, []).append((q, d, y))
+    return out
+
+
+def _join_into(out: Cells, a: Cells, b: dict[int, list[tuple[int, int, str]]]) -> None:
+    """The binary rules over two spans that meet, b's cells by their first place; out keeps the least."""
+    for (p, r), (c, x) in a.items():
+        for q, d, y in b.get(r, ()):
+            old = out.get((p, q))
+            if old is None or c + d < old[0] or (c + d == old[0] and x + y < old[1]):
+                out[p, q] = (c + d, x + y)
+
+
 def _join(a: Cells, b: Cells) -> Cells:
-    """The binary rules over two spans that meet."""
     out: Cells = {}
-    for (p, r), (c, x) in a.items():
-        for q in PLACES:
-            if (r, q) in b:
-                d, y = b[r, q]
-                if (p, q) not in out or (c + d, x + y) < out[p, q]:
-                    out[p, q] = (c + d, x + y)
+    _join_into(out, a, _by_start(b))
     return out
 
 
@@ -86,12 +96,13 @@ def leaf(letter: str) -> Cells:
 def chart(letters: str) -> Cells:
     """Cells of the whole of a few rows: every span from every split, the shortest spans first."""
     spans: dict[tuple[int, int], Cells] = {(i, i + 1): leaf(x) for i, x in enumerate(letters)}
+    starts = {k: _by_start(c) for k, c in spans.items()}
     for size in range(2, len(letters) + 1):
         for i in range(len(letters) - size + 1):
             cells: Cells = {}
             for k in range(i + 1, i + size):
-                cells = _least(cells, _join(spans[i, k], spans[k, i + size]))
-            spans[i, i + size] = cells
+                _join_into(cells, spans[i, k], starts[k, i + size])
+            spans[i, i + size], starts[i, i + size] = cells, _by_start(cells)
     return spans[0, len(letters)] if letters else inserted()
 
 
@@ -215,15 +226,17 @@ def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict | None, str
     todo: tuple[int, str | None] | None = None
     row = 0
     for batch in sliced(batches, rows=4000):
-        for r in batch.to_pylist():
-            if r["tag"] == 0:
-                yield r, None, None
-                edits, row = repaired(r["audit"], r["initials"]), 0
+        heads = batch.select([c.split()[0] for c in AUDITS.split(", ")])
+        for at, (tag, role, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("tag", "role", "text")), strict=True)):
+            if tag == 0:
+                head = heads.slice(at, 1).to_pylist()[0]
+                yield head, None, None
+                edits, row = repaired(head["audit"], head["initials"]), 0
                 todo = next(edits, None)
-            while r["tag"] == 1 and todo and todo[0] == row:
-                yield None, todo[1] or r["role"], r["text"]
+            while tag == 1 and todo and todo[0] == row:
+                yield None, todo[1] or role, text
                 todo = next(edits, None)
-            row += r["tag"]
+            row += tag
             while todo and todo[0] == -1:  # turns put in before the next row, or at the end
                 yield None, todo[1], ""
                 todo = next(edits, None)
