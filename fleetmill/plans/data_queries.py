@@ -46,7 +46,8 @@ def scan_multi_dataset(spark, d):
     c = b.all_cycles(spark, d)
     files.write_text(c.where("unit % 5 <> 0"), folder, "train")
     files.write_text(b.truncated(c), folder, "test")
-    return files.read_text(spark, folder, ["s2", "s7"]).groupBy("dataset", "split").agg(F.count("*").alias("n_rows"), F.countDistinct("unit").alias("n_units"))
+    t = files.read_datasets(spark, folder, ["events", "lineitem"], ["s2", "s7"], ["events", "lineitem"])
+    return t.groupBy("dataset", "split").agg(F.count("*").alias("n_rows"), F.countDistinct("unit").alias("n_units"))
 
 
 @query("""SELECT row_number() OVER (ORDER BY unit) AS unit, rul FROM (SELECT unit, max(cycle) - floor(max(cycle) / 2)::BIGINT AS rul FROM cycles WHERE unit % 5 = 0 GROUP BY unit)""")

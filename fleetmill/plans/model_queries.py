@@ -23,7 +23,6 @@ from fleetmill.streaming import scoring
 from .registry import query, u
 
 X = ["s2", "s4", "s7"]
-START = [[1.0, 0.0, 100.0], [9.0, 0.2, 100.0], [19.0, 0.4, 100.0], [26.0, 0.5, 61.0], [34.0, 0.7, 100.0]]
 
 
 def rows(spark, d):
@@ -204,6 +203,22 @@ def identifiability(spark, d):
     return rs.roc_auc(p, "p", "y")
 
 
+@query()
+def identifiability_repeats(spark, d):
+    """(repeat, fold, n, auc, auc_of_repeat, mean_auc): separability in three repeats of unit folds; each fold's model has its own scaling and weights."""
+    e = written(early(spark, d))
+    p = None
+    for repeat in (1, 2, 3):
+        dealt = e.withColumn("fold", F.floor(uniform(f"cv{repeat}", F.col("unit")) * 3).cast("int"))
+        one = models.out_of_fold(dealt, 3, lambda a, o: models.logistic_probability(a, o, EARLY, "y")).select(F.lit(repeat).alias("repeat"), "fold", "unit", "y", "p")
+        p = one if p is None else p.unionByName(one)
+    p = written(p)
+    by_fold, whole = rs.roc_auc(p, "p", "y", ["repeat", "fold"]), rs.roc_auc(p, "p", "y", ["repeat"]).withColumnRenamed("auc", "auc_of_repeat")
+    mean = F.broadcast(whole.agg(F.avg("auc_of_repeat").alias("mean_auc")))  # a single row
+    n = p.groupBy("repeat", "fold").agg(F.count("*").alias("n"))
+    return n.join(by_fold, ["repeat", "fold"]).join(whole, "repeat").join(mean, F.lit(True)).select("repeat", "fold", "n", "auc", "auc_of_repeat", "mean_auc")
+
+
 @query(f"""WITH {ROWS}, {solved(OTHERS, 'SELECT 1.0::DOUBLE AS alpha')} SELECT k AS fold, x.f AS feature, round(x.w, 6) AS weight FROM (SELECT k, unnest([{{'f': 's2', 'w': w2}}, {{'f': 's4', 'w': w4}}, {{'f': 's7', 'w': w7}}, {{'f': 'intercept', 'w': i}}]) AS x FROM we)""")
 def fit_candidate(spark, d):
     """(fold, feature, weight): ridge fitted on the other folds' units, for each fold."""
@@ -372,14 +387,20 @@ def silhouette_squared(spark, d):
 
 @query("SELECT op1 AS c1, op1 / 50 AS c2, CASE WHEN op1 = 25 THEN 60.0 ELSE 100.0 END::DOUBLE AS c3, count(*) AS n FROM cycles GROUP BY op1")
 def regime_profile(spark, d):
-    c = b.cycles(spark, d)
-    k = f.nearest_centroid([F.col(o) for o in b.OPS], START)
-    return c.groupBy(k.alias("k")).agg(r6(F.avg("op1")).alias("c1"), r6(F.avg("op2")).alias("c2"), r6(F.avg("op3")).alias("c3"), F.count("*").alias("n")).drop("k")
+    """Centres of the clusters of standardised settings, back on the settings' own scale, with their rows."""
+    c = b.cycles(spark, d).select(*b.OPS)
+    clustered, centres = models.kmeans(models.standardised(c, c, b.OPS), b.OPS, 5, tuple(range(1, 11)))
+    scale = c.agg(*[f(o).alias(f"{n}_{o}") for o in b.OPS for n, f in (("m", F.avg), ("d", F.stddev_pop))]).first()  # a single row
+    own = [(k, *(float(x) * (scale[f"d_{o}"] or 1.0) + scale[f"m_{o}"] for x, o in zip(p, b.OPS, strict=True))) for k, p in enumerate(centres)]
+    known = F.broadcast(spark.createDataFrame(own, "cluster int, c1 double, c2 double, c3 double"))  # a row for each cluster
+    n = clustered.groupBy("cluster").agg(F.count("*").alias("n"))
+    return n.join(known, "cluster").select(r6("c1").alias("c1"), r6("c2").alias("c2"), r6("c3").alias("c3"), "n")
 
 
 @query()
 def elbow_inertia(spark, d):
-    c = b.cycles(spark, d).select("unit", *b.OPS)
+    raw = b.cycles(spark, d).select("unit", *b.OPS)
+    c = models.standardised(raw, raw, b.OPS)
     dist = lambda cs: F.least(*[sum(((F.col(o) - x) * (F.col(o) - x) for o, x in zip(b.OPS, p, strict=True)), F.lit(0.0)) for p in [*cs, cs[0]]])
     cols = {k: models.kmeans(c, b.OPS, k)[1] for k in (1, 2, 3, 5)}
     return c.agg(*[F.sum(dist(cs)).alias(f"k{k}") for k, cs in cols.items()])

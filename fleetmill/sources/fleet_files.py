@@ -17,9 +17,27 @@ def write_text(df: DataFrame, folder: str, split: str) -> None:
         df.where(F.col("dataset") == dataset).select(F.concat(F.concat_ws(" ", *[F.col(c).cast("string") for c in values]), F.lit(" "))).write.text(f"{folder}/{split}_{dataset}.txt")
 
 
-def read_text(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
-    """All files of a folder; split and dataset from the path; a line with another number of values becomes nulls."""
-    lines = spark.read.text(f"{folder}/*_*.txt").select("value", F.col("_metadata.file_path").alias("p"))
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def read_datasets(spark: SparkSession, folder: str, names: list[str], columns: list[str], known: list[str], splits: tuple[str, ...] = ("train", "test")) -> DataFrame:
+    """The files of the named datasets alone. A name that isn't known, or a file that isn't there, is an error before anything is read."""
+    unknown = sorted(set(names) - set(known))
+    if unknown:
+        raise ValueError(f"unknown datasets {unknown}; known are {sorted(known)}")
+    paths = [f"{folder}/{split}_{name}.txt" for name in dict.fromkeys(names) for split in splits]
+    for path in paths:
+        if not exists(spark, path):
+            raise FileNotFoundError(f"no file {path}")
+    return read_text(spark, paths, columns)
+
+
+def read_text(spark: SparkSession, where: str | list[str], columns: list[str]) -> DataFrame:
+    """All files of a folder, or those listed; split and dataset from the path; a line with another number of values becomes nulls."""
+    lines = spark.read.text(f"{where}/*_*.txt" if isinstance(where, str) else where).select("value", F.col("_metadata.file_path").alias("p"))
     parts = F.split(F.trim("value"), r"\s+")
     names, kinds = ["unit", "cycle", *columns], ["long", "long", *["double"] * len(columns)]
     ok = F.size("parts") == len(names)

@@ -213,3 +213,18 @@ def test_no_unpartitioned_window_over_rows(spark):
     df = cycles(spark, 3, 30, x="cast(cycle as double)")
     plan = f.rolling(df, ["x"], 5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "SinglePartition" not in plan
+
+
+def test_unknown_datasets_and_missing_files_are_refused(spark, tmp_path):
+    from fleetmill.sources import fleet_files
+
+    rows = spark.createDataFrame([("a", 1, 1, 0.5), ("a", 1, 2, 0.7), ("b", 1, 1, 0.1)], "dataset string, unit long, cycle long, s2 double")
+    for split in ("train", "test"):
+        fleet_files.write_text(rows, str(tmp_path), split)
+    read = lambda names, known=("a", "b", "c"): fleet_files.read_datasets(spark, str(tmp_path), list(names), ["s2"], list(known))
+    assert {(r.dataset, r.split, r.cycle) for r in read("a").collect()} == {("a", s, c) for s in ("train", "test") for c in (1, 2)}
+    assert read("ab").count() == 6 and read("aa").count() == 4
+    with pytest.raises(ValueError, match="unknown datasets .*z"):
+        read("az")
+    with pytest.raises(FileNotFoundError, match="train_c.txt"):
+        read("ac")

@@ -97,7 +97,8 @@ def test_health_index_is_the_first_component_rising_to_failure(spark):
 def test_elbow_runs_from_total_to_no_inertia(spark):
     got = QUERIES["elbow_inertia"](spark, DIR).first()
     x = b.cycles(spark, DIR).select(*b.OPS).toPandas().to_numpy()
-    assert got.k1 == pytest.approx(((x - x.mean(0)) ** 2).sum()) and got.k1 > got.k2 > got.k3 > got.k5 == pytest.approx(0, abs=1e-6)
+    x = (x - x.mean(0)) / x.std(0)
+    assert got.k1 == pytest.approx((x**2).sum()) and got.k1 > got.k2 > got.k3 > got.k5 == pytest.approx(0, abs=1e-6)
 
 
 def brute_gain(signs):
