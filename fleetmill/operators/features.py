@@ -6,9 +6,10 @@ Windows look back only, within one unit.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from fleetmill.functions.columns import UNIT, by_cycle, trailing, unpivot
@@ -89,6 +90,19 @@ def rolling(df: DataFrame, columns: list[str], window: int) -> DataFrame:
     return df.withColumns({f"{c}_mean": F.avg(c).over(w) for c in columns} | {f"{c}_slope": slope(c) for c in columns})
 
 
+#: A smoother: a column over a window of a unit's cycles.
+Smoother = Callable[[Column, WindowSpec], Column]
+
+
+def smoothed(df: DataFrame, columns: list[str], smoothers: dict[str, Smoother], window: int) -> DataFrame:
+    """df with <column>_<name> for every column and smoother, over the same trailing window, so in one pass of its sorted rows.
+
+    A smoother gets the column and the window of the last `window` cycles; of it, it may use the partition and order only.
+    """
+    w = trailing(window)
+    return df.withColumns({f"{c}_{name}": fn(F.col(c), w) for c in columns for name, fn in smoothers.items()})
+
+
 def rolling_spread(df: DataFrame, column: str, window: int) -> DataFrame:
     w = trailing(window)
     return df.withColumns({f"{column}_std": F.stddev_samp(column).over(w), f"{column}_min": F.min(column).over(w), f"{column}_max": F.max(column).over(w)})

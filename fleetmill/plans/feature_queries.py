@@ -151,6 +151,14 @@ def rolling_std_min_max(spark, d):
     return f.rolling_spread(b.cycles(spark, d), "s2", 5).select("unit", "cycle", *[r6(f"s2_{x}").alias(f"s2_{x}") for x in ("std", "min", "max")])
 
 
+@query(f"SELECT unit, cycle, round((max(s2) OVER w + min(s2) OVER w) / 2, 6) AS s2_middle, round(exp(avg(ln(s2 + 1)) OVER w) - 1, 6) AS s2_geometric, round((max(s7) OVER w + min(s7) OVER w) / 2, 6) AS s7_middle, round(exp(avg(ln(s7 + 1)) OVER w) - 1, 6) AS s7_geometric FROM cycles {W5}")
+def smoothers(spark, d):
+    """Smoothers that the library doesn't know, given as functions of a column and a window."""
+    own = {"middle": lambda c, w: (F.max(c).over(w) + F.min(c).over(w)) / 2, "geometric": lambda c, w: F.exp(F.avg(F.log(c + 1)).over(w)) - 1}
+    out = f.smoothed(b.cycles(spark, d), ["s2", "s7"], own, 5)
+    return out.select("unit", "cycle", *[r6(f"{c}_{n}").alias(f"{c}_{n}") for c in ("s2", "s7") for n in own])
+
+
 @query("""SELECT a.unit, a.cycle, round(sum(p.s2 * pow(1 - 2 / 16.0, a.cycle - p.cycle)) / sum(pow(1 - 2 / 16.0, a.cycle - p.cycle)), 6) AS s2_ewm FROM cycles a JOIN cycles p ON a.unit = p.unit AND p.cycle <= a.cycle GROUP BY ALL""")
 def ewm_mean(spark, d):
     return f.ewm_mean(b.cycles(spark, d), "s2", 15).select("unit", "cycle", r6("s2_ewm").alias("s2_ewm"))
