@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 #: Public licence texts. Names of holders and years are left out, as they differ from file to file.
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
 FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
@@ -59,6 +61,9 @@ overt act of relinquishment in perpetuity of all present and future rights to th
 {_WARRANTY}"""),
 ]
 
+#: Whole texts of the long licences, word for word, a file for each; the driver reads them and sends them to the tasks.
+LONG = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+
 HEADERS = [
     ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
 You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
@@ -79,4 +84,4 @@ SHORT = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 
-TEMPLATES = [*TEXTS, *HEADERS, *SHORT]
+TEMPLATES = [*TEXTS, *LONG, *HEADERS, *SHORT]

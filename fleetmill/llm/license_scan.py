@@ -1,12 +1,13 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from directories.
 
-Terms are runs of letters, digits, dots, + and -, A-Z lower-cased. Inverse document frequencies of the templates'
+Terms are runs of letters, digits, dots, + and -, lower-cased. Inverse document frequencies of the templates'
 terms come from all texts; a term of no template weighs as much as one of no text. Each part of a text (a line; a
 paragraph, that is lines up to a blank one; the comment at the top, blank lines and all; the whole) is compared with each
 template if it has a marker. Markers are the rarest terms of each template, so many that by Cauchy-Schwarz no part
-without any of them reaches LEAST: however common a licence is, nothing is lost. The best cosine of LEAST or more, of
-equal ones the last by licence, is the text's own licence. A text whose first line with words, or whose whole, is a
-licence is a licence file of its directory; a file without own licence inherits from the nearest directory at or above
+without any of them reaches LEAST: however common a licence is, nothing is lost. If the whole reaches LEAST, its best
+cosine gives the text's own licence, as the notices that long licences quote must not make headers of them; else the
+best cosine of LEAST or more of any part does; of equal ones it is the last by licence. A text whose first line with
+words, or whose whole, is a licence is a licence file of its directory; a file without own licence inherits from the nearest directory at or above
 its own that has a licence file, by joins on the paths' ancestors. Of several in one directory the one with the least
 path, then the first by licence, holds.
 
@@ -85,14 +86,19 @@ class Matcher:
         self.default = math.log(n + 1) + 1
         tf = [(name, Counter(terms(text))) for name, text in templates]
         self.idf = {t: idf(t) for _, c in tf for t in c}
-        self.vectors = []
+        vectors = []
         for name, c in tf:
             v = {t: k * self.idf[t] for t, k in c.items()}
             norm = math.sqrt(sum(x * x for x in v.values()))
             if norm:
-                self.vectors.append((name, {t: x / norm for t, x in v.items()}))
+                vectors.append((name, {t: x / norm for t, x in v.items()}))
+        self.names = [name for name, _ in vectors]
+        self.weights: dict[str, list[tuple[int, float]]] = {}  # of each term: the templates that have it, with its weight there times its idf
+        for i, (_, v) in enumerate(vectors):
+            for t, x in v.items():
+                self.weights.setdefault(t, []).append((i, x * self.idf[t]))
         markers: set[str] = set()
-        for _, v in self.vectors:
+        for _, v in vectors:
             rest = 1.0  # a text with none but the other terms has a cosine of at most the root of their squares
             for t in sorted(v, key=lambda t: (-self.idf[t], -v[t], t)):
                 if rest < LEAST**2 - 1e-9:
@@ -103,23 +109,24 @@ class Matcher:
         self.marker = re.compile(f"(?:{found})(?![a-z0-9+])") if markers else None
 
     def cosine(self, text: str) -> tuple[float, str]:
+        """(cosine, licence) of the nearest template."""
         c = Counter(terms(text))
         norm = math.sqrt(sum((k * self.idf.get(t, self.default)) ** 2 for t, k in c.items()))
-        best = (0.0, "")
-        for name, v in self.vectors:
-            dot = sum(w * c[t] * self.idf[t] for t, w in v.items() if t in c)
-            best = max(best, (dot / norm if norm else 0.0, name))
-        return best
+        dots = [0.0] * len(self.names)
+        for t in self.weights.keys() & c.keys():
+            for i, w in self.weights[t]:
+                dots[i] += w * c[t]
+        return max(((dot / norm, name) for dot, name in zip(dots, self.names, strict=True)), default=(0.0, "")) if norm else (0.0, "")
 
     def match(self, text: str | None) -> tuple[float, str, str] | None:
-        """(cosine, licence, kind) of the best part; kind: file or header."""
+        """(cosine, licence, kind) of the whole if that is a licence, else of the best part; kind: file or header."""
         text = (text or "").lower()
         if not self.marker or not self.marker.search(text):
             return None
-        best = (0.0, "", "")
-        for kind, part in parts(text):
-            if self.marker.search(part):
-                best = max(best, (*self.cosine(part), kind))
+        *inside, (kind, whole) = parts(text)
+        best = (*self.cosine(whole), kind)
+        if best[0] < LEAST:
+            best = max(((*self.cosine(part), kind) for kind, part in inside if self.marker.search(part)), default=best)
         return best if best[0] >= LEAST else None
 
 

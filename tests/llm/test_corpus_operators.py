@@ -533,11 +533,13 @@ def brute_scan(files, templates):
     found, given = [], {}
     for i, path, text in files:
         best = (0.0, "", "")
-        for kind, part in license_scan.parts((text or "").lower()):
-            v = vector(part)
-            for name, x in vectors:
-                if norm(v):
-                    best = max(best, (round(sum(v[w] * x[w] for w in v if w in x) / norm(v) / norm(x), 9), name, kind))
+        *inside, whole = license_scan.parts((text or "").lower())
+        for some in ([whole], inside):
+            for kind, part in some if best[0] < license_scan.LEAST else []:
+                v = vector(part)
+                for name, x in vectors:
+                    if norm(v):
+                        best = max(best, (round(sum(v[w] * x[w] for w in v if w in x) / norm(v) / norm(x), 9), name, kind))
         best = best if best[0] >= license_scan.LEAST else None
         found.append((i, path, best))
         if best and best[2] == "file":
@@ -575,6 +577,23 @@ def test_whole_scan_matches_brute_force(spark, prose):
     assert empty.count() == 0 and empty.columns == ["doc_id", "path", "licence", "kind", "cosine", "source"]
 
 
+def test_long_licences_are_files_of_their_directories(spark, prose):
+    """Whole LICENSE and COPYING files, as they are, with a holder filled in, and with some words changed; what lies below them inherits."""
+    long, r = dict(licences.LONG), random.Random(3)
+    worn = lambda t: " ".join(w if r.random() < 0.95 else f"word{r.randrange(500)}" for w in t.split(" "))
+    filled = long["Apache-2.0"].replace("[yyyy]", "2024").replace("[name of copyright owner]", "A Person")
+    files = {"a/LICENSE": filled, "a/src/x.c": prose(80, 1), "g/COPYING": long["GPL-3.0"], "g/y": None, "h/COPYING": worn(long["GPL-2.0"]), "h/i/j/k": prose(30, 2),
+             "m/LICENSE": worn(long["MPL-2.0"]).upper(), "m/z": "", "x/own.c": "// " + dict(licences.SHORT)["MIT"] + "\n" + prose(80, 3), "w/x": long["GPL-3.0"][:3000] + prose(2000, 4)}
+    rows = [(i, p, t) for i, (p, t) in enumerate(files.items())]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    result = license_scan.scan(df, licences.TEMPLATES).collect()
+    got = {r.path: (r.licence, r.kind, r.source) for r in result}
+    for name, licence, below in (("a/LICENSE", "Apache-2.0", "a/src/x.c"), ("g/COPYING", "GPL-3.0", "g/y"), ("h/COPYING", "GPL-2.0", "h/i/j/k"), ("m/LICENSE", "MPL-2.0", "m/z")):
+        assert got[name] == (licence, "file", name) and got[below] == (licence, "inherited", name)
+    assert got["w/x"][1] == "none" and got["x/own.c"][:2] == ("MIT", "file")
+    assert sorted(((r.doc_id, *tuple(r)[1:4], r.source) for r in result), key=repr) == sorted(((*w[:4], w[5]) for w in brute_scan(rows, licences.TEMPLATES)), key=repr)
+
+
 @pytest.mark.parametrize("every", [1, 3])
 def test_common_licences_are_found(spark, prose, every):
     texts = [prose(40, i) + ("\nReleased under the MIT License." if i % every == 0 else "") for i in range(12)]
