@@ -12,7 +12,7 @@ shingles, linked sets share one of the first n - ceil(n * num / den) + 1 shingle
 4. Buckets that still hold more than one component: pairs of their groups are filtered, by sizes and by the bits that
    all or none of a group's sketches have. Only groups of the pairs that are left are expanded, and members in
    different components compared. Pairs in one component need no link for the components: they are reachable already.
-   links() leaves this rule out and so finds every link between different sets.
+   links() and linked() leave step 3's links and this rule out and so find every link between different sets.
 5. Every comparison is by exact sets. Before it, sizes and sketches rule out what can't reach the threshold: bits in
    which two parity sketches differ are at most the shingles in which the sets differ. A short sketch of fixed length
    goes with the bucket rows, a long one (a bit or more for each shingle) is looked at pair by pair; a sketch of twice
@@ -20,7 +20,7 @@ shingles, linked sets share one of the first n - ceil(n * num / den) + 1 shingle
 
 Defined cases: a null, empty or blank text has no shingles and links with nothing; a text with fewer words than k has
 one shingle, the whole sequence; a repeated doc_id with unlike texts gets a row for each; a row without doc_id gets no
-component; an empty table gives an empty result; other columns are ignored.
+component and no number of links; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -184,7 +184,7 @@ def _candidates(docs: DataFrame, k: int, num: int, den: int) -> _Candidates:
 def _group_pairs(buckets: DataFrame, within: DataFrame, spread: DataFrame, n_groups: int, num: int, den: int) -> DataFrame:
     """Pairs (g, h) of groups that share a bucket (t, g), or one of within with itself, and whose members may link: distinct.
 
-    spread: (g, n, lo, hi, all_bits, any_bits). Groups that are all of one component are no pair.
+    spread: (g, n, n_least, lo, hi, all_bits, any_bits). Groups that are all of one component are no pair.
     """
     wide = buckets.join(checked_broadcast(spread, n_groups, HEADS // 8), "g")
     a, b = wide.alias("x"), wide.alias("y")
@@ -194,7 +194,7 @@ def _group_pairs(buckets: DataFrame, within: DataFrame, spread: DataFrame, n_gro
         differ = differ + F.bit_count(bits("x", "all", i).bitwiseAND(F.bitwise_not(bits("y", "any", i)))) + F.bit_count(bits("y", "all", i).bitwiseAND(F.bitwise_not(bits("x", "any", i))))
     n, m = F.col("x.n"), F.col("y.n")
     apart = F.least("x.lo", "y.lo") < F.greatest("x.hi", "y.hi")
-    pairs = a.join(b, (F.col("x.t") == F.col("y.t")) & (F.col("x.g") < F.col("y.g")) & apart & (n * den >= m * num) & (m * den >= n * num) & (differ * (den + num) <= (n + m) * (den - num)))
+    pairs = a.join(b, (F.col("x.t") == F.col("y.t")) & (F.col("x.g") < F.col("y.g")) & apart & (n * den >= F.col("y.n_least") * num) & (m * den >= F.col("x.n_least") * num) & (differ * (den + num) <= (n + m) * (den - num)))
     return pairs.select(F.col("x.g").alias("g"), F.col("y.g").alias("h")).distinct().union(within.select("g", F.col("g").alias("h")))
 
 
@@ -207,9 +207,17 @@ def _expanded(pairs: DataFrame, member: DataFrame, num: int, den: int) -> DataFr
 
 
 def _spread(member: DataFrame) -> DataFrame:
-    """A row for each group: size, least and greatest component, and the sketch bits that all (and, for more than one member, that any) have."""
+    """A row for each group: size (greatest and least, where its id has unlike texts), least and greatest component, and the sketch bits that all (and, for more than one member, that any) have."""
     all_bits, any_bits = (F.array(*[f(F.col("sketch")[i]) for i in range(SKETCH)]) for f in (F.bit_and, F.bit_or))
-    return written(member.groupBy("g").agg(F.first("n").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), all_bits.alias("all_bits"), F.when(F.count("*") > 1, any_bits).alias("any_bits")))
+    return written(member.groupBy("g").agg(F.max("n").alias("n"), F.min("n").alias("n_least"), F.min("c").alias("lo"), F.max("c").alias("hi"), all_bits.alias("all_bits"), F.when(F.count("*") > 1, any_bits).alias("any_bits")))
+
+
+def _all_links(c: _Candidates, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Every link between different sets, as pairs a < b of class ids."""
+    member = written(c.rows.join(checked_broadcast(c.groups, c.n_groups, HEADS), ["n", "p"]).select("doc_id", "n", "g", "sketch", F.col("doc_id").alias("c")))
+    spread = _spread(member)
+    pairs = _group_pairs(c.bucketed.select("t", "g"), spread.where("lo < hi"), spread, c.n_groups, num, den)
+    return _verified(_expanded(pairs, member, num, den), c.rows, docs, k, num, den)
 
 
 def links(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -218,13 +226,30 @@ def links(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> tuple[Data
     The pairs of a family of m unlike near copies are m * (m - 1) / 2; near_duplicates() needs about m comparisons.
     """
     c = _candidates(docs, k, num, den)
-    member = written(c.rows.join(checked_broadcast(c.groups, c.n_groups, HEADS), ["n", "p"]).select("doc_id", "n", "g", "sketch", F.col("doc_id").alias("c")))
-    spread = _spread(member)
-    pairs = _group_pairs(c.bucketed.select("t", "g"), spread.where("lo < hi"), spread, c.n_groups, num, den)
-    found = _verified(_expanded(pairs, member, num, den), c.rows, docs, k, num, den)
+    found = _all_links(c, docs, k, num, den)
     return found, c.every.where("n > 0").join(c.classes.select("n", "d1", "d2", "class_id"), ["n", "d1", "d2"]).select("doc_id", "class_id")
 
 
+def linked(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """near_duplicates() with n_links, the number of other rows that each of docs (doc_id, text) links with.
+
+    Every link between different sets is found, counted with the copies at its other end, and joins components; a row's
+    own copies are links too, though none of those is ever paired. Of an id with unlike texts the links are the id's.
+    """
+    c = _candidates(docs, k, num, den)
+    found = written(_all_links(c, docs, k, num, den).distinct())  # rows that repeat make a link repeat
+    copies = c.classes.where("class_id is not null").groupBy("class_id").agg(F.sum("copies").alias("copies"))
+    ends = found.select(F.col("a").alias("class_id"), F.col("b").alias("other")).union(found.select("b", "a"))
+    beyond = ends.join(copies.withColumnRenamed("class_id", "other"), "other").groupBy("class_id").agg(F.sum("copies").alias("beyond"))
+    label = components(found).withColumnRenamed("node", "class_id")
+    by_class = written(c.classes.join(label, "class_id", "left").join(beyond, "class_id", "left").select(
+        "n", "d1", "d2", "class_id", F.coalesce("component", "class_id").alias("component_id"), (F.col("copies") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links")))
+    known, none = c.every.where("n > 0").join(by_class, ["n", "d1", "d2"]), c.every.where("n = 0")
+    own = lambda name: F.when(F.col("doc_id").isNotNull(), F.col(name)).alias(name)
+    return known.select("doc_id", F.col("n").alias("n_shingles"), "class_id", own("component_id"), own("n_links")).union(
+        none.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.lit(0).cast("long"))))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id), a row for each of docs (doc_id, text).
 

@@ -68,8 +68,9 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 reach(doc_id, other) AS (SELECT a, b FROM e UNION SELECT r.doc_id, e.b FROM reach r JOIN e ON r.other = e.a),
 sets AS (SELECT doc_id, md5(string_agg(s, chr(1) ORDER BY s)) AS d FROM s GROUP BY doc_id),
 cls AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY d) AS class_id FROM sets)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(min(r.other), d.doc_id)) AS component_id, coalesce(any_value(cls.class_id), d.doc_id) AS class_id
-FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN reach r ON r.doc_id = d.doc_id LEFT JOIN cls ON cls.doc_id = d.doc_id GROUP BY d.doc_id, n.n
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(min(r.other), d.doc_id)) AS component_id, coalesce(any_value(cls.class_id), d.doc_id) AS class_id,
+       coalesce(any_value(deg.n_links), 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a) deg USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN reach r ON r.doc_id = d.doc_id LEFT JOIN cls ON cls.doc_id = d.doc_id GROUP BY d.doc_id, n.n
 """
 
 # Rows are damaged, marked and numbered; `best` holds the least (cost, audit) of each place in a dialogue (0 before it, 1 after the system turn, 2 after a

@@ -58,7 +58,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return jaccard_join.near_duplicates(docs, k=3, num=9, den=10).select("doc_id", "n_shingles", "component_id", "class_id")
+    return jaccard_join.linked(docs, k=3, num=9, den=10).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,6 +89,28 @@ def test_all_links_match_brute_force(spark, prose, k, num, den):
     assert {r.doc_id: r.class_id for r in classes.collect()} == {i: first[x] for i, x in sets.items()}
 
 
+@pytest.mark.parametrize(("k", "num", "den"), [(3, 9, 10), (5, 4, 5)])
+def test_numbers_of_links_match_brute_force(spark, prose, k, num, den):
+    """Copies at both ends of a link, families of unlike near copies, empty texts; components as near_duplicates() has them."""
+    texts = dict(enumerate([None, "", "one", "ONE", "one two", *near_copies(prose, k, 4, 9), *[prose(60, 50 + i) + " " + prose(80, 9) for i in range(12)]]))
+    texts |= {1000 * n + i: t for n in (1, 2) for i, t in texts.items() if i % 3 == n}
+    sets = shingle_sets(texts, k)
+    near = {a: sum(den * len(s & t) >= num * len(s | t) for b, t in sets.items() if b != a) for a, s in sets.items()}
+    got = jaccard_join.linked(documents(spark, texts), k, num, den).collect()
+    assert {r.doc_id: r.n_links for r in got} == {i: near.get(i, 0) for i in texts} and max(near.values()) > 4
+    plain = jaccard_join.near_duplicates(documents(spark, texts), k, num, den).collect()
+    assert sorted(tuple(r)[:4] for r in got) == sorted(tuple(r) for r in plain)
+
+
+def test_links_of_rows_without_or_with_shared_ids(spark):
+    a, b, c = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(61)), " ".join(f"v{i}" for i in range(50))
+    df = spark.createDataFrame([(3, a, 1), (3, a, 1), (None, a, 2), (7, b, 3), (7, c, 3), (9, c, 4), (None, "x y z", 5), (None, None, 6), (8, None, 7)], "doc_id long, text string, n_links int")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.linked(df, 3, 9, 10).collect()), key=repr)
+    # Row 7 stands for b, which links with three rows of a, and for c, which has one more copy.
+    assert got == sorted([(3, 58, 3, 5), (3, 58, 3, 5), (None, 58, None, None), (7, 59, 3, 3), (7, 48, 3, 4), (9, 48, 3, 4), (None, 1, None, None), (None, 0, None, None), (8, 0, 8, 0)], key=repr)
+    assert jaccard_join.linked(df.limit(0), 3, 9, 10).count() == 0
+
+
 def test_shared_boilerplate_makes_no_links(spark, prose):
     """Many texts with one long passage in common, each with as much of its own: candidates in one bucket, no link."""
     shared = prose(60, 9)
