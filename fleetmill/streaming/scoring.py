@@ -23,6 +23,19 @@ def _ms(span: str) -> int:
     return pd.Timedelta(span) // pd.Timedelta(milliseconds=1)
 
 
+def level_and_slope(held: list) -> tuple[float, float]:
+    """Mean and slope of (cycle, value) pairs, by the running sums of avg and regr_slope in their order.
+
+    Their last digits decide the bucket of a prediction that lies on an edge, so they must be those of a batch.
+    """
+    n = total = mc = mx = co = sq = 0.0
+    for c, x in held:
+        n, total, dc, dx = n + 1, total + x, c - mc, x - mx
+        mc, mx, sq = mc + dc / n, mx + dx / n, sq + dc * (dc - dc / n)
+        co += dc * (x - mx)
+    return total / n, co / sq if sq else 0.0
+
+
 class TrailingFeatures(StatefulProcessor):
     """A unit's last cycles in two lists: those counted, as far as windows reach back, and those that wait for earlier ones."""
 
@@ -45,10 +58,7 @@ class TrailingFeatures(StatefulProcessor):
                 break
             held = [*held, (c, waiting.pop(c))][-self.window :]
             seen += 1
-            n = len(held)
-            mc, mx = sum(c for c, _ in held) / n, sum(x for _, x in held) / n
-            sxx = sum((c - mc) ** 2 for c, _ in held)
-            out.append((unit, c, mx, sum((c - mc) * (x - mx) for c, x in held) / sxx if sxx else 0.0, seen))
+            out.append((unit, c, *level_and_slope(held), seen))
         if held:
             self.held.put(held)
             self.seen.update((seen,))

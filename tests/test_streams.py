@@ -68,3 +68,13 @@ def test_drain_leaves_the_session_as_it_was(spark, tmp_path):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     run(spark, tmp_path, [[(1, 1, 1.0, at(0))]], lambda s: s.select("unit", F.col("cycle").alias("c")))
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+def test_stream_features_are_those_of_a_batch_to_the_last_digit(spark, tmp_path):
+    r = random.Random(2)
+    rows = [(u, c, round(r.random() * 200, 2) + 0.5 * c, at(c)) for u in range(1, 30) for c in range(1, 25)]
+    rows += [(30, c, x, at(c)) for c, x in zip(range(1, 14), [1.5] * 8 + [30.15, 30.63, 14.89, 31.65, 79.73], strict=True)]  # predicted 20 exactly
+    out, _ = run(spark, tmp_path, [rows], lambda s: scoring.stream_features(s, "s", 5, "ts"))
+    whole = spark.createDataFrame([("d", *x[:3]) for x in rows], "dataset string, unit long, cycle long, s double")
+    want = {(x.unit, x.cycle): (x.level, x.slope) for x in scoring.batch_features(whole, "s", 5).collect()}
+    assert {(x.unit, x.cycle): (x.level, x.slope) for x in out.collect()} == want
