@@ -1,7 +1,10 @@
 """Steps whose memory or shuffles must not outgrow their input."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from fleetmill.operators import models
 from fleetmill.plans import resampling_queries, signal_queries
 from fleetmill.sources import bindings as b
 from fleetmill.sources.shared import written
@@ -36,3 +39,22 @@ def test_comparisons_write_unit_sums_and_no_candidates(spark, tmp_path, monkeypa
     assert resampling_queries.comparisons(spark, d).count() > 0
     assert "candidates" not in dict(names)
     assert dict(names)["sums"] == dict(names)["decision"] == 1  # that of the cycles
+
+
+def test_silhouette_joins_no_pairs_and_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(models, "BLOCK_ROWS", 7)
+    r = np.random.default_rng(3)
+    rows = [(k, i, float(x), None if i == 4 else float(y), i % 3 if i % 50 else None) for k in ("a", "b") for i, (x, y) in enumerate(r.normal(size=(120, 2)))]
+    df = spark.createDataFrame(rows, "k string, id long, x double, y double, g long")
+    out = models.silhouette(df, ["x", "y"], "g", "id", every=4, keys=["k"])
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for k in "ab":
+        s = []
+        for _, i, x, y, g in (q for q in rows if q[0] == k and q[1] % 4 == 0):
+            d = {c: [None if y is None or q[3] is None else ((q[2] - x) ** 2 + (q[3] - y) ** 2) ** 0.5 for q in rows if q[0] == k and q[4] == c] for c in (0, 1, 2)}
+            a = None if g is None or y is None else sum(v for v in d[g] if v is not None) / (len(d[g]) - 1)
+            b = min((sum(v for v in d[c] if v is not None) / len(d[c]) for c in d if g is not None and c != g and y is not None), default=None)
+            s.append(0.0 if a is None else (b - a) / max(a, b))
+        want[k] = np.mean(s)
+    assert {q.k: (q.silhouette, q.n) for q in out.collect()} == {k: (pytest.approx(v), 30) for k, v in want.items()}
