@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fleetmill.functions.rng import uniform
 from fleetmill.operators import models
+from fleetmill.operators import resampling as rs
 from fleetmill.plans import resampling_queries, signal_queries
 from fleetmill.sources import bindings as b
 from fleetmill.sources.shared import written
@@ -41,6 +43,17 @@ def test_comparisons_write_unit_sums_and_no_candidates(spark, tmp_path, monkeypa
     assert dict(names)["sums"] == dict(names)["decision"] == 1  # that of the cycles
 
 
+def test_poisson_counts_hash_once_a_draw_in_tasks_that_grow_with_the_units(spark, monkeypatch):
+    monkeypatch.setattr(rs, "DRAWS", 50_000)
+    units = written(spark.range(1200).coalesce(1).select(F.col("id").alias("unit")), "units")
+    w = resampling_queries.counted(units)
+    assert w._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    assert w.rdd.getNumPartitions() == 24
+    plain = units.crossJoin(spark.range(1, resampling_queries.MANY + 1).withColumnRenamed("id", "replicate")).withColumn("w", rs.poisson_weight(uniform("poisson", F.col("replicate"), F.col("unit"))))
+    sums = lambda df: sorted(tuple(r) for r in df.where("w > 0").groupBy("replicate").agg(F.count("*"), F.sum("w"), F.sum(F.col("w") * F.col("unit"))).collect())
+    assert sums(w) == sums(plain)
+
+
 def test_silhouette_joins_no_pairs_and_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(models, "BLOCK_ROWS", 7)
     r = np.random.default_rng(3)
