@@ -54,6 +54,28 @@ def test_poisson_counts_hash_once_a_draw_in_tasks_that_grow_with_the_units(spark
     assert sums(w) == sums(plain)
 
 
+def test_boosted_trees_of_many_rows_are_fitted_to_cells(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    x = r.integers(0, 12, (3000, 2))
+    y = np.sin(x[:, 0] / 2) + 0.1 * x[:, 1] + r.normal(0, 0.5, 3000)
+    df = spark.createDataFrame([(float(a), float(b), float(c), i % 4 == 0) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))], "a double, b double, y double, held boolean").coalesce(2).cache()
+    fit = lambda: models.boosted_with_patience(df.where("not held"), df.where("held"), ["a", "b"], "y", rounds=12, patience=12, first=12)
+    by_rows, errors = fit()
+    monkeypatch.setattr(models, "CELL_ROWS", 100)
+    cells = models.gathered(df, ["a", "b"], "y")
+    assert cells.count() == len({tuple(p) for p in x}) and cells.agg(F.sum("weight")).first()[0] == 3000
+    by_cells, errors_by_cells = fit()
+    assert errors_by_cells == pytest.approx(errors) and by_cells.getNumTrees == by_rows.getNumTrees
+    a, b = ([q.prediction for q in m.transform(models.vectors(df, ["a", "b"])).collect()] for m in (by_rows, by_cells))
+    assert a == pytest.approx(b)
+    monkeypatch.setattr(models, "RANGES", 4)
+    few = models.in_ranges(df, ["a", "b"], df)
+    assert models.gathered(few, ["a", "b"], "y").count() == 16
+    got = {(q.a, w.a) for q, w in zip(df.collect(), few.collect(), strict=True)}
+    edges = np.quantile(x[:, 0], [0.25, 0.5, 0.75])
+    assert got == {(float(v), float(np.searchsorted(edges, v, "right"))) for v in range(12)}
+
+
 def test_silhouette_joins_no_pairs_and_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(models, "BLOCK_ROWS", 7)
     r = np.random.default_rng(3)
