@@ -15,7 +15,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetmill.functions.columns import bucket, by_cycle, clip, trailing
+from fleetmill.functions.columns import bucket, by_cycle, clip, slope, trailing
 
 #: Why a row isn't scored; of several reasons the first counts.
 MISSING, OUTSIDE, SHORT = "missing value", "outside the envelope", "short history"
@@ -41,8 +41,7 @@ class Trailing(_Stage):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         x, w = F.col(self.value("sensor")), trailing(self.value("window"))
-        slope = F.coalesce(F.regr_slope(x, F.col("cycle")).over(w), F.lit(0.0))
-        return df.withColumns({"level": F.avg(x).over(w), "slope": slope, "n_cycles_used": F.row_number().over(by_cycle())})
+        return df.withColumns({"level": F.avg(x).over(w), "slope": F.coalesce(slope(x, "cycle", w), F.lit(0.0)), "n_cycles_used": F.row_number().over(by_cycle())})
 
 
 class Check(_Stage):

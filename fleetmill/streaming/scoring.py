@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from fleetmill.functions.columns import bucket, by_cycle, clip, trailing
+from fleetmill.functions.columns import bucket, by_cycle, clip, fused, slope, trailing
 
 SCORED = "unit long, cycle long, level double, slope double, n_cycles_used int"
 
@@ -24,16 +24,16 @@ def _ms(span: str) -> int:
 
 
 def level_and_slope(held: list) -> tuple[float, float]:
-    """Mean and slope of (cycle, value) pairs, by the running sums of avg and regr_slope in their order.
+    """Mean and slope of (cycle, value) pairs, by the running sums of avg and `slope` in their order.
 
     Their last digits decide the bucket of a prediction that lies on an edge, so they must be those of a batch.
     """
     n = total = mc = mx = co = sq = 0.0
     for c, x in held:
         n, total, dc, dx = n + 1, total + x, c - mc, x - mx
-        mc, mx, sq = mc + dc / n, mx + dx / n, sq + dc * (dc - dc / n)
-        co += dc * (x - mx)
-    return total / n, co / sq if sq else 0.0
+        mc, mx, sq = mc + dc / n, mx + dx / n, sq + dc * (c - (mc + dc / n))
+        co = fused(dc, x - mx, co)
+    return total / n, (co / n) / (sq / n) if sq else 0.0
 
 
 class TrailingFeatures(StatefulProcessor):
@@ -140,7 +140,7 @@ class InOrder(StatefulProcessor):
 def batch_features(df: DataFrame, sensor: str, window: int) -> DataFrame:
     """(unit, cycle, level, slope, n_cycles_used) of every cycle: trailing mean and slope."""
     w = trailing(window)
-    return df.select("unit", "cycle", F.avg(sensor).over(w).alias("level"), F.coalesce(F.regr_slope(F.col(sensor), F.col("cycle")).over(w), F.lit(0.0)).alias("slope"),
+    return df.select("unit", "cycle", F.avg(sensor).over(w).alias("level"), F.coalesce(slope(sensor, "cycle", w), F.lit(0.0)).alias("slope"),
                      F.row_number().over(by_cycle()).alias("n_cycles_used"))
 
 

@@ -1,6 +1,7 @@
 """Streams with state: timers free it, rows wait for the watermark, late ones are counted."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -78,3 +79,16 @@ def test_stream_features_are_those_of_a_batch_to_the_last_digit(spark, tmp_path)
     whole = spark.createDataFrame([("d", *x[:3]) for x in rows], "dataset string, unit long, cycle long, s double")
     want = {(x.unit, x.cycle): (x.level, x.slope) for x in scoring.batch_features(whole, "s", 5).collect()}
     assert {(x.unit, x.cycle): (x.level, x.slope) for x in out.collect()} == want
+
+
+def test_slopes_round_products_once(spark):
+    r = random.Random(4)
+    rows = [("d", u, c, None if (u, c) == (3, 5) else round(r.random() * 200, 2) + 0.5 * c) for u in range(1, 40) for c in range(1, 25)]
+    got = {(x.unit, x.cycle): x.slope for x in scoring.batch_features(spark.createDataFrame(rows, "dataset string, unit long, cycle long, s double"), "s", 5).collect()}
+    for _, u, c, _ in rows:
+        n = mc = mx = co = sq = 0.0
+        for _, _, k, x in (q for q in rows if q[1] == u and c - 5 < q[2] <= c and q[3] is not None):
+            n, dc, dx = n + 1, k - mc, x - mx
+            mc, mx = mc + dc / n, mx + dx / n
+            co, sq = math.fma(dc, x - mx, co), sq + dc * (k - mc)
+        assert got[u, c] == ((co / n) / (sq / n) if sq else 0.0), (u, c)
