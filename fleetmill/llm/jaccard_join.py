@@ -12,7 +12,8 @@ shingles, linked sets share one of the first n - ceil(n * num / den) + 1 shingle
 4. Buckets that still hold more than one component: pairs of their groups are filtered, by sizes and by the bits that
    all or none of a group's sketches have. Only groups of the pairs that are left are expanded, and members in
    different components compared. Pairs in one component need no link for the components: they are reachable already.
-   links() and linked() leave step 3's links and this rule out and so find every link between different sets.
+   links() and linked() then compare the different sets of each component, block by block within tasks, and so find
+   every link between them; only links() makes rows of these.
 5. Every comparison is by exact sets. Before it, sizes and sketches rule out what can't reach the threshold: bits in
    which two parity sketches differ are at most the shingles in which the sets differ. A short sketch of fixed length
    goes with the bucket rows, a long one (a bit or more for each shingle) is looked at pair by pair; a sketch of twice
@@ -41,11 +42,20 @@ from .shingles import shingles
 #: Longs in a parity sketch; frequent shingles kept by a task and in all; rows of four longs that may be broadcast (16 MB).
 SKETCH, TASK_KEEPS, ALL_KEEP, HEADS = 8, 20_000, 50_000, 500_000
 
+#: About the most sets and shingles of a block of a component; shingles whose sharing is counted at once.
+BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 20, 2048
+
 
 def _raw(batch: pa.RecordBatch, name: str = "text") -> list:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    """The digest of a set as two longs."""
+    d = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
+
+
 def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
     """Hashes of the most frequent shingles, rarest first: a heavy-hitter summary of each task, summed by Spark."""
 
@@ -104,11 +114,10 @@ def features(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 width = max(64 * SKETCH, 1 << n.bit_length())
                 bits = (np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)
                 long = np.packbits(bits).view(np.int64)
-                whole = s.tobytes()
-                d = xxhash.xxh3_128_intdigest(whole)
+                d = _digest(s)
                 out[0].append(n)
-                out[1].append((d >> 64) - (1 << 63))
-                out[2].append((d & (1 << 64) - 1) - (1 << 63))
+                out[1].append(d[0])
+                out[2].append(d[1])
                 out[3].append(prefix.view(np.int64))
                 out[4].append(xxhash.xxh3_64_intdigest(prefix.tobytes()) - (1 << 63))
                 out[5].append(np.bitwise_xor.reduce(long.reshape(-1, SKETCH), axis=0))
@@ -212,12 +221,111 @@ def _spread(member: DataFrame) -> DataFrame:
     return written(member.groupBy("g").agg(F.max("n").alias("n"), F.min("n").alias("n_least"), F.min("c").alias("lo"), F.max("c").alias("hi"), all_bits.alias("all_bits"), F.when(F.count("*") > 1, any_bits).alias("any_bits")))
 
 
-def _all_links(c: _Candidates, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Every link between different sets, as pairs a < b of class ids."""
-    member = written(c.rows.join(checked_broadcast(c.groups, c.n_groups, HEADS), ["n", "p"]).select("doc_id", "n", "g", "sketch", F.col("doc_id").alias("c")))
+def _labels(c: _Candidates, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(class_id, component_id), a row for each class id: the least that links reach."""
+    _, _, rows, groups, n_groups, bucketed = c
+    star = bucketed.select(F.col("hub").alias("a"), F.col("g").alias("b")).where("a <> b").distinct()
+    larger = written(groups.where("members > 1").select("n", "p", "g"))
+    own = rows.select("doc_id", "n", "p").join(checked_broadcast(larger, larger.count()), ["n", "p"]).select(F.col("g").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+    star = star.union(own).distinct()
+    side = lambda name, key: rows.select(F.col("doc_id").alias(key), F.struct("n", "sketch").alias(name))
+    star = star.join(side("x", "a"), "a").join(side("y", "b"), "b").where(_may_link("x", "y", num, den)).select("a", "b").distinct()
+    near = _verified(star, rows, docs, k, num, den)
+    label = components(near)
+
+    # Buckets, and groups as buckets of their own, with members in more than one component.
+    member = rows.join(label.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").select(
+        "doc_id", "n", "p", "sketch", F.coalesce("c", "doc_id").alias("c"))
+    member = written(member.join(checked_broadcast(groups, n_groups, HEADS), ["n", "p"]).select("doc_id", "n", "g", "sketch", "c"))
     spread = _spread(member)
-    pairs = _group_pairs(c.bucketed.select("t", "g"), spread.where("lo < hi"), spread, c.n_groups, num, den)
-    return _verified(_expanded(pairs, member, num, den), c.rows, docs, k, num, den)
+    by_token = bucketed.select("t", "g").join(checked_broadcast(spread.select("g", "lo", "hi"), n_groups, HEADS), "g")
+    open_t = written(by_token.groupBy("t").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("t"))
+    open_tokens = written(bucketed.select("t", "g").join(checked_broadcast(open_t, open_t.count()), "t", "left_semi"))
+    pairs = written(_group_pairs(open_tokens, spread.where("lo < hi"), spread, n_groups, num, den))
+    rest = _verified(_expanded(pairs, member, num, den), rows, docs, k, num, den)
+    more = rest.join(label.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(
+        label.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    over = components(more).select(F.col("node").alias("c"), F.col("component").alias("oc"))
+    final = member.select("doc_id", "c").distinct().join(over, "c", "left").select(F.col("doc_id").alias("class_id"), F.coalesce("oc", "c").alias("component_id"))
+    return final.groupBy("class_id").agg(F.min("component_id").alias("component_id"))
+
+
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many shingles each set of left (places in sets) shares with each of right, by products of COLUMNS shingles at a time."""
+    flat, at = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    new = np.concatenate([[True], np.diff(flat[order]) != 0])
+    column = np.cumsum(new) - 1
+    several = np.bincount(column)[column] > 1  # a shingle of one set alone is shared with none
+    at, column = at[order][several], (np.cumsum(new & several) - 1)[several]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, z = np.searchsorted(column, [start, start + COLUMNS])
+        has = np.zeros((len(sets), int(column[z - 1]) - start + 1), np.float32)
+        has[at[a:z], column[a:z] - start] = 1
+        out += (has[left] @ has[right].T).astype(np.int64)
+    return out
+
+
+def _within(c: _Candidates, label: DataFrame, docs: DataFrame, k: int, num: int, den: int, pairs: bool) -> DataFrame:
+    """Every link between different sets: as (a, b), each once and a < b, or added up in tasks as (class_id, beyond), rows at the other ends.
+
+    A link joins sets of one component. A component's sets are dealt by id to blocks of about BLOCK_SETS sets and
+    BLOCK_SHINGLES shingles, and a task compares two blocks at a time: no link is a row before it is one of the result.
+    """
+    copies = c.classes.where("class_id is not null").groupBy("class_id").agg(F.sum("copies").alias("copies"))
+    member = written(c.rows.select(F.col("doc_id").alias("class_id"), "n", "d1", "d2").distinct().join(label, "class_id").join(copies, "class_id"))
+    larger = member.groupBy("component_id").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"), (F.min("class_id") < F.max("class_id")).alias("several")).where("several")
+    larger = written(larger.select("component_id", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("blocks")))
+    member = written(member.join(checked_broadcast(larger, larger.count()), "component_id").withColumn("block", F.pmod(F.xxhash64("class_id"), "blocks")))
+    names = ["component_id", "class_id", "d1", "d2", "copies", "blocks", "block"]
+    texts = docs.select(F.col("doc_id").cast("long").alias("class_id"), "text").join(checked_broadcast(member.select(*names), member.count(), HEADS // 2), "class_id")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = texts.select("component_id", "class_id", "d1", "d2", "copies", "block", "text", other.alias("other"))
+    dealt = dealt.select("component_id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "d1", "d2", "copies", "text")
+    dealt = dealt.repartition("component_id", "i", "j").sortWithinPartitions("component_id", "i", "j")
+
+    def compared(i: int, j: int, held: dict) -> list[tuple[np.ndarray, np.ndarray]]:
+        sets, block = [s for _, _, s in held.values()], np.array([x for x, _, _ in held.values()])
+        ids, own = np.unique([d[0] for d in held], return_inverse=True)
+        copy, n = np.zeros(len(ids), np.int64), np.array([len(s) for s in sets])
+        copy[own] = [x for _, x, _ in held.values()]
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        if not len(left) or not len(right) or len(ids) < 2:
+            return []
+        # |A & B| * den >= |A | B| * num, with the union from the sizes.
+        x, y = np.nonzero(_common(sets, left, right) * (den + num) >= (n[left][:, None] + n[right]) * num)
+        linked = np.unique(own[left[x]] * len(ids) + own[right[y]])  # an id with unlike texts links once
+        x, y = linked // len(ids), linked % len(ids)
+        x, y = (x[x < y], y[x < y]) if i == j else (x, y)
+        if pairs:
+            return [(np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]))]
+        beyond = np.zeros(len(ids), np.int64)
+        np.add.at(beyond, x, copy[y])
+        np.add.at(beyond, y, copy[x])
+        return [(ids[beyond > 0], beyond[beyond > 0])]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, found = None, {}, []
+        give = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in (0, 1)], out)
+        for batch in sliced(batches):
+            cells = [batch.column(i).to_pylist() for i in range(batch.num_columns - 1)]
+            for *place, block, class_id, d1, d2, copies, raw in zip(*cells, _raw(batch), strict=True):
+                if place != at:
+                    found += compared(*at[1:], held) if at else []
+                    at, held = place, {}
+                    if sum(len(f[0]) for f in found) > 10_000:
+                        yield give()
+                        found = []
+                s = shingles(raw, k)
+                if (class_id, d1, d2) not in held and _digest(s) == (d1, d2):
+                    held[class_id, d1, d2] = (block, copies, s)
+        found += compared(*at[1:], held) if at else []
+        if found:
+            yield give()
+
+    out = ["a", "b"] if pairs else ["class_id", "beyond"]
+    return written(dealt.mapInArrow(of, f"{out[0]} long, {out[1]} long"))
 
 
 def links(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -226,24 +334,21 @@ def links(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> tuple[Data
     The pairs of a family of m unlike near copies are m * (m - 1) / 2; near_duplicates() needs about m comparisons.
     """
     c = _candidates(docs, k, num, den)
-    found = _all_links(c, docs, k, num, den)
+    found = _within(c, written(_labels(c, docs, k, num, den)), docs, k, num, den, True)
     return found, c.every.where("n > 0").join(c.classes.select("n", "d1", "d2", "class_id"), ["n", "d1", "d2"]).select("doc_id", "class_id")
 
 
 def linked(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """near_duplicates() with n_links, the number of other rows that each of docs (doc_id, text) links with.
 
-    Every link between different sets is found, counted with the copies at its other end, and joins components; a row's
+    Every link between different sets is found within its component and counted with the copies at its other end; a row's
     own copies are links too, though none of those is ever paired. Of an id with unlike texts the links are the id's.
     """
     c = _candidates(docs, k, num, den)
-    found = written(_all_links(c, docs, k, num, den).distinct())  # rows that repeat make a link repeat
-    copies = c.classes.where("class_id is not null").groupBy("class_id").agg(F.sum("copies").alias("copies"))
-    ends = found.select(F.col("a").alias("class_id"), F.col("b").alias("other")).union(found.select("b", "a"))
-    beyond = ends.join(copies.withColumnRenamed("class_id", "other"), "other").groupBy("class_id").agg(F.sum("copies").alias("beyond"))
-    label = components(found).withColumnRenamed("node", "class_id")
+    label = written(_labels(c, docs, k, num, den))
+    beyond = _within(c, label, docs, k, num, den, False).groupBy("class_id").agg(F.sum("beyond").alias("beyond"))
     by_class = written(c.classes.join(label, "class_id", "left").join(beyond, "class_id", "left").select(
-        "n", "d1", "d2", "class_id", F.coalesce("component", "class_id").alias("component_id"), (F.col("copies") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links")))
+        "n", "d1", "d2", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), (F.col("copies") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links")))
     known, none = c.every.where("n > 0").join(by_class, ["n", "d1", "d2"]), c.every.where("n = 0")
     own = lambda name: F.when(F.col("doc_id").isNotNull(), F.col(name)).alias(name)
     return known.select("doc_id", F.col("n").alias("n_shingles"), "class_id", own("component_id"), own("n_links")).union(
@@ -255,32 +360,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
 
     class_id: the least doc_id with the same set; component_id: the least doc_id that links reach.
     """
-    every, classes, rows, groups, n_groups, bucketed = _candidates(docs, k, num, den)
-    star = bucketed.select(F.col("hub").alias("a"), F.col("g").alias("b")).where("a <> b").distinct()
-    larger = written(groups.where("members > 1").select("n", "p", "g"))
-    own = rows.select("doc_id", "n", "p").join(checked_broadcast(larger, larger.count()), ["n", "p"]).select(F.col("g").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
-    star = star.union(own).distinct()
-    side = lambda name, key: rows.select(F.col("doc_id").alias(key), F.struct("n", "sketch").alias(name))
-    star = star.join(side("x", "a"), "a").join(side("y", "b"), "b").where(_may_link("x", "y", num, den)).select("a", "b").distinct()
-    near = _verified(star, rows, docs, k, num, den)
-    label = components(near)
-
-    # Buckets, and groups as buckets of their own, with members in more than one component.
-    member = rows.join(label.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").select(
-        "doc_id", "n", "p", "sketch", F.coalesce("c", "doc_id").alias("c"))
-    member = written(member.join(checked_broadcast(groups, n_groups, HEADS), ["n", "p"]).select("doc_id", "n", "g", "sketch", "c"))
-    spread = _spread(member)
-    by_token = bucketed.select("t", "g").join(checked_broadcast(spread.select("g", "lo", "hi"), n_groups, HEADS), "g")
-    open_t = written(by_token.groupBy("t").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("t"))
-    open_tokens = written(bucketed.select("t", "g").join(checked_broadcast(open_t, open_t.count()), "t", "left_semi"))
-    pairs = written(_group_pairs(open_tokens, spread.where("lo < hi"), spread, n_groups, num, den))
-    rest = _verified(_expanded(pairs, member, num, den), rows, docs, k, num, den)
-    more = rest.join(label.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(
-        label.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    over = components(more).select(F.col("node").alias("c"), F.col("component").alias("oc"))
-    final = member.select("doc_id", "c").distinct().join(over, "c", "left").select(F.col("doc_id").alias("class_id"), F.coalesce("oc", "c").alias("component_id"))
-
-    by_class = classes.join(final.groupBy("class_id").agg(F.min("component_id").alias("component_id")), "class_id", "left")
+    c = _candidates(docs, k, num, den)
+    every, by_class = c.every, c.classes.join(_labels(c, docs, k, num, den), "class_id", "left")
     known = every.where("n > 0").join(by_class, ["n", "d1", "d2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), "class_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     none = every.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))

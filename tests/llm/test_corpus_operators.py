@@ -102,6 +102,26 @@ def test_numbers_of_links_match_brute_force(spark, prose, k, num, den):
     assert sorted(tuple(r)[:4] for r in got) == sorted(tuple(r) for r in plain)
 
 
+@pytest.mark.parametrize("block", [7, 1024])
+def test_a_familys_links_are_counted_without_a_row_for_each(spark, prose, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 50)
+    words = prose(400, 3).split(" ")
+    texts = {i: " ".join([*words[: 5 * i], f"x{i}", *words[5 * i + 1 :]]) for i in range(50)} | {100: " ".join(words), 101: " ".join(words), 102: prose(80, 4)}
+    seen, verified = [], jaccard_join._verified
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_verified", counted)
+    sets = shingle_sets(texts, 3)
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.linked(documents(spark, texts), 3, 9, 10).collect()}
+    assert got == {a: (102 if a == 102 else 0, sum(10 * len(s & t) >= 9 * len(s | t) for b, t in sets.items() if b != a)) for a, s in sets.items()}
+    assert sum(seen) < 4 * len(texts)  # 1,275 links between different sets
+    assert jaccard_join.links(documents(spark, texts), 3, 9, 10)[0].distinct().count() == jaccard_join.links(documents(spark, texts), 3, 9, 10)[0].count() == 51 * 50 // 2
+
+
 def test_links_of_rows_without_or_with_shared_ids(spark):
     a, b, c = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(61)), " ".join(f"v{i}" for i in range(50))
     df = spark.createDataFrame([(3, a, 1), (3, a, 1), (None, a, 2), (7, b, 3), (7, c, 3), (9, c, 4), (None, "x y z", 5), (None, None, 6), (8, None, 7)], "doc_id long, text string, n_links int")
