@@ -18,6 +18,9 @@ SCORED = "unit long, cycle long, level double, slope double, n_cycles_used int"
 #: A row's time as a number: pandas shows times in the session's zone, timers and watermarks are in UTC.
 CLOCK = "__clock"
 
+#: The number of a row's group of keys.
+GROUP = "__group"
+
 
 def _ms(span: str) -> int:
     return pd.Timedelta(span) // pd.Timedelta(milliseconds=1)
@@ -95,7 +98,7 @@ class TrailingFeatures(StatefulProcessor):
 
 
 class InOrder(StatefulProcessor):
-    """Rows of a key, held until the watermark passes their time, then given out in order. One timer a key: the earliest row's."""
+    """Rows of a key, or of a group of keys, held until the watermark passes their time, then given out in order. One timer: the earliest row's."""
 
     def __init__(self, key: str, order: str, names: list[str], kept: StructType):
         self.key, self.order, self.names, self.kept = key, order, names, kept
@@ -103,7 +106,7 @@ class InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getListState("held", self.kept)
-        self.given = handle.getValueState("given", "n long")
+        self.given = handle.getListState("given", StructType([self.kept[self.key]]).add("n", "long"))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         first = []
@@ -116,22 +119,24 @@ class InOrder(StatefulProcessor):
             for t in timers:
                 self.handle.deleteTimer(t)
             self.handle.registerTimer(min(first))
-        yield pd.DataFrame({c: [] for c in [self.key, *self.kept.names, "place"]})
+        yield pd.DataFrame({c: [] for c in [*self.kept.names, "place"]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        mark, clock, order = timerValues.getCurrentWatermarkInMs(), self.kept.names.index(CLOCK), self.kept.names.index(self.order)
+        mark, own, clock, order = timerValues.getCurrentWatermarkInMs(), *(self.kept.names.index(c) for c in (self.key, CLOCK, self.order))
         rows = sorted(self.held.get(), key=lambda r: (r[clock], r[order]))
-        n = self.given.get()[0] if self.given.exists() else 0
+        n, places = dict(self.given.get()), []
         ready = [r for r in rows if r[clock] // 1000 <= mark]
         rest = rows[len(ready) :]
-        self.given.update((n + len(ready),))
+        for r in ready:
+            n[r[own]] = n.get(r[own], 0) + 1
+            places.append(n[r[own]])
+        self.given.put(list(n.items()))
         if rest:
             self.held.put(rest)
             self.handle.registerTimer(rest[0][clock] // 1000)  # the timer that has expired goes by itself
         else:
             self.held.clear()
-        out = pd.DataFrame(ready, columns=self.kept.names)
-        yield out.assign(**{self.key: key[0], "place": range(n + 1, n + 1 + len(ready))})[[self.key, *self.kept.names, "place"]]
+        yield pd.DataFrame(ready, columns=self.kept.names).assign(place=places)
 
     def close(self) -> None:
         pass
@@ -165,16 +170,19 @@ def stream_features(cycles: DataFrame, sensor: str, window: int, time: str | Non
     return rows.groupBy("unit").transformWithStateInPandas(TrailingFeatures(sensor, window, bool(time), _ms(idle)), SCORED, "Append", mode)
 
 
-def in_order(rows: DataFrame, key: str, time: str, order: str) -> DataFrame:
+def in_order(rows: DataFrame, key: str, time: str, order: str, groups: int | None = None) -> DataFrame:
     """rows (a stream with a watermark on time) with their place among those of their key, from 1, by time and `order`.
 
     A row is held until the watermark passes its time; then nothing earlier can come any more. Rows that come later than
     that are dropped by the watermark and counted by it (see `drain`). Repeated rows keep their number.
+    groups: a state for each of so many groups of keys, the same in all runs, instead of one for each key: a call for each
+    of many small keys takes far longer than its rows.
     """
-    kept = StructType([f for f in rows.schema if f.name not in (key, time)]).add(CLOCK, "long")
-    out = StructType([rows.schema[key], *kept]).add("place", "long")
+    kept = StructType([rows.schema[key], *(f for f in rows.schema if f.name not in (key, time))]).add(CLOCK, "long")
+    out = StructType([*kept]).add("place", "long")
     clocked = rows.withColumn(CLOCK, F.unix_micros(time))
-    held = clocked.groupBy(key).transformWithStateInPandas(InOrder(key, order, clocked.columns, kept), out, "Append", "EventTime")
+    clocked = clocked.withColumn(GROUP, F.pmod(F.xxhash64(key), F.lit(groups))) if groups else clocked
+    held = clocked.groupBy(GROUP if groups else key).transformWithStateInPandas(InOrder(key, order, clocked.columns, kept), out, "Append", "EventTime")
     return held.select(*[F.timestamp_micros(CLOCK).alias(c) if c == time else F.col(c) for c in rows.columns], "place")
 
 

@@ -29,6 +29,24 @@ def state(spark, folder, name):
     return spark.read.format("statestore").option("path", f"{folder}/state").option("stateVarName", name).load()
 
 
+def test_groups_of_units_share_a_state_and_keep_their_own_places(spark, tmp_path):
+    r = random.Random(3)
+    rows = [(u, c, float(c), at(10 * c + u % 7)) for u in range(40) for c in range(1, 10)]
+    batches = [[x for x in rows if k * 40 < (x[3] - at(0)).seconds / 60 <= k * 40 + 40] for k in range(3)]
+    for b in batches:
+        r.shuffle(b)
+    held = []
+
+    def build(s):
+        if held or (tmp_path / "state").exists():
+            held.append({x.key.asDict()["__group"] for x in state(spark, tmp_path, "held").select("key").collect()})
+        return scoring.in_order(s, "unit", "ts", "cycle", groups=3)
+
+    out, late = run(spark, tmp_path, [*batches, [(0, 99, 0.0, at(5))], [(99, 1, 0.0, at(5000))]], build)
+    assert late == 1 and held[0] == {0, 1, 2}
+    assert sorted((x.unit, x.place, x.cycle, x.ts, x.s) for x in out.where("unit <> 99").collect()) == [(u, c, c, t, x) for u, c, x, t in sorted(rows)]
+
+
 def test_rows_come_out_in_order_and_late_ones_are_counted(spark, tmp_path):
     r = random.Random(1)
     rows = [(u, c, float(c), at(10 * c)) for u in (1, 2) for c in range(1, 13)]
