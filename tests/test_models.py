@@ -36,6 +36,19 @@ def test_trees_beat_the_mean(spark, rows, name):
     assert rmse(got) < math.sqrt(((test["rul"] - train["rul"].mean()) ** 2).mean())
 
 
+def test_a_forest_of_many_rows_is_fitted_to_portions_of_equal_rows(spark, rows, monkeypatch):
+    seen, fit = [], models.RandomForestRegressor.fit
+    monkeypatch.setattr(models, "CELL_ROWS", 100)
+    monkeypatch.setattr(models, "RANGES", 4)
+    monkeypatch.setattr(models.RandomForestRegressor, "fit", lambda self, df: seen.append(df.agg(F.count("*"), F.sum("weight"), F.max("weight"), F.sum(F.col("weight") * F.col("rul"))).first()) or fit(self, df))
+    got = QUERIES["model_forest"](spark, DIR).toPandas()
+    train, test = rows[rows.unit % 5 != 0], rows[rows.unit % 5 == 0]
+    n, weight, _, total = seen[0]
+    assert n <= 100 + 4**3 < len(train) == weight and total == pytest.approx(train["rul"].sum())
+    assert sorted(got["unit"].tolist()) == sorted(test["unit"].tolist())
+    assert rmse(got) < math.sqrt(((test["rul"] - train["rul"].mean()) ** 2).mean())
+
+
 def test_boosted_importances_add_up(spark):
     got = QUERIES["gbt_importances"](spark, DIR).collect()
     assert {r.feature for r in got} == set(mq.X) and sum(r.importance for r in got) == pytest.approx(1.0)
