@@ -30,6 +30,13 @@ def test_tasks_of_rank_correlations_grow_with_the_rows(spark, tmp_path, monkeypa
     assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
 
 
+@pytest.mark.parametrize("name", ["flip_share_by_cluster", "sign_vectors", "direction_consistency", "flip_table", "flip_agreement"])
+def test_rank_correlations_that_are_read_again_are_made_once(spark, tmp_path, name):
+    r = getattr(signal_queries, name)(spark, events(spark, tmp_path, 40, 30))
+    assert "rank(" not in r._jdf.queryExecution().optimizedPlan().toString()
+    assert r.count() > 0
+
+
 def test_comparisons_write_unit_sums_and_no_candidates(spark, tmp_path, monkeypatch):
     d, names = events(spark, tmp_path, 40, 30), []
 
