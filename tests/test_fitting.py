@@ -117,3 +117,16 @@ def test_rand_index_of_pairs_of_seeds(spark):
     for a, b in pairs:
         one = df.where(F.col("seed") == a).select("id", F.col("label").alias("p")).join(df.where(F.col("seed") == b).select("id", F.col("label").alias("q")), "id")
         assert pairs[a, b] == pytest.approx(rs.rand_index(one, "p", "q").first().ari)
+
+
+def test_trees_do_not_depend_on_a_switch_by_size(spark, curve, monkeypatch):
+    """A table is fitted by ranges of its training rows' exact quantiles, whether it has more than CELL_ROWS rows or not."""
+    few, found = curve.where("fold < 2"), []
+    for rows in (100, 200_000):
+        monkeypatch.setattr(models, "CELL_ROWS", rows)
+        r = models.in_ranges(curve, ["a", "b"], few)
+        found.append([[q[c] for q in r.orderBy("y").collect()] for c in ("a", "b")] + [[q.prediction for q in models.boosted(r, ["a", "b"], "y", 3).transform(models.vectors(r.orderBy("y"), ["a", "b"])).collect()]])
+    assert found[0][:2] == found[1][:2] and found[0][2] == pytest.approx(found[1][2])
+    x = np.array([q.a for q in few.collect()])
+    edges = np.quantile(x, np.arange(1, models.RANGES) / models.RANGES)
+    assert found[1][0] == [float(np.searchsorted(edges, q.a, "right")) for q in curve.orderBy("y").collect()]
