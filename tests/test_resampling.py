@@ -100,3 +100,29 @@ def test_a_statistic_that_the_library_does_not_know(spark):
     assert got["harmonic"].estimate == pytest.approx(200 / sum(1 / (1 + i % 9) for i in range(200)))
     assert got["harmonic"].ci_lo < got["harmonic"].estimate < got["harmonic"].ci_hi
     assert got["p90"].estimate == np.quantile([1 + i % 9 for i in range(200)], 0.9)
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+def test_every_metric_has_an_interval_by_both_truths(spark):
+    from fleetmill.operators import evaluation as e
+    from fleetmill.sources import bindings as b
+
+    got = {(r.truth, r.metric): r for r in QUERIES["bootstrap_metric_ci"](spark, DIR).collect()}
+    names = {"rmse", "mae", "late_pct", "bias", "score_mean"} | {f"{m}_{n}" for m in ("rmse", "late_pct", "bias") for n, _, _ in b.BUCKETS}
+    assert set(got) == {(t, n) for t in ("uncapped", "capped") for n in names}
+    pts = b.points(spark, DIR)
+    rows = {t: e.with_truth(pts, cap).toPandas() for t, cap in (("uncapped", None), ("capped", b.CAP))}
+    for t, p in rows.items():
+        urgent = p[(p.y >= 10) & (p.y < 20)]
+        assert got[t, "mae"].estimate == pytest.approx((p.pred - p.y).abs().mean(), abs=1e-6)
+        assert got[t, "late_pct_urgent"].estimate == pytest.approx(100 * (urgent.pred > urgent.y).mean(), abs=1e-6)
+        assert (got[t, "late_pct_urgent"].n_points, got[t, "late_pct_urgent"].n_units) == (len(urgent), urgent.unit.nunique())
+        assert (got[t, "mae"].n_points, got[t, "mae"].n_units) == (len(p), p.unit.nunique())
+    assert all(r.ci_lo <= r.estimate <= r.ci_hi for (_, n), r in got.items() if n in ("rmse", "mae", "bias")) and all(0 < r.defined <= 1 for r in got.values())
+
+
+def test_sums_by_counts_are_those_of_drawn_rows(spark):
+    df = spark.createDataFrame([(i, i % 3, float(i % 7), None if i % 5 == 0 else float(i)) for i in range(300)], "unit long, g long, x double, y double").repartition(3)
+    want = rs.poisson(df, 20).groupBy("g", "replicate").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("x")).alias("x"), F.sum(F.col("w") * F.col("y")).alias("y"))
+    got = rs.poisson_sums(df, ["x", "y"], 20, ["g"]).groupBy("g", "replicate").agg(F.sum("w").alias("w"), F.sum("x").alias("x"), F.sum("y").alias("y"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
