@@ -1,9 +1,15 @@
-"""Signs that are undefined are told, with their reason, and not left out."""
+"""Signs that are undefined are told, with their reason, and not left out; shares of flipped signs have intervals."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from fleetmill.operators import signal as s
 from fleetmill.plans import model_queries, signal_queries
+from fleetmill.plans.queries import QUERIES
+
+DIR = "/root/testdata/sf0.001"
 
 
 def cycles(values):
@@ -31,3 +37,10 @@ def test_a_unit_without_a_vector_has_no_cluster(spark, monkeypatch):
     monkeypatch.setattr(model_queries.b, "cycles", lambda spark, d: spark.range(1).select(F.lit(1).alias("unit"), F.lit(1).alias("cycle"), *[F.lit(1.0).alias(c) for c in ("s2", "s4", "s8")]))
     got = {r.unit: r.cluster for r in model_queries.subpopulation_labels(spark, "").collect()}
     assert set(got) == set(range(8)) and got[3] is None and {got[u] for u in (0, 2, 4, 6)} == {0} and {got[u] for u in (1, 5, 7)} == {1}
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+def test_flip_shares_have_intervals_over_a_clusters_units(spark):
+    rows = QUERIES["flip_share_by_cluster"](spark, DIR).collect()
+    assert rows and all(0 <= r.ci_lo <= r.share <= r.ci_hi <= 1 and r.flipped == (r.ci_lo > 0.5) for r in rows)
+    assert any(r.ci_lo < r.ci_hi for r in rows)
